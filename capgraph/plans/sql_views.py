@@ -93,3 +93,40 @@ ew AS (SELECT e.graph_name, e.src, e.dst, 1.0::DOUBLE / od.deg AS w FROM e JOIN
                     GROUP BY ew.graph_name, ew.dst) x
   ON x.graph_name = v.graph_name AND x.vertex = v.vertex)""")
     return "WITH " + ",\n".join(parts)
+
+
+# The runs view over events.
+RUNS = r"""
+runs AS (SELECT event_id AS run_id, 'g' || CAST(user_id AS VARCHAR) AS graph_name,
+                event_type AS algorithm_type, value AS simulated_time,
+                CAST(1 + floor(hour(ts) / 3) AS INTEGER) AS num_nodes, 4 AS cores_per_node,
+                CAST(8 + 4 * (CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) % 3) AS INTEGER) AS memory_per_node_gb
+         FROM events),
+runs1 AS (SELECT *, num_nodes * cores_per_node AS total_cores,
+                 num_nodes * memory_per_node_gb AS total_memory_gb, num_nodes AS node_cost FROM runs)"""
+
+# Customer graphs for the customers that appear in runs.
+EDGES_RUNS = """
+op0 AS (SELECT DISTINCT l_orderkey AS okey, l_partkey AS part FROM lineitem),
+op AS (SELECT op0.okey, op0.part, 'g' || CAST(o.o_custkey AS VARCHAR) AS graph_name
+       FROM op0 JOIN orders o ON o.o_orderkey = op0.okey
+       WHERE o.o_custkey IN (SELECT user_id FROM events)),
+e AS (SELECT DISTINCT a.graph_name, a.part AS src, b.part AS dst
+      FROM op a JOIN op b ON a.okey = b.okey AND a.part < b.part)"""
+
+
+def features_sql() -> str:
+    """WITH RECURSIVE prefix ending in ``feat`` (G19 over the run graphs) and
+    ``rf`` (runs assembled with features, flags and category)."""
+    return components_sql(EDGES_RUNS) + f""", {TRIANGLES}, {RUNS},
+feat AS (SELECT cnt.graph_name, cnt.nodes, cnt.edges, cnt.density, csum.is_connected,
+                csum.num_components, a.avg_clustering
+         FROM cnt JOIN csum USING (graph_name)
+         JOIN (SELECT graph_name, avg(clustering) AS avg_clustering FROM lc GROUP BY graph_name) a
+         USING (graph_name)),
+rf AS (SELECT r.*, f.nodes, f.edges, f.density, f.is_connected, f.num_components, f.avg_clustering,
+              r.simulated_time <= 20 AS meets_deadline_20s, r.simulated_time <= 30 AS meets_deadline_30s,
+              r.simulated_time <= 45 AS meets_deadline_45s, r.simulated_time <= 60 AS meets_deadline_60s,
+              CASE WHEN r.simulated_time < 10 THEN 'fast' WHEN r.simulated_time < 30 THEN 'medium'
+                   WHEN r.simulated_time < 60 THEN 'slow' ELSE 'very_slow' END AS execution_category
+       FROM runs1 r LEFT JOIN feat f USING (graph_name))"""

@@ -113,3 +113,21 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deadlines(spark: SparkSession, values=DEADLINES) -> DataFrame:
     """The deadline dimension (a fixed handful of rows)."""
     return spark.createDataFrame([(float(d),) for d in values], "deadline double")
+
+
+def run_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer co-purchase graphs, only for customers that appear as graphs
+    in the ``runs`` view (``g<user_id>``).  The semi-join on the few run
+    graphs is applied to ``orders`` before any pair is built."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("o_custkey")).distinct()
+    op = _order_parts(spark, sf_dir, None)
+    orders = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+              .join(users, "o_custkey", "left_semi")
+              .select(F.col("o_orderkey").alias("okey"),
+                      F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("graph_name")))
+    opg = op.join(orders, "okey")
+    a, b = opg.alias("a"), opg.alias("b")
+    pairs = a.join(b, (F.col("a.okey") == F.col("b.okey")) & (F.col("a.part") < F.col("b.part")))
+    return (pairs.select(F.col("a.graph_name").alias("graph_name"),
+                         F.col("a.part").alias("src"), F.col("b.part").alias("dst"))
+            .distinct())
