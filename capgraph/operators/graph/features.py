@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.categories import DENSITY_LIMITS, SIZE_LIMITS, density_category, size_category
+from ...session import cut_lineage
 from .components import component_summary, connected_components
 from .edges import G, canonical_edges, graph_counts, vertices
 from .pagerank import pagerank_converged, pagerank_fixed
@@ -67,7 +68,8 @@ def graph_features(edges: DataFrame, clustering_threshold: int = 50000,
                    clustering_sample: int = 5000) -> DataFrame:
     """One feature row per graph -- nodes, edges, density, is_connected,
     num_components, avg_clustering (sampled when ``n >= 50000``)."""
-    canon = canonical_edges(edges)
+    # Read three times below: materialise once in the checkpoint folder.
+    canon = cut_lineage(canonical_edges(edges))
     counts = graph_counts(canon).select(G, "nodes", "edges", "density")
     comps = component_summary(connected_components(canon))
     clus = sampled_average_clustering(canon, clustering_threshold, clustering_sample)

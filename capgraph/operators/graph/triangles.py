@@ -116,16 +116,20 @@ def triangle_estimate(edges: DataFrame, threshold: int = 20000, sample_size: int
 def sampled_average_clustering(edges: DataFrame, threshold: int = 50000,
                                sample_size: int = 5000) -> DataFrame:
     """Average clustering, on the ``sample_size`` lowest-id induced
-    subgraph when ``n >= threshold``.  ``(graph_name, avg_clustering, sampled)``."""
+    subgraph when ``n >= threshold``.  ``(graph_name, avg_clustering, sampled)``.
+
+    Small graphs keep all their vertices; one triangle pipeline serves both
+    kinds.  When no graph reaches the threshold (one scalar probe) the
+    sampling branch is left out of the plan."""
     canon = canonical_edges(edges)
     verts = vertices(canon)
     n = verts.groupBy(G).agg(F.count(F.lit(1)).alias("nodes"))
     big = n.filter(F.col("nodes") >= threshold).select(G)
+    if big.limit(1).count() == 0:
+        return average_clustering(canon, verts).withColumn("sampled", F.lit(False))
     small = n.filter(F.col("nodes") < threshold).select(G)
-    full = average_clustering(canon.join(small, G, "left_semi"),
-                              verts.join(small, G, "left_semi"))
-    sv = first_k_vertices(verts.join(big, G, "left_semi"), sample_size)
-    sub = induced_subgraph(canon.join(big, G, "left_semi"), sv)
-    samp = average_clustering(sub, sv)
-    return (full.withColumn("sampled", F.lit(False))
-            .unionByName(samp.withColumn("sampled", F.lit(True))))
+    sv = (verts.join(small, G, "left_semi")
+          .unionByName(first_k_vertices(verts.join(big, G, "left_semi"), sample_size)))
+    sub = induced_subgraph(canon, sv)
+    return (average_clustering(sub, sv).join(n, G)
+            .select(G, "avg_clustering", (F.col("nodes") >= threshold).alias("sampled")))

@@ -130,3 +130,55 @@ rf AS (SELECT r.*, f.nodes, f.edges, f.density, f.is_connected, f.num_components
               CASE WHEN r.simulated_time < 10 THEN 'fast' WHEN r.simulated_time < 30 THEN 'medium'
                    WHEN r.simulated_time < 60 THEN 'slow' ELSE 'very_slow' END AS execution_category
        FROM runs1 r LEFT JOIN feat f USING (graph_name))"""
+
+
+WORKLOADS = """
+wj AS (SELECT o.o_orderpriority || '/' || l.l_returnflag AS workload, l.l_partkey, l.l_suppkey
+       FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
+wg AS (SELECT workload, count(DISTINCT (l_partkey, l_suppkey)) AS edges,
+              count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) AS nodes FROM wj GROUP BY workload),
+wl AS (SELECT workload, edges, nodes,
+              CASE WHEN nodes > 1 THEN 2.0 * edges / (nodes * (nodes - 1)) ELSE 0.0 END AS density,
+              algorithm
+       FROM wg CROSS JOIN (VALUES ('PageRank'), ('ConnectedComponents'), ('TriangleCounting')) a(algorithm))"""
+
+
+def rule_nodes_sql(policy: str, algorithm: str, edges: str, density: str) -> str:
+    """The five sizing rules as a DuckDB expression."""
+    cat = (f"(CASE WHEN (CASE {algorithm} WHEN 'PageRank' THEN 1.0 WHEN 'ConnectedComponents' THEN 0.8 "
+           f"WHEN 'TriangleCounting' THEN 5.4 ELSE 1.0 END) > 3.0 THEN 'high' "
+           f"WHEN (CASE {algorithm} WHEN 'PageRank' THEN 1.0 WHEN 'ConnectedComponents' THEN 0.8 "
+           f"WHEN 'TriangleCounting' THEN 5.4 ELSE 1.0 END) > 1.0 THEN 'medium' ELSE 'low' END)")
+    base = f"least(8, greatest(2, floor(log10(greatest({edges}, 1000)) / 3.0)))"
+    boost = f"(CASE {cat} WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END)"
+    log_n = f"greatest(2, least(8, {base} + {boost}))"
+    init = f"least(8, greatest(1, floor(sqrt(greatest(1, floor({edges} / 100000))))))"
+    add = f"(CASE {algorithm} WHEN 'TriangleCounting' THEN 2 WHEN 'PageRank' THEN 1 ELSE 0 END)"
+    s = f"greatest(1, least(8, {init} + {add}))"
+    sqrt_n = f"(CASE WHEN {density} > 0.001 THEN least(8, {s} + 1) ELSE {s} END)"
+    size = f"greatest(1, floor({edges} / 50000))"
+    lin = (f"(CASE {cat} WHEN 'high' THEN floor({size} * 1.5) WHEN 'medium' THEN {size} "
+           f"ELSE greatest(1, floor({size} * 0.8)) END)")
+    linear_n = f"least(8, greatest(1, {lin}))"
+    tiered = (f"(CASE WHEN {algorithm} = 'TriangleCounting' AND {edges} > 150000 THEN 4 "
+              f"WHEN {algorithm} = 'TriangleCounting' AND {edges} > 50000 THEN 2 ELSE 1 END)")
+    return (f"CAST(CASE {policy} WHEN 'log' THEN {log_n} WHEN 'sqrt' THEN {sqrt_n} "
+            f"WHEN 'linear' THEN {linear_n} WHEN 'fixed' THEN 4 WHEN 'tiered' THEN {tiered} END AS INTEGER)")
+
+
+POLICY_VALUES = "(VALUES ('log'), ('sqrt'), ('linear'), ('fixed'), ('tiered')) p(policy)"
+
+THRESHOLDS = """
+th AS (SELECT graph_name AS dataset, algorithm_type AS algorithm, num_nodes AS level,
+              simulated_time <= 60 AS success, simulated_time AS time,
+              CASE WHEN simulated_time <= 60 THEN NULL WHEN simulated_time < 120 THEN 'deadline_exceeded'
+                   ELSE 'far_over_deadline' END AS failure_reason FROM runs1),
+sc AS (SELECT graph_name AS dataset, algorithm_type AS algorithm, num_nodes AS level,
+              avg(simulated_time) AS time, bool_and(simulated_time <= 60) AS success
+       FROM runs1 GROUP BY ALL),
+ml AS (SELECT dataset, algorithm, coalesce(min(CASE WHEN success THEN level END), max(level)) AS min_level,
+              count_if(success) AS passing FROM th GROUP BY ALL),
+se AS (SELECT p.dataset, p.algorithm, p.level, b.time AS baseline_time, p.time AS parallel_time,
+              b.time / p.time AS speedup, b.time / p.time / p.level AS efficiency
+       FROM sc p JOIN sc b ON b.dataset = p.dataset AND b.algorithm = p.algorithm AND b.level = 1 AND b.success
+       WHERE p.level <> 1 AND p.success)"""

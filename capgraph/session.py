@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,10 +61,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder.
+    """Materialise ``df`` as a parquet table under the reliable checkpoint
+    folder and continue from that table.
 
     Used between rounds of iterative algorithms so that plans stay small and a
-    lost executor only costs the current round.
+    lost executor only costs the current round.  One write job (instead of the
+    compute-then-write pair of ``RDD.checkpoint``), and the read-back is a
+    plain parquet scan with pruning and pushdown.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/capgraph-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -131,3 +131,25 @@ def run_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (pairs.select(F.col("a.graph_name").alias("graph_name"),
                          F.col("a.part").alias("src"), F.col("b.part").alias("dst"))
             .distinct())
+
+
+# The three algorithms the reference sizes workloads for.
+REFERENCE_ALGORITHMS = ("PageRank", "ConnectedComponents", "TriangleCounting")
+
+
+def workloads(spark: SparkSession, sf_dir: str, algorithms=REFERENCE_ALGORITHMS) -> DataFrame:
+    """Sizing-rule input: one part--supplier graph per order priority x
+    return flag (edges = distinct (part, supplier) pairs, nodes = distinct
+    parts + distinct suppliers), crossed with the algorithms."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
+                                                 "l_returnflag")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    j = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    w = F.concat_ws("/", "o_orderpriority", "l_returnflag").alias("workload")
+    g = j.groupBy(w).agg(
+        F.count_distinct("l_partkey", "l_suppkey").alias("edges"),
+        (F.count_distinct("l_partkey") + F.count_distinct("l_suppkey")).alias("graph_nodes"))
+    n, m = F.col("graph_nodes"), F.col("edges")
+    g = g.withColumn("density", F.when(n > 1, 2.0 * m / (n * (n - 1))).otherwise(F.lit(0.0)))
+    algos = spark.createDataFrame([(a,) for a in algorithms], "algorithm string")
+    return g.crossJoin(F.broadcast(algos))
