@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, policy_queries, run_queries  # noqa: F401
+from . import graph_queries, ml_queries, policy_queries, run_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
