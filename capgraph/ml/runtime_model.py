@@ -37,6 +37,14 @@ def select_features(df: DataFrame, deadline_col: str = "deadline_constraint") ->
     return cols
 
 
+def usable_features(df: DataFrame) -> list[str]:
+    """M1 + the reference's mean fill: columns that are entirely null cannot
+    be imputed, so they are dropped (one aggregate of non-null counts)."""
+    cols = select_features(df)
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
+    return [c for c in cols if counts[c] > 0]
+
+
 def split_train_test(df: DataFrame, key: str = "run_id", test_pct: int = TEST_SHARE_PCT):
     """M5: repeatable split by a hash of the row key: the first four hex
     digits of ``md5(key)`` mod 100 below ``100 - test_pct`` is training.
@@ -48,8 +56,8 @@ def split_train_test(df: DataFrame, key: str = "run_id", test_pct: int = TEST_SH
 
 
 def build_pipeline(features: list[str], kind: str = "gbt", **params) -> Pipeline:
-    """M2-M4 + M6/M7: encode the algorithm alphabetically (unseen -> the
-    extra index, mapped to 0 at predict time), mean-impute numeric columns,
+    """M2-M4 + M6/M7: encode the algorithm alphabetically (``predict`` maps
+    unseen names to index 0), mean-impute numeric columns,
     assemble, standardise, then a tree regressor."""
     numeric = [c for c in features if c != "algorithm_type"]
     stages = []
@@ -89,7 +97,7 @@ class TrainedModel:
 
 def train(df: DataFrame, kind: str = "gbt", key: str = "run_id", **params) -> TrainedModel:
     """M6/M7 + M8: fit on the training split, score both splits."""
-    feats = select_features(df)
+    feats = usable_features(df)
     data = _cast_numeric(df, feats)
     tr, te = split_train_test(data, key)
     model = build_pipeline(feats, kind, **params).fit(tr)
@@ -108,6 +116,14 @@ def select_best(models: list[TrainedModel]) -> TrainedModel:
 def predict(model: PipelineModel, df: DataFrame, floor: float = MIN_TIME) -> DataFrame:
     """Batch prediction with a floor of 0.1 s.  Algorithms unseen in
     training get encoded as 0, as the reference does."""
+    first = model.stages[0]
+    if hasattr(first, "labels") and "algorithm_type" in df.columns:
+        # The fitted label list is the handful of algorithm names seen in
+        # training; an unseen name takes index 0 (the first label).
+        labels = list(first.labels)
+        df = df.withColumn("algorithm_type", F.when(F.col("algorithm_type").isin(labels),
+                                                    F.col("algorithm_type"))
+                           .otherwise(F.lit(labels[0])))
     out = model.transform(df)
     return out.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(floor)))
 
@@ -147,7 +163,7 @@ def cross_deadline(df: DataFrame, deadline_col: str = "deadline_constraint", kin
     ordered pair of deadlines (a handful, so a short driver loop of
     distributed fits).  ``(train_deadline, test_deadline, rmse, mae, r2)``."""
     ds = [r[0] for r in df.select(deadline_col).distinct().orderBy(deadline_col).collect()]
-    feats = select_features(df)
+    feats = usable_features(df)
     data = _cast_numeric(df, feats)
     out = None
     for a in ds:

@@ -86,12 +86,14 @@ def bipartite_edges(spark: SparkSession, sf_dir: str, graph_name: str = "cust_su
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed runs table derived from ``events`` (key ``event_id``).
+    """Observed runs table derived from ``events`` (key ``event_id``)."""
+    return runs_from_events(table(spark, sf_dir, "events"))
 
+
+def runs_from_events(ev: DataFrame) -> DataFrame:
+    """Events -> runs (works on batch and streaming frames alike):
     graph ``g<user_id>``, algorithm = event type, runtime = value,
-    nodes 1..8 by hour band, 4 cores per node, 8/12/16 GB per node.
-    """
-    ev = table(spark, sf_dir, "events")
+    nodes 1..8 by hour band, 4 cores per node, 8/12/16 GB per node."""
     k = F.regexp_extract(F.col("props"), r"(\d+)", 1).cast("bigint")
     num_nodes = (F.lit(1) + F.floor(F.hour("ts") / 3)).cast("int")
     mem = (F.lit(8) + F.lit(4) * (k % 3)).cast("int")
