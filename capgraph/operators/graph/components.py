@@ -25,9 +25,9 @@ def _large_star(e: DataFrame) -> DataFrame:
     """For each u: m = min(N(u) + u); link every larger neighbour v > u to m."""
     both = _both_ways(e)
     m = both.groupBy(G, "src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
+    # No distinct here: the small-star step groups by vertex and ends with one.
     return (both.filter(F.col("dst") > F.col("src")).join(m, [G, "src"])
-            .select(G, F.col("dst").alias("src"), F.col("m").alias("dst"))
-            .distinct())
+            .select(G, F.col("dst").alias("src"), F.col("m").alias("dst")))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
