@@ -231,3 +231,23 @@ def q_algorithm_dispatch(spark, sf):
         _, summary = FT.run_algorithm(e, name)
         out = summary if out is None else out.unionByName(summary)
     return out
+
+
+# ---------------------------------------------------------------- S1-S3, S6
+
+@query("edge_list_roundtrip", f"""WITH {EDGES_MULTI}
+SELECT graph_name, src, dst, 0::BIGINT AS rejected_lines FROM e""")
+def q_edge_list_roundtrip(spark, sf):
+    """Write the co-purchase graphs as edge-list text (one folder per graph)
+    under the checkpoint folder and scan them back with reject counting."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import files as S
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/edgelists-{uuid.uuid4().hex}"
+    S.write_edge_list(_multi(spark, sf), path)
+    edges, rejects = S.read_edge_lists(spark, path)
+    rc = S.reject_counts(rejects)
+    return (edges.join(rc, "graph_name", "left")
+            .select("graph_name", "src", "dst",
+                    F.coalesce("rejected_lines", F.lit(0)).cast("bigint").alias("rejected_lines")))

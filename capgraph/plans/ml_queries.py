@@ -274,3 +274,17 @@ def q_model_policy_metrics(spark, sf):
     both = model.select(cols).unionByName(rules.select(cols))
     both = both.withColumn("est_time", F.coalesce("est_time", F.lit(float("inf"))))
     return rounded(P.policy_metrics(both))
+
+
+@query("model_selection")
+def q_model_selection(spark, sf):
+    """M6 + M7 + M9: boosted trees and random forest with the reference's
+    settings, train/test metrics of both, and the pick by test R^2."""
+    rf = _runs_features(spark, sf)
+    models = [RM.train(rf, "gbt"), RM.train(rf, "rf")]
+    best = RM.select_best(models)
+    out = None
+    for tm in models:
+        m = tm.metrics.withColumns({"model": F.lit(tm.kind), "selected": F.lit(tm is best)})
+        out = m if out is None else out.unionByName(m)
+    return rounded(out)

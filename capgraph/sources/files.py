@@ -61,8 +61,12 @@ def read_edge_lists(spark: SparkSession, path: str, max_files: int | None = None
     ``graph_name`` is the file name without its extension.  ``max_files``
     keeps the first files by name.
     """
-    raw = spark.read.text(path).withColumn("_file", F.col("_metadata.file_name"))
-    raw = raw.withColumn("graph_name", F.regexp_replace("_file", r"\.[^.]*$", ""))
+    raw = spark.read.text(path)
+    if "graph_name" not in raw.columns:
+        # plain files: the graph is the file name without its extension
+        # (a folder written by ``write_edge_list`` carries it as a partition)
+        raw = raw.withColumn("graph_name", F.regexp_replace(F.col("_metadata.file_name"),
+                                                            r"\.[^.]*$", ""))
     if max_files is not None:
         first = raw.select("graph_name").distinct().orderBy("graph_name").limit(max_files)
         raw = raw.join(F.broadcast(first), "graph_name", "left_semi")
@@ -79,7 +83,8 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
 
 
 def write_edge_list(edges: DataFrame, path: str) -> None:
-    """Write ``(src, dst)`` as whitespace text, one folder per graph name."""
+    """Write ``(src, dst)`` as whitespace text, one folder per graph name
+    (``read_edge_lists`` on the folder gets the names back)."""
     (edges.select("graph_name", F.concat_ws(" ", F.col("src").cast("string"),
                                             F.col("dst").cast("string")).alias("value"))
      .write.mode("overwrite").partitionBy("graph_name").text(path))
