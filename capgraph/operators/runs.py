@@ -224,7 +224,8 @@ def cheapest_passing_config(runs: DataFrame, graphs: DataFrame, deadline: float
     """Per key graph x algorithm the fewest nodes among runs within the
     deadline; otherwise the most nodes tried; 1 when there are no runs."""
     algos = runs.select(ALG).distinct()
-    grid = graphs.select("graph_name").crossJoin(algos)
+    # ``graphs`` is the key-dataset list (A21): a handful of names.
+    grid = algos.crossJoin(F.broadcast(graphs.select("graph_name")))
     agg = runs.groupBy("graph_name", ALG).agg(
         F.min(F.when(F.col(RT) <= deadline, F.col("num_nodes"))).alias("_hit"),
         F.max("num_nodes").alias("_max"))
