@@ -224,8 +224,9 @@ def cheapest_passing_config(runs: DataFrame, graphs: DataFrame, deadline: float
     """Per key graph x algorithm the fewest nodes among runs within the
     deadline; otherwise the most nodes tried; 1 when there are no runs."""
     algos = runs.select(ALG).distinct()
-    # ``graphs`` is the key-dataset list (A21): a handful of names.
-    grid = algos.crossJoin(F.broadcast(graphs.select("graph_name")))
+    # ``graphs`` is normally the key-dataset list (A21), a handful of names;
+    # the planner picks the strategy from its measured size.
+    grid = algos.crossJoin(graphs.select("graph_name"))
     agg = runs.groupBy("graph_name", ALG).agg(
         F.min(F.when(F.col(RT) <= deadline, F.col("num_nodes"))).alias("_hit"),
         F.max("num_nodes").alias("_max"))
@@ -257,7 +258,7 @@ def correlation_matrix(runs: DataFrame, features=CORE_FEATURES, target: str = RT
     """Pearson correlation of every pair among ``features`` + runtime +
     encoded algorithm, strict lower triangle, long form ``(row, col, corr)``.
     One aggregate computes every pair."""
-    enc = runs.join(F.broadcast(algorithm_codes(runs)), ALG)
+    enc = runs.join(algorithm_codes(runs), ALG)
     cols = list(features) + [target, "algorithm_type_encoded"]
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
     agg = enc.agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
@@ -268,7 +269,7 @@ def correlation_matrix(runs: DataFrame, features=CORE_FEATURES, target: str = RT
 def runtime_correlation_ranking(runs: DataFrame, features=CORE_FEATURES, top: int = 5,
                                 target: str = RT) -> DataFrame:
     """Features ranked by |corr| with runtime, strength label, top 5."""
-    enc = runs.join(F.broadcast(algorithm_codes(runs)), ALG)
+    enc = runs.join(algorithm_codes(runs), ALG)
     cols = list(features) + ["algorithm_type_encoded"]
     agg = enc.agg(*[F.abs(safe_corr(c, target)).alias(c) for c in cols])
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
