@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,16 +60,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a parquet table under the reliable checkpoint
-    folder and continue from that table.
+    """Materialise ``df`` as a reliable checkpoint in ``spark.checkpoint.dir``
+    and continue from it.
 
     Used between rounds of iterative algorithms so that plans stay small and a
-    lost executor only costs the current round.  One write job (instead of the
-    compute-then-write pair of ``RDD.checkpoint``), and the read-back is a
-    plain parquet scan with pruning and pushdown.
+    lost executor only costs the current round.  The checkpointed frame keeps
+    its output partitioning, so a following join or aggregate on the same
+    keys does not shuffle it again.
     """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/capgraph-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
