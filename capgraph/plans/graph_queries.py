@@ -251,3 +251,11 @@ def q_edge_list_roundtrip(spark, sf):
     return (edges.join(rc, "graph_name", "left")
             .select("graph_name", "src", "dst",
                     F.coalesce("rejected_lines", F.lit(0)).cast("bigint").alias("rejected_lines")))
+
+
+@query("hash_sample_vertices")
+def q_hash_sample_vertices(spark, sf):
+    """G18 (hash variant): about half of every graph's vertices, chosen by a
+    seeded hash -- the same rows under any partitioning (rows-only check:
+    the hash is Spark's xxhash64)."""
+    return E.hash_sample_vertices(E.vertices(_multi(spark, sf)), 0.5, seed=42)

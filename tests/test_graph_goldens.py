@@ -211,3 +211,11 @@ def test_rank_datasets(spark):
     tc = [r["graph_name"] for r in sorted(out, key=lambda r: r["rank"])
           if r["algorithm"] == "TriangleCounting"]
     assert tc == ["c", "b"]
+
+
+def test_hash_sample_is_repeatable(spark):
+    verts = spark.range(0, 2000).selectExpr("'g' AS graph_name", "id AS vertex")
+    a = E.hash_sample_vertices(verts, 0.3)
+    b = E.hash_sample_vertices(verts.repartition(7), 0.3)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert 450 < a.count() < 750
