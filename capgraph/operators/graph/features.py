@@ -44,24 +44,33 @@ def rank_datasets(profiles: DataFrame, algorithms=None, rules=RANKING_RULES,
     PageRank by ``nodes * avg_degree`` (top 8), components by ``nodes`` (top 7),
     triangles among ``nodes < 20000`` and ``.001 < density < .05`` by
     ``density * nodes`` (top 6); any other algorithm takes the first 6 by name.
-    The rule table is a few rows, so it is broadcast against the profiles.
+    Each pick is a distributed top-k (``orderBy().limit(k)``: per-partition
+    top-k, then a merge of those), so no task sees all graphs of a rule.
     """
     rule_k = dict(rules)
-    algorithms = list(algorithms or rule_k)
-    spark = profiles.sparkSession
-    algos = spark.createDataFrame([(a, rule_k.get(a, default_k)) for a in algorithms],
-                                  "algorithm string, k int")
-    a = F.col("algorithm")
-    score = (F.when(a == "PageRank", F.col("nodes") * F.col("avg_degree"))
-             .when(a == "ConnectedComponents", F.col("nodes").cast("double"))
-             .when(a == "TriangleCounting", F.col("density") * F.col("nodes")))
-    keep = (a != "TriangleCounting") | (
-        (F.col("nodes") < eligible["max_nodes"]) & (F.col("density") > eligible["min_density"])
-        & (F.col("density") < eligible["max_density"]))
-    x = profiles.crossJoin(F.broadcast(algos)).filter(keep).withColumn("score", score)
-    w = Window.partitionBy("algorithm").orderBy(F.col("score").desc_nulls_last(), F.col(G))
-    return (x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("k"))
-            .select("algorithm", "rank", G, "score"))
+    out = None
+    for algo in list(algorithms or rule_k):
+        k = rule_k.get(algo, default_k)
+        p = profiles
+        if algo == "PageRank":
+            score = F.col("nodes") * F.col("avg_degree")
+        elif algo == "ConnectedComponents":
+            score = F.col("nodes").cast("double")
+        elif algo == "TriangleCounting":
+            score = F.col("density") * F.col("nodes")
+            p = p.filter((F.col("nodes") < eligible["max_nodes"])
+                         & (F.col("density") > eligible["min_density"])
+                         & (F.col("density") < eligible["max_density"]))
+        else:
+            score = F.lit(None).cast("double")
+        top = (p.select(G, score.alias("score"))
+               .orderBy(F.col("score").desc_nulls_last(), F.col(G)).limit(k))
+        # the window below runs over the k picked rows only
+        w = Window.orderBy(F.col("score").desc_nulls_last(), F.col(G))
+        top = top.select(F.lit(algo).alias("algorithm"), F.row_number().over(w).alias("rank"),
+                         G, "score")
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def graph_features(edges: DataFrame, clustering_threshold: int = 50000,
