@@ -35,8 +35,9 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_PARTITIONS", "16")),
-                          app="capgraph-bench")
+    # Shuffle partitions sized to the data: at these scale factors one per core.
+    parts = int(os.environ.get("BENCH_PARTITIONS", cpus if cpus.isdigit() else "8"))
+    spark = local_session(cpus, shuffle_partitions=parts, app="capgraph-bench")
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="capgraph-bench-ckpt-"))
     qs = catalog.queries()
