@@ -70,3 +70,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bucketed_table(df: DataFrame, buckets: int, cols: list[str]) -> DataFrame:
+    """Write ``df`` once as an external table bucketed by ``cols`` under the
+    checkpoint folder and read it back.
+
+    For a big table joined on the same keys round after round: the bucket
+    layout is known to the planner, so only the other side is shuffled, and
+    the files survive executor loss.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    name = f"capgraph_{uuid.uuid4().hex}"
+    (df.write.bucketBy(buckets, *cols).option("path", f"{base}/{name}")
+     .mode("overwrite").saveAsTable(name))
+    return spark.table(name)
