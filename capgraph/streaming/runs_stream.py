@@ -31,7 +31,7 @@ def live_hit_rates(runs: DataFrame, deadlines: DataFrame) -> DataFrame:
     return R.deadline_hit_rates(runs, deadlines, by_algorithm=True)
 
 
-def live_categories(runs: DataFrame, window: str | None = None) -> DataFrame:
+def live_categories(runs: DataFrame) -> DataFrame:
     """A2/A9 over a stream: runs per runtime category."""
     return (R.with_runtime_category(runs).groupBy("algorithm_type", "execution_category")
             .agg(F.count(F.lit(1)).alias("runs")))

@@ -15,3 +15,12 @@ def test_stream_hit_rates_equal_batch(spark):
     live = spark.sql("SELECT * FROM live_hits")
     batch = R.deadline_hit_rates(T.runs(spark, SF_SMALL), T.deadlines(spark), by_algorithm=True)
     assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+
+
+def test_stream_categories_equal_batch(spark):
+    s = RS.run_stream(spark, SF_SMALL, pattern="events.parquet")
+    q = RS.start(RS.live_categories(s), "live_cats", tempfile.mkdtemp(prefix="capgraph-stream-"))
+    q.awaitTermination(120)
+    live = spark.sql("SELECT * FROM live_cats")
+    batch = RS.live_categories(T.runs(spark, SF_SMALL))
+    assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
