@@ -106,6 +106,10 @@ def triangle_estimate(edges: DataFrame, threshold: int = 20000, sample_size: int
     n = verts.groupBy(G).agg(F.count(F.lit(1)).alias("nodes"))
     big = n.filter(F.col("nodes") > threshold)
     small = n.filter(F.col("nodes") <= threshold)
+    if big.limit(1).count() == 0:
+        # no graph needs sampling (one scalar probe): a single exact pipeline
+        return (triangle_count(canon, n).join(n, G)
+                .select(G, "nodes", F.lit(False).alias("sampled"), "triangles"))
     exact = triangle_count(canon.join(small.select(G), G, "left_semi"), small)
     sub, sv = sample_subgraph(canon.join(big.select(G), G, "left_semi"), sample_size)
     k = sv.groupBy(G).agg(F.count(F.lit(1)).alias("k"))
