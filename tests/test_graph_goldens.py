@@ -219,3 +219,34 @@ def test_hash_sample_is_repeatable(spark):
     b = E.hash_sample_vertices(verts.repartition(7), 0.3)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert 450 < a.count() < 750
+
+
+def test_pagerank_never_reshuffles_edges(spark):
+    """Large-data plan shape: with broadcasts off, the bucketed edge table
+    reaches the iteration join without an Exchange above its scan."""
+    rng = np.random.default_rng(1)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 200, size=(600, 2)) if a < b})
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = PR.pagerank_fixed(edges_df(spark, pairs), max_iterations=2)
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    scans = [i for i, line in enumerate(plan) if "capgraph_" in line and "Scan" in line]
+    assert scans
+    for i in scans:
+        depth = len(plan[i]) - len(plan[i].lstrip(" :+-"))
+        for line in reversed(plan[:i]):
+            d = len(line) - len(line.lstrip(" :+-"))
+            if d < depth:
+                assert "Exchange" not in line, line
+                if "Join" in line:
+                    break
+                depth = d
