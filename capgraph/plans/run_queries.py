@@ -168,6 +168,13 @@ def q_runtime_histogram(spark, sf):
     return rounded(R.histogram(_runs(spark, sf), "simulated_time", 15, [ALG]))
 
 
+@query("runtime_histogram_10", f"{W}, " + _hist_sql("runs1", "simulated_time", 10, "algorithm_type"))
+def q_runtime_histogram_10(spark, sf):
+    """A11, the 10-bin per-algorithm runtime histogram (shown when the runs
+    carry no deadline flags)."""
+    return rounded(R.histogram(_runs(spark, sf), "simulated_time", 10, [ALG]))
+
+
 @query("resource_score_runtime", f"""{W}
 SELECT algorithm_type, CAST(total_cores + 0.5 * total_memory_gb AS DOUBLE) AS resource_score,
        round(avg(simulated_time), 6) AS mean_time, count(*) AS runs
