@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,33 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give this package's modules to the Python workers, which import it by
+    name; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SENT:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="capgraph-"), "capgraph_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SENT.add(app)
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every query of this subpackage needs of a session."""
+    ensure_checkpoint_dir(spark)
+    send_package(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from ..session import ensure_checkpoint_dir
+from .common import prepare
 from .op3_packing import op3_packing
 from .op5_token_counts import op5_token_counts
+from .op7_language import op7_language
+from .op9_toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op3_packing, op5_token_counts,
+    op3_packing, op5_token_counts, op7_language, op9_toxicity,
 )}
 ORACLE: dict[str, str] = {}
 
 
 def _prepared(fn):
     def run(spark, sf_dir):
-        ensure_checkpoint_dir(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
