@@ -13,7 +13,9 @@ Learning rows: for each language a sample of at most ``sample_docs`` documents
 fill ``dictionary_bytes``.  This is the only bounded part; every whole text is classified.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
-and not reliable; ties go to the first language in alphabetic order; a null
+and not reliable; languages tied for the smallest total (very short texts) are
+told apart by how many of the text's words their dictionaries have, then by
+alphabetic order; a null
 id is classified like any other; null languages are not learned from; with no
 learned language every text is ``und``.
 """
@@ -80,6 +82,7 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, piece_bytes: int = PIECE_BYTES):
         import zstandard
         self.langs, self.piece_bytes = sorted(dictionaries), piece_bytes
+        self.words = [set(dictionaries[lang].split()) for lang in self.langs]
         self.compressors = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -94,7 +97,11 @@ class Classifier:
             return UNKNOWN, 0.0, False
         parts = [body[a:b] for a, b in piece_ends(body, self.piece_bytes)]
         totals = [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
-        best = min(range(len(totals)), key=totals.__getitem__)
+        tied = [i for i, t in enumerate(totals) if t == min(totals)]
+        best = tied[0]
+        if len(tied) > 1:
+            words = body.split()
+            best = max(tied, key=lambda i: sum(w in self.words[i] for w in words))
         second = min((t for i, t in enumerate(totals) if i != best), default=2 * totals[best])
         margin = (second - totals[best]) / max(1, totals[best])
         return self.langs[best], 1 / (1 + math.exp(-min(margin / MARGIN_SCALE, 500))), margin >= MIN_MARGIN

@@ -36,9 +36,9 @@ BITS = 18
 SIZES = (3, 4, 5)
 SAMPLE_PER_CLASS = 3000
 STEPS = 24
-RATE = 1.0
+RATE = 0.4
 LEAST_Z = 3.0
-RIDGE = 1e-5
+RIDGE = 1e-4
 THRESHOLD = 0.7
 #: Code points hashed at a time; a longer text is read in overlapping parts.
 PART = 1 << 20

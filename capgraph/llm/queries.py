@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from .common import prepare
+from .op1_fingerprints import op1_fingerprints
 from .op3_packing import op3_packing
 from .op5_token_counts import op5_token_counts
 from .op7_language import op7_language
 from .op9_toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op3_packing, op5_token_counts, op7_language, op9_toxicity,
+    op1_fingerprints, op3_packing, op5_token_counts, op7_language, op9_toxicity,
 )}
 ORACLE: dict[str, str] = {}
 
