@@ -72,7 +72,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bucketed_table(df: DataFrame, buckets: int, cols: list[str]) -> DataFrame:
+def bucketed_table(df: DataFrame, buckets: int, cols: list[str],
+                   compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as an external table bucketed by ``cols`` under the
     checkpoint folder and read it back.
 
@@ -84,6 +85,6 @@ def bucketed_table(df: DataFrame, buckets: int, cols: list[str]) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     name = f"capgraph_{uuid.uuid4().hex}"
-    (df.write.bucketBy(buckets, *cols).option("path", f"{base}/{name}")
+    (df.write.bucketBy(buckets, *cols).option("path", f"{base}/{name}").option("compression", compression)
      .mode("overwrite").saveAsTable(name))
     return spark.table(name)
