@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import prepare
+from .op10_ngram_join import op10_ngram_join
 from .op1_fingerprints import op1_fingerprints
 from .op3_packing import op3_packing
 from .op5_token_counts import op5_token_counts
@@ -13,7 +14,7 @@ from .op9_toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op3_packing, op5_token_counts, op6_suffix_dedup, op7_language,
-    op8_substring_dedup, op9_toxicity,
+    op8_substring_dedup, op9_toxicity, op10_ngram_join,
 )}
 ORACLE: dict[str, str] = {}
 
