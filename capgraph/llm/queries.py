@@ -6,6 +6,7 @@ from .common import prepare
 from .op10_ngram_join import op10_ngram_join
 from .op1_fingerprints import op1_fingerprints
 from .op3_packing import op3_packing
+from .op4_exact_topk import op4_exact_topk
 from .op5_token_counts import op5_token_counts
 from .op6_suffix_dedup import op6_suffix_dedup
 from .op7_language import op7_language
@@ -13,7 +14,7 @@ from .op8_substring_dedup import op8_substring_dedup
 from .op9_toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprints, op3_packing, op5_token_counts, op6_suffix_dedup, op7_language,
+    op1_fingerprints, op3_packing, op4_exact_topk, op5_token_counts, op6_suffix_dedup, op7_language,
     op8_substring_dedup, op9_toxicity, op10_ngram_join,
 )}
 ORACLE: dict[str, str] = {}
