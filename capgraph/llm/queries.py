@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import prepare
 from .op10_ngram_join import op10_ngram_join
 from .op1_fingerprints import op1_fingerprints
+from .op2_sentencepiece import op2_sentencepiece
 from .op3_packing import op3_packing
 from .op4_exact_topk import op4_exact_topk
 from .op5_token_counts import op5_token_counts
@@ -14,7 +15,7 @@ from .op8_substring_dedup import op8_substring_dedup
 from .op9_toxicity import op9_toxicity
 
 QUERIES = {f.__name__: f for f in (
-    op1_fingerprints, op3_packing, op4_exact_topk, op5_token_counts, op6_suffix_dedup, op7_language,
+    op1_fingerprints, op2_sentencepiece, op3_packing, op4_exact_topk, op5_token_counts, op6_suffix_dedup, op7_language,
     op8_substring_dedup, op9_toxicity, op10_ngram_join,
 )}
 ORACLE: dict[str, str] = {}
