@@ -8,8 +8,10 @@ import uuid
 import zipfile
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 
@@ -78,3 +80,21 @@ def remainder_of_id(col, by: int):
 
 def fold(doc_id: int, by: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % by
+
+
+def rows_where(docs: DataFrame, make, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, for whose UTF-8 text (null:
+    empty) the test that ``make()`` builds in each task holds."""
+
+    def run(batches):
+        test = make()
+        for b in batches:
+            texts = b.column(text_col).cast(pa.binary())
+            yield b.filter(pa.array([test(x.as_py() or b"") for x in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_fields(schema: StructType, **types) -> StructType:
+    """A copy of ``schema`` with more nullable fields."""
+    return StructType([*schema.fields, *(StructField(n, t, True) for n, t in types.items())])

@@ -33,8 +33,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..operators.graph.components import connected_components
 from . import common
@@ -239,11 +240,10 @@ def clusters(rows: DataFrame) -> DataFrame:
     return _components(edges).select(F.col("vertex").alias("cls"), F.col("component").alias("cluster"))
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links of every row."""
-    texts = common.id_text(docs, id_col, text_col)
-    rows = common.written(signed(texts))
+def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """For each class of equal sets: cls, first (its least id), copies, links
+    (to rows of other classes) and component.  ``texts``: doc_id, body;
+    ``rows``: the same as ``signed`` gives them."""
     classes = common.written(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     found = common.written(clusters(rows))
     sizes = found.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -306,12 +306,44 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     named = (classes.join(links, "cls", "left").join(comps, "cls", "left")
              .select("cls", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"),
                      F.coalesce("component", "cls").alias("component")))
-    named = common.written(named)
+    return common.written(named)
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, n_links of every row."""
+    texts = common.id_text(docs, id_col, text_col)
+    rows = common.written(signed(texts))
+    named = linked_classes(texts, rows, threshold, tolerance, block)
     heads = common.written(named.groupBy("component").agg(F.min("first").alias("class_id")))
     by_class = common.written(named.join(heads, "component").select(
         "cls", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     return rows.select("doc_id", "cls").join(by_class, "cls").select("doc_id", "class_id", "n_links")
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that stand for their group: of each group
+    of rows connected by links the one with the least id (a null id last; of
+    rows with that id, the one whose text comes first)."""
+    texts = common.id_text(docs, id_col, text_col)
+    rows = common.written(signed(texts))
+    named = linked_classes(texts, rows, threshold, tolerance, block)
+    order = F.struct(F.col("first").isNull().alias("n"), "first", "cls")
+    heads = (named.groupBy("component").agg(F.min(order).alias("h"))
+             .select(F.col("h.cls").alias("_head_cls"), F.col("h.first").alias("_head_id")))
+
+    def run(batches):
+        for b in batches:
+            names = [class_of(shingles(x.as_py() or b"")) for x in b.column(text_col).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], [*b.schema.names, "_cls"])
+
+    named_rows = docs.mapInArrow(run, common.with_fields(docs.schema, _cls=LongType()))
+    met = named_rows.join(common.written(heads), (F.col("_cls") == F.col("_head_cls"))
+                          & F.col(id_col).cast("bigint").eqNullSafe(F.col("_head_id")))
+    first = F.row_number().over(Window.partitionBy("_cls").orderBy(text_col))
+    return met.withColumn("_n", first).where("_n = 1").select(*[F.col(c) for c in docs.columns])
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(common.table(spark, sf_dir, "documents"))

@@ -44,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from . import common
 from .tokenizer import Memo, default_path
@@ -356,7 +357,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 out.append(body[1:] if body[:1] == b" " else body)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "body"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("body", "binary"))
+    return encoded.mapInArrow(run, common.with_fields(encoded.schema, body=BinaryType()))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

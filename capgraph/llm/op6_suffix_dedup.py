@@ -37,14 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import common
-from .shards import SENT, SHARD_BYTES, Shards, answered, answers, bodies_of, send, with_answers
+from .shards import SENT, SHARD_BYTES, Shards, answered, answers, bodies_of, ordered, send, with_answers
 
 WINDOW = 400
 TRIGGER_BYTES = 16
 PERIOD = 48
 STRIP = 1 << 18
+SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -206,13 +208,20 @@ def without(body: bytes, spans) -> bytes:
     return b"".join(kept)
 
 
-RESULT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                   shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes, the removed spans and the kept bytes of every row."""
-    corpus = Shards(common.id_text(docs, id_col, text_col), shard_bytes)
+                   shard_bytes: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, the removed spans and the kept bytes of every row; with
+    ``carry`` also a struct ``row`` of the input's other columns."""
+    texts = common.id_text(docs, id_col, text_col)
+    others = [c for c in docs.columns if c != text_col]
+    if carry:
+        texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+                            F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"),
+                            F.struct(*others).alias("row"))
+    schema = common.with_fields(
+        texts.select("doc_id").schema, n_bytes=LongType(), spans=ArrayType(SPAN), kept=BinaryType(),
+        **({"row": texts.schema["row"].dataType} if carry else {}))
+    corpus = Shards(texts, shard_bytes)
     phrase_parts, window_parts = corpus.parts(corpus.bytes // PERIOD), corpus.parts(corpus.bytes // 8)
 
     def dictionary(key, shard):
@@ -226,7 +235,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         return send(key[0].as_py(), hashes, again, window_parts)
 
     def removed(key, shard, replies):
-        rows = bodies_of(shard)
+        rows, order = ordered(shard)
         reader = Reader([b for _, b in rows], window)
         kinds = np.asarray(replies.column("kind"))
         phrases, _ = reader.phrases()
@@ -241,17 +250,43 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 if lo < hi:
                     marked.setdefault(doc, []).append(starts[lo:hi] - first + at)
         spans = [covered_spans(np.concatenate(marked[i]), window) if i in marked else [] for i in range(len(rows))]
-        return pa.table({
+        out = pa.table({
             "doc_id": pa.array([d for d, _ in rows], pa.int64()),
             "n_bytes": pa.array([len(b) for _, b in rows], pa.int64()),
             "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans],
                               pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array([without(b, s) for (_, b), s in zip(rows, spans)], pa.binary())})
+        return out.append_column("row", shard.column("row").take(pa.array(order, pa.int64()))) if carry else out
 
     one = common.written(answers(corpus.frame.groupBy("shard").applyInArrow(dictionary, SENT), phrase_parts, False))
     two = common.written(answers(with_answers(corpus, one, suffixes, SENT), window_parts, False))
     both = one.withColumn("kind", F.lit(1)).unionByName(two.withColumn("kind", F.lit(2)))
-    return with_answers(corpus, both, removed, RESULT)
+    return with_answers(corpus, both, removed, schema)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                    length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with the repeated strings cut out of their texts (null: empty).
+    A character that a cut goes through goes whole; ``length_col``, where
+    ``docs`` has it, is counted anew."""
+    found = repeated_spans(docs, window, id_col, text_col, carry=True)
+    schema = common.with_fields(docs.select(text_col).schema, _row=found.schema["row"].dataType)
+
+    def run(batches):
+        for b in batches:
+            texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column("kept")], pa.string())
+            yield pa.RecordBatch.from_arrays([texts, b.column("row")], [text_col, "_row"])
+
+    out = found.select("kept", "row").mapInArrow(run, schema)
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col(c))
+        elif c == length_col:
+            columns.append(F.length(text_col).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("_row")[c].alias(c))
+    return out.select(*columns)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

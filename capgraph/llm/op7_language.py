@@ -14,8 +14,8 @@ fill ``dictionary_bytes``.  This is the only bounded part; every whole text is c
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and not reliable; languages tied for the smallest total (very short texts) are
-told apart by how many of the text's words their dictionaries have, then by
-alphabetic order; a null
+told apart by how many of the text's words their dictionaries have, which is
+reliable if one has most, then by alphabetic order; a null
 id is classified like any other; null languages are not learned from; with no
 learned language every text is ``und``.
 """
@@ -98,13 +98,14 @@ class Classifier:
         parts = [body[a:b] for a, b in piece_ends(body, self.piece_bytes)]
         totals = [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
         tied = [i for i, t in enumerate(totals) if t == min(totals)]
-        best = tied[0]
+        best, decided = tied[0], False
         if len(tied) > 1:
             words = body.split()
-            best = max(tied, key=lambda i: sum(w in self.words[i] for w in words))
+            votes = [sum(w in self.words[i] for w in words) for i in tied]
+            best, decided = tied[votes.index(max(votes))], votes.count(max(votes)) == 1
         second = min((t for i, t in enumerate(totals) if i != best), default=2 * totals[best])
         margin = (second - totals[best]) / max(1, totals[best])
-        return self.langs[best], 1 / (1 + math.exp(-min(margin / MARGIN_SCALE, 500))), margin >= MIN_MARGIN
+        return self.langs[best], 1 / (1 + math.exp(-min(margin / MARGIN_SCALE, 500))), decided or margin >= MIN_MARGIN
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id",
@@ -125,6 +126,17 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
         run, "doc_id bigint, lang_pred string, score double, reliable boolean")
 
 
+def reliable_rows(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose language is told reliably."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def make():
+        classify = Classifier(sent.value)
+        return lambda body: classify(body)[2]
+
+    return common.rows_where(docs, make, text_col)
+
+
 def held_out(col):
     return F.coalesce(common.remainder_of_id(col, 5) == 0, F.lit(False))
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from . import common
 
@@ -79,7 +80,7 @@ class Features:
 def features(docs: DataFrame, keep: list[str], sizes=SIZES, bits: int = BITS) -> DataFrame:
     """``keep`` columns and ``found``, the int32 feature places, of each row
     of ``docs`` (which has a binary column body)."""
-    schema = docs.select(*keep).schema.add("found", "binary")
+    schema = common.with_fields(docs.select(*keep).schema, found=BinaryType())
 
     def extract(batches):
         f = Features(sizes, bits)
@@ -203,6 +204,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double")
 
 
+def clean_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that score below ``threshold``."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.kept))
+
+    def make():
+        f, m = Features(), Model(*sent.value)
+        return lambda body: m.score(f(body)) < threshold
+
+    return common.rows_where(docs, make, text_col)
+
+
 def held_out(col):
     return F.coalesce(common.remainder_of_id(col, 3) == 1, F.lit(False))
 

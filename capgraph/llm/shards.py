@@ -33,7 +33,8 @@ LOWEST = -(1 << 63)
 
 
 class Shards:
-    """``frame``: shard, key, doc_id, body; ``bytes``: of all bodies."""
+    """``frame``: shard, key and the columns of ``docs`` (doc_id, body, perhaps
+    others); ``bytes``: of all bodies."""
 
     def __init__(self, docs: DataFrame, shard_bytes: int = SHARD_BYTES):
         keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
@@ -42,8 +43,7 @@ class Shards:
         self.count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                          -(-self.bytes // shard_bytes))
         placed = keyed.repartitionByRange(self.count, "key").withColumn("shard", F.spark_partition_id())
-        self.frame = bucketed_table(placed.select("shard", "key", "doc_id", "body"), self.count, ["shard"],
-                                    compression="zstd")
+        self.frame = bucketed_table(placed.select("shard", *keyed.columns), self.count, ["shard"], compression="zstd")
 
     def parts(self, hashes: int) -> int:
         """How many parts ``hashes`` hashes are dealt to; a power of two."""
@@ -52,9 +52,14 @@ class Shards:
 
 def bodies_of(shard: pa.Table):
     """A shard's (doc_id, body) pairs by id, then text; equal rows stay."""
-    rows = zip(shard.column("key").to_pylist(), shard.column("doc_id").to_pylist(),
-               shard.column("body").to_pylist())
-    return [(doc_id, body) for _, doc_id, body in sorted(rows, key=lambda r: (r[0], r[2]))]
+    return ordered(shard)[0]
+
+
+def ordered(shard: pa.Table):
+    """``bodies_of`` and the rows' places in ``shard``."""
+    keys, ids, bodies = (shard.column(c).to_pylist() for c in ("key", "doc_id", "body"))
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], bodies[i]))
+    return [(ids[i], bodies[i]) for i in order], order
 
 
 SENT = "part int, shard int, hashes binary, again binary"
