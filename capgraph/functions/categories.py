@@ -5,6 +5,8 @@ Thresholds are parameters with the reference's values as defaults.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def correlation_strength(r: Column, cuts=CORRELATION_STRENGTH) -> Column:
             .when(r >= cuts[2], F.lit("Weak")).otherwise(F.lit("Very Weak")))
 
 
-def canonical_algorithm(name: Column) -> Column:
+def canonical_name(name: str) -> str:
     """One spelling for algorithm names: lower case, no separators
     (``ConnectedComponents`` and ``connected_components`` agree)."""
-    return F.regexp_replace(F.lower(name), r"[^a-z0-9]", "")
+    return re.sub(r"[^a-z0-9]", "", name.lower())

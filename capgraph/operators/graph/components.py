@@ -2,10 +2,13 @@
 rounds (Kiveris et al., "Connected Components in MapReduce and Beyond",
 SoCC 2014).  Rounds grow with log(n), not with the graph diameter.
 
-Each round is two aggregations keyed by vertex plus a join back; a hub vertex
-is handled by map-side partial ``min`` and AQE's skew-join split.  The edge
-set is checkpointed to the reliable folder every round, and the loop stops
-when a scalar signature of the edge set (count, hash sum) stops changing.
+Each round is two aggregations keyed by vertex (partial ``min`` map-side) plus
+a join back.  The root of a giant component is a hub of that join in the
+large-star step: its rows are salted (``skew``).  Small-star has no hub, as
+each vertex keeps few smaller neighbours.  The edge set is checkpointed to the
+reliable folder every round and the former round's files are deleted; the loop
+stops when a scalar signature of the edge set (count, hash sum) stops changing
+and raises if it still changes after ``max_rounds``.
 """
 
 from __future__ import annotations
@@ -13,20 +16,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...session import cut_lineage
+from ...session import Rounds
 from .edges import G, vertices
+from .skew import find_hubs, hub_join
 
 
 def _both_ways(e: DataFrame) -> DataFrame:
     return e.unionByName(e.select(G, F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """For each u: m = min(N(u) + u); link every larger neighbour v > u to m."""
     both = _both_ways(e)
     m = both.groupBy(G, "src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
     # No distinct here: the small-star step groups by vertex and ends with one.
-    return (both.filter(F.col("dst") > F.col("src")).join(m, [G, "src"])
+    return (hub_join(both.filter(F.col("dst") > F.col("src")), m, hubs, "src", ["dst"])
             .select(G, F.col("dst").alias("src"), F.col("m").alias("dst")))
 
 
@@ -50,19 +54,23 @@ def _signature(e: DataFrame):
 def connected_components(edges: DataFrame, verts: DataFrame | None = None,
                          max_rounds: int = 100) -> DataFrame:
     """``(graph_name, vertex, component)``, component = smallest vertex
-    id in the component; isolated vertices are their own component."""
+    id in the component; isolated vertices are their own component.  Raises
+    ``RuntimeError`` if ``max_rounds`` rounds don't settle the components."""
     verts = vertices(edges) if verts is None else verts.select(G, "vertex")
-    e = (edges.filter(F.col("src") != F.col("dst"))
-         .select(G, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-         .distinct())
-    e = cut_lineage(e)
+    rounds = Rounds(edges.sparkSession)
+    e = rounds.write(edges.filter(F.col("src") != F.col("dst"))
+                     .select(G, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+                     .distinct())
     sig = _signature(e)
     for _ in range(max_rounds):
-        e = cut_lineage(_small_star(_large_star(e)))
+        hubs = find_hubs(_both_ways(e).select(G, F.col("src").alias("vertex")), sig[0])
+        e = rounds.write(_small_star(_large_star(e, hubs)))
         new_sig = _signature(e)
         if new_sig == sig:
             break
         sig = new_sig
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     # Converged: every non-root vertex points at its component's minimum.
     parent = e.groupBy(G, "src").agg(F.min("dst").alias("p"))
     return (verts.join(parent.withColumnRenamed("src", "vertex"), [G, "vertex"], "left")

@@ -61,7 +61,7 @@ def graph_counts(canon: DataFrame, verts: DataFrame | None = None) -> DataFrame:
 
 def density_expr(nodes, edges):
     """``2m / (n (n-1))``, 0 when n <= 1."""
-    return F.when(nodes > 1, 2.0 * edges / (nodes * (nodes - 1))).otherwise(F.lit(0.0))
+    return F.when(nodes > 1, 2.0 * edges / (nodes.cast("double") * (nodes - 1))).otherwise(F.lit(0.0))
 
 
 def induced_subgraph(edges: DataFrame, verts: DataFrame) -> DataFrame:
@@ -71,17 +71,25 @@ def induced_subgraph(edges: DataFrame, verts: DataFrame) -> DataFrame:
     return edges.join(v_src, [G, "src"], "left_semi").join(v_dst, [G, "dst"], "left_semi")
 
 
-def first_k_vertices(verts: DataFrame, k: int) -> DataFrame:
+def first_k_vertices(verts: DataFrame, k: int, shards: int = 64) -> DataFrame:
     """The ``k`` lowest vertex ids per graph -- the deterministic stand-in
-    for "first k nodes in file order".  Spark plans a per-partition group limit
-    before the shuffle, so only ``k`` rows per graph and partition move."""
-    w = Window.partitionBy(G).orderBy("vertex")
-    return (verts.withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= k).drop("_rn"))
+    for "first k nodes in file order".
+
+    Two levels, for any ``k``: each graph is cut into ``shards`` by a hash of
+    the vertex and every shard keeps its own ``k`` lowest, so no task sorts a
+    whole graph; the second level sees at most ``shards * k`` rows a graph."""
+    def lowest(frame, *keys):
+        w = Window.partitionBy(G, *keys).orderBy("vertex")
+        return frame.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+
+    cut = verts.withColumn("_shard", F.pmod(F.xxhash64("vertex"), F.lit(shards)))
+    return lowest(lowest(cut, "_shard").drop("_shard"))
 
 
 def hash_sample_vertices(verts: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """G18 (hash variant): keep a vertex when its seeded hash falls under
-    ``fraction``; repeatable under any partitioning, no shuffle."""
-    h = F.abs(F.xxhash64(F.col(G), F.col("vertex"), F.lit(seed))) % 1_000_000
-    return verts.filter(h < F.lit(int(fraction * 1_000_000)))
+    """G18 (hash variant): keep a vertex when the first 15 hex digits of the
+    md5 of ``graph|vertex|seed`` fall under ``fraction`` in millionths;
+    repeatable under any partitioning and in other engines, no shuffle."""
+    key = F.concat_ws("|", F.col(G), F.col("vertex").cast("string"), F.lit(str(seed)))
+    bucket = F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint") % 1_000_000
+    return verts.filter(bucket < F.lit(int(fraction * 1_000_000)))

@@ -3,13 +3,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.categories import DENSITY_LIMITS, SIZE_LIMITS, density_category, size_category
-from ...session import cut_lineage
+from ...functions.categories import (DENSITY_LIMITS, SIZE_LIMITS, canonical_name, density_category,
+                                     size_category)
+from ...session import written
 from .components import component_summary, connected_components
 from .edges import G, canonical_edges, graph_counts, vertices
 from .pagerank import pagerank_converged, pagerank_fixed
@@ -32,7 +31,9 @@ def graph_profile(edges: DataFrame, size_limits=SIZE_LIMITS,
 
 
 def dataset_profile(edges: DataFrame, max_to_analyze: int = 15) -> DataFrame:
-    """Profile of the first ``max_to_analyze`` graphs by name."""
+    """Profile of the first ``max_to_analyze`` graphs by name (a few
+    names by that parameter, so they are broadcast)."""
+    edges = written(edges)
     first = edges.select(G).distinct().orderBy(G).limit(max_to_analyze)
     return graph_profile(edges.join(F.broadcast(first), G, "left_semi"))
 
@@ -48,6 +49,7 @@ def rank_datasets(profiles: DataFrame, algorithms=None, rules=RANKING_RULES,
     top-k, then a merge of those), so no task sees all graphs of a rule.
     """
     rule_k = dict(rules)
+    profiles = written(profiles)
     out = None
     for algo in list(algorithms or rule_k):
         k = rule_k.get(algo, default_k)
@@ -73,22 +75,19 @@ def rank_datasets(profiles: DataFrame, algorithms=None, rules=RANKING_RULES,
     return out
 
 
-def graph_features(edges: DataFrame, clustering_threshold: int = 50000,
+def graph_features(edges: DataFrame, clustering_threshold: int | None = None,
                    clustering_sample: int = 5000) -> DataFrame:
     """One feature row per graph -- nodes, edges, density, is_connected,
-    num_components, avg_clustering (sampled when ``n >= 50000``)."""
+    num_components, avg_clustering, sampled.  Clustering is exact unless a
+    threshold is given (see ``sampled_average_clustering``)."""
     # Read three times below: materialise once in the checkpoint folder.
-    canon = cut_lineage(canonical_edges(edges))
+    canon = written(canonical_edges(edges))
     counts = graph_counts(canon).select(G, "nodes", "edges", "density")
     comps = component_summary(connected_components(canon))
     clus = sampled_average_clustering(canon, clustering_threshold, clustering_sample)
-    return (counts.join(comps, G, "left").join(clus.select(G, "avg_clustering"), G, "left")
+    return (counts.join(comps, G, "left").join(clus, G, "left")
             .select(G, "nodes", "edges", "density", "is_connected", "num_components",
-                    "avg_clustering"))
-
-
-def _canon_name(name: str) -> str:
-    return re.sub(r"[^a-z0-9]", "", name.lower())
+                    "avg_clustering", "sampled"))
 
 
 ALGORITHMS = {"pagerank": "PageRank", "connectedcomponents": "ConnectedComponents",
@@ -103,11 +102,11 @@ def run_algorithm(edges: DataFrame, name: str, **params) -> tuple[DataFrame, Dat
     components for connected components, triangles for triangle counting.
     Unknown names raise ``ValueError``.
     """
-    key = _canon_name(name)
+    key = canonical_name(name)
     if key not in ALGORITHMS:
         raise ValueError(f"unknown algorithm: {name!r}")
     algo = ALGORITHMS[key]
-    canon = canonical_edges(edges)
+    canon = written(canonical_edges(edges))
     counts = graph_counts(canon).select(G, "nodes", "edges")
     if algo == "PageRank":
         if params.pop("converged", False):

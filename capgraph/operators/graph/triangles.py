@@ -7,8 +7,14 @@ group with a proven size bound.  Every oriented edge ``a -> b`` is joined with
 the out-lists of both ends and their intersection holds exactly the third
 vertices of the triangles whose two lowest vertices are ``a, b``: each
 triangle is found once, no vertex pairs are emitted, and the work is
-``O(m^1.5)`` in the worst case.  A hub that many edges point into is a hot
-join key with a short list; AQE's skew join splits it.
+``O(m^1.5)`` in the worst case.
+
+Each edge first meets the list of ``b``, then that of ``a``: the join on ``b``
+moves bare edges, and only lists of at most ``sqrt(2m)`` ids follow an edge
+into the join on ``a``.  A hub that many edges point into is a hot key of the
+joins on ``b`` and on the degrees; its rows are salted (``skew``).
+
+Sampling (G15, G17) happens only where a threshold is given.
 """
 
 from __future__ import annotations
@@ -16,42 +22,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...session import written
 from .edges import G, canonical_edges, degree, first_k_vertices, induced_subgraph, vertices
+from .skew import find_hubs, hub_join
 
 
-def oriented_edges(edges: DataFrame) -> DataFrame:
+def oriented_edges(edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
     """Simple undirected edges without loops, oriented low -> high by (degree, id)."""
     canon = canonical_edges(edges).filter(F.col("src") != F.col("dst"))
     deg = degree(canon)
     a = deg.select(G, F.col("vertex").alias("src"), F.col("degree").alias("ds"))
     b = deg.select(G, F.col("vertex").alias("dst"), F.col("degree").alias("dd"))
-    j = canon.join(a, [G, "src"]).join(b, [G, "dst"])
+    j = hub_join(hub_join(canon, a, hubs, "src", ["dst"]), b, hubs, "dst", ["src"])
     src_low = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
     return j.select(G,
                     F.when(src_low, F.col("src")).otherwise(F.col("dst")).alias("lo"),
                     F.when(src_low, F.col("dst")).otherwise(F.col("src")).alias("hi"))
 
 
-def _edge_lists(edges: DataFrame) -> DataFrame:
-    """Oriented edges ``(graph_name, a, b)`` with the out-lists of both ends."""
-    o = oriented_edges(edges)
+def _lists(edges: DataFrame) -> DataFrame:
+    """``(graph_name, a, na, b, nbb)``: oriented edges with the out-lists of
+    both ends; edges whose ``b`` has no list close no triangle and are left out."""
+    canon = written(canonical_edges(edges).filter(F.col("src") != F.col("dst")))
+    hubs = find_hubs(vertices_of_ends(canon), canon.count())
+    o = written(oriented_edges(canon, hubs))
     out = o.groupBy(G, "lo").agg(F.collect_list("hi").alias("nb"))
-    la = out.select(G, F.col("lo").alias("a"), F.col("nb").alias("na"))
     lb = out.select(G, F.col("lo").alias("b"), F.col("nb").alias("nbb"))
-    return (o.select(G, F.col("lo").alias("a"), F.col("hi").alias("b"))
-            .join(la, [G, "a"]).join(lb, [G, "b"]))
+    e = o.select(G, F.col("lo").alias("a"), F.col("hi").alias("b"))
+    ends = hub_join(e, lb, hubs, "b", ["a"])
+    la = out.select(G, F.col("lo").alias("a"), F.col("nb").alias("na"))
+    return ends.join(la, [G, "a"])
+
+
+def vertices_of_ends(edges: DataFrame) -> DataFrame:
+    """One row ``(graph_name, vertex)`` for each edge end."""
+    return edges.select(G, F.explode(F.array("src", "dst")).alias("vertex"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """All triangles once each: ``(graph_name, a, b, c)`` (vertex ids, not sorted)."""
-    return (_edge_lists(edges)
+    return (_lists(edges)
             .select(G, "a", "b", F.explode(F.array_intersect("na", "nbb")).alias("c")))
 
 
 def triangle_count(edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
     """``(graph_name, triangles)``; graphs without triangles get 0 when
     ``graphs`` (any frame with ``graph_name``) is given, else they are absent."""
-    t = (_edge_lists(edges).groupBy(G)
+    t = (_lists(edges).groupBy(G)
          .agg(F.sum(F.size(F.array_intersect("na", "nbb"))).alias("triangles")))
     if graphs is None:
         graphs = edges.select(G).distinct()
@@ -78,7 +95,8 @@ def local_clustering(edges: DataFrame, verts: DataFrame | None = None) -> DataFr
     return (t.join(k, [G, "vertex"], "left")
             .select(G, "vertex", F.coalesce("degree", F.lit(0)).alias("degree"), "triangles",
                     F.when(F.coalesce("degree", F.lit(0)) >= 2,
-                           2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1)))
+                           2.0 * F.col("triangles")
+                           / (F.col("degree").cast("double") * (F.col("degree") - 1)))
                     .otherwise(F.lit(0.0)).alias("clustering")))
 
 
@@ -88,56 +106,46 @@ def average_clustering(edges: DataFrame, verts: DataFrame | None = None) -> Data
             .agg(F.avg("clustering").alias("avg_clustering")))
 
 
-def sample_subgraph(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """The subgraph induced on each graph's ``k`` lowest vertex ids (G6 + G18)."""
-    canon = canonical_edges(edges)
-    sv = first_k_vertices(vertices(canon), k)
-    return induced_subgraph(canon, sv), sv
-
-
-def triangle_estimate(edges: DataFrame, threshold: int = 20000, sample_size: int = 10000,
+def triangle_estimate(edges: DataFrame, threshold: int | None = None, sample_size: int = 10000,
                       exponent: float = 1.4, extrapolate: bool = True) -> DataFrame:
-    """Exact count when ``n <= threshold``; otherwise count on the
-    subgraph of the ``sample_size`` lowest ids and scale by
-    ``(n / k) ** exponent`` (truncated), or not at all when
-    ``extrapolate=False``.  Returns ``(graph_name, nodes, sampled, triangles)``."""
-    canon = canonical_edges(edges)
+    """Exact counts; with a ``threshold``, graphs of more vertices are
+    counted on the subgraph of their ``sample_size`` lowest ids, scaled by
+    ``(n / k) ** exponent`` (truncated) unless ``extrapolate=False``.
+    Returns ``(graph_name, nodes, sampled, triangles)``."""
+    canon = written(canonical_edges(edges))
     verts = vertices(canon)
     n = verts.groupBy(G).agg(F.count(F.lit(1)).alias("nodes"))
-    big = n.filter(F.col("nodes") > threshold)
-    small = n.filter(F.col("nodes") <= threshold)
-    if big.limit(1).count() == 0:
-        # no graph needs sampling (one scalar probe): a single exact pipeline
+    if threshold is None:
         return (triangle_count(canon, n).join(n, G)
                 .select(G, "nodes", F.lit(False).alias("sampled"), "triangles"))
-    exact = triangle_count(canon.join(small.select(G), G, "left_semi"), small)
-    sub, sv = sample_subgraph(canon.join(big.select(G), G, "left_semi"), sample_size)
-    k = sv.groupBy(G).agg(F.count(F.lit(1)).alias("k"))
-    est = triangle_count(sub, big).join(big, G).join(k, G)
-    scaled = (F.floor(F.col("triangles") * F.pow(F.col("nodes") / F.col("k"), F.lit(exponent)))
-              .cast("bigint") if extrapolate else F.col("triangles"))
-    return (exact.join(small, G).select(G, "nodes", F.lit(False).alias("sampled"), "triangles")
-            .unionByName(est.select(G, "nodes", F.lit(True).alias("sampled"),
-                                    scaled.alias("triangles"))))
-
-
-def sampled_average_clustering(edges: DataFrame, threshold: int = 50000,
-                               sample_size: int = 5000) -> DataFrame:
-    """Average clustering, on the ``sample_size`` lowest-id induced
-    subgraph when ``n >= threshold``.  ``(graph_name, avg_clustering, sampled)``.
+    # one triangle pipeline: small graphs keep all their vertices
+    sv, k = _sampled_vertices(verts, n, F.col("nodes") > threshold, sample_size)
+    counts = triangle_count(induced_subgraph(canon, sv), n).join(n, G).join(k, G)
+    scaled = F.floor(F.col("triangles") * F.pow(F.col("nodes") / F.col("k"), F.lit(exponent))).cast("bigint")
+    sampled = F.col("nodes") > threshold
+    return counts.select(G, "nodes", sampled.alias("sampled"),
+                         F.when(sampled & F.lit(extrapolate), scaled).otherwise(F.col("triangles")).alias("triangles"))
 
-    Small graphs keep all their vertices; one triangle pipeline serves both
-    kinds.  When no graph reaches the threshold (one scalar probe) the
-    sampling branch is left out of the plan."""
-    canon = canonical_edges(edges)
+
+def _sampled_vertices(verts: DataFrame, n: DataFrame, big, sample_size: int) -> tuple[DataFrame, DataFrame]:
+    """All vertices of the graphs that aren't ``big`` and the lowest
+    ``sample_size`` of those that are, and their numbers ``k``."""
+    sized = verts.join(n, G)
+    sv = written(sized.filter(~big).select(G, "vertex")
+                 .unionByName(first_k_vertices(sized.filter(big).select(G, "vertex"), sample_size)))
+    return sv, sv.groupBy(G).agg(F.count(F.lit(1)).alias("k"))
+
+
+def sampled_average_clustering(edges: DataFrame, threshold: int | None = None,
+                               sample_size: int = 5000) -> DataFrame:
+    """Average clustering; with a ``threshold``, graphs of at least that
+    many vertices are measured on the subgraph of their ``sample_size`` lowest
+    ids.  ``(graph_name, avg_clustering, sampled)``."""
+    canon = written(canonical_edges(edges))
     verts = vertices(canon)
-    n = verts.groupBy(G).agg(F.count(F.lit(1)).alias("nodes"))
-    big = n.filter(F.col("nodes") >= threshold).select(G)
-    if big.limit(1).count() == 0:
+    if threshold is None:
         return average_clustering(canon, verts).withColumn("sampled", F.lit(False))
-    small = n.filter(F.col("nodes") < threshold).select(G)
-    sv = (verts.join(small, G, "left_semi")
-          .unionByName(first_k_vertices(verts.join(big, G, "left_semi"), sample_size)))
-    sub = induced_subgraph(canon, sv)
-    return (average_clustering(sub, sv).join(n, G)
+    n = verts.groupBy(G).agg(F.count(F.lit(1)).alias("nodes"))
+    sv, _ = _sampled_vertices(verts, n, F.col("nodes") >= threshold, sample_size)
+    return (average_clustering(induced_subgraph(canon, sv), sv).join(n, G)
             .select(G, "avg_clustering", (F.col("nodes") >= threshold).alias("sampled")))

@@ -2,11 +2,14 @@
 
 A group can hold a third of all rows, so neither a per-group window nor
 Spark's exact ``percentile`` (which keeps every distinct value of a group in
-one buffer) is safe at scale.  Instead each group is cut into value ranges
-by an approximate-quantile sketch (bounded memory, partial aggregation),
-rows are counted per range, and running offsets over that small count table
-give every range its global position.  Only ranges that hold a wanted
-position are sorted, each on its own task.
+one buffer) is safe at scale.  Rows are first counted by (group, value), which
+collapses ties map-side, in the one shuffle of the rows.  The counted values
+are put in ranges by an approximate-quantile sketch whose number of ranges
+follows from the number of values; running sums over ranges and inside ranges
+give every value its positions.  A range holds distinct values only, so no
+value, however often it occurs, makes a range large.
+
+Null groups are groups like any others.
 """
 
 from __future__ import annotations
@@ -14,74 +17,101 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
-
-ROWS_PER_RANGE = 2_000_000
+from ..session import written
 
+VALUES_PER_RANGE = 1_000_000
+#: Bounds are broadcast up to this many values, else joined.
+BROADCAST_VALUES = 100_000
 
-def _range_count(df: DataFrame, keys: list[str], buckets: int | None) -> int:
-    """Ranges per group: enough that the largest group's ranges hold about
-    ``ROWS_PER_RANGE`` rows each (one scalar aggregate)."""
-    if buckets:
-        return buckets
-    biggest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.max("n")).first()[0]) or 0
-    return int(min(4096, max(16, -(-biggest // ROWS_PER_RANGE))))
 
-
-def _ranges(df: DataFrame, keys: list[str], col: str, buckets: int | None):
-    """Rows tagged with a range id ``_bk`` plus the per-range count table with
-    positions ``(_start, _end]`` inside the group."""
-    buckets = _range_count(df, keys, buckets)
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(col), qs, max(10000, 20 * buckets)).alias("_b"))
-    # The sketch may merge partials in any order; pin one answer so both uses
-    # below see the same boundaries.  The table is one row per group.
-    bounds = cut_lineage(bounds)
-    x = (df.filter(F.col(col).isNotNull()).join(bounds, keys)
-         .withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(col))))
-         .drop("_b"))
-    w = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, 0)
-    cnt = (x.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-           .withColumn("_end", F.sum("_c").over(w))
-           .withColumn("_start", F.col("_end") - F.col("_c")))
-    return x, cnt
+def _cumulated(df: DataFrame, keys: list[str], col: str, ranges: int | None = None) -> DataFrame:
+    """``(keys..., col, _c, _end)``: each value of each group (nulls left out),
+    its count, and the position of its last row."""
+    counts = (df.filter(F.col(col).isNotNull()).groupBy(*keys, col)
+              .agg(F.count(F.lit(1)).alias("_c")))
+    counts = written(counts)
+    if ranges is None:
+        largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        ranges = max(1, -(-largest // VALUES_PER_RANGE))
+    by = [F.col(k) for k in keys]
+    if ranges == 1:
+        w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn("_end", F.sum("_c").over(w))
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = counts.groupBy(*keys).agg(
+        F.percentile_approx(F.col(col), cuts, max(10000, 20 * ranges)).alias("_b"),
+        F.first(F.lit(1)).alias("_one"))
+    bounds = written(bounds)  # one answer for all uses below
+    if bounds.count() * ranges <= BROADCAST_VALUES:
+        bounds = F.broadcast(bounds)
+    b = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if keys:
+        tagged = counts.join(b, same)
+    else:  # one row of bounds, as constants
+        cut = b.first()["_b"]
+        tagged = counts.withColumn("_b", F.array(*[F.lit(x) for x in cut]))
+    tagged = (tagged.withColumn("_bk", F.size(F.filter("_b", lambda x: x < F.col(col))))
+              .select(*keys, col, "_c", "_bk"))
+    inside = Window.partitionBy(*by, "_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range
+    starts = (tagged.groupBy(*keys, "_bk").agg(F.sum("_c").alias("_n"))
+              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)],
+                      F.col("_bk").alias("_sbk"), "_start"))
+    cond = F.col("_bk") == F.col("_sbk")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    return (tagged.withColumn("_in", F.sum("_c").over(inside)).join(starts, cond)
+            .select(*keys, col, "_c", (F.col("_start") + F.col("_in")).alias("_end")))
 
 
 def exact_median(df: DataFrame, keys: list[str], col: str, alias: str = "median",
-                 buckets: int | None = None) -> DataFrame:
-    """Exact (interpolated) median of ``col`` per ``keys``, nulls ignored."""
-    if not keys:
-        one = exact_median(df.withColumn("_all", F.lit(0)), ["_all"], col, alias, buckets)
-        return one.drop("_all")
-    x, cnt = _ranges(df.select(*keys, col), keys, col, buckets)
-    n = cnt.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    tgt = n.select(*keys, F.floor((F.col("_n") + 1) / 2).alias("_p1"),
-                   F.ceil((F.col("_n") + 1) / 2).alias("_p2"))
-    need = (cnt.join(tgt, keys)
-            .filter(((F.col("_p1") > F.col("_start")) & (F.col("_p1") <= F.col("_end")))
-                    | ((F.col("_p2") > F.col("_start")) & (F.col("_p2") <= F.col("_end"))))
-            .select(*keys, "_bk", "_start", "_p1", "_p2"))
-    w = Window.partitionBy(*keys, "_bk").orderBy(col)
-    sel = (x.join(need, keys + ["_bk"])
-           .withColumn("_pos", F.col("_start") + F.row_number().over(w))
-           .filter((F.col("_pos") == F.col("_p1")) | (F.col("_pos") == F.col("_p2"))))
-    lo = F.min_by(F.col(col), F.col("_pos"))
-    hi = F.max_by(F.col(col), F.col("_pos"))
-    return sel.groupBy(*keys).agg((lo + F.lit(0.5) * (hi - lo)).alias(alias))
+                 ranges: int | None = None) -> DataFrame:
+    """Exact (interpolated) median of ``col`` per ``keys``, nulls ignored; a
+    group without values is absent."""
+    x = _cumulated(df.select(*keys, col), keys, col, ranges)
+    n = F.max("_end").over(Window.partitionBy(*[F.col(k) for k in keys])) if keys else None
+    if keys:
+        x = x.withColumn("_n", n)
+    else:
+        x = written(x)
+        x = x.withColumn("_n", F.lit(x.agg(F.max("_end")).first()[0]))
+    # the row at position p is the first value that ends at or after p
+    p1, p2 = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    lo = F.min(F.when(F.col("_end") >= p1, F.col(col)))
+    hi = F.min(F.when(F.col("_end") >= p2, F.col(col)))
+    out = x.groupBy(*keys).agg((lo + F.lit(0.5) * (hi - lo)).alias(alias))
+    return out
+
 
+def positions(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
+    """``df`` plus ``_pos``: 1-based rank by ``order_col`` (nulls last) inside
+    ``keys``; ties are broken by a hash of the row.
 
-def positions(df: DataFrame, keys: list[str], order_col: str,
-              buckets: int | None = None) -> DataFrame:
-    """``df`` plus ``_pos``: 1-based rank by ``order_col`` inside ``keys``
-    (ties broken arbitrarily, so use a unique order column)."""
+    One range shuffle puts the rows in order (a frequent value is split by the
+    hash); a row's place is its number in its partition, plus the rows of the
+    partitions before it, minus those of the groups before it."""
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col(order_col).asc_nulls_last(), tie.asc()]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                .withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright(F.col("_id"), 33)
+    # one row for each partition
+    before = (x.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))))
+    x = (x.withColumn("_part", part).join(F.broadcast(before.select("_part", "_before")), "_part")
+         .withColumn("_at", F.coalesce("_before", F.lit(0)) + F.col("_id").bitwiseAND((1 << 33) - 1)))
     if not keys:
-        return positions(df.withColumn("_all", F.lit(0)), ["_all"], order_col,
-                         buckets).drop("_all")
-    x, cnt = _ranges(df, keys, order_col, buckets)
-    w = Window.partitionBy(*keys, "_bk").orderBy(order_col)
-    return (x.join(cnt.select(*keys, "_bk", "_start"), keys + ["_bk"])
-            .withColumn("_pos", F.col("_start") + F.row_number().over(w))
-            .drop("_bk", "_start"))
+        return x.withColumn("_pos", F.col("_at") + 1).drop("_id", "_part", "_before", "_at")
+    start = x.groupBy(*keys).agg(F.min("_at").alias("_start"))
+    start = start.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return (x.join(start, same).withColumn("_pos", F.col("_at") - F.col("_start") + 1)
+            .select(*df.columns, "_pos"))

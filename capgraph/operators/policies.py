@@ -85,7 +85,8 @@ def size_workloads(workloads: DataFrame, policies=POLICIES) -> DataFrame:
 
 def score_against_runs(alloc: DataFrame, runs: DataFrame, deadline: float = 60.0) -> DataFrame:
     """Each choice gets the mean observed runtime at the nearest tried
-    node count (ties -> fewer nodes) for its workload (graph x algorithm)."""
+    node count (ties -> fewer nodes) for its workload (graph x algorithm); a
+    workload that was never run keeps its choices, with a null time."""
     levels = (runs.groupBy(F.col("graph_name").alias("workload"),
                            F.col("algorithm_type").alias("algorithm"),
                            F.col("num_nodes").alias("level"))
@@ -94,7 +95,7 @@ def score_against_runs(alloc: DataFrame, runs: DataFrame, deadline: float = 60.0
     dist = F.struct(F.abs(F.col("level") - F.col("nodes")).alias("d"), F.col("level").alias("l"))
     best = (j.groupBy("workload", "algorithm", "policy")
             .agg(F.min_by(F.struct("level", "t"), dist).alias("b")))
-    return (alloc.join(best, ["workload", "algorithm", "policy"])
+    return (alloc.join(best, ["workload", "algorithm", "policy"], "left")
             .select("workload", "algorithm", "policy", "nodes", "cost",
                     F.col("b.level").alias("tried_level"), F.col("b.t").alias("est_time"),
                     F.lit(float(deadline)).alias("deadline"), F.lit(False).alias("fallback")))
@@ -103,24 +104,27 @@ def score_against_runs(alloc: DataFrame, runs: DataFrame, deadline: float = 60.0
 def rank_policies(scored: DataFrame) -> DataFrame:
     """P5: score = cost when the deadline is met, else ``2 cost + overrun``;
     rank ascending per workload (ties -> policy name)."""
-    hit = F.col("est_time") <= F.col("deadline")
+    hit = F.col("est_time") <= F.col("deadline")  # null, and ranked last, without a time
     score = F.when(hit, F.col("cost").cast("double")).otherwise(
         2.0 * F.col("cost") + (F.col("est_time") - F.col("deadline")))
-    w = Window.partitionBy("workload", "algorithm").orderBy("efficiency_score", "policy")
+    w = Window.partitionBy("workload", "algorithm").orderBy(F.col("efficiency_score").asc_nulls_last(), "policy")
     return (scored.withColumn("meets_deadline", hit).withColumn("efficiency_score", score)
             .withColumn("rank", F.row_number().over(w)))
 
 
 def policy_metrics(scored: DataFrame, reference: str = REFERENCE_POLICY) -> DataFrame:
     """Per policy mean nodes, mean cost, deadline hit %, cost efficiency
-    (reference policy's mean cost / this policy's x 100) and fallback count;
-    fallbacks are not counted as hits."""
-    hit = (F.col("est_time") <= F.col("deadline")) & ~F.col("fallback")
+    (reference policy's mean cost / this policy's x 100; without the reference
+    policy the lowest mean cost stands in), fallback count, and choices without
+    an observed time; neither of these two counts as a hit."""
+    hit = F.coalesce((F.col("est_time") <= F.col("deadline")) & ~F.col("fallback"), F.lit(False))
     m = scored.groupBy("policy").agg(
         F.avg("nodes").alias("mean_nodes"), F.avg("cost").alias("mean_cost"),
         (100.0 * F.avg(hit.cast("double"))).alias("hit_pct"),
-        F.count_if("fallback").alias("fallbacks"), F.count(F.lit(1)).alias("workloads"))
-    ref = m.filter(F.col("policy") == reference).select(F.col("mean_cost").alias("_ref"))
+        F.count_if("fallback").alias("fallbacks"), F.count_if(F.col("est_time").isNull()).alias("unscored"),
+        F.count(F.lit(1)).alias("workloads"))
+    ref = m.agg(F.coalesce(F.max(F.when(F.col("policy") == reference, F.col("mean_cost"))),
+                           F.min("mean_cost")).alias("_ref"))  # one row
     return (m.crossJoin(F.broadcast(ref))
             .withColumn("cost_efficiency", F.when(F.col("mean_cost") > 0,
                                                   100.0 * F.col("_ref") / F.col("mean_cost"))
@@ -144,18 +148,18 @@ def metrics_by_deadline(scored: DataFrame, deadlines: DataFrame) -> DataFrame:
     """Hit % and mean nodes per deadline x policy (deadlines: a few
     fixed rows, broadcast)."""
     x = scored.drop("deadline").crossJoin(F.broadcast(deadlines.select("deadline")))
-    hit = (F.col("est_time") <= F.col("deadline")) & ~F.col("fallback")
+    hit = F.coalesce((F.col("est_time") <= F.col("deadline")) & ~F.col("fallback"), F.lit(False))
     return x.groupBy("deadline", "policy").agg(
         (100.0 * F.avg(hit.cast("double"))).alias("hit_pct"), F.avg("nodes").alias("mean_nodes"))
 
 
 def policy_overview(metrics: DataFrame) -> DataFrame:
     """Mean nodes and mean hit % over policies with a positive value,
-    policy count, best cost efficiency."""
+    count of policies with positive mean nodes, best cost efficiency."""
     return metrics.agg(
         F.avg(F.when(F.col("mean_nodes") > 0, F.col("mean_nodes"))).alias("mean_nodes"),
         F.avg(F.when(F.col("hit_pct") > 0, F.col("hit_pct"))).alias("mean_hit_pct"),
-        F.count(F.lit(1)).alias("policies"), F.max("cost_efficiency").alias("best_efficiency"))
+        F.count_if(F.col("mean_nodes") > 0).alias("policies"), F.max("cost_efficiency").alias("best_efficiency"))
 
 
 def to_wide(scored: DataFrame, policies=POLICIES) -> DataFrame:

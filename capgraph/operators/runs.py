@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.categories import correlation_strength, runtime_category
 from ..functions.stats import safe_corr
 from ..sources.tables import DEADLINES
+from ..session import written
 from .ordered import exact_median, positions
 
 RT = "simulated_time"
@@ -31,6 +32,9 @@ MIN_SUBSTANTIAL, MAX_SHORT_SHARE = 3, 0.7
 KEY_DATASETS = ("p2p-Gnutella06", "ca-AstroPh", "email-EuAll", "ca-HepPh")
 CORE_FEATURES = ("nodes", "edges", "density", "avg_clustering", "num_nodes", "total_cores",
                  "total_memory_gb")
+#: Frames of at most so many rows are broadcast; more are joined by a shuffle.
+FEW_GROUPS = 10_000
+LABEL_CHARS = 10
 CATEGORIES = ("fast", "medium", "slow", "very_slow")
 
 
@@ -62,24 +66,37 @@ def with_runtime_category(runs: DataFrame) -> DataFrame:
 def algorithm_profile(runs: DataFrame) -> DataFrame:
     """A3: per algorithm counts and shares of >=10 s, >=30 s, <5 s runs and
     min / max / mean / median runtime."""
+    counted = _counted_profile(runs)
+    out = _with_median(counted, runs)
+    return _shares(out)
+
+
+def _counted_profile(runs: DataFrame) -> DataFrame:
     t = F.col(RT)
-    agg = runs.groupBy(ALG).agg(
+    return runs.groupBy(ALG).agg(
         F.count(F.lit(1)).alias("total_runs"),
         F.count_if(t >= SUBSTANTIAL_S).alias("substantial_runs"),
         F.count_if(t >= LONG_S).alias("long_runs"),
         F.count_if(t < SHORT_S).alias("short_runs"),
         F.min(t).alias("min_time"), F.max(t).alias("max_time"), F.avg(t).alias("mean_time"))
-    med = exact_median(runs, [ALG], RT, "median_time")
-    out = agg.join(med, ALG, "left")
-    for c in ("substantial", "long", "short"):
-        out = out.withColumn(f"{c}_pct", 100.0 * F.col(f"{c}_runs") / F.col("total_runs"))
-    return out
 
 
-def distribution_check(profile: DataFrame) -> DataFrame:
+def _shares(profile: DataFrame) -> DataFrame:
+    return profile.withColumns({f"{c}_pct": 100.0 * F.col(f"{c}_runs") / F.col("total_runs")
+                                for c in ("substantial", "long", "short")})
+
+
+def _with_median(agg: DataFrame, runs: DataFrame) -> DataFrame:
+    """``agg`` (one row for each algorithm, a null one included) with the
+    median runtime."""
+    med = exact_median(runs, [ALG], RT, "median_time").withColumnRenamed(ALG, "_alg")
+    return agg.join(med, F.col(ALG).eqNullSafe(F.col("_alg")), "left").drop("_alg")
+
+
+def distribution_check(runs: DataFrame) -> DataFrame:
     """A4: an algorithm passes with >= 3 runs of >= 10 s and at most 70% under
     5 s; ``all_passed`` is the verdict over all algorithms."""
-    p = profile.withColumn(
+    p = _counted_profile(runs).withColumn(
         "passed", (F.col("substantial_runs") >= MIN_SUBSTANTIAL)
         & (F.col("short_runs") <= F.lit(MAX_SHORT_SHARE) * F.col("total_runs")))
     verdict = p.agg(F.every("passed").alias("all_passed"))  # one row
@@ -113,7 +130,7 @@ def algorithm_report(runs: DataFrame, deadline: float = 60.0) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.avg(t).alias("mean_time"),
         (100.0 * F.count_if(t >= SUBSTANTIAL_S) / F.count(F.lit(1))).alias("substantial_pct"),
         (100.0 * F.count_if(t <= deadline) / F.count(F.lit(1))).alias("hit_rate_pct"))
-    return agg.join(exact_median(runs, [ALG], RT, "median_time"), ALG, "left")
+    return _with_median(agg, runs)
 
 
 def resource_correlation(runs: DataFrame) -> DataFrame:
@@ -144,21 +161,27 @@ def category_pivot(runs: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None) -> DataFrame:
     """``bins`` equal-width bins over [min, max] per group, last edge
-    inclusive; ``(by..., bin, lo, hi, count)`` for non-empty bins.  The
-    min/max per group is a small aggregate joined back."""
+    inclusive; ``(by..., bin, lo, hi, count)`` for non-empty bins.
+
+    Rows are counted by group and value first, so only distinct values meet
+    their group's range (one row for each group, broadcast while counted to be
+    few); null groups are kept."""
     by = list(by or [])
-    x = df.select(*by, F.col(col).alias("_x")).filter(F.col("_x").isNotNull())
-    if by:
-        rng = x.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        x = x.join(rng, by)
-    else:
-        rng = x.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        x = x.crossJoin(F.broadcast(rng))
+    x = written(df.select(*by, F.col(col).alias("_x")).filter(F.col("_x").isNotNull())
+                .groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    rng = written(x.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count(F.lit(1)).alias("_n")))
+    few = rng.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_lo", "_hi")
+    if rng.count() <= FEW_GROUPS:
+        few = F.broadcast(few)
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    x = x.join(few, same)
     w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("_lo")) / w), F.lit(bins - 1))).cast("int")
+        F.least(F.floor(F.try_divide(F.col("_x") - F.col("_lo"), w)), F.lit(bins - 1))).cast("int")
     return (x.withColumn("bin", b)
-            .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"),
+            .groupBy(*by, "bin").agg(F.sum("_c").alias("count"),
                                      F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
             .withColumn("lo", F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins)
             .withColumn("hi", F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins)
@@ -220,18 +243,24 @@ def key_datasets(runs: DataFrame, preferred=KEY_DATASETS, minimum: int = 4) -> D
             .select("graph_name"))
 
 
-def cheapest_passing_config(runs: DataFrame, graphs: DataFrame, deadline: float = 60.0) -> DataFrame:
+def cheapest_passing_config(runs: DataFrame, graphs: DataFrame, deadline: float | None = 60.0) -> DataFrame:
     """Per key graph x algorithm the fewest nodes among runs within the
-    deadline; otherwise the most nodes tried; 1 when there are no runs."""
+    deadline; otherwise the most nodes tried; 1 when there are no runs.
+    Without a deadline the nodes of the fastest run.  ``graph_label`` is the
+    graph name's first ten characters."""
+    keys = written(graphs.select("graph_name").distinct())
+    few = F.broadcast(keys) if keys.count() <= FEW_GROUPS else keys
     algos = runs.select(ALG).distinct()
-    # ``graphs`` is normally the key-dataset list (A21), a handful of names;
-    # the planner picks the strategy from its measured size.
-    grid = algos.crossJoin(graphs.select("graph_name"))
-    agg = runs.groupBy("graph_name", ALG).agg(
-        F.min(F.when(F.col(RT) <= deadline, F.col("num_nodes"))).alias("_hit"),
-        F.max("num_nodes").alias("_max"))
-    return (grid.join(agg, ["graph_name", ALG], "left")
-            .select("graph_name", ALG,
+    grid = algos.crossJoin(few)
+    mine = runs.join(few, "graph_name", "left_semi")
+    if deadline is None:
+        hit = F.min_by("num_nodes", F.struct(RT, "num_nodes"))
+    else:
+        hit = F.min(F.when(F.col(RT) <= deadline, F.col("num_nodes")))
+    agg = (mine.groupBy("graph_name", ALG).agg(hit.alias("_hit"), F.max("num_nodes").alias("_max"))
+           .select(F.col("graph_name").alias("_g"), F.col(ALG).alias("_a"), "_hit", "_max"))
+    return (grid.join(agg, (F.col("graph_name") == F.col("_g")) & F.col(ALG).eqNullSafe(F.col("_a")), "left")
+            .select("graph_name", ALG, F.substring("graph_name", 1, LABEL_CHARS).alias("graph_label"),
                     F.coalesce("_hit", "_max", F.lit(1)).cast("int").alias("optimal_nodes"),
                     F.col("_hit").isNotNull().alias("meets_deadline")))
 
@@ -246,22 +275,26 @@ def fastest_config(runs: DataFrame) -> DataFrame:
                     F.col("b.m").alias("total_memory_gb"), F.col(f"b.k.{RT}").alias("min_time")))
 
 
-def algorithm_codes(runs: DataFrame) -> DataFrame:
-    """Alphabetical label encoding of algorithm names, from 0 (the window
-    runs over the distinct names only)."""
-    names = runs.select(ALG).distinct()
-    return names.withColumn("algorithm_type_encoded",
-                            (F.dense_rank().over(Window.orderBy(ALG)) - 1).cast("int"))
+def encoded(runs: DataFrame) -> DataFrame:
+    """``runs`` with the alphabetical label code of the algorithm, from 0; a
+    null algorithm has none.  The codes are a map of the distinct names, so the
+    runs aren't shuffled; more than ``FEW_GROUPS`` names are joined."""
+    names = written(runs.select(ALG).distinct().where(F.col(ALG).isNotNull()))
+    # the window runs over the distinct names only
+    codes = names.select(F.col(ALG).alias("_name"),
+                         (F.dense_rank().over(Window.orderBy(ALG)) - 1).cast("int").alias("algorithm_type_encoded"))
+    if names.count() <= FEW_GROUPS:
+        codes = F.broadcast(codes)
+    return runs.join(codes, F.col(ALG) == F.col("_name"), "left").drop("_name")
 
 
 def correlation_matrix(runs: DataFrame, features=CORE_FEATURES, target: str = RT) -> DataFrame:
     """Pearson correlation of every pair among ``features`` + runtime +
     encoded algorithm, strict lower triangle, long form ``(row, col, corr)``.
     One aggregate computes every pair."""
-    enc = runs.join(algorithm_codes(runs), ALG)
     cols = list(features) + [target, "algorithm_type_encoded"]
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
-    agg = enc.agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    agg = encoded(runs).agg(*[safe_corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     stack = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
     return agg.selectExpr(f"stack({len(pairs)}, {stack}) AS (row_feature, col_feature, corr)")
 
@@ -269,9 +302,8 @@ def correlation_matrix(runs: DataFrame, features=CORE_FEATURES, target: str = RT
 def runtime_correlation_ranking(runs: DataFrame, features=CORE_FEATURES, top: int = 5,
                                 target: str = RT) -> DataFrame:
     """Features ranked by |corr| with runtime, strength label, top 5."""
-    enc = runs.join(algorithm_codes(runs), ALG)
     cols = list(features) + ["algorithm_type_encoded"]
-    agg = enc.agg(*[F.abs(safe_corr(c, target)).alias(c) for c in cols])
+    agg = encoded(runs).agg(*[F.abs(safe_corr(c, target)).alias(c) for c in cols])
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     long = agg.selectExpr(f"stack({len(cols)}, {stack}) AS (feature, abs_corr)")
     w = Window.orderBy(F.col("abs_corr").desc_nulls_last(), "feature")
@@ -283,16 +315,16 @@ def runtime_correlation_ranking(runs: DataFrame, features=CORE_FEATURES, top: in
 
 def experiment_design(runs: DataFrame, deadlines: DataFrame) -> DataFrame:
     """Runs per graph x algorithm x deadline (``n // (g a d)``) and the
-    hit rate per deadline, over the long (runs x deadlines) table."""
-    long = deadline_long(runs, deadlines)
-    dims = long.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("graph_name").alias("_g"),
-                    F.count_distinct(ALG).alias("_a"), F.count_distinct("deadline").alias("_d"))
-    per = long.groupBy("deadline").agg(F.count(F.lit(1)).alias("runs"),
-                                       F.count_if("meets_deadline").alias("hits"))
+    hit rate per deadline.  Distinct graphs and algorithms are counted on the
+    runs, not on runs x deadlines."""
+    dims = runs.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("graph_name").alias("_g"),
+                    F.count_distinct(ALG).alias("_a"))  # one row
+    per = deadline_long(runs, deadlines).groupBy("deadline").agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if("meets_deadline").alias("hits"))
     return (per.crossJoin(F.broadcast(dims))
             .select("deadline", "runs", "hits",
                     (100.0 * F.col("hits") / F.col("runs")).alias("hit_rate_pct"),
-                    F.floor(F.col("_n") / (F.col("_g") * F.col("_a") * F.col("_d")))
+                    F.floor(F.try_divide(F.col("_n"), F.col("_g") * F.col("_a")))
                     .cast("bigint").alias("configs_per_combo")))
 
 
@@ -308,7 +340,7 @@ def median_success_rate(runs: DataFrame) -> DataFrame:
 
 def systematic_sample(runs: DataFrame, every: int = 12, order_col: str = "run_id") -> DataFrame:
     """Every ``every``-th run in ``order_col`` order, starting with the
-    first.  Positions come from range-split counting, not a global window."""
+    first.  Positions come from one range shuffle, not a global window."""
     return (positions(runs, [], order_col).filter((F.col("_pos") - 1) % every == 0)
             .drop("_pos"))
 

@@ -50,14 +50,14 @@ def minimum_level(t: DataFrame, margin: float = SAFETY_MARGIN) -> DataFrame:
 
 def speedup_efficiency(scaling: DataFrame, base_level: int = 1) -> DataFrame:
     """R2: speedup = time at the base level / time at level L, efficiency =
-    speedup / L, where both cells succeeded.  The base rows are one per
+    speedup / L, where both cells succeeded (null for a zero time).  The base rows are one per
     dataset x algorithm, joined back on the key."""
     base = (scaling.filter((F.col("level") == base_level) & F.col("success"))
             .select(*KEYS, F.col("time").alias("baseline_time")))
     par = scaling.filter((F.col("level") != base_level) & F.col("success"))
     return (par.join(base, KEYS)
             .select(*KEYS, "level", "baseline_time", F.col("time").alias("parallel_time"),
-                    (F.col("baseline_time") / F.col("time")).alias("speedup"))
+                    F.try_divide(F.col("baseline_time"), F.col("time")).alias("speedup"))
             .withColumn("efficiency", F.col("speedup") / F.col("level")))
 
 

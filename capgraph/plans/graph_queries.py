@@ -12,7 +12,7 @@ from ..operators.graph import triangles as TR
 from ..sources import tables as T
 from .registry import query, rounded
 from .sql_views import (CANON, EDGES, EDGES_BIPARTITE, EDGES_CUSTOMER, EDGES_MULTI, TRIANGLES,
-                        components_sql, pagerank_sql)
+                        components_sql, pagerank_converged_sql, pagerank_sql)
 
 G = E.G
 
@@ -128,9 +128,11 @@ def q_pagerank_fixed(spark, sf):
     return rounded(PR.pagerank_fixed(_edges(spark, sf), max_iterations=10))
 
 
-@query("pagerank_converged")
+@query("pagerank_converged", pagerank_converged_sql(EDGES_MULTI) +
+       "\nSELECT graph_name, vertex, round(pr, 9) AS pagerank, iterations, done AS converged,"
+       " round(error, 9) AS error FROM s40")
 def q_pagerank_converged(spark, sf):
-    return rounded(PR.pagerank_converged(_multi(spark, sf)), 9)
+    return rounded(PR.pagerank_converged(_multi(spark, sf), max_iter=40), 9)
 
 
 # ---------------------------------------------------------------- G11, G12
@@ -149,6 +151,21 @@ def q_component_summary(spark, sf):
     return CC.component_summary(comps).join(largest, G)
 
 
+@query("connected_components_customers", components_sql(EDGES_CUSTOMER) +
+       "\nSELECT graph_name, vertex, component FROM comp")
+def q_connected_components_customers(spark, sf):
+    """G11 over many graphs, most of which fall into several components."""
+    return CC.connected_components(T.customer_graph_edges(spark, sf))
+
+
+@query("component_summary_customers", components_sql(EDGES_CUSTOMER) +
+       "\nSELECT graph_name, num_components, is_connected, largest_component FROM csum")
+def q_component_summary_customers(spark, sf):
+    comps = CC.connected_components(T.customer_graph_edges(spark, sf))
+    largest = CC.component_sizes(comps).groupBy(G).agg(F.max("size").alias("largest_component"))
+    return CC.component_summary(comps).join(largest, G)
+
+
 # ---------------------------------------------------------------- G13-G17
 
 @query("triangle_count", f"""WITH {EDGES_MULTI}, {CANON}, {TRIANGLES}
@@ -164,9 +181,10 @@ def q_triangles_per_vertex(spark, sf):
     return TR.triangles_per_vertex(_edges(spark, sf))
 
 
-@query("triangle_estimate", f"""WITH {EDGES_CUSTOMER}, {CANON}, {TRIANGLES},
+def _estimate_sql(threshold: int, k: int) -> str:
+    return f"""WITH {EDGES_CUSTOMER}, {CANON}, {TRIANGLES},
 sv AS (SELECT graph_name, vertex FROM v
-       QUALIFY row_number() OVER (PARTITION BY graph_name ORDER BY vertex) <= 10000),
+       QUALIFY row_number() OVER (PARTITION BY graph_name ORDER BY vertex) <= {k}),
 k AS (SELECT graph_name, count(*) AS k FROM sv GROUP BY graph_name),
 tall AS (SELECT graph_name, count(*) AS n FROM t GROUP BY graph_name),
 tsub AS (SELECT graph_name, count(*) AS n FROM t
@@ -174,14 +192,24 @@ tsub AS (SELECT graph_name, count(*) AS n FROM t
            AND (graph_name, b) IN (SELECT (graph_name, vertex) FROM sv)
            AND (graph_name, cc) IN (SELECT (graph_name, vertex) FROM sv)
          GROUP BY graph_name)
-SELECT nv.graph_name, nv.nodes, nv.nodes > 20000 AS sampled,
-       CASE WHEN nv.nodes > 20000
+SELECT nv.graph_name, nv.nodes, nv.nodes > {threshold} AS sampled,
+       CASE WHEN nv.nodes > {threshold}
             THEN CAST(floor(coalesce(tsub.n, 0) * pow(nv.nodes / k.k, 1.4)) AS BIGINT)
             ELSE CAST(coalesce(tall.n, 0) AS BIGINT) END AS triangles
-FROM nv JOIN k USING (graph_name) LEFT JOIN tall USING (graph_name) LEFT JOIN tsub USING (graph_name)""")
+FROM nv JOIN k USING (graph_name) LEFT JOIN tall USING (graph_name) LEFT JOIN tsub USING (graph_name)"""
+
+
+@query("triangle_estimate", f"""WITH {EDGES_CUSTOMER}, {CANON}, {TRIANGLES}
+SELECT nv.graph_name, nv.nodes, false AS sampled, CAST(coalesce(x.n, 0) AS BIGINT) AS triangles
+FROM nv LEFT JOIN (SELECT graph_name, count(*) AS n FROM t GROUP BY graph_name) x USING (graph_name)""")
 def q_triangle_estimate(spark, sf):
-    # Reference defaults: exact up to 20000 vertices, else 10000-vertex sample.
-    return TR.triangle_estimate(T.customer_graph_edges(spark, sf), 20000, 10000)
+    return TR.triangle_estimate(T.customer_graph_edges(spark, sf))
+
+
+@query("triangle_estimate_sampled", _estimate_sql(100, 50))
+def q_triangle_estimate_sampled(spark, sf):
+    """G15's sampled branch, asked for with a small threshold."""
+    return TR.triangle_estimate(T.customer_graph_edges(spark, sf), threshold=100, sample_size=50)
 
 
 @query("clustering", f"""WITH {EDGES_MULTI}, {CANON}, {TRIANGLES}
@@ -197,19 +225,35 @@ def q_local_clustering(spark, sf):
 
 
 @query("clustering_sampled", f"""WITH {EDGES_CUSTOMER}, {CANON}, {TRIANGLES}
--- full-graph branch (n < 50000); the sampled branch is checked by tests
-SELECT graph_name, round(avg(clustering), 6) AS avg_clustering, false AS sampled
-FROM lc WHERE graph_name IN (SELECT graph_name FROM nv WHERE nodes < 50000)
-GROUP BY graph_name""")
+SELECT graph_name, round(avg(clustering), 6) AS avg_clustering, false AS sampled FROM lc GROUP BY graph_name""")
 def q_clustering_sampled(spark, sf):
+    """G17 without a threshold: exact."""
     return rounded(TR.sampled_average_clustering(T.customer_graph_edges(spark, sf)))
 
 
+@query("clustering_sampled_small", f"""WITH {EDGES_CUSTOMER},
+c0 AS (SELECT DISTINCT graph_name, least(src, dst) AS src, greatest(src, dst) AS dst FROM e),
+v0 AS (SELECT graph_name, src AS vertex FROM c0 UNION SELECT graph_name, dst FROM c0),
+n0 AS (SELECT graph_name, count(*) AS n FROM v0 GROUP BY graph_name),
+sv AS (SELECT graph_name, vertex, n FROM v0 JOIN n0 USING (graph_name)
+       QUALIFY n < 100 OR row_number() OVER (PARTITION BY graph_name ORDER BY vertex) <= 50),
+e2 AS (SELECT * FROM c0 WHERE (graph_name, src) IN (SELECT (graph_name, vertex) FROM sv)
+                          AND (graph_name, dst) IN (SELECT (graph_name, vertex) FROM sv)),
+{CANON.replace("FROM e)", "FROM e2)").replace("v AS (SELECT graph_name, src AS vertex FROM c UNION SELECT graph_name, dst FROM c)",
+                                               "v AS (SELECT graph_name, vertex FROM sv)")}, {TRIANGLES}
+SELECT lc.graph_name, round(avg(clustering), 6) AS avg_clustering, max(n0.n) >= 100 AS sampled
+FROM lc JOIN n0 USING (graph_name) GROUP BY lc.graph_name""")
+def q_clustering_sampled_small(spark, sf):
+    """G17's sampled branch, asked for with a small threshold."""
+    return rounded(TR.sampled_average_clustering(T.customer_graph_edges(spark, sf), threshold=100,
+                                                 sample_size=50))
+
+
 # ---------------------------------------------------------------- G19, G20
 
 @query("graph_features", components_sql(EDGES_MULTI) + f""", {TRIANGLES}
 SELECT cnt.graph_name, cnt.nodes, cnt.edges, round(cnt.density, 6) AS density,
-       csum.is_connected, csum.num_components, round(a.avg_clustering, 6) AS avg_clustering
+       csum.is_connected, csum.num_components, round(a.avg_clustering, 6) AS avg_clustering, false AS sampled
 FROM cnt JOIN csum USING (graph_name)
 JOIN (SELECT graph_name, avg(clustering) AS avg_clustering FROM lc GROUP BY graph_name) a USING (graph_name)""")
 def q_graph_features(spark, sf):
@@ -225,7 +269,8 @@ SELECT graph_name, 'ConnectedComponents', nodes, edges, num_components FROM cnt
 UNION ALL
 SELECT graph_name, 'TriangleCounting', nodes, edges, CAST(n AS BIGINT) FROM cnt JOIN tc USING (graph_name)""")
 def q_algorithm_dispatch(spark, sf):
-    e = _multi(spark, sf)
+    from ..session import written
+    e = written(E.canonical_edges(_multi(spark, sf)))
     out = None
     for name in ("pagerank", "connected_components", "TriangleCounting"):
         _, summary = FT.run_algorithm(e, name)
@@ -240,11 +285,9 @@ SELECT graph_name, src, dst, 0::BIGINT AS rejected_lines FROM e""")
 def q_edge_list_roundtrip(spark, sf):
     """Write the co-purchase graphs as edge-list text (one folder per graph)
     under the checkpoint folder and scan them back with reject counting."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
+    from ..session import shared_path
     from ..sources import files as S
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/edgelists-{uuid.uuid4().hex}"
+    path = shared_path(spark, "edgelists")
     S.write_edge_list(_multi(spark, sf), path)
     edges, rejects = S.read_edge_lists(spark, path)
     rc = S.reject_counts(rejects)
@@ -253,9 +296,34 @@ def q_edge_list_roundtrip(spark, sf):
                     F.coalesce("rejected_lines", F.lit(0)).cast("bigint").alias("rejected_lines")))
 
 
-@query("hash_sample_vertices")
+#: Priorities whose graphs are written as files of their own.
+_FILED = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+
+
+@query("edge_list_files", f"""WITH {EDGES_MULTI}, {CANON}
+SELECT e.graph_name, e.src, e.dst, (SELECT count(*) FROM v WHERE v.graph_name = e.graph_name AND vertex % 97 = 0)
+       AS rejected_lines FROM e WHERE graph_name IN {_FILED[:2]}""")
+def q_edge_list_files(spark, sf):
+    """One file for each graph, named after it, with comments and
+    malformed lines; the scan takes the first two files by name."""
+    from ..session import shared_path
+    from ..sources import files as S
+    path, edges = shared_path(spark, "edgefiles"), _multi(spark, sf)
+    for name in _FILED:
+        e = edges.where(F.col(G) == name)
+        bad = E.vertices(e).where("vertex % 97 = 0").select(F.concat(F.lit("x"), "vertex").alias("value"))
+        good = e.select(F.concat(F.col("src").cast("string"), F.lit("\t "), F.col("dst").cast("string"), F.lit(" # edge")).alias("value"))
+        S.write_named_edge_list(good.unionByName(bad).unionByName(bad.select(F.lit("# note").alias("value"))), path, name)
+    found, rejects = S.read_edge_lists(spark, path, max_files=2)
+    return (found.join(S.reject_counts(rejects), G, "left")
+            .select(G, "src", "dst", F.coalesce("rejected_lines", F.lit(0)).cast("bigint").alias("rejected_lines")))
+
+
+@query("hash_sample_vertices", f"""WITH {EDGES_MULTI}, {CANON}
+SELECT graph_name, vertex FROM v
+WHERE CAST('0x' || substr(md5(graph_name || '|' || CAST(vertex AS VARCHAR) || '|42'), 1, 15) AS BIGINT)
+      % 1000000 < 500000""")
 def q_hash_sample_vertices(spark, sf):
     """G18 (hash variant): about half of every graph's vertices, chosen by a
-    seeded hash -- the same rows under any partitioning (rows-only check:
-    the hash is Spark's xxhash64)."""
+    seeded hash -- the same rows under any partitioning."""
     return E.hash_sample_vertices(E.vertices(_multi(spark, sf)), 0.5, seed=42)

@@ -19,9 +19,15 @@ from ..operators import runs as R
 from ..sources import tables as T
 from .policy_queries import _SCORED, scored_policies
 from .registry import query, rounded
-from .run_queries import _runs_features
+from ..session import shared_path, written
+from .run_queries import _runs_features as _assembled
 from .sql_views import RUNS, features_sql
 
+def _runs_features(spark, sf):
+    """The assembled runs, written once: every fitted stage reads them."""
+    return written(_assembled(spark, sf))
+
+
 NUMERIC = [c for c in RM.FEATURE_COLUMNS if c != "algorithm_type"]
 DL = "(VALUES (20.0::DOUBLE), (30.0::DOUBLE), (45.0::DOUBLE), (60.0::DOUBLE)) d(deadline)"
 
@@ -144,7 +150,7 @@ FROM optp""")
 def q_deadline_optimizer(spark, sf):
     runs = T.runs(spark, sf)
     out = OPT.optimise_deadlines(_workloads(spark, sf), T.deadlines(spark),
-                                 OPT.lookup_predictor(runs))
+                                 OPT.lookup_predictor(runs)).drop("last_prediction")
     return rounded(out.withColumn("num_nodes", F.col("num_nodes").cast("int")))
 
 
@@ -226,7 +232,7 @@ grid AS (SELECT wk.workload, wk.algorithm AS algorithm_type, n.num_nodes, CASE W
 opt AS (SELECT workload, algorithm_type, min(CASE WHEN prediction <= 60 THEN num_nodes END) AS n
         FROM grid GROUP BY ALL),
 optp AS (SELECT o.*, g.prediction FROM opt o LEFT JOIN grid g
-         ON g.workload = o.workload AND g.algorithm_type = o.algorithm_type AND g.num_nodes = o.n)
+         ON g.workload = o.workload AND g.algorithm_type = o.algorithm_type AND g.num_nodes = coalesce(o.n, 8))
 SELECT workload, algorithm_type AS algorithm, 'model' AS policy, CAST(coalesce(n, 8) AS INTEGER) AS nodes,
        CAST(coalesce(n, 8) AS INTEGER) AS cost, round(prediction, 6) AS est_time, n IS NULL AS fallback
 FROM optp
@@ -251,15 +257,15 @@ grid AS (SELECT wk.workload, wk.algorithm AS algorithm_type, n.num_nodes, CASE W
 opt AS (SELECT workload, algorithm_type, min(CASE WHEN prediction <= 60 THEN num_nodes END) AS n
         FROM grid GROUP BY ALL),
 optp AS (SELECT o.*, g.prediction FROM opt o LEFT JOIN grid g
-         ON g.workload = o.workload AND g.algorithm_type = o.algorithm_type AND g.num_nodes = o.n),
+         ON g.workload = o.workload AND g.algorithm_type = o.algorithm_type AND g.num_nodes = coalesce(o.n, 8)),
 allp AS (SELECT 'model' AS policy, coalesce(n, 8) AS nodes, coalesce(n, 8) AS cost, prediction AS est_time,
                 60.0::DOUBLE AS deadline, n IS NULL AS fallback FROM optp
          UNION ALL SELECT policy, nodes, cost, est_time, deadline, fallback FROM scored),
 m AS (SELECT policy, avg(nodes) AS mean_nodes, avg(cost) AS mean_cost,
              100.0 * avg(CAST(coalesce(est_time <= deadline, false) AND NOT fallback AS DOUBLE)) AS hit_pct,
-             count_if(fallback) AS fallbacks, count(*) AS workloads FROM allp GROUP BY policy)
+             count_if(fallback) AS fallbacks, count_if(est_time IS NULL) AS unscored, count(*) AS workloads FROM allp GROUP BY policy)
 SELECT policy, round(mean_nodes, 6) AS mean_nodes, round(mean_cost, 6) AS mean_cost, round(hit_pct, 6) AS hit_pct,
-       fallbacks, workloads,
+       fallbacks, unscored, workloads,
        round(CASE WHEN mean_cost > 0 THEN 100.0 * (SELECT mean_cost FROM m WHERE policy = 'tiered') / mean_cost
                   ELSE 0.0 END, 6) AS cost_efficiency
 FROM m""")
@@ -272,7 +278,6 @@ def q_model_policy_metrics(spark, sf):
     rules = scored_policies(spark, sf)
     cols = ["policy", "nodes", "cost", "est_time", "deadline", "fallback"]
     both = model.select(cols).unionByName(rules.select(cols))
-    both = both.withColumn("est_time", F.coalesce("est_time", F.lit(float("inf"))))
     return rounded(P.policy_metrics(both))
 
 
@@ -288,3 +293,52 @@ def q_model_selection(spark, sf):
         m = tm.metrics.withColumns({"model": F.lit(tm.kind), "selected": F.lit(tm is best)})
         out = m if out is None else out.unionByName(m)
     return rounded(out)
+
+
+# ---------------------------------------------------------------- M8, M15, S7, M12 + M17 with a model
+
+@query("regression_scores", f"""WITH {RUNS},
+lk AS (SELECT algorithm_type, num_nodes, avg(simulated_time) AS p FROM runs1 WHERE {_BUCKET} < 75 GROUP BY ALL),
+x AS (SELECT CASE WHEN {_BUCKET} < 75 THEN 'train' ELSE 'test' END AS split, simulated_time AS y,
+             greatest(p, 0.1) AS p FROM runs1 JOIN lk USING (algorithm_type, num_nodes))
+SELECT split, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae,
+       round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2, count(*) AS rows
+FROM x GROUP BY split""")
+def q_regression_scores(spark, sf):
+    """M8 on both splits, for the lookup predictor learned on the training split."""
+    tr, te = RM.split_train_test(T.runs(spark, sf))
+    predict = OPT.lookup_predictor(tr)
+    x = (predict(tr).withColumn("split", F.lit("train")).unionByName(predict(te).withColumn("split", F.lit("test")))
+         .where("prediction IS NOT NULL"))
+    return rounded(MM.regression_metrics(x, "simulated_time", "prediction", ["split"]))
+
+
+@query("cross_deadline")
+def q_cross_deadline(spark, sf):
+    """M15 with the reference's learner; each run's deadline is derived from
+    its id."""
+    return rounded(RM.cross_deadline(RM.derived_deadline(_runs_features(spark, sf), T.DEADLINES)))
+
+
+@query("model_reload", f"WITH {RUNS} SELECT count(*) AS rows, 0::BIGINT AS differences FROM runs1")
+def q_model_reload(spark, sf):
+    """Predictions of a saved and loaded model against the original's."""
+    data = written(RM._cast_numeric(T.runs(spark, sf), RM.select_features(T.runs(spark, sf))))
+    model = RM.build_pipeline(RM.select_features(data), "rf", numTrees=10, maxDepth=4).fit(data)
+    path = shared_path(spark, "model")
+    RM.save_model(model, path)
+    a, b = (RM.predict(m, data).select("run_id", F.col("prediction").alias(n)) for m, n in
+            ((model, "a"), (RM.load_model(path), "b")))
+    return a.join(b, "run_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") != F.col("b")).alias("differences"))
+
+
+@query("model_policy_fitted")
+def q_model_policy_fitted(spark, sf):
+    """M12 and M17 with a fitted forest as the predictor."""
+    rf = _runs_features(spark, sf)
+    tm = RM.train(rf, "rf")
+    wl = (rf.groupBy(F.col("graph_name").alias("workload"), "algorithm_type")
+          .agg(*[F.first(c).cast("double").alias(c) for c in ("nodes", "edges", "density", "avg_clustering")]))
+    predict = lambda grid: RM.predict(tm.model, RM._cast_numeric(grid, tm.features))
+    out = OPT.model_policy(OPT.optimise_deadlines(wl, T.deadlines(spark), predict))
+    return rounded(out.withColumns({c: F.col(c).cast("int") for c in ("nodes", "cost")}))

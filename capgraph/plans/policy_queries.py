@@ -143,13 +143,13 @@ alloc AS (SELECT workload, algorithm, policy,
 lv AS (SELECT graph_name AS workload, algorithm_type AS algorithm, num_nodes AS level,
               avg(simulated_time) AS t FROM runs1 GROUP BY ALL),
 best AS (SELECT a.workload, a.algorithm, a.policy, a.nodes, a.nodes AS cost, lv.level AS tried_level, lv.t AS est_time
-         FROM alloc a JOIN lv ON lv.workload = a.workload AND lv.algorithm = a.algorithm
+         FROM alloc a LEFT JOIN lv ON lv.workload = a.workload AND lv.algorithm = a.algorithm
          QUALIFY row_number() OVER (PARTITION BY a.workload, a.algorithm, a.policy
                                     ORDER BY abs(lv.level - a.nodes), lv.level) = 1),
 scored AS (SELECT *, 60.0::DOUBLE AS deadline, false AS fallback FROM best),
 pm AS (SELECT policy, avg(nodes) AS mean_nodes, avg(cost) AS mean_cost,
-              100.0 * avg(CAST(est_time <= deadline AND NOT fallback AS DOUBLE)) AS hit_pct,
-              count_if(fallback) AS fallbacks, count(*) AS workloads FROM scored GROUP BY policy),
+              100.0 * avg(CAST(coalesce(est_time <= deadline, false) AND NOT fallback AS DOUBLE)) AS hit_pct,
+              count_if(fallback) AS fallbacks, count_if(est_time IS NULL) AS unscored, count(*) AS workloads FROM scored GROUP BY policy),
 pm2 AS (SELECT *, CASE WHEN mean_cost > 0
                        THEN 100.0 * (SELECT mean_cost FROM pm WHERE policy = 'tiered') / mean_cost
                        ELSE 0.0 END AS cost_efficiency FROM pm)"""
@@ -175,7 +175,7 @@ def q_policy_scores(spark, sf):
 
 @query("policy_metrics", f"""{_SCORED}
 SELECT policy, round(mean_nodes, 6) AS mean_nodes, round(mean_cost, 6) AS mean_cost,
-       round(hit_pct, 6) AS hit_pct, fallbacks, workloads, round(cost_efficiency, 6) AS cost_efficiency
+       round(hit_pct, 6) AS hit_pct, fallbacks, unscored, workloads, round(cost_efficiency, 6) AS cost_efficiency
 FROM pm2""")
 def q_policy_metrics(spark, sf):
     return rounded(P.policy_metrics(scored_policies(spark, sf)))
@@ -192,7 +192,7 @@ def q_best_policies(spark, sf):
 
 @query("policy_metrics_by_deadline", f"""{_SCORED}
 SELECT d.deadline, policy,
-       round(100.0 * avg(CAST(est_time <= d.deadline AND NOT fallback AS DOUBLE)), 6) AS hit_pct,
+       round(100.0 * avg(CAST(coalesce(est_time <= d.deadline, false) AND NOT fallback AS DOUBLE)), 6) AS hit_pct,
        round(avg(nodes), 6) AS mean_nodes
 FROM scored CROSS JOIN (VALUES (20.0::DOUBLE), (30.0::DOUBLE), (45.0::DOUBLE), (60.0::DOUBLE)) d(deadline)
 GROUP BY d.deadline, policy""")
@@ -203,7 +203,7 @@ def q_policy_metrics_by_deadline(spark, sf):
 @query("policy_overview", f"""{_SCORED}
 SELECT round(avg(CASE WHEN mean_nodes > 0 THEN mean_nodes END), 6) AS mean_nodes,
        round(avg(CASE WHEN hit_pct > 0 THEN hit_pct END), 6) AS mean_hit_pct,
-       count(*) AS policies, round(max(cost_efficiency), 6) AS best_efficiency
+       count_if(mean_nodes > 0) AS policies, round(max(cost_efficiency), 6) AS best_efficiency
 FROM pm2""")
 def q_policy_overview(spark, sf):
     return rounded(P.policy_overview(P.policy_metrics(scored_policies(spark, sf))))
@@ -222,3 +222,10 @@ SELECT workload, algorithm, {', '.join(cols)} FROM scored GROUP BY workload, alg
 @query("policy_wide", _wide_sql())
 def q_policy_wide(spark, sf):
     return rounded(P.to_wide(scored_policies(spark, sf)))
+
+
+@query("policy_long", f"""{_SCORED}
+SELECT workload, algorithm, policy, nodes, round(est_time, 6) AS est_time, cost FROM scored""")
+def q_policy_long(spark, sf):
+    """P1 back again: the wide table unpivoted."""
+    return rounded(P.to_long(P.to_wide(scored_policies(spark, sf))))

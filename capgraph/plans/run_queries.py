@@ -21,7 +21,7 @@ def _runs(spark, sf):
 
 def _runs_features(spark, sf):
     feats = FT.graph_features(T.run_graph_edges(spark, sf))
-    return R.assemble_runs(T.runs(spark, sf), feats)
+    return R.assemble_runs(T.runs(spark, sf), feats.drop("sampled"))
 
 
 W = f"WITH {RUNS}"
@@ -83,7 +83,7 @@ c AS (SELECT algorithm_type, total_runs, substantial_runs, short_runs,
              substantial_runs >= 3 AND short_runs <= 0.7 * total_runs AS passed FROM p)
 SELECT *, (SELECT bool_and(passed) FROM c) AS all_passed FROM c""")
 def q_distribution_check(spark, sf):
-    return R.distribution_check(R.algorithm_profile(_runs(spark, sf)))
+    return R.distribution_check(_runs(spark, sf))
 
 
 @query("overall_summary", f"""{W}
@@ -235,8 +235,8 @@ algos AS (SELECT DISTINCT algorithm_type FROM runs1),
 agg AS (SELECT graph_name, algorithm_type,
                min(CASE WHEN simulated_time <= 60 THEN num_nodes END) AS hit, max(num_nodes) AS mx
         FROM runs1 GROUP BY ALL)
-SELECT k.graph_name, a.algorithm_type, CAST(coalesce(hit, mx, 1) AS INTEGER) AS optimal_nodes,
-       hit IS NOT NULL AS meets_deadline
+SELECT k.graph_name, substr(k.graph_name, 1, 10) AS graph_label, a.algorithm_type,
+       CAST(coalesce(hit, mx, 1) AS INTEGER) AS optimal_nodes, hit IS NOT NULL AS meets_deadline
 FROM keyg k CROSS JOIN algos a LEFT JOIN agg ON agg.graph_name = k.graph_name
      AND agg.algorithm_type = a.algorithm_type""")
 def q_cheapest_passing_config(spark, sf):
@@ -244,6 +244,43 @@ def q_cheapest_passing_config(spark, sf):
     return R.cheapest_passing_config(runs, R.key_datasets(runs))
 
 
+@query("cheapest_config_without_deadline", f"""{_KEYG},
+algos AS (SELECT DISTINCT algorithm_type FROM runs1),
+agg AS (SELECT graph_name, algorithm_type, arg_min(num_nodes, (simulated_time, num_nodes)) AS hit
+        FROM runs1 GROUP BY ALL)
+SELECT k.graph_name, substr(k.graph_name, 1, 10) AS graph_label, a.algorithm_type,
+       CAST(coalesce(hit, 1) AS INTEGER) AS optimal_nodes, hit IS NOT NULL AS meets_deadline
+FROM keyg k CROSS JOIN algos a LEFT JOIN agg ON agg.graph_name = k.graph_name
+     AND agg.algorithm_type = a.algorithm_type""")
+def q_cheapest_config_without_deadline(spark, sf):
+    """A17 where runs have no deadline: the fastest run's nodes."""
+    runs = _runs(spark, sf)
+    return R.cheapest_passing_config(runs, R.key_datasets(runs), deadline=None)
+
+
+_PREFERRED = tuple(f"g{k}" for k in range(1, 21))
+
+
+@query("key_datasets_preferred", f"""{W}
+SELECT DISTINCT graph_name FROM runs1 WHERE graph_name IN {_PREFERRED}""")
+def q_key_datasets_preferred(spark, sf):
+    """A21 where at least one preferred graph is there."""
+    return R.key_datasets(_runs(spark, sf), _PREFERRED, minimum=1)
+
+
+@query("runs_csv_roundtrip", f"""{W}
+SELECT run_id, graph_name, algorithm_type, round(simulated_time, 6) AS simulated_time, num_nodes,
+       cores_per_node, memory_per_node_gb, total_cores, total_memory_gb, node_cost FROM runs1""")
+def q_runs_csv_roundtrip(spark, sf):
+    """S5 + S6: the runs written as CSV with a header and scanned back with
+    their schema."""
+    from ..session import shared_path
+    from ..sources import files as S
+    runs, path = _runs(spark, sf), shared_path(spark, "runs_csv")
+    S.write_table(runs, path, "csv")
+    return rounded(S.read_runs_csv(spark, path, runs.schema))
+
+
 @query("fastest_config", f"""{W}
 SELECT graph_name, algorithm_type, num_nodes, total_memory_gb, round(simulated_time, 6) AS min_time
 FROM runs1
@@ -338,18 +375,27 @@ def q_tight_deadline_failures(spark, sf):
     return R.tight_deadline_failures(_runs(spark, sf))
 
 
-@query("cost_tradeoff", f"""{W},
+_TRADEOFF = f"""{W},
 a AS (SELECT algorithm_type, node_cost AS cost, avg(simulated_time) AS mean_time,
              min(simulated_time) AS min_time, count(*) AS runs FROM runs1 GROUP BY ALL),
 f AS (SELECT *, min(min_time) OVER (PARTITION BY algorithm_type ORDER BY cost
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM a)
 SELECT algorithm_type, cost, round(mean_time, 6) AS mean_time, round(min_time, 6) AS min_time, runs,
        best_before IS NULL OR min_time < best_before AS frontier
-FROM f""")
+FROM f"""
+
+
+@query("cost_tradeoff", _TRADEOFF)
 def q_cost_tradeoff(spark, sf):
     return rounded(R.cost_tradeoff(_runs(spark, sf)))
 
 
+@query("cost_tradeoff_by_nodes", _TRADEOFF)
+def q_cost_tradeoff_by_nodes(spark, sf):
+    """A26 for runs without a cost column."""
+    return rounded(R.cost_tradeoff(_runs(spark, sf).drop("node_cost")))
+
+
 @query("runtime_series", features_sql() + """
 SELECT algorithm_type, CAST(total_memory_gb AS DOUBLE) AS x, round(avg(simulated_time), 6) AS mean_time,
        count(*) AS runs, 'total_memory_gb' AS series FROM rf GROUP BY ALL

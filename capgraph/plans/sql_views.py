@@ -1,15 +1,15 @@
 """DuckDB CTE fragments that rebuild the fixture views from the raw tables,
 used by the oracle SQL strings."""
 
-# Co-purchase graph, lines with quantity >= 45, one graph.
+# Co-purchase graph, one graph.
 EDGES = """
-op AS (SELECT DISTINCT l_orderkey AS okey, l_partkey AS part FROM lineitem WHERE l_quantity >= 45),
+op AS (SELECT DISTINCT l_orderkey AS okey, l_partkey AS part FROM lineitem),
 e AS (SELECT DISTINCT 'copurchase' AS graph_name, a.part AS src, b.part AS dst
       FROM op a JOIN op b ON a.okey = b.okey AND a.part < b.part)"""
 
 # One co-purchase graph per order priority.
 EDGES_MULTI = """
-op0 AS (SELECT DISTINCT l_orderkey AS okey, l_partkey AS part FROM lineitem WHERE l_quantity >= 45),
+op0 AS (SELECT DISTINCT l_orderkey AS okey, l_partkey AS part FROM lineitem),
 op AS (SELECT op0.okey, op0.part, o.o_orderpriority AS graph_name
        FROM op0 JOIN orders o ON o.o_orderkey = op0.okey),
 e AS (SELECT DISTINCT a.graph_name, a.part AS src, b.part AS dst
@@ -95,6 +95,29 @@ ew AS (SELECT e.graph_name, e.src, e.dst, 1.0::DOUBLE / od.deg AS w FROM e JOIN
     return "WITH " + ",\n".join(parts)
 
 
+def pagerank_converged_sql(edges_fragment: str, steps: int = 40, alpha: float = 0.85, tol: float = 1e-6) -> str:
+    """Unrolled converged PageRank; a graph's rows stop changing once its
+    ``done`` flag is set.  Final rows in ``s{steps}``."""
+    parts = [edges_fragment, CANON, """
+sym AS (SELECT graph_name, src, dst FROM c UNION ALL SELECT graph_name, dst, src FROM c WHERE src <> dst),
+od AS (SELECT graph_name, src, count(*) AS deg FROM sym GROUP BY ALL),
+ew AS (SELECT graph_name, src, dst, 1.0::DOUBLE / deg AS w FROM sym JOIN od USING (graph_name, src)),
+s0 AS (SELECT graph_name, vertex, 1.0::DOUBLE / nodes AS pr, nodes, 0 AS iterations, false AS done,
+              NULL::DOUBLE AS error FROM v JOIN nv USING (graph_name))"""]
+    for i in range(1, steps + 1):
+        parts.append(f"""x{i} AS MATERIALIZED (
+  SELECT s.*, {alpha}::DOUBLE * coalesce(k.t, 0.0) + (1.0 - {alpha}::DOUBLE) / s.nodes AS new
+  FROM s{i-1} s LEFT JOIN (SELECT ew.graph_name, ew.dst AS vertex, sum(p.pr * ew.w) AS t
+                           FROM ew JOIN s{i-1} p ON p.graph_name = ew.graph_name AND p.vertex = ew.src
+                           WHERE NOT p.done GROUP BY ALL) k USING (graph_name, vertex)),
+s{i} AS MATERIALIZED (
+  SELECT graph_name, vertex, CASE WHEN done THEN pr ELSE new END AS pr, nodes,
+         CASE WHEN done THEN iterations ELSE {i} END AS iterations, done OR g.e < nodes * {tol} AS done,
+         CASE WHEN done THEN error ELSE g.e END AS error
+  FROM x{i} JOIN (SELECT graph_name, sum(abs(new - pr)) AS e FROM x{i} GROUP BY ALL) g USING (graph_name))""")
+    return "WITH " + ",\n".join(parts)
+
+
 # The runs view over events.
 RUNS = r"""
 runs AS (SELECT event_id AS run_id, 'g' || CAST(user_id AS VARCHAR) AS graph_name,
@@ -179,6 +202,6 @@ sc AS (SELECT graph_name AS dataset, algorithm_type AS algorithm, num_nodes AS l
 ml AS (SELECT dataset, algorithm, coalesce(min(CASE WHEN success THEN level END), max(level)) AS min_level,
               count_if(success) AS passing FROM th GROUP BY ALL),
 se AS (SELECT p.dataset, p.algorithm, p.level, b.time AS baseline_time, p.time AS parallel_time,
-              b.time / p.time AS speedup, b.time / p.time / p.level AS efficiency
+              b.time / nullif(p.time, 0) AS speedup, b.time / nullif(p.time, 0) / p.level AS efficiency
        FROM sc p JOIN sc b ON b.dataset = p.dataset AND b.algorithm = p.algorithm AND b.level = 1 AND b.success
        WHERE p.level <> 1 AND p.success)"""

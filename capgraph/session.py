@@ -72,6 +72,43 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, prefix: str = "capgraph") -> str:
+    """A new path in the shared checkpoint folder."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}_{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back with
+    the same schema: for a frame that is read several times."""
+    spark, path, schema = df.sparkSession, shared_path(df.sparkSession), df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours from the shared file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class Rounds:
+    """The state of an iterative job: each round's frame is written to the
+    shared folder and read back; writing a round deletes the last but one, so
+    a run keeps two rounds however many it takes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path, schema = shared_path(self.spark, "round"), df.schema
+        df.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            delete_path(self.spark, self.paths.pop(0))
+        return self.spark.read.schema(schema).parquet(path)
+
+
 def bucketed_table(df: DataFrame, buckets: int, cols: list[str],
                    compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as an external table bucketed by ``cols`` under the
@@ -81,10 +118,9 @@ def bucketed_table(df: DataFrame, buckets: int, cols: list[str],
     layout is known to the planner, so only the other side is shuffled, and
     the files survive executor loss.
     """
-    import uuid
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    name = f"capgraph_{uuid.uuid4().hex}"
-    (df.write.bucketBy(buckets, *cols).option("path", f"{base}/{name}").option("compression", compression)
+    path = shared_path(spark)
+    name = path.rsplit("/", 1)[1]
+    (df.write.bucketBy(buckets, *cols).option("path", path).option("compression", compression)
      .mode("overwrite").saveAsTable(name))
     return spark.table(name)

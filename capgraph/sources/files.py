@@ -62,14 +62,18 @@ def read_edge_lists(spark: SparkSession, path: str, max_files: int | None = None
     keeps the first files by name.
     """
     raw = spark.read.text(path)
+    if max_files is not None:
+        # names are known from the listing: only the files kept are opened
+        if "graph_name" in raw.columns:
+            first = raw.select("graph_name").distinct().orderBy("graph_name").limit(max_files)
+            raw = raw.where(F.col("graph_name").isin([r[0] for r in first.collect()]))
+        else:
+            raw = spark.read.text(sorted(raw.inputFiles(), key=lambda f: f.rsplit("/", 1)[1])[:max_files])
     if "graph_name" not in raw.columns:
         # plain files: the graph is the file name without its extension
         # (a folder written by ``write_edge_list`` carries it as a partition)
         raw = raw.withColumn("graph_name", F.regexp_replace(F.col("_metadata.file_name"),
                                                             r"\.[^.]*$", ""))
-    if max_files is not None:
-        first = raw.select("graph_name").distinct().orderBy("graph_name").limit(max_files)
-        raw = raw.join(F.broadcast(first), "graph_name", "left_semi")
     p = _parse(raw)
     ok = F.col("src").isNotNull() & F.col("dst").isNotNull()
     edges = p.filter(ok).select("graph_name", "src", "dst")
@@ -90,6 +94,19 @@ def write_edge_list(edges: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("graph_name").text(path))
 
 
+def write_named_edge_list(edges: DataFrame, path: str, name: str) -> None:
+    """One graph's edges (and whatever other lines ``value`` holds) as the file
+    ``{path}/{name}.txt``."""
+    spark = edges.sparkSession
+    part = f"{path}/_{name}"
+    edges.select("value").coalesce(1).write.text(part)
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (file,) = [s.getPath() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{part}/part-*"))]
+    fs.rename(file, jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.txt"))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(part), True)
+
+
 def read_runs_csv(spark: SparkSession, path: str, schema: T.StructType = RUNS_SCHEMA) -> DataFrame:
     """The runs table from CSV with a header and an explicit schema (no
     inference pass over the data)."""

@@ -26,13 +26,15 @@ def _order_parts(spark: SparkSession, sf_dir: str, min_quantity: float | None) -
                      F.col("l_partkey").alias("part")).distinct()
 
 
-def copurchase_edges(spark: SparkSession, sf_dir: str, min_quantity: float | None = 45.0,
+def copurchase_edges(spark: SparkSession, sf_dir: str, min_quantity: float | None = None,
                      graph_name: str = "copurchase") -> DataFrame:
     """Parts bought in the same order are adjacent.
 
-    ``(graph_name, src, dst)`` with ``src < dst``, distinct.  The self-join is
-    on the order key, so both sides come from one shuffle; a hot order is
-    split by AQE's skew-join handling.
+    ``(graph_name, src, dst)`` with ``src < dst``, distinct; all lines, unless
+    ``min_quantity`` asks for large ones only.  The pairs of an order are the
+    view's definition: their number is the square of the order's lines, which
+    the tables keep small (at most 7), so both sides of the self-join come from
+    one shuffle on the order key.
     """
     op = _order_parts(spark, sf_dir, min_quantity)
     a, b = op.alias("a"), op.alias("b")
@@ -43,7 +45,7 @@ def copurchase_edges(spark: SparkSession, sf_dir: str, min_quantity: float | Non
 
 
 def copurchase_edges_multi(spark: SparkSession, sf_dir: str,
-                           min_quantity: float | None = 45.0) -> DataFrame:
+                           min_quantity: float | None = None) -> DataFrame:
     """Many graphs in one table: one co-purchase graph per order priority."""
     op = _order_parts(spark, sf_dir, min_quantity)
     orders = table(spark, sf_dir, "orders").select(

@@ -239,7 +239,7 @@ def test_pagerank_never_reshuffles_edges(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    scans = [i for i, line in enumerate(plan) if "capgraph_" in line and "Scan" in line]
+    scans = [i for i, line in enumerate(plan) if "Bucketed: true" in line and "Scan" in line]
     assert scans
     for i in scans:
         depth = len(plan[i]) - len(plan[i].lstrip(" :+-"))
@@ -250,3 +250,84 @@ def test_pagerank_never_reshuffles_edges(spark):
                 if "Join" in line:
                     break
                 depth = d
+
+
+def test_hubs_are_salted_and_change_nothing(spark, monkeypatch):
+    """A vertex with most edges: every operator gives the same with salts, and
+    the hub's rows no longer meet in one partition."""
+    from capgraph.operators.graph import skew
+    rng = np.random.default_rng(5)
+    pairs = sorted({(0, int(v)) for v in range(1, 400)}
+                   | {tuple(sorted((int(a), int(b)))) for a, b in rng.integers(1, 400, size=(500, 2)) if a != b})
+    e = edges_df(spark, pairs)
+
+    def everything():
+        return [sorted(map(tuple, df.collect())) for df in (
+            CC.connected_components(e), TR.triangle_count(e), TR.triangles_per_vertex(e),
+            PR.pagerank_fixed(e, max_iterations=3).select("graph_name", "vertex", F.round("pagerank", 9)),
+            PR.pagerank_converged(e).select("graph_name", "vertex", F.round("pagerank", 9), "iterations"))]
+
+    plain = everything()
+    monkeypatch.setattr(skew, "HUB_ENDS", 100)
+    hubs = skew.find_hubs(TR.vertices_of_ends(e), len(pairs))
+    assert [r.vertex for r in hubs.collect()] == [0]
+    assert everything() == plain
+    by = skew.salted(e, hubs, "src", ["dst"]).where("src = 0").groupBy("_salt").count().collect()
+    assert len(by) > skew.SALTS // 2 and max(r["count"] for r in by) < 40
+
+
+def test_hub_bound_keeps_the_list_of_hubs_small():
+    from capgraph.operators.graph import skew
+    for edges in (10, 10**6, 10**9, 10**12):
+        assert 2 * edges / skew.hub_bound(edges) <= skew.MOST_HUBS
+
+
+def test_components_raise_at_the_round_cap(spark):
+    e = edges_df(spark, [(k, k + 1) for k in range(400)])
+    with pytest.raises(RuntimeError):
+        CC.connected_components(e, max_rounds=2)
+    assert CC.connected_components(e).select("component").distinct().count() == 1
+
+
+def test_rounds_leave_two_folders(spark, tmp_path):
+    import os
+
+    from capgraph.session import Rounds
+    rounds = Rounds(spark)
+    df = spark.range(3)
+    for _ in range(5):
+        df = rounds.write(df)
+    assert df.count() == 3 and len(rounds.paths) == 2
+    assert all(os.path.isdir(p.removeprefix("file:")) for p in rounds.paths)
+
+
+def test_first_k_for_large_k_sorts_no_whole_graph(spark):
+    verts = spark.range(0, 30000).selectExpr("'g' AS graph_name", "id AS vertex")
+    out = E.first_k_vertices(verts, 10000)
+    assert out.count() == 10000 and out.agg(F.max("vertex")).first()[0] == 9999
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_shard" in plan and plan.count("Window") >= 2
+
+
+def test_density_of_a_huge_graph_does_not_overflow(spark):
+    df = spark.range(1).select(E.density_expr(F.lit(4_000_000_000), F.lit(10)).alias("d"))
+    assert df.first()["d"] == pytest.approx(20 / 4e9 / 4e9, rel=1e-6)
+
+
+def test_graph_features_are_exact_unless_asked(spark):
+    pairs = [(k, k + 1) for k in range(60000)] + K5
+    row = FT.graph_features(edges_df(spark, pairs)).first()
+    want = TR.average_clustering(edges_df(spark, pairs)).first()["avg_clustering"]
+    assert row["sampled"] is False and row["nodes"] == 60001 and row["avg_clustering"] == pytest.approx(want)
+    sampled = FT.graph_features(edges_df(spark, pairs), clustering_threshold=50000, clustering_sample=5).first()
+    assert sampled["sampled"] is True and sampled["avg_clustering"] == pytest.approx(1.0)
+
+
+def test_pagerank_returns_only_asked_vertices(spark):
+    verts = spark.createDataFrame([("g", 1), ("g", 9)], "graph_name string, vertex bigint")
+    got = {r["vertex"] for r in PR.pagerank_fixed(edges_df(spark, TRI_TAIL), verts).collect()}
+    assert got == {1, 9}
+    out = PR.pagerank_converged(edges_df(spark, TRI_TAIL), max_iter=1).collect()
+    assert all(not r["converged"] and r["iterations"] == 1 and r["error"] > 0 for r in out)
+    with pytest.raises(RuntimeError):
+        PR.pagerank_converged(edges_df(spark, TRI_TAIL), max_iter=1, must_converge=True)

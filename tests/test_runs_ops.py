@@ -13,7 +13,7 @@ def test_exact_median_skewed_groups(spark):
     rows += [("small", float(v)) for v in rng.normal(0, 1, 10)]
     rows += [("one", 4.5)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", buckets=16).collect()}
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", ranges=16).collect()}
     for k in ("hot", "small", "one"):
         want = float(np.median([v for kk, v in rows if kk == k]))
         assert got[k] == pytest.approx(want, rel=1e-12)
@@ -42,3 +42,53 @@ def test_safe_corr_constant_is_null(spark):
     df = df.withColumn("total_cores", F.col("total_memory_gb"))
     got = {r["algorithm_type"]: r["memory_corr"] for r in R.resource_correlation(df).collect()}
     assert got["a"] is None and got["b"] == pytest.approx(1.0)
+
+
+def test_median_keeps_null_groups_and_splits_equal_values(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)] + [("hot", 7.0)] * 900 + [("hot", float(k)) for k in range(100)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for ranges in (None, 5):
+        got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", ranges=ranges).collect()}
+        assert got == {None: 2.0, "b": 2.0, "hot": 7.0}
+    counts = df.groupBy("k", "v").count()
+    assert counts.where("k = 'hot'").count() == 100  # 90 % equal rows are one counted value
+
+
+def test_positions_keep_nulls_and_groups(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", None), (None, 5), ("b", 2), ("b", 2)], "k string, v int")
+    got = sorted(((r["k"], r["v"], r["_pos"]) for r in positions(df, ["k"], "v").collect()), key=repr)
+    assert got == sorted([("a", 1, 1), ("a", 3, 2), ("a", None, 3), (None, 5, 1), ("b", 2, 1), ("b", 2, 2)], key=repr)
+    ids = spark.createDataFrame([(1,), (2,), (None,)], "run_id int")
+    assert R.systematic_sample(ids, every=1).count() == 3
+
+
+def test_profile_and_histogram_keep_a_null_algorithm(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 5.0), ("a", 2.0)], "algorithm_type string, simulated_time double")
+    got = {r["algorithm_type"]: r["median_time"] for r in R.algorithm_profile(df).collect()}
+    assert got == {None: 3.0, "a": 2.0}
+    h = R.histogram(df, "simulated_time", 2, ["algorithm_type"]).groupBy("algorithm_type").agg(F.sum("count").alias("n"))
+    assert {r["algorithm_type"]: r["n"] for r in h.collect()} == {None: 2, "a": 1}
+
+
+def _plan(spark, make):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_plans_without_products_or_fact_shuffles(spark):
+    from conftest import SF_SMALL
+
+    from capgraph.sources import tables as T
+    runs = T.runs(spark, SF_SMALL)
+    for make in (lambda: R.median_success_rate(runs), lambda: R.systematic_sample(runs), lambda: R.algorithm_profile(runs)):
+        assert "CartesianProduct" not in _plan(spark, make)
+    features = ("num_nodes", "total_cores", "total_memory_gb")
+    for make in (lambda: R.correlation_matrix(runs, features), lambda: R.runtime_correlation_ranking(runs, features)):
+        assert "hashpartitioning(algorithm_type" not in _plan(spark, make)
