@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,6 +27,8 @@ HEADLINE = [
     "algorithm_profile", "deadline_hit_rates_by_algorithm", "resource_correlation",
     "cheapest_passing_config", "systematic_sample", "speedup_efficiency",
     "policy_metrics", "deadline_optimizer", "validation_summary",
+    # a fitted model
+    "runtime_model_rf",
 ]
 
 
@@ -38,8 +39,6 @@ def main():
     # Shuffle partitions sized to the data: at these scale factors one per core.
     parts = int(os.environ.get("BENCH_PARTITIONS", cpus if cpus.isdigit() else "8"))
     spark = local_session(cpus, shuffle_partitions=parts, app="capgraph-bench")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="capgraph-bench-ckpt-"))
     qs = catalog.queries()
     # warm-up: JVM, parquet footers, codegen caches
     qs["graph_vertices"](spark, sf_dir).write.format("noop").mode("overwrite").save()

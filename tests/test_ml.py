@@ -62,6 +62,7 @@ def test_optimiser_picks_fewest_passing_nodes(spark):
     pol = {r["deadline"]: r for r in OPT.model_policy(
         OPT.optimise_deadlines(wl, dl, OPT.lookup_predictor(runs), max_nodes=4)).collect()}
     assert pol[5.0]["fallback"] and pol[5.0]["nodes"] == 8
+    assert pol[5.0]["est_time"] == 10.0  # the prediction for the most nodes
 
 
 def test_regression_metrics(spark):
@@ -73,7 +74,19 @@ def test_regression_metrics(spark):
 
 def test_cross_deadline(spark, runs):
     x = runs.withColumn("deadline_constraint", F.when(F.col("run_id") % 2 == 0, 30.0).otherwise(60.0))
-    pairs = RM.cross_deadline(x, numTrees=3, maxDepth=2)
+    pairs = RM.cross_deadline(x, kind="rf", numTrees=3, maxDepth=2)
     assert pairs.count() == 2
+    n = {r["deadline_constraint"]: r["count"] for r in x.groupBy("deadline_constraint").count().collect()}
+    assert all(r["train_samples"] == n[r["train_deadline"]] and r["test_samples"] == n[r["test_deadline"]]
+               for r in pairs.collect())
     s = RM.generalisation_summary(pairs).first()
-    assert s["best_pair"] is not None
+    assert s["best_pair"] is not None and s["mean_mae"] > 0 and s["std_mae"] is not None
+    many = runs.withColumn("deadline_constraint", F.col("run_id").cast("double"))
+    with pytest.raises(ValueError):
+        RM.cross_deadline(many)
+
+
+def test_derived_deadlines_are_repeatable(spark, runs):
+    a = RM.derived_deadline(runs, (20.0, 30.0, 45.0, 60.0)).select("run_id", "deadline_constraint")
+    b = RM.derived_deadline(runs.repartition(5), (20.0, 30.0, 45.0, 60.0)).select("run_id", "deadline_constraint")
+    assert a.exceptAll(b).count() == 0 and a.select("deadline_constraint").distinct().count() == 4

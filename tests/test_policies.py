@@ -37,3 +37,42 @@ def test_metrics_fallback_not_a_hit(spark):
     wide = P.to_wide(P.rank_policies(df), policies=("model", "tiered"))
     back = P.to_long(wide, policies=("model", "tiered"))
     assert back.count() == 4
+
+
+COLS = ("workload string, algorithm string, policy string, nodes int, cost int, est_time double, deadline double, "
+        "fallback boolean")
+
+
+def test_metrics_without_the_reference_policy(spark):
+    rows = [("w1", "a", "log", 4, 4, 50.0, 60.0, False), ("w1", "a", "sqrt", 2, 2, 70.0, 60.0, False)]
+    m = {r["policy"]: r for r in P.policy_metrics(spark.createDataFrame(rows, COLS)).collect()}
+    # the lowest mean cost stands in for the reference's
+    assert m["log"]["cost_efficiency"] == 50.0 and m["sqrt"]["cost_efficiency"] == 100.0
+    assert P.best_policies(P.policy_metrics(spark.createDataFrame(rows, COLS))).first()["lowest_cost_policy"] == "sqrt"
+
+
+def test_overview_counts_policies_with_nodes(spark):
+    rows = [("w1", "a", "log", 4, 4, 50.0, 60.0, False), ("w1", "a", "none", 0, 0, 50.0, 60.0, False)]
+    assert P.policy_overview(P.policy_metrics(spark.createDataFrame(rows, COLS))).first()["policies"] == 1
+
+
+def test_choices_never_run_stay_with_a_null_time(spark):
+    alloc = spark.createDataFrame([("g1", "a", "log", 2, 2), ("g9", "a", "log", 3, 3)],
+                                  "workload string, algorithm string, policy string, nodes int, cost int")
+    runs = spark.createDataFrame([("g1", "a", 1, 30.0)], "graph_name string, algorithm_type string, num_nodes int, simulated_time double")
+    scored = P.score_against_runs(alloc, runs)
+    got = {r["workload"]: r["est_time"] for r in scored.collect()}
+    assert got == {"g1": 30.0, "g9": None}
+    m = P.policy_metrics(scored).first()
+    assert m["unscored"] == 1 and m["workloads"] == 2 and m["hit_pct"] == 50.0
+    ranks = {r["workload"]: r["efficiency_score"] for r in P.rank_policies(scored).collect()}
+    assert ranks["g9"] is None
+
+
+def test_zero_runtime_has_no_speedup(spark):
+    from capgraph.operators import thresholds as TH
+    rows = [("d", "a", 1, 10.0, True), ("d", "a", 2, 0.0, True), ("d", "a", 4, 5.0, True)]
+    s = spark.createDataFrame(rows, "dataset string, algorithm string, level int, time double, success boolean")
+    got = {r["level"]: r["speedup"] for r in TH.speedup_efficiency(s).collect()}
+    assert got == {2: None, 4: 2.0}
+    assert TH.mean_efficiency(TH.speedup_efficiency(s)).count() == 2
