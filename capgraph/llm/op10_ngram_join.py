@@ -64,10 +64,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(body: bytes, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's word sequences."""
-    words = body.split()
-    if not words:
+    words = word_hashes(body)
+    if not len(words):
         return np.zeros(0, np.uint64)
-    return np.unique(sequence_hashes(word_hashes(words), min(size, len(words))))
+    return np.unique(sequence_hashes(words, min(size, len(words))))
 
 
 def class_of(found: np.ndarray) -> int:

@@ -30,8 +30,6 @@ rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,25 +38,51 @@ from pyspark.sql import functions as F
 from . import common
 from .op6_suffix_dedup import covered_spans, distinct, known, powers
 from .shards import SENT, SHARD_BYTES, Shards, answered, answers, bodies_of, send, with_answers
-from .tokenizer import Memo
 
 WINDOW = 20
 PREFIX = 8
 STRIP_WORDS = 1 << 16
+STRIP_BYTES = 1 << 18
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _word(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-
-
-_WORDS: list[Memo] = []
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if not _WORDS:
-        _WORDS.append(Memo(_word))
-    return np.fromiter(map(_WORDS[0].__getitem__, words), np.int64, len(words)).view(np.uint64)
+_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: ASCII white space, as [^\x20\x09-\x0D]+ has it.
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``text`` start, and their hashes."""
+    raw = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[raw]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * up[:len(raw)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(31)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return starts, h
+
+
+def word_hashes(body: bytes) -> np.ndarray:
+    """The hashes of a text's words, read in strips that end at white space."""
+    if len(body) <= STRIP_BYTES:
+        return _hashed(body)[1]
+    found, at = [], 0
+    while at < len(body):
+        end = at + STRIP_BYTES
+        if end < len(body):
+            cuts = [body.rfind(bytes([c]), at, end) for c in np.flatnonzero(_SPACE).tolist()]
+            end = max(cuts) + 1
+            if end <= at:  # one word longer than a strip
+                later = [i for c in np.flatnonzero(_SPACE).tolist() if (i := body.find(bytes([c]), at)) >= 0]
+                end = min(later, default=len(body) - 1) + 1
+        found.append(_hashed(body[at:end])[1])
+        at = end
+    return np.concatenate(found)
 
 
 def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -91,18 +115,45 @@ def minimisers(prefixes: np.ndarray, reach: int) -> np.ndarray:
     return at
 
 
-class Text:
-    def __init__(self, body: bytes, window: int, prefix: int):
-        self.words = body.split()  # ASCII white space, as [^\x20\x09-\x0D]+
-        self.starts = max(0, len(self.words) - window + 1)
-        if self.starts:
-            self.hashes = word_hashes(self.words)
-            self.prefixes = sequence_hashes(self.hashes, prefix)
-            self.at = minimisers(self.prefixes, window - prefix + 1)
-
-    def sampled(self) -> np.ndarray:
-        """Prefixes at minimisers, one for each place."""
-        return self.prefixes[self.at[np.append(True, self.at[1:] != self.at[:-1])]]
+class Strip:
+    """The words of some texts in a row, their windows and minimisers; windows
+    that would reach into the next text are left out."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, window: int, prefix: int):
+        self.words, self.counts, self.window = words, counts, window
+        self.firsts = np.cumsum(counts) - counts
+        n = len(words) - window + 1
+        if n <= 0:
+            self.starts, self.prefix = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return
+        text = np.repeat(np.arange(len(counts)), counts)
+        self.starts = np.flatnonzero(text[:n] == text[window - 1:])
+        prefixes = sequence_hashes(words, prefix)
+        at = minimisers(prefixes, window - prefix + 1)[self.starts]
+        self.prefix = prefixes[at]
+        self.sampled = self.prefix[np.append(True, at[1:] != at[:-1])] if len(at) else self.prefix
+
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        return sequence_hashes(self.words, self.window)[self.starts[which]]
+
+
+def strips(bodies: list[bytes], window: int, prefix: int):
+    """(first text, ``Strip``) of all texts, some at a time."""
+    i = 0
+    while i < len(bodies):
+        j, size = i, 0
+        while j < len(bodies) and (j == i or size + len(bodies[j]) < STRIP_BYTES):
+            size += len(bodies[j]) + 1
+            j += 1
+        if j == i + 1:
+            words = word_hashes(bodies[i])
+            counts = np.array([len(words)])
+        else:
+            ends = np.cumsum([len(b) + 1 for b in bodies[i:j]])
+            starts, words = _hashed(b" ".join(bodies[i:j]))
+            counts = np.diff(np.append(0, np.searchsorted(starts, ends)))
+        yield i, Strip(words, counts, window, prefix)
+        i = j
 
 
 RESULT = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -115,50 +166,49 @@ def repeated_sequences(docs: DataFrame, window: int = WINDOW, prefix: int = PREF
     corpus = Shards(common.id_text(docs, id_col, text_col), shard_bytes)
     prefix_parts, window_parts = corpus.parts(corpus.bytes // 40), corpus.parts(corpus.bytes // 20)
 
-    def texts(shard: pa.Table):
-        for doc_id, body in bodies_of(shard):
-            yield doc_id, Text(body, window, prefix)
-
-    def sampled(shard):
-        return distinct([t.sampled() for _, t in texts(shard) if t.starts])
+    def sampled(bodies):
+        return distinct([s.sampled for _, s in strips(bodies, window, prefix) if len(s.starts)])
 
-    def left(shard: pa.Table, prefixes: np.ndarray, twice: np.ndarray):
-        """Each text with the starts of its windows whose prefix repeats, and
-        these windows' hashes."""
-        for doc_id, t in texts(shard):
-            starts = np.zeros(0, np.int64)
-            if t.starts:
-                starts = np.flatnonzero(known(prefixes, twice, t.prefixes[t.at]))
-            yield doc_id, t, starts, (sequence_hashes(t.hashes, window)[starts] if len(starts) else
-                                      np.zeros(0, np.uint64))
+    def left(bodies, prefixes: np.ndarray, twice: np.ndarray):
+        """Each strip with its windows whose prefix repeats, and their hashes."""
+        for i, s in strips(bodies, window, prefix):
+            which = np.flatnonzero(known(prefixes, twice, s.prefix))
+            yield i, s, which, s.hashes(which) if len(which) else np.zeros(0, np.uint64)
 
     def split(key, shard):
-        return send(key[0].as_py(), *sampled(shard), prefix_parts)
+        return send(key[0].as_py(), *sampled([b for _, b in bodies_of(shard)]), prefix_parts)
 
     def extend(key, shard, replies):
-        prefixes, _ = sampled(shard)
+        bodies = [b for _, b in bodies_of(shard)]
+        prefixes, _ = sampled(bodies)
         twice = answered(replies, prefixes, prefix_parts)
-        return send(key[0].as_py(), *distinct([h for *_, h in left(shard, prefixes, twice)]), window_parts)
+        return send(key[0].as_py(), *distinct([h for *_, h in left(bodies, prefixes, twice)]), window_parts)
 
     def removed(key, shard, replies):
         kinds = np.asarray(replies.column("kind"))
-        prefixes, _ = sampled(shard)
+        rows = bodies_of(shard)
+        bodies = [b for _, b in rows]
+        prefixes, _ = sampled(bodies)
         twice = answered(replies.filter(pa.array(kinds == 1)), prefixes, prefix_parts)
-        rows = [(doc_id, t.words, starts, h) for doc_id, t, starts, h in left(shard, prefixes, twice)]
-        flat = np.concatenate([h for *_, h in rows])
+        found = list(left(bodies, prefixes, twice))
+        flat = np.concatenate([h for *_, h in found])
         nodes, first, node = np.unique(flat, return_index=True, return_inverse=True)
         earlier = answered(replies.filter(pa.array(kinds == 2)), nodes, window_parts)
-        repeat = earlier[node] | (first[node] != np.arange(len(flat))) if len(flat) else np.zeros(0, bool)
-        spans, kept, at = [], [], 0
-        for _, words, starts, h in rows:
-            runs = covered_spans(starts[repeat[at:at + len(h)]], window)
+        repeat = earlier[node] | (first[node] != np.arange(len(flat)))
+        counts, spans, kept, at = [], [], [], 0
+        for i, s, which, h in found:
+            starts = s.starts[which[repeat[at:at + len(h)]]]
             at += len(h)
-            spans.append([{"start": a, "end": b} for a, b in runs])
-            ends = [0, *(x for run in runs for x in run), len(words)]
-            kept.append(b" ".join(w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]))
+            cuts = np.searchsorted(starts, s.firsts)
+            for k, (count, lo, hi) in enumerate(zip(s.counts.tolist(), cuts, np.append(cuts[1:], len(starts)))):
+                words = bodies[i + k].split()
+                runs = covered_spans(starts[lo:hi] - s.firsts[k], window) if lo < hi else []
+                counts.append(count)
+                spans.append([{"start": a, "end": b} for a, b in runs])
+                ends = [0, *(x for run in runs for x in run), len(words)]
+                kept.append(b" ".join(w for a, b in zip(ends[::2], ends[1::2]) for w in words[a:b]) if runs else b" ".join(words))
         return pa.table({
-            "doc_id": pa.array([r[0] for r in rows], pa.int64()),
-            "n_words": pa.array([len(r[1]) for r in rows], pa.int64()),
+            "doc_id": pa.array([d for d, _ in rows], pa.int64()), "n_words": pa.array(counts, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array(kept, pa.binary())})
 
