@@ -47,7 +47,7 @@ BANDS, ROWS = 64, 8
 TOLERANCE = 1e-7
 STEP = 16
 COMPARED = 128
-BLOCK = 4096
+BLOCK = 1024
 TILE = 512
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -205,16 +205,23 @@ class Forest:
 SIGNED = "doc_id bigint, cls bigint, bands array<bigint>"
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, body) as (doc_id, cls, bands)."""
+def by_shingles():
+    """How this operator makes a text's set, and the set's candidate keys."""
+    return shingles, lambda found: bands_of(minhashes(found))
+
+
+def signed(docs: DataFrame, make=by_shingles) -> DataFrame:
+    """``docs`` (doc_id, body) as (doc_id, cls, bands).  ``make()``, called in
+    each task, gives the functions body -> set and set -> candidate keys."""
 
     def run(batches):
+        set_of, keys_of = make()
         for b in batches:
             names, keys = [], []
             for body in b.column("body"):
-                found = shingles(body.as_py())
+                found = set_of(body.as_py())
                 names.append(class_of(found))
-                keys.append(bands_of(minhashes(found)) if len(found) else np.zeros(0, np.int64))
+                keys.append(keys_of(found) if len(found) else np.zeros(0, np.int64))
             ends = np.cumsum([0] + [len(k) for k in keys])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -240,10 +247,12 @@ def clusters(rows: DataFrame) -> DataFrame:
     return _components(edges).select(F.col("vertex").alias("cls"), F.col("component").alias("cluster"))
 
 
-def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, tolerance: float, block: int,
+                   make=by_shingles) -> DataFrame:
     """For each class of equal sets: cls, first (its least id), copies, links
     (to rows of other classes) and component.  ``texts``: doc_id, body;
-    ``rows``: the same as ``signed`` gives them."""
+    ``rows``: the same as ``signed`` gives them.  A tolerance of 0 leaves all
+    candidates to the exact comparison."""
     classes = common.written(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     found = common.written(clusters(rows))
     sizes = found.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -252,8 +261,9 @@ def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, toleranc
                       F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")))
 
     def read(batches):
+        set_of, _ = make()
         for b in batches:
-            sets = [shingles(x.as_py()) for x in b.column("body")]
+            sets = [set_of(x.as_py()) for x in b.column("body")]
             right = pa.array([class_of(s) == c for s, c in zip(sets, b.column("cls").to_pylist())])
             names = ["cls", "cluster", "copies", "blocks", "block"]
             out = pa.RecordBatch.from_arrays([*(b.column(c) for c in names),
@@ -310,11 +320,11 @@ def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, toleranc
 
 
 def near_links(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", make=by_shingles) -> DataFrame:
     """doc_id, class_id, n_links of every row."""
     texts = common.id_text(docs, id_col, text_col)
-    rows = common.written(signed(texts))
-    named = linked_classes(texts, rows, threshold, tolerance, block)
+    rows = common.written(signed(texts, make))
+    named = linked_classes(texts, rows, threshold, tolerance, block, make)
     heads = common.written(named.groupBy("component").agg(F.min("first").alias("class_id")))
     by_class = common.written(named.join(heads, "component").select(
         "cls", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")))

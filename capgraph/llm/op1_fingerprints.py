@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from . import op10_ngram_join as near
 from .tokenizer import Memo
 
 #: Common words of four languages that start a signature.
@@ -137,6 +138,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         run, "doc_id bigint, fingerprint string, n_signatures int")
 
 
+# -- near duplicates -----------------------------------------------------------
+
+def length_partition(n: int, threshold: float) -> int:
+    """The partition of sets of ``n`` signatures: the lengths of a partition lie
+    within a factor ``threshold``, so sets that reach the threshold are in the
+    same partition or in neighbours."""
+    return int(np.floor(np.log(n) / -np.log(threshold) + 1e-9))
+
+
+def candidate_keys(found: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of which two sets that reach the threshold share one: the first
+    n - ceil(threshold * n) + 1 signatures in one fixed order, for the set's
+    own length partition and the next one."""
+    n = len(found)
+    first = np.sort(near.mixed(found))[:n - int(np.ceil(threshold * n - 1e-9)) + 1]
+    own = length_partition(n, threshold)
+    parts = [own, own + 1]
+    return np.concatenate([near.mixed(first + np.uint64(p * int(_M1) & 0xFFFFFFFFFFFFFFFF)) for p in parts]).view(np.int64)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+                    chain: int = CHAIN) -> DataFrame:
+    """doc_id, class_id (the least id connected to it) and n_links (rows whose
+    fingerprint's likeness reaches ``threshold``) of every row.
+
+    Sets are partitioned by length and meet by their signatures inside a
+    partition and the next one; pairs that lengths rule out are dropped, the
+    others are counted exactly, in blocks (see ``op10_ngram_join``)."""
+
+    def make():
+        signatures = Signatures(chain)
+        return (lambda body: signatures(body).astype(np.uint64)), (lambda found: candidate_keys(found, threshold))
+
+    return near.near_links(docs, threshold, 0.0, id_col=id_col, text_col=text_col, make=make)
+
+
 # -- the comparison of each document with its edited text and its successor --
 
 ROWS_PER_RANGE = 8192

@@ -115,6 +115,24 @@ def test_near_links_match_brute_force(spark, block):
     assert got == sorted(((i, c, n) for (i, _), c, n in zip(rows, least, links)), key=repr)
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_near_fingerprints_match_brute_force(spark, threshold):
+    rows = families()
+    find = spots.Signatures()
+    sets = [set(find(text(t).encode()).tolist()) for _, t in rows]
+    links = [sum(jaccard(a, b) >= threshold - 1e-12 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    got = spots.near_duplicates(frame(spark, rows), threshold).collect()
+    assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == sorted(((i, n) for (i, _), n in zip(rows, links)), key=repr)
+    assert sum(links) > 40
+
+
+def test_length_partitions_neighbour():
+    for threshold in (0.5, 0.8, 0.9):
+        for n in range(1, 300):
+            most = int(n / threshold + 1e-9)
+            assert spots.length_partition(most, threshold) - spots.length_partition(n, threshold) in (0, 1)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = families()
     out = near.one_of_each(frame(spark, rows))
