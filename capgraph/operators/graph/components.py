@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...session import Rounds
+from ...session import Rounds, written
 from .edges import G, vertices
 from .skew import find_hubs, hub_join
 
@@ -73,8 +73,10 @@ def connected_components(edges: DataFrame, verts: DataFrame | None = None,
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     # Converged: every non-root vertex points at its component's minimum.
     parent = e.groupBy(G, "src").agg(F.min("dst").alias("p"))
-    return (verts.join(parent.withColumnRenamed("src", "vertex"), [G, "vertex"], "left")
-            .select(G, "vertex", F.coalesce("p", "vertex").alias("component")))
+    out = written(verts.join(parent.withColumnRenamed("src", "vertex"), [G, "vertex"], "left")
+                  .select(G, "vertex", F.coalesce("p", "vertex").alias("component")))
+    rounds.clear()
+    return out
 
 
 def component_summary(comps: DataFrame) -> DataFrame:

@@ -92,6 +92,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def drop_table(spark: SparkSession, name: str) -> None:
+    """Drop a table of ``bucketed_table`` and its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    delete_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+
+
 class Rounds:
     """The state of an iterative job: each round's frame is written to the
     shared folder and read back; writing a round deletes the last but one, so
@@ -108,6 +114,11 @@ class Rounds:
             delete_path(self.spark, self.paths.pop(0))
         return self.spark.read.schema(schema).parquet(path)
 
+    def clear(self) -> None:
+        """Delete the rounds that are left, once the result is written."""
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
+
 
 def bucketed_table(df: DataFrame, buckets: int, cols: list[str],
                    compression: str = "snappy") -> DataFrame:

@@ -231,7 +231,9 @@ def test_pagerank_never_reshuffles_edges(spark):
     for k in keys:
         spark.conf.set(k, "-1")
     try:
-        df = PR.pagerank_fixed(edges_df(spark, pairs), max_iterations=2)
+        e = edges_df(spark, pairs)
+        ranks = E.vertices(e).withColumn("pagerank", F.lit(1.0))
+        df = PR.WeightedEdges(e).contributions(ranks).groupBy("graph_name", "vertex").agg(F.sum("c"))
         plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         for k, v in old.items():
@@ -301,6 +303,13 @@ def test_rounds_leave_two_folders(spark, tmp_path):
     assert all(os.path.isdir(p.removeprefix("file:")) for p in rounds.paths)
 
 
+def test_pagerank_leaves_no_tables(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert PR.pagerank_fixed(edges_df(spark, TRI_TAIL)).count() == 4
+    assert PR.pagerank_converged(edges_df(spark, TRI_TAIL)).count() == 4
+    assert {t.name for t in spark.catalog.listTables()} <= before
+
+
 def test_first_k_for_large_k_sorts_no_whole_graph(spark):
     verts = spark.range(0, 30000).selectExpr("'g' AS graph_name", "id AS vertex")
     out = E.first_k_vertices(verts, 10000)
