@@ -59,19 +59,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as a reliable checkpoint in ``spark.checkpoint.dir``
-    and continue from it.
-
-    Used between rounds of iterative algorithms so that plans stay small and a
-    lost executor only costs the current round.  The checkpointed frame keeps
-    its output partitioning, so a following join or aggregate on the same
-    keys does not shuffle it again.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, prefix: str = "capgraph") -> str:
     """A new path in the shared checkpoint folder."""
     import uuid
