@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
-import uuid
 import zipfile
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written  # noqa: F401  (operators use common.written)
 
 
 _SENT: set[str] = set()
@@ -43,6 +44,32 @@ def prepare(spark: SparkSession) -> None:
     send_package(spark)
 
 
+#: What Python workers keep between tasks, by the operator that needs it.
+_CACHES: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    return _CACHES.setdefault(owner, {})
+
+
+def begin(owner: str | None = None) -> None:
+    """Called where a task's Python code starts: a worker that served another
+    operator before lets go of that one's caches, so several operators run in
+    the memory of one."""
+    for name, held in _CACHES.items():
+        if name != owner and held:
+            held.clear()
+            release()
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,37 +83,17 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
 
 
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """``df`` written as Parquet in the shared folder of
-    ``spark.checkpoint.dir`` and read back.
-
-    Used where a frame that Python made is read more than once: the work is
-    done once, and a lost executor costs nothing that was finished.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm_{uuid.uuid4().hex}"
-    schema = df.schema
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def remainder_of_id(col, by: int):
     """crc32(doc_id as text) mod ``by``; null where the id is null."""
     return F.crc32(col.cast("string").cast("binary")) % by
 
 
-def fold(doc_id: int, by: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % by
-
-
 def rows_where(docs: DataFrame, make, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, for whose UTF-8 text (null:
     empty) the test that ``make()`` builds in each task holds."""
 
     def run(batches):
+        begin()
         test = make()
         for b in batches:
             texts = b.column(text_col).cast(pa.binary())

@@ -215,6 +215,7 @@ def signed(docs: DataFrame, make=by_shingles) -> DataFrame:
     each task, gives the functions body -> set and set -> candidate keys."""
 
     def run(batches):
+        common.begin()
         set_of, keys_of = make()
         for b in batches:
             names, keys = [], []

@@ -87,7 +87,7 @@ class Pieces:
             self.score_of[i] = score
         self.begins = {q[:k] for q in self.table for k in range(1, len(q))}
         self.known = {p for p in self.table if len(p) == 1}
-        self.memo = Memo(self._best)
+        self.memo = Memo(self._word)
 
     def edges(self, text: str, at: int):
         """(length, score, id) of the pieces at a place, shorter ones first; an
@@ -158,24 +158,31 @@ class Pieces:
             ids.append(piece)
         return struct.pack(f"<{len(ids)}I", *reversed(ids))
 
-    def score(self, segment: str) -> int:
-        ids = np.frombuffer(self.memo[segment], "<u4")
-        if self.known.issuperset(segment):
-            return int(self.score_of[ids].sum())
-        return self.trace(segment, len(segment), [0])[0][-1]
+    def _word(self, word: str) -> bytes:
+        return self._best(MARK + word)
 
     def plain(self, text: str) -> bytes:
         """The ids of a normalised text, as little-endian 32-bit numbers."""
-        get = self.memo.__getitem__
         if not self.meets:
-            return get(text) if text else b""
-        return b"".join(map(get, SEGMENT.findall(text)))
+            return self._best(text) if text else b""
+        get = self.memo.__getitem__
+        if text[:1] == MARK and MARK + MARK not in text:
+            return b"".join(map(get, text[1:].split(MARK)))
+        return b"".join(get(s[1:]) if s[0] == MARK and s[1:2] != MARK else self._best(s) for s in SEGMENT.findall(text))
+
+    def ids_of(self, body: bytes) -> bytes:
+        """The ids of a UTF-8 text."""
+        text = body.decode("utf-8", "replace")
+        if text and self.meets and text[0] != " " and "  " not in text and MARK not in text:
+            return b"".join(map(self.memo.__getitem__, text.split(" ")))
+        return self.plain(normalised(body))
 
 
-_LOADED: dict[str, Pieces] = {}
+_LOADED = common.cache("sentencepiece")
 
 
 def load(path: str) -> Pieces:
+    common.begin("sentencepiece")
     if path not in _LOADED:
         _LOADED[path] = Pieces(path)
     return _LOADED[path]
@@ -201,16 +208,17 @@ class Chunk:
         self.first, self.last = (places[0], places[-1]) if places else (None, None)
 
     def matrix(self) -> np.ndarray:
-        """Best score from each state at the start to each state at the end."""
+        """Best score from each state at the start to each state at the end, up
+        to a constant."""
         n = self.states
         if self.first is None:
             return np.array([self._ends(self._scores(self.text, self.size, s)) for s in range(n)], np.int64)
         head = np.array([self._scores(self.text[:self.first], self.first, s)[self.first] for s in range(n)], np.int64)
-        middle = sum(self.p.score(x) for x in SEGMENT.findall(self.text[self.first:self.last]))
+        # the words between add the same to all entries, which decides nothing, so they are left out
         tail = self.text[self.last:]
         best, _ = self.p.trace(tail, self.size - self.last, [0])
         tail = np.array(self._ends(best, self.size - self.last), np.int64)
-        return plus(head[:, None] + middle, tail[None, :])
+        return plus(head[:, None], tail[None, :])
 
     def _scores(self, text: str, stop: int, state: int) -> list[int]:
         return self.p.trace(text, stop, [LOW] * state + [0])[0]
@@ -294,7 +302,7 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     def whole(batches):
         p = load(path)
         for b in batches:
-            ids = [p.plain(normalised(x.as_py())) for x in b.column("body")]
+            ids = [p.ids_of(x.as_py()) for x in b.column("body")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts.where(~giant).mapInArrow(whole, ENCODED).unionByName(scanned(texts.where(giant), path, chunk_chars))

@@ -94,6 +94,10 @@ class Strip:
         h *= _MIX
         return h
 
+    def let_go(self) -> None:
+        """Drop what takes eight times the text's room."""
+        self.bytes = self.sums = None
+
     def parse(self):
         """Triggers, and for each the phrase's hash to the next trigger of
         the same piece, or 0 where there is none within a window."""
@@ -188,7 +192,9 @@ class Reader:
             alone = (phrase != 0) & ~known(phrases, twice, phrase)
             starts = strip.candidates(at, alone)
             if len(starts):
-                yield strip, starts, strip.hashes(starts, self.window)
+                hashes = strip.hashes(starts, self.window)
+                strip.let_go()
+                yield strip, starts, hashes
 
 
 def covered_spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -208,10 +214,18 @@ def without(body: bytes, spans) -> bytes:
     return b"".join(kept)
 
 
+def without_characters(body: bytes, spans) -> bytes:
+    """``without``, each kept part rid of what is left of cut characters."""
+    ends = [0, *(x for span in spans for x in span), len(body)]
+    return b"".join(body[a:b].decode("utf-8", "ignore").encode() for a, b in zip(ends[::2], ends[1::2])) if spans else body
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
                    shard_bytes: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, the removed spans and the kept bytes of every row; with
-    ``carry`` also a struct ``row`` of the input's other columns."""
+    ``carry`` also a struct ``row`` of the input's other columns, and of a
+    character that a cut goes through nothing is kept."""
+    cut = without_characters if carry else without
     texts = common.id_text(docs, id_col, text_col)
     others = [c for c in docs.columns if c != text_col]
     if carry:
@@ -225,6 +239,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     phrase_parts, window_parts = corpus.parts(corpus.bytes // PERIOD), corpus.parts(corpus.bytes // 8)
 
     def dictionary(key, shard):
+        common.begin()
         phrases, again = Reader([b for _, b in bodies_of(shard)], window).phrases()
         return send(key[0].as_py(), phrases, again, phrase_parts)
 
@@ -232,6 +247,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         reader = Reader([b for _, b in bodies_of(shard)], window)
         phrases, _ = reader.phrases()
         hashes, again = distinct([h for _, _, h in reader.windows(phrases, answered(replies, phrases, phrase_parts))])
+        common.release()
         return send(key[0].as_py(), hashes, again, window_parts)
 
     def removed(key, shard, replies):
@@ -255,7 +271,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             "n_bytes": pa.array([len(b) for _, b in rows], pa.int64()),
             "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans],
                               pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            "kept": pa.array([without(b, s) for (_, b), s in zip(rows, spans)], pa.binary())})
+            "kept": pa.array([cut(b, s) for (_, b), s in zip(rows, spans)], pa.binary())})
+        common.release()
         return out.append_column("row", shard.column("row").take(pa.array(order, pa.int64()))) if carry else out
 
     one = common.written(answers(corpus.frame.groupBy("shard").applyInArrow(dictionary, SENT), phrase_parts, False))
@@ -270,14 +287,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     A character that a cut goes through goes whole; ``length_col``, where
     ``docs`` has it, is counted anew."""
     found = repeated_spans(docs, window, id_col, text_col, carry=True)
-    schema = common.with_fields(docs.select(text_col).schema, _row=found.schema["row"].dataType)
-
-    def run(batches):
-        for b in batches:
-            texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in b.column("kept")], pa.string())
-            yield pa.RecordBatch.from_arrays([texts, b.column("row")], [text_col, "_row"])
-
-    out = found.select("kept", "row").mapInArrow(run, schema)
+    out = found.select(F.col("kept").cast("string").alias(text_col), F.col("row").alias("_row"))
     columns = []
     for c in docs.columns:
         if c == text_col:

@@ -182,7 +182,9 @@ def repeated_sequences(docs: DataFrame, window: int = WINDOW, prefix: int = PREF
         bodies = [b for _, b in bodies_of(shard)]
         prefixes, _ = sampled(bodies)
         twice = answered(replies, prefixes, prefix_parts)
-        return send(key[0].as_py(), *distinct([h for *_, h in left(bodies, prefixes, twice)]), window_parts)
+        found = distinct([h for *_, h in left(bodies, prefixes, twice)])
+        common.release()
+        return send(key[0].as_py(), *found, window_parts)
 
     def removed(key, shard, replies):
         kinds = np.asarray(replies.column("kind"))

@@ -39,7 +39,7 @@ SAMPLE_PER_CLASS = 3000
 STEPS = 24
 RATE = 0.4
 LEAST_Z = 3.0
-RIDGE = 1e-4
+RIDGE = 3e-5
 THRESHOLD = 0.7
 #: Code points hashed at a time; a longer text is read in overlapping parts.
 PART = 1 << 20
@@ -83,6 +83,7 @@ def features(docs: DataFrame, keep: list[str], sizes=SIZES, bits: int = BITS) ->
     schema = common.with_fields(docs.select(*keep).schema, found=BinaryType())
 
     def extract(batches):
+        common.begin()
         f = Features(sizes, bits)
         for b in batches:
             rows = b.select(keep)

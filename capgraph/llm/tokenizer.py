@@ -17,6 +17,8 @@ import os
 import re
 import struct
 
+from . import common
+
 WORD_FILE = "word_bpe_49k.json"
 #: Entries in each of a memo's two generations (about 200 bytes an entry).
 MEMO_ENTRIES = 400_000
@@ -136,11 +138,12 @@ def drops_space(path: str) -> bool:
                         or not t["content"].startswith("<|") for t in spec["added_tokens"]))
 
 
-_LOADED: dict[str, object] = {}
+_LOADED = common.cache("tokenizer")
 
 
 def load(path: str):
     """The tokenizer of ``path``, once for each Python worker."""
+    common.begin("tokenizer")
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path) if drops_space(path) else LibraryTokenizer(path)
     return _LOADED[path]
