@@ -39,6 +39,8 @@ SAMPLE_PER_CLASS = 3000
 STEPS = 24
 RATE = 0.4
 LEAST_Z = 3.0
+#: Tasks of a step of the fit; each sends a vector of the feature space.
+FIT_TASKS = 8
 RIDGE = 3e-5
 THRESHOLD = 0.7
 #: Code points hashed at a time; a longer text is read in overlapping parts.
@@ -118,7 +120,8 @@ class Model:
 
 def _summed(frame: DataFrame, places: int, per_row) -> np.ndarray:
     """The sum over ``frame`` (y, found) of what ``per_row(y, offsets, places)``
-    gives for each Arrow batch; each task sends one vector."""
+    gives for each Arrow batch; each task sends one vector, at most
+    ``FIT_TASKS`` in all, however many files the bounded sample lies in."""
     def run(batches):
         total = np.zeros(places)
         for b in batches:
@@ -129,8 +132,10 @@ def _summed(frame: DataFrame, places: int, per_row) -> np.ndarray:
                 total += per_row(y, np.array([len(f) for f in found]), np.concatenate(found))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    return np.sum([np.frombuffer(r.total) for r in frame.mapInArrow(run, "total binary").toLocalIterator()] or
-                  [np.zeros(places)], axis=0)
+    total = np.zeros(places)
+    for r in frame.mapInArrow(run, "total binary").collect():
+        total += np.frombuffer(r.total)
+    return total
 
 
 def _only(sample: DataFrame, kept: np.ndarray) -> DataFrame:
@@ -148,6 +153,7 @@ def fit(sample: DataFrame, bits: int = BITS, steps: int = STEPS, rate: float = R
         least_z: float = LEAST_Z) -> Model:
     """``sample``: (y, found)."""
     spark, size = sample.sparkSession, 1 << bits
+    sample = sample.coalesce(FIT_TASKS)
     n = dict(sample.groupBy("y").count().collect())
     if not n.get(1) or not n.get(0):
         share = n.get(1, 0) / max(1, sum(n.values()))
@@ -159,7 +165,7 @@ def fit(sample: DataFrame, bits: int = BITS, steps: int = STEPS, rate: float = R
     ratio = np.log(toxic / (n[1] + 2)) - np.log(clean / (n[0] + 2))
     error = np.sqrt(1 / toxic - 1 / (n[1] + 2) + 1 / clean - 1 / (n[0] + 2))
     kept = np.abs(ratio) >= least_z * error
-    sample = common.written(_only(sample, kept))
+    sample = common.written(_only(sample, kept)).coalesce(FIT_TASKS)
     share = {y: 0.5 / n[y] for y in (0, 1)}
     w, bias = np.zeros(size), 0.0
     m = v = np.zeros(size + 1)
