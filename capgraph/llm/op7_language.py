@@ -9,21 +9,28 @@ whole text votes.  Where the best two totals lie close together the text is
 rejected (``reliable`` false).
 
 Learning rows: for each language a sample of at most ``sample_docs`` documents
-(lowest md5 of the id in each of as many hash slots), equal shares of which
-fill ``dictionary_bytes``.  This is the only bounded part; every whole text is classified.
+(lowest md5 of the id in each of as many hash slots).  Their whole texts are
+cut into pieces of some words where a word's hash says so, so equal passages
+give equal pieces wherever they stand, and each piece is learned once.  Each
+row gives its pieces in the order of their hashes, all rows in turn, until the
+language's dictionary has ``dictionary_bytes`` or its rows have no more text.
+The sample of rows is the only bounded part; every whole text is classified.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and not reliable; languages tied for the smallest total (very short texts) are
 told apart by how many of the text's words their dictionaries have, which is
 reliable if one has most, then by alphabetic order; a null
-id is classified like any other; null languages are not learned from; with no
-learned language every text is ``und``.
+id is classified like any other; null languages, and languages whose sample
+has no letter, are not learned from; with no learned language every text is
+``und``; of rows with one id the text with the lowest hash is sampled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +40,11 @@ from . import common
 
 DICTIONARY_BYTES = 1 << 17
 SAMPLE_DOCS = 400
-EXCERPT_CHARS = 2048
+#: Learned pieces: a word in so many ends one, which has at most so many words
+#: and bytes; longer words are cut.
+PIECE_WORDS = 16
+MOST_WORDS = 64
+MOST_BYTES = 512
 PIECE_BYTES = 3072
 LEVEL = 6
 #: Least margin, as a share of the best total, of a reliable answer.
@@ -49,21 +60,77 @@ def letters(text: str) -> str:
     return OTHER.sub(" ", text.lower()).strip()
 
 
+def learning_pieces(text: str) -> set[bytes]:
+    """The distinct pieces of a whole text."""
+    found, held, size = set(), [], 0
+    for word in OTHER.sub(" ", text.lower()).split():
+        parts = [word] if len(word) * 4 <= MOST_BYTES else [
+            word[k:k + MOST_BYTES // 4] for k in range(0, len(word), MOST_BYTES // 4)]
+        for part in parts:
+            part = part.encode("utf-8", "replace")
+            if held and size + len(part) >= MOST_BYTES:
+                found.add(b" ".join(held))
+                held, size = [], 0
+            held.append(part)
+            size += len(part) + 1
+            if len(held) == MOST_WORDS or zlib.crc32(part) % PIECE_WORDS == 0:
+                found.add(b" ".join(held))
+                held, size = [], 0
+    if held:
+        found.add(b" ".join(held))
+    return found
+
+
+def piece_order(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=8).digest()
+
+
+def sampled_rows(docs: DataFrame, lang_col: str, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
+    """lang, text of the learning rows, whole."""
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"),
+                       F.col(text_col).alias("text")).where("lang IS NOT NULL AND length(text) > 0")
+    key = F.struct(F.md5(F.coalesce("id", F.lit("")).cast("binary")).alias("k"), F.xxhash64("text").alias("t"))
+    rows = rows.select("lang", F.pmod(F.xxhash64("id"), F.lit(sample_docs)).alias("slot"), key.alias("key"), "text")
+    least = rows.groupBy("lang", "slot").agg(F.min("key").alias("key"))  # at most ``sample_docs`` rows a language
+    return rows.join(F.broadcast(least), ["lang", "slot", "key"]).dropDuplicates(["lang", "slot"]).select("lang", "text")
+
+
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
           dictionary_bytes: int = DICTIONARY_BYTES, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """The raw dictionary of each non-null language.  ``docs`` holds what may
-    be learned from.  The driver receives at most ``sample_docs`` short
-    excerpts a language."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("id"),
-                       F.col(text_col).alias("text")).where("lang IS NOT NULL AND length(text) > 0")
-    key = F.struct(F.md5(F.coalesce("id", F.lit("")).cast("binary")).alias("k"),
-                   F.substring("text", 1, EXCERPT_CHARS).alias("excerpt"))
-    top = rows.groupBy("lang", F.pmod(F.xxhash64("id"), F.lit(sample_docs)).alias("slot")).agg(F.min(key).alias("k"))
-    found: dict[str, list] = {}
-    for r in top.select("lang", "k.*").collect():
-        found.setdefault(r.lang, []).append((r.k, letters(r.excerpt).encode()))
-    return {lang: b" ".join(x[:dictionary_bytes // len(parts)] for _, x in sorted(parts))[:dictionary_bytes]
-            for lang, parts in sorted(found.items())}
+    be learned from.  The driver receives about ``dictionary_bytes`` a language."""
+
+    def run(batches):
+        for b in batches:
+            langs, turns, pieces = [], [], []
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
+                size = 0
+                for turn, piece in enumerate(sorted(learning_pieces(text.as_py()), key=piece_order)):
+                    if size >= dictionary_bytes:
+                        break  # these alone fill the dictionary
+                    langs.append(lang)
+                    turns.append(turn)
+                    pieces.append(piece)
+                    size += len(piece) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(turns, pa.int32()), pa.array(pieces, pa.binary())],
+                ["lang", "turn", "piece"])
+
+    found = sampled_rows(docs, lang_col, id_col, text_col, sample_docs).mapInArrow(
+        run, "lang string, turn int, piece binary")
+    pieces = common.written(found.groupBy("lang", "piece").agg(F.min("turn").alias("turn")))
+    sums = pieces.groupBy("lang", "turn").agg(F.sum(F.octet_length("piece") + 1).alias("n")).collect()
+    last, filled = {}, {}
+    for r in sorted(sums):
+        if filled.get(r.lang, 0) < dictionary_bytes:
+            last[r.lang], filled[r.lang] = r.turn, filled.get(r.lang, 0) + r.n
+    if not last:
+        return {}
+    turns = docs.sparkSession.createDataFrame(sorted(last.items()), "lang string, last int")
+    parts: dict[str, list] = {}
+    for r in pieces.join(F.broadcast(turns), "lang").where("turn <= last").select("lang", "turn", "piece").collect():
+        parts.setdefault(r.lang, []).append((r.turn, piece_order(r.piece), bytes(r.piece)))
+    return {lang: b" ".join(p for *_, p in sorted(parts[lang]))[:dictionary_bytes] for lang in sorted(parts)}
 
 
 def piece_ends(body: bytes, size: int):

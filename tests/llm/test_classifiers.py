@@ -82,6 +82,30 @@ def test_language_on_held_out_rows(spark):
     assert len(got) > 10 and sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    opening = " ".join(f"licence{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400))
+    rows = [(k, f"{opening} {spoken(lang, k, 200)}", lang) for k, lang in enumerate(["en", "fr", "de"] * 60)]
+    rows += [(1000 + k, spoken("en", 1, 200), "en") for k in range(90)]
+    found = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), dictionary_bytes=40_000)
+    for lang, held in found.items():
+        assert len(held) == 40_000 and held.count(b"licencefa") <= 3  # where a piece begins or ends
+        assert held.count(b"licenceab") <= 3
+    docs = spark.createDataFrame([(k, spoken(lang, 500 + k, 60)) for k, lang in enumerate(["en", "fr", "de"] * 10)],
+                                 "doc_id bigint, text string")
+    got = language.predict(docs, found).collect()
+    assert all(r.lang_pred == ["en", "fr", "de"][r.doc_id % 3] for r in got)
+
+
+def test_learning_rows_are_bounded_and_filled(spark):
+    rows = [(None, spoken("en", k, 400), "en") for k in range(50)] + [(7, spoken("fr", 7, 4000), "fr"), (8, "12 34", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert language.sampled_rows(docs, "lang", "doc_id", "text", 10).where("lang = 'en'").count() == 1
+    found = language.learn(docs, dictionary_bytes=4000)
+    again = language.learn(docs.repartition(7), dictionary_bytes=4000)
+    assert sorted(found) == ["en", "fr"] and found == again and len(found["fr"]) == 4000
+    assert language.learning_pieces("漢" * 1000) and max(map(len, language.learning_pieces("é" * 5000 + " a"))) <= 520
+
+
 def test_language_of_odd_rows(spark):
     found = {lang: spoken(lang, 1, 3000).encode() for lang in SYLLABLES}
     rows = language.predict(frame(spark), found).collect()
