@@ -1,8 +1,10 @@
 """Documents in ordered shards, and the exchange of hashes between shards.
 
 Finding equal windows of text over a whole corpus needs only the windows'
-hashes to meet.  Documents are range-partitioned by id into shards of bounded
-size, once, into a bucketed table.  In each round
+hashes to meet.  Documents are cut by (id, text) into ranges of at most
+``shard_bytes`` bytes, once, into a bucketed table (``cuts``): only a text that
+is longer than an eighth of that by itself makes a shard larger, by its own
+length.  In each round
 
 1. a shard sends its *distinct* hashes, sorted and cut by their upper bits
    into parts (``send``).  However often a passage repeats inside a shard, and
@@ -14,22 +16,99 @@ size, once, into a bucketed table.  In each round
    shard's texts are never shuffled again, as the table's buckets are the
    partitions; only hashes and bits move.
 
-Shards follow the order of ids, so "does it occur earlier" is "did a lower
-shard send it".
+Shards follow the order of ids, then texts, so "does it occur earlier" is "did
+a lower shard send it".
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bucketed_table
+from ..session import bucketed_table, written
 
 SHARD_BYTES = 16 << 20
 PART_HASHES = 1 << 20
 LOWEST = -(1 << 63)
+#: How many bytes of their texts tell the rows of a large id apart; each next try reads so many times more.
+HEAD_BYTES, HEAD_GROWTH = 64, 8
+
+
+def _running(groups: DataFrame, parts: int, large: int, width: int) -> DataFrame:
+    """``groups`` (key, head, bytes, n, same), one row each, with ``at``: the
+    bytes before it in order; and ``big``: too large to stay one group.  A big
+    one counts for ``width`` at least, so what follows it starts a new range."""
+    big = (F.col("bytes") > large) & (F.col("n") > 1)
+    weighed = groups.withColumn("big", big).withColumn(
+        "weight", F.when(big, F.greatest("bytes", F.lit(width))).otherwise(F.col("bytes")))
+    ranged = written(weighed.repartitionByRange(parts, "key", "head").withColumn("part", F.spark_partition_id()))
+    starts, total = [], 0
+    for r in sorted(ranged.groupBy("part").agg(F.sum("weight").alias("w")).collect()):
+        starts.append((r.part, total))
+        total += r.w
+    before = Window.partitionBy("part").orderBy("key", "head").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = ranged.sparkSession.createDataFrame(starts, "part int, start bigint")
+    return (ranged.join(F.broadcast(firsts), "part")
+            .withColumn("at", F.col("start") + F.sum("weight").over(before) - F.col("weight")))
+
+
+def cuts(groups: DataFrame, keyed: DataFrame, parts: int, large: int, width: int) -> list[tuple[int, bytes, int]]:
+    """Where ranges of (key, body) start, in order, and over how many shards
+    the rows of each are spread: 1, or more for equal rows.
+
+    ``groups``: the rows' groups by key.  Ranges of at most ``width`` bytes
+    begin where the running sum passes a multiple of it.  A group of more than
+    ``large`` bytes is cut in the same way by the beginnings of its texts, longer
+    ones as far as they are equal; only equal rows, which have no order, are
+    dealt out."""
+    found: dict[tuple[int, bytes], int] = {}
+    size = 0
+    while True:
+        rows = written(_running(groups, parts, large, width))
+        for r in rows.groupBy(F.floor(F.col("at") / width)).agg(F.min(F.struct("key", "head")).alias("c")).collect():
+            found.setdefault((r.c.key, bytes(r.c["head"])), 1)
+        bigs = rows.where("big").collect()  # each has more than ``large`` bytes, so there are few
+        for r in bigs:
+            found[r.key, bytes(r["head"])] = -(-r.bytes // width) if r.same else 1
+        bigs = [(r.key, r["head"]) for r in bigs if not r.same]
+        if not bigs:
+            return [(*at, n) for at, n in sorted(found.items())]
+        named = keyed.sparkSession.createDataFrame(bigs, "key bigint, head binary")
+        rest = (keyed.withColumn("head", F.substring("body", 1, size))
+                .join(F.broadcast(named), ["key", "head"], "left_semi"))
+        size = size * HEAD_GROWTH or HEAD_BYTES
+        groups = grouped(rest.withColumn("head", F.substring("body", 1, size)))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """key, head, bytes, n rows, and whether they are all the same."""
+    name = F.xxhash64("body")
+    return rows.groupBy("key", "head").agg(
+        F.sum(F.octet_length("body").cast("bigint")).alias("bytes"), F.count(F.lit(1)).alias("n"),
+        (F.min(name) == F.max(name)).alias("same"))
+
+
+def shard_of(found: list[tuple[int, bytes, int]]):
+    """The shard of a row (key, body): binary search in ``cuts``' result."""
+    keys = F.split(F.lit(",".join(str(k) for k, *_ in found)), ",").cast("array<bigint>")
+    heads = F.array(*[F.lit(bytearray(h)) for _, h, _ in found]) if any(h for _, h, _ in found) else None
+    firsts = np.cumsum([0] + [n for *_, n in found])
+    step_sizes = F.array(*[F.lit(1 << k) for k in reversed(range(len(found).bit_length()))])
+
+    def walk(at, step):
+        key = F.get(keys, at + step - 1)
+        passed = key <= F.col("key") if heads is None else (key < F.col("key")) | (
+            (key == F.col("key")) & (F.get(heads, at + step - 1) <= F.col("body")))
+        return F.when(passed, at + step).otherwise(at)
+
+    at = F.aggregate(step_sizes, F.lit(0), walk) - 1
+    if all(n == 1 for *_, n in found):
+        return at
+    first, n = (F.get(F.split(F.lit(",".join(map(str, x))), ",").cast("array<int>"), at)
+                for x in (firsts[:-1].tolist(), [n for *_, n in found]))
+    return (first + F.pmod(F.xxhash64(F.monotonically_increasing_id()), n)).cast("int")
 
 
 class Shards:
@@ -38,11 +117,16 @@ class Shards:
 
     def __init__(self, docs: DataFrame, shard_bytes: int = SHARD_BYTES):
         keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
-        self.bytes = keyed.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        groups = written(grouped(keyed.withColumn("head", F.lit(b""))))
+        self.bytes = groups.agg(F.sum("bytes")).first()[0] or 0
         # as many as Spark's own shuffles have, or the planner would deal the table anew
-        self.count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-                         -(-self.bytes // shard_bytes))
-        placed = keyed.repartitionByRange(self.count, "key").withColumn("shard", F.spark_partition_id())
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        large = max(1, shard_bytes // 8)
+        width = max(1, min(shard_bytes - large, -(-self.bytes // parts)))
+        found = cuts(groups, keyed, parts, large, width) if self.bytes else []
+        shard = shard_of(found) if found else F.lit(0)
+        self.count = max(parts, sum(n for *_, n in found))
+        placed = keyed.withColumn("shard", shard).repartitionById(self.count, F.col("shard"))
         self.frame = bucketed_table(placed.select("shard", *keyed.columns), self.count, ["shard"], compression="zstd")
 
     def parts(self, hashes: int) -> int:

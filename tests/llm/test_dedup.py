@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from llm_cases import cases, frame, jaccard, near_groups, prose, repeated_bytes, repeated_words, shingle_set, text, prepared  # noqa: F401
 
+from capgraph.llm import common, shards
 from capgraph.llm import op1_fingerprints as spots
 from capgraph.llm import op6_suffix_dedup as suffixes
 from capgraph.llm import op8_substring_dedup as sequences
@@ -95,6 +96,41 @@ def test_repeated_sequences_match_brute_force(spark, window, prefix):
     assert got == sorted(want, key=repr)
 
 
+def lopsided():
+    """Long texts side by side, one id with a third of the bytes and a shared
+    opening, and one row many times."""
+    opening = prose(70, 30)
+    rows = [(k, prose(300 + k, 20)) for k in range(60)] + [(100 + k, prose(400 + k, 500)) for k in range(20)]
+    rows += [(None, f"{opening} {prose(500 + k, 120)}") for k in range(60)] + [(200, prose(1, 300))] * 30
+    return rows + [(None, opening), (None, None), (40, prose(8, 300))]
+
+
+def test_shards_are_bounded_by_bytes(spark):
+    docs = frame(spark, lopsided())
+    made = shards.Shards(common.id_text(docs), 8000)
+    rows = made.frame.collect()
+    assert len(rows) == len(lopsided())
+    by_shard: dict[int, list] = {}
+    for r in rows:
+        by_shard.setdefault(r["shard"], []).append((r.key, bytes(r.body)))
+    longest = max(len(text(t).encode()) for _, t in lopsided())
+    assert all(sum(len(b) for _, b in held) <= 8000 + longest for held in by_shard.values())
+    held = [by_shard[k] for k in sorted(by_shard)]
+    assert all(max(a) <= min(b) for a, b in zip(held, held[1:]))  # in order of id, then text
+    assert sum(any(k == shards.LOWEST for k, _ in x) for x in held) > 3 and sum((200, prose(1, 300).encode()) in x for x in held) > 3
+
+
+def test_lopsided_texts_match_brute_force(spark):
+    rows = sequences.repeated_sequences(frame(spark, lopsided()), 6, 3, shard_bytes=8000).collect()
+    got = sorted(((r.doc_id, r.n_words, [tuple(s) for s in r.spans], bytes(r.kept)) for r in rows), key=repr)
+    want = [(i, n, spans, kept) for (i, _), (spans, kept, n) in zip(lopsided(), repeated_words(lopsided(), 6))]
+    assert got == sorted(want, key=repr)
+    rows = suffixes.repeated_spans(frame(spark, lopsided()), 64, shard_bytes=8000).collect()
+    got = sorted(((r.doc_id, [tuple(s) for s in r.spans], bytes(r.kept)) for r in rows), key=repr)
+    want = [(i, spans, kept) for (i, _), (spans, kept) in zip(lopsided(), repeated_bytes(lopsided(), 64))]
+    assert got == sorted(want, key=repr)
+
+
 def families():
     rows = cases()
     base = prose(60, 120).split()
