@@ -2,7 +2,13 @@
 
 A signature is an anchor (a common word) and the chain of the next
 ``chain`` content words after it; a text's fingerprint is the set of its
-signatures.  Anchors sit in prose, so what surrounds it hardly counts.  Two
+signatures.  Anchors sit in prose, so what surrounds it hardly counts.  Words
+that no anchored chain covers (text of other languages, code, junk) are read as
+plain chains of neighbouring words, of which each run of ``REACH`` starts keeps
+the one with the least hash: which ones is decided by the words around them
+alone, so a fingerprint grows with its text, and texts that differ by a word
+differ by a few signatures.  Scripts without white space are read by
+characters.  Two
 fingerprints are compared by Jaccard likeness with pruning: sets whose
 lengths alone rule the threshold out are never intersected.
 
@@ -10,10 +16,9 @@ Signatures are hashed to 32 bits; the fingerprint string is the sorted set in
 base64, so equal texts have equal fingerprints and ``likeness`` needs nothing
 but the strings.
 
-Defined cases: a null text is an empty one; a text without an anchor followed
-by a whole chain uses every word as an anchor; with fewer words than a chain
-it has one signature of all its words; a text without words has the empty
-fingerprint, which is like itself (1) and unlike all others (0).  Texts of any
+Defined cases: a null text is an empty one; a text with neither an anchored nor
+a plain chain has one signature of all its words; a text without words has the
+empty fingerprint, which is like itself (1) and unlike all others (0).  Texts of any
 length are read whole.
 """
 
@@ -43,8 +48,16 @@ de les des et en au il elle du par sur ce
 den dem des zu im auf für nicht eine es
 y de la las en un se no su al lo""".split()
 CHAIN = 3
+#: Plain chains: one of so many neighbouring starts stays.
+REACH = 4
+#: An anchored chain that reaches over more words than this covers none of them.
+MOST_COVERED = 16
 
 MARKS = re.compile(r"[\W_]+")
+#: UTF-8 of characters whose scripts put no space between words: Thai, Lao,
+#: Tibetan, Myanmar, Khmer, kana, bopomofo, Han.
+UNSPACED = re.compile(rb"(?:\xE0[\xB8-\xBF]|\xE1[\x80-\x82\x9E\x9F]|\xE2[\xBA-\xBF]|[\xE3-\xE9][\x80-\xBF]"
+                      rb"|\xEF[\xA4-\xAB]|\xF0[\xA0-\xB3][\x80-\xBF])[\x80-\xBF]")
 GAP, ANCHOR, CONTENT = 0, 1, 2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -65,35 +78,68 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
+def least_of_runs(h: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of each ``REACH`` neighbours of one group the one with the least hash (of
+    a group with fewer all together one), as a mask."""
+    n = len(h)
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    end = np.append(begin[1:], n)
+    size = np.repeat(end - begin, end - begin)
+    offset = np.arange(n) - np.repeat(begin, end - begin)
+    first = np.flatnonzero(offset <= np.maximum(size - REACH, 0))
+    most = np.minimum(REACH, size[first])
+    best = first.copy()
+    for k in range(1, REACH):
+        less = (k < most) & (h[np.minimum(first + k, n - 1)] < h[best])
+        best[less] = first[less] + k
+    out = np.zeros(n, bool)
+    out[best] = True
+    return out
+
+
 class Signatures:
     """The sorted signature hashes of a text."""
 
     def __init__(self, chain: int = CHAIN):
         self.chain, self.words = chain, Memo(_word)
 
+    def chained(self, words: np.ndarray, at: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The hashes of each word ``at`` and the chain from place ``first`` of ``after``."""
+        h = words[at] * _M1
+        for k in range(min(self.chain, len(after))):
+            h = _mixed((h ^ words[after[first + k]]) * _M1)
+        return h
+
     def __call__(self, body: bytes) -> np.ndarray:
-        chunks = body.split()
+        chunks = (body if body.isascii() else UNSPACED.sub(rb" \g<0> ", body)).split()
         words = np.fromiter(map(self.words.__getitem__, chunks), np.int64, len(chunks)).view(np.uint64)
         kind = words & np.uint64(3)
         if (kind == 3).any():  # chunks without a letter or digit are no words
             words, kind = words[kind != 3], kind[kind != 3]
-        if not len(words):
+        n = len(words)
+        if not n:
             return np.zeros(0, np.uint32)
         at = np.flatnonzero(kind == ANCHOR)
         after = np.flatnonzero(kind == CONTENT)
         first = np.searchsorted(after, at)
         whole = first + self.chain <= len(after)
-        if whole.any():
-            at, first = at[whole], first[whole]
-        elif len(words) > self.chain:
-            at, after = np.arange(len(words) - self.chain), np.arange(len(words))
-            first = at + 1
-        else:
-            at, after, first = np.zeros(1, np.int64), np.arange(len(words)), np.zeros(1, np.int64)
-        h = words[at] * _M1
-        for k in range(min(self.chain, len(after))):
-            h = _mixed((h ^ words[after[first + k]]) * _M1)
-        return np.unique((h >> np.uint64(32)).astype(np.uint32))
+        at, first = at[whole], first[whole]
+        found = [self.chained(words, at, after, first)] if len(at) else []
+        change = np.zeros(n + 1, np.int32)
+        if len(at):
+            last = after[first + self.chain - 1]
+            near_ = last - at < MOST_COVERED
+            np.add.at(change, at[near_], 1)
+            np.add.at(change, last[near_] + 1, -1)
+        covered = np.append(0, np.cumsum(np.cumsum(change[:-1]) > 0))
+        if n > self.chain:
+            starts = np.flatnonzero(covered[self.chain + 1:] == covered[:n - self.chain])
+            if len(starts):
+                plain = self.chained(words, starts, np.arange(n), starts + 1)
+                found.append(plain[least_of_runs(plain, covered[starts])])
+        if not found:
+            found = [self.chained(words, np.zeros(1, np.int64), np.arange(n), np.zeros(1, np.int64))]
+        return np.unique((np.concatenate(found) >> np.uint64(32)).astype(np.uint32))
 
 
 def packed(signatures: np.ndarray) -> str:

@@ -52,6 +52,27 @@ def test_fingerprints_of_odd_texts(spark):
                                                    spots.likeness(a, a[:k], t) == 0 else pytest.approx(exact))
 
 
+def test_fingerprints_grow_with_texts_of_few_anchors():
+    find = spots.Signatures()
+    words = [f"v{k * 7919 % 1009}q" for k in range(300)]
+    few = words[:150] + ["la"] + words[150:]
+    dense, one = find(" ".join(words).encode()), find(" ".join(few).encode())
+    assert len(one) > 60 and spots.likeness(dense, one) > 0.9  # across what was a switch
+    other = few[:151] + few[151:155] + [f"z{k}" for k in range(145)]
+    assert spots.likeness(one, find(" ".join(other).encode())) < 0.6  # half the text outside the chain
+    inside = few[:152] + ["changed"] + few[153:]
+    assert 0.9 < spots.likeness(one, find(" ".join(inside).encode())) < 1
+    short = find(" ".join(few[130:170]).encode())
+    assert spots.likeness(short, find(" ".join(words[130:170]).encode())) > 0.4
+    rng = np.random.default_rng(1)
+    script = "".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 400))
+    near_script = script[:200] + "漢" + script[201:]
+    assert len(find(script.encode())) > 100
+    assert 0.9 < spots.likeness(find(script.encode()), find(near_script.encode())) < 1
+    prose_ = "the cat sat house is red door was open wide that green tree a tall hill this small boat".encode()
+    assert len(find(prose_)) == 5  # the, is, was, that, a; nothing plain is left between
+
+
 @pytest.mark.parametrize("window,shard_bytes", [(400, 1 << 24), (64, 20_000)])
 def test_repeated_strings_match_brute_force(spark, window, shard_bytes):
     rows = suffixes.repeated_spans(frame(spark), window, shard_bytes=shard_bytes).collect()
