@@ -202,7 +202,7 @@ class Forest:
                 self.parent[max(a, b)] = min(a, b)
 
 
-SIGNED = "doc_id bigint, cls bigint, bands array<bigint>"
+SIGNED = "doc_id bigint, text_hash bigint, cls bigint, bands array<bigint>"
 
 
 def by_shingles():
@@ -211,7 +211,7 @@ def by_shingles():
 
 
 def signed(docs: DataFrame, make=by_shingles) -> DataFrame:
-    """``docs`` (doc_id, body) as (doc_id, cls, bands).  ``make()``, called in
+    """``docs`` (doc_id, body) as (doc_id, text_hash, cls, bands).  ``make()``, called in
     each task, gives the functions body -> set and set -> candidate keys."""
 
     def run(batches):
@@ -226,11 +226,11 @@ def signed(docs: DataFrame, make=by_shingles) -> DataFrame:
             ends = np.cumsum([0] + [len(k) for k in keys])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(names, pa.int64()),
+                [b.column("doc_id"), b.column("text_hash"), pa.array(names, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                ["doc_id", "cls", "bands"])
+                ["doc_id", "text_hash", "cls", "bands"])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.withColumn("text_hash", F.xxhash64("body")).mapInArrow(run, SIGNED)
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -248,17 +248,25 @@ def clusters(rows: DataFrame) -> DataFrame:
     return _components(edges).select(F.col("vertex").alias("cls"), F.col("component").alias("cluster"))
 
 
+def class_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with the id and the text hash of a class."""
+    return texts.join(chosen, (F.xxhash64("body") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first")))
+
+
 def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, tolerance: float, block: int,
                    make=by_shingles) -> DataFrame:
     """For each class of equal sets: cls, first (its least id), copies, links
     (to rows of other classes) and component.  ``texts``: doc_id, body;
     ``rows``: the same as ``signed`` gives them.  A tolerance of 0 leaves all
     candidates to the exact comparison."""
-    classes = common.written(rows.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    # the text that a class is read from: of its least id (null: last) the one with the least hash
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("head")
+    classes = common.written(rows.groupBy("cls").agg(head, F.count(F.lit(1)).alias("copies")).select(
+        "cls", F.col("head.doc_id").alias("first"), F.col("head.text_hash").alias("text_hash"), "copies"))
     found = common.written(clusters(rows))
     sizes = found.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     chosen = (found.join(common.written(sizes), "cluster").join(classes, "cls")
-              .select("cls", "cluster", "copies", "first", "blocks",
+              .select("cls", "cluster", "copies", "first", F.col("text_hash").alias("own"), "blocks",
                       F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")))
 
     def read(batches):
@@ -272,8 +280,8 @@ def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, toleranc
             yield out.filter(right)
 
     kept = "cls bigint, cluster bigint, copies bigint, blocks int, block int"
-    # rows that share an id may hold other texts; ``read`` keeps the class's own
-    sets = (texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("first"))).select("body", "cls", "cluster", "copies", "blocks", "block")
+    # rows that share an id may hold other texts, which their hash leaves out; ``read`` keeps the class's own
+    sets = (class_texts(texts, chosen).select("body", "cls", "cluster", "copies", "blocks", "block")
             .mapInArrow(read, f"{kept}, found binary"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = sets.select("*", other).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})

@@ -183,6 +183,20 @@ def test_near_fingerprints_match_brute_force(spark, threshold):
     assert sum(links) > 40
 
 
+def test_classes_of_null_ids_meet_their_own_texts_only(spark, monkeypatch):
+    rows = [(None, prose(700 + k // 2, 60) + (" tail" if k % 2 else "")) for k in range(40)]
+    met, join = [], near.class_texts
+
+    def counted(texts, chosen):
+        found = join(texts, chosen)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "class_texts", counted)
+    got = near.near_links(frame(spark, rows)).collect()
+    assert [r.n_links for r in got] == [1] * 40 and met == [40]  # not 40 x 40
+
+
 def test_length_partitions_neighbour():
     for threshold in (0.5, 0.8, 0.9):
         for n in range(1, 300):
