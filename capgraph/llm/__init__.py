@@ -1,5 +1,5 @@
 """Operators for building language-model training data.
 
-Ten operators, one module each; ``queries`` registers them.  Nothing else in
+Thirteen operators, one module each; ``queries`` registers them.  Nothing else in
 the package imports this subpackage.
 """
