@@ -55,11 +55,11 @@ def digest(nodes) -> bytes:
 class Tree:
     """An aligned block: ``levels`` from its leaves up.  ``lone``: the block is
     all of its group on this level, so it ends at the first single node;
-    otherwise it has ``DEPTH`` levels above the leaves."""
+    otherwise it has ``depth`` levels above the leaves."""
 
-    def __init__(self, leaves: list[bytes], lone: bool):
+    def __init__(self, leaves: list[bytes], lone: bool, depth: int):
         self.levels = [leaves]
-        while len(self.levels[-1]) > 1 if lone else len(self.levels) <= DEPTH:
+        while len(self.levels[-1]) > 1 if lone else len(self.levels) <= depth:
             below = self.levels[-1]
             self.levels.append([digest(below[i:i + FAN]) for i in range(0, len(below), FAN)])
 
@@ -119,36 +119,36 @@ def _steps(path) -> list[dict]:
     return [{"place": p, "others": o} for p, o in path]
 
 
-def lifted(nodes: DataFrame) -> DataFrame:
+def lifted(nodes: DataFrame, depth: int) -> DataFrame:
     """A level's blocks: each node of ``nodes`` (group, index, size, node) with
     its path to the root of its block, and that root on the block's first row."""
 
     def run(key, table):
         table = table.sort_by("index")
         group, above = (k.as_py() for k in key)
-        tree = Tree(table.column("node").to_pylist(), table.column("size")[0].as_py() <= FAN ** DEPTH)
+        tree = Tree(table.column("node").to_pylist(), table.column("size")[0].as_py() <= FAN ** depth, depth)
         n = table.num_rows
         return pa.table({
             "group": pa.array([group] * n, pa.string()), "index": table.column("index"),
             "path": pa.array([_steps(tree.path(i)) for i in range(n)], _STEP),
             "above": pa.array([above] * n, pa.int64()), "node": pa.array([tree.root()] + [None] * (n - 1), pa.binary())})
 
-    return (nodes.withColumn("above", F.shiftright("index", 3 * DEPTH)).groupBy("group", "above")
+    return (nodes.withColumn("above", F.floor(F.col("index") / FAN ** depth).cast("bigint")).groupBy("group", "above")
             .applyInArrow(run, LIFTED))
 
 
-def to_roots(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def to_roots(nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """``nodes`` (group, index, size, node), written: the groups' roots (group,
     root), and for every node its path to its group's root (group, index, path)."""
     most = nodes.agg(F.max("size")).first()[0] or 0
     rounds = []
     while most > 1:
-        rounds.append(common.written(lifted(nodes)))
-        n = F.floor((F.col("size") + (FAN ** DEPTH - 1)) / FAN ** DEPTH).cast("bigint")
+        rounds.append(common.written(lifted(nodes, depth)))
+        n = F.ceil(F.col("size") / FAN ** depth).cast("bigint")
         sizes = nodes.where("index = 0").select("group", n.alias("size"))
         nodes = common.written(rounds[-1].where("node IS NOT NULL").select("group", F.col("above").alias("index"), "node")
                                .join(sizes, "group"))
-        most = -(-most // FAN ** DEPTH)
+        most = -(-most // FAN ** depth)
     roots = nodes.select("group", F.col("node").alias("root"))
     if not rounds:
         return roots, nodes.select("group", "index", F.array().cast(STEP).alias("path"))
@@ -162,11 +162,11 @@ def to_roots(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 RESULT = ("group string, id bigint, leaf string, proof_sha256 string, copied array<string>, folded_root string")
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
+def manifest(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
     """For every row of ``leaves`` (see there): group, id, leaf, subroot, root,
     proof_sha256, ``copied`` (the nodes of its version from leaf to root; null
     where it isn't tampered with), folded_root and verified."""
-    size = FAN ** DEPTH
+    size = FAN ** depth
     leaves = common.written(leaves)
     rows = (ranked(leaves, "group", ["id", "leaf", "row"], ["changed"]).withColumnRenamed("in_group", "size")
             .withColumn("block", F.floor(F.col("rank") / size).cast("bigint")))
@@ -174,17 +174,17 @@ def manifest(leaves: DataFrame) -> DataFrame:
     def build(key, table):
         nodes = table.sort_by("rank").column("leaf").to_pylist()
         n = table.column("size")[0].as_py()
-        root = Tree([x.encode() for x in nodes], n <= size).root()
+        root = Tree([x.encode() for x in nodes], n <= size, depth).root()
         return pa.table({"group": pa.array([key[0].as_py()], pa.string()), "index": pa.array([key[1].as_py()], pa.int64()),
                          "size": pa.array([-(-n // size)], pa.int64()), "node": pa.array([root], pa.binary())})
 
     node = "group string, index bigint, size bigint, node binary"
     blocks = common.written(rows.select("group", "block", "rank", "leaf", "size").groupBy("group", "block").applyInArrow(build, node))
-    subroots, inside = to_roots(blocks)
+    subroots, inside = to_roots(blocks, depth)
     subroots = common.written(subroots.select(F.lit("").alias("all"), "group", F.col("root").alias("node")))
     tops = common.written(ranked(subroots, "all", ["group"]).select(F.col("all").alias("group"), F.col("rank").alias("index"),
                                                                       F.col("in_group").alias("size"), "node", F.col("group").alias("name")))
-    roots, over = to_roots(tops.select("group", "index", "size", "node"))
+    roots, over = to_roots(tops.select("group", "index", "size", "node"), depth)
     last = (tops.select("index", F.col("name").alias("group"), F.col("node").alias("subroot"))
             .join(over.select("index", F.col("path").alias("further")), "index").drop("index"))
     top = roots.select("root").first()
@@ -194,7 +194,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
     def finish(key, table, path):
         table = table.sort_by("rank")
         found = [x.encode() for x in table.column("leaf").to_pylist()]
-        tree = Tree(found, table.column("size")[0].as_py() <= size)
+        tree = Tree(found, table.column("size")[0].as_py() <= size, depth)
         upper = [(s["place"], s["others"]) for s in path.column("path")[0].as_py()]
         proofs, versions, folded = [], [], []
         for i, (own, changed) in enumerate(zip(found, table.column("changed").to_pylist())):
