@@ -97,12 +97,24 @@ def least_of_runs(h: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
+#: The first bytes of the characters that ``UNSPACED`` is about.
+HIGH = re.compile(rb"[\xE0-\xF4]")
+
+
+def spaced(body: bytes) -> bytes:
+    """``body`` with white space around each character of an unspaced script."""
+    return UNSPACED.sub(rb" \g<0> ", body) if HIGH.search(body) else body
+
+
 class Signatures:
-    """The sorted signature hashes of a text."""
+    """The sorted signature hashes of texts."""
 
     def __init__(self, chain: int = CHAIN):
         self.chain, self.words = chain, Memo(_word)
 
+    def hashed(self, chunks: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, chunks), np.int64, len(chunks))
+
     def chained(self, words: np.ndarray, at: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The hashes of each word ``at`` and the chain from place ``first`` of ``after``."""
         h = words[at] * _M1
@@ -111,35 +123,54 @@ class Signatures:
         return h
 
     def __call__(self, body: bytes) -> np.ndarray:
-        chunks = (body if body.isascii() else UNSPACED.sub(rb" \g<0> ", body)).split()
-        words = np.fromiter(map(self.words.__getitem__, chunks), np.int64, len(chunks)).view(np.uint64)
+        return self.of([self.hashed(spaced(body).split())])[0]
+
+    def of(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """The signatures of each of ``texts``, as hashed chunks; all of them in
+        one pass, in which no chain or run goes from one text to the next."""
+        words = np.concatenate(texts).view(np.uint64)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         kind = words & np.uint64(3)
-        if (kind == 3).any():  # chunks without a letter or digit are no words
-            words, kind = words[kind != 3], kind[kind != 3]
-        n = len(words)
-        if not n:
-            return np.zeros(0, np.uint32)
-        at = np.flatnonzero(kind == ANCHOR)
-        after = np.flatnonzero(kind == CONTENT)
+        real = kind != 3  # chunks without a letter or digit are no words
+        words, text, kind = words[real], text[real], kind[real]
+        n, chain = len(words), self.chain
+        found, owners = [], []
+        at, after = np.flatnonzero(kind == ANCHOR), np.flatnonzero(kind == CONTENT)
         first = np.searchsorted(after, at)
-        whole = first + self.chain <= len(after)
+        whole = first + chain <= len(after)
         at, first = at[whole], first[whole]
-        found = [self.chained(words, at, after, first)] if len(at) else []
         change = np.zeros(n + 1, np.int32)
         if len(at):
-            last = after[first + self.chain - 1]
+            last = after[first + chain - 1]
+            inside = text[last] == text[at]
+            at, first, last = at[inside], first[inside], last[inside]
+            found.append(self.chained(words, at, after, first))
+            owners.append(text[at])
             near_ = last - at < MOST_COVERED
-            np.add.at(change, at[near_], 1)
-            np.add.at(change, last[near_] + 1, -1)
+            change[:-1] += np.bincount(at[near_], minlength=n).astype(np.int32)
+            change -= np.bincount(last[near_] + 1, minlength=n + 1).astype(np.int32)
         covered = np.append(0, np.cumsum(np.cumsum(change[:-1]) > 0))
-        if n > self.chain:
-            starts = np.flatnonzero(covered[self.chain + 1:] == covered[:n - self.chain])
+        if n > chain:
+            starts = np.flatnonzero((covered[chain + 1:] == covered[:n - chain]) & (text[chain:] == text[:n - chain]))
             if len(starts):
                 plain = self.chained(words, starts, np.arange(n), starts + 1)
-                found.append(plain[least_of_runs(plain, covered[starts])])
-        if not found:
-            found = [self.chained(words, np.zeros(1, np.int64), np.arange(n), np.zeros(1, np.int64))]
-        return np.unique((np.concatenate(found) >> np.uint64(32)).astype(np.uint32))
+                least = least_of_runs(plain, covered[starts] + text[starts] * (n + 1))
+                found.append(plain[least])
+                owners.append(text[starts[least]])
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        both = owner.astype(np.uint64) << np.uint64(32)
+        if found:
+            both |= np.concatenate(found) >> np.uint64(32)
+        both = np.unique(both)
+        ends = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
+        signatures = (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        out = [signatures[a:b] for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(ends[1:] == ends[:-1]).tolist():  # texts with neither kind of chain
+            own = words[np.searchsorted(text, i):np.searchsorted(text, i, side="right")]
+            if len(own):
+                h = self.chained(own, np.zeros(1, np.int64), np.arange(len(own)), np.zeros(1, np.int64))
+                out[i] = (h >> np.uint64(32)).astype(np.uint32)
+        return out
 
 
 def packed(signatures: np.ndarray) -> str:
@@ -261,6 +292,37 @@ EDITED = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint stri
           "near_edited double, near_next double")
 
 
+#: Texts whose signatures are made in one pass: so many rows, or bytes.
+PASS_ROWS, PASS_BYTES = 256, 1 << 20
+
+
+class Text:
+    """A document's text and the hashes of its chunks."""
+
+    def __init__(self, doc_id, body: bytes, signatures: Signatures):
+        self.doc_id, self.body = doc_id, body
+        self.points = None if body.isascii() else body.decode("utf-8", "replace")
+        self.n = len(body) if self.points is None else len(self.points)
+        self.words = signatures.hashed(spaced(body).split())
+
+    def first(self, n: int) -> bytes:
+        """The first ``n`` code points."""
+        return self.body[:n] if self.points is None else self.points[:n].encode("utf-8", "replace")
+
+    def edited(self, after: "Text", signatures: Signatures) -> tuple[str, np.ndarray]:
+        """The edited text's digest, and the hashes of its chunks: those of both
+        texts but for the chunks at the cuts."""
+        head, tail = self.first(self.n - self.n // 2), after.first(self.n // 2)
+        digest = hashlib.sha256(head + tail).hexdigest()
+        head, tail = spaced(head), spaced(tail)
+        left, right = head.split(), tail.split()
+        seam = left[-1:] + right[:1]
+        if left and right and not (head[-1:].isspace() or tail[:1].isspace()):
+            seam = [b"".join(seam)]
+        return digest, np.concatenate([self.words[:max(0, len(left) - 1)], signatures.hashed(seam),
+                                       after.words[1:max(1, len(right) - 1)], signatures.hashed(right[1:][-1:])])
+
+
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Each document's fingerprint beside that of its edited text (its second
@@ -269,32 +331,36 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         signatures = Signatures()
-        out = []
-        last = None  # (range, doc_id, text, signatures) that waits for its successor
-
-        def settle(text, own):
-            _, doc_id, body, found = last
-            n = len(body)
-            edited = (body[:n - n // 2] + text[:n // 2]).encode("utf-8", "replace")
-            changed = signatures(edited)
-            out.append((doc_id, n, hashlib.sha256(edited).hexdigest(), packed(found), packed(changed),
-                        likeness(found, changed), likeness(found, own)))
+        last = None  # (range, text) that waits for its successor
+        pairs, size = [], 0
+
+        def settled():
+            digests, edits = zip(*(a.edited(b, signatures) for a, b in pairs))
+            texts = {id(t): t for pair in pairs for t in pair}  # a text is in two pairs, or ahead of its range
+            found = signatures.of([*edits, *(t.words for t in texts.values())])
+            changed, own = found[:len(edits)], dict(zip(texts, found[len(edits):]))
+            rows = [(a.doc_id, a.n, d, packed(own[id(a)]), packed(c), likeness(own[id(a)], c), likeness(own[id(a)], own[id(b)]))
+                    for (a, b), d, c in zip(pairs, digests, changed)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in rows], t) for i, t in enumerate((
+                    pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
         for b in batches:
             for r, ahead, doc_id, body in zip(b.column("range").to_pylist(), b.column("ahead").to_pylist(),
                                               b.column("doc_id").to_pylist(), b.column("body")):
                 if ahead and (last is None or last[0] != r):
                     continue  # only the first row ahead is a successor
-                body = body.as_py()
-                text, own = body.decode("utf-8", "replace"), signatures(body)
+                text = Text(doc_id, body.as_py(), signatures)
                 if last is not None:
-                    settle(text, own)
-                last = None if ahead else (r, doc_id, text, own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], t) for i, t in enumerate((
-                    pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            out.clear()
+                    pairs.append((last[1], text))
+                    size += len(text.body)
+                last = None if ahead else (r, text)
+                if len(pairs) >= PASS_ROWS or size >= PASS_BYTES:
+                    yield settled()
+                    pairs, size = [], 0
+        if pairs:
+            yield settled()
 
     return in_falling_order(common.id_text(docs, id_col, text_col), rows_per_range).mapInArrow(run, EDITED)
 
