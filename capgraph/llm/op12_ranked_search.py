@@ -43,10 +43,10 @@ from . import common
 
 MOST = 20
 BLOCK_DOCS = 8192
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 #: States opened at a time.
-WIDTH = 128
+WIDTH = 64
 #: Bytes of a term: ASCII letters and digits and all of other scripts; only A-Z are lower-cased.
 TERM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 _ONES = np.array([bin(i).count("1") for i in range(16)], np.int64)
@@ -78,10 +78,14 @@ class Treap:
 
     @classmethod
     def build(cls, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> Treap:
+        """From points in 32-bit arrays, each (row, column) once."""
         height = max(1, int(max(rows.max(), columns.max())).bit_length()) if len(rows) else 1
-        code = _spread(rows) << np.uint64(1) | _spread(columns)
-        order = np.argsort(code)
+        code = _spread(rows)
+        code <<= np.uint64(1)
+        code |= _spread(columns)
+        order = np.argsort(code).astype(np.int32)
         code, rows, columns, values = code[order], rows[order], columns[order], values[order]
+        del order
         masks, mosts, points = [], [], []
         for level in range(height + 1):
             if not len(code):
@@ -96,8 +100,8 @@ class Treap:
             if level < height and not alone.all():
                 child = code >> np.uint64(2 * (height - level - 1))
                 new = np.append(True, child[1:] != child[:-1])
-                quadrant = np.where(new, 1 << (child & np.uint64(3)).astype(np.int64), 0)
-                mask = np.add.reduceat(quadrant, start).astype(np.uint8)
+                quadrant = np.left_shift(new.view(np.uint8), (child & np.uint64(3)).astype(np.uint8))
+                mask = np.bitwise_or.reduceat(quadrant, start)
                 mask[alone] = 0
             masks.append(mask)
             points[-1] = (rows[points[-1]], columns[points[-1]])
@@ -107,14 +111,15 @@ class Treap:
         return cls(height, joined(masks, np.uint8), joined(mosts, np.int64), joined([p[0] for p in points], np.int32),
                    joined([p[1] for p in points], np.int32))
 
-    def search(self, rows: np.ndarray, weights: np.ndarray, least: int, k: int, give) -> None:
+    def search(self, rows: np.ndarray, weights: np.ndarray, tops: np.ndarray, least: int, give) -> None:
         """``give(columns, scores)`` of documents, best ranges first, until no
         bound reaches the k-th best score; ``give`` returns that score (0 while
-        fewer are known).  ``least``: what it is before."""
+        fewer are known).  ``tops``: the rows' own maxima; ``least``: the k-th
+        best score before."""
         if not len(rows) or not self.none:
             return
         shape = self.mask, self.first, self.most
-        heap = [(-int(self.most[0] * weights.sum()), 0, 0, 0, self._arrived(np.zeros((1, len(rows)), np.int64), rows)[0])]
+        heap = [(-int((tops * weights).sum()), 0, 0, 0, self._arrived(np.zeros((1, len(rows)), np.int64), rows)[0])]
         made = 1
         while heap and -heap[0][0] >= max(least, 1):
             taken = []
@@ -141,7 +146,7 @@ class Treap:
                 child = np.where(filled == 1, first + _ONES[mask & (1 << quadrant) - 1], self.none)
                 child = self._arrived(child, rows)
                 child = np.where(single & ((own_column >> shift & 1) == side), at, child)
-                bound = (self.most[child] * weights).sum(axis=1)
+                bound = (np.minimum(self.most[child], tops) * weights).sum(axis=1)
                 for i in np.flatnonzero(bound >= max(least, 1)).tolist():
                     heapq.heappush(heap, (-int(bound[i]), made, int(level[i]) + 1, 2 * int(column[i]) + side, child[i]))
                     made += 1
@@ -172,13 +177,14 @@ def _spread(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
     for shift, keep in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
                         (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = (x | x << np.uint64(shift)) & np.uint64(keep)
+        x |= x << np.uint64(shift)
+        x &= np.uint64(keep)
     return x
 
 
 # -- the index -----------------------------------------------------------------
 
-BLOCK = ("ids array<bigint>, terms binary, df binary, height int, mask binary, most binary, row binary, column binary")
+BLOCK = ("ids array<bigint>, terms binary, df binary, tops binary, height int, mask binary, most binary, row binary, column binary")
 
 
 def sizes(docs: DataFrame) -> tuple[int, int]:
@@ -210,31 +216,38 @@ def block_of(ids: list, bodies: list[bytes], n_docs: int, length: int) -> dict:
         for w in new:
             if w not in numbers:
                 numbers[w] = len(numbers)
-        place = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        place = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
         place.sort()
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
         found.append(place[first])
-        counts.append(np.diff(np.append(first, len(place))))
+        counts.append(np.diff(np.append(first, len(place))).astype(np.int32))
     n = np.array([c.sum() for c in counts], np.int64)
     order = np.argsort(n, kind="stable")
-    rows = np.concatenate([found[i] for i in order]) if len(order) else np.zeros(0, np.int64)
+    rows = np.concatenate([found[i] for i in order]) if len(order) else np.zeros(0, np.int32)
     tf = np.concatenate([counts[i] for i in order]) if len(order) else rows
-    columns = np.repeat(np.arange(len(order)), [len(found[i]) for i in order])
+    columns = np.repeat(np.arange(len(order), dtype=np.int32), [len(found[i]) for i in order])
+    del found, counts
     df = np.bincount(rows, minlength=len(numbers))
     frequent = np.argsort(-df, kind="stable")
-    to = np.empty(len(df), np.int64)
+    to = np.empty(len(df), np.int32)
     to[frequent] = np.arange(len(df))
+    rows = to[rows]
     m = 100 - 25 + 25 * n[order] * n_docs // max(1, length)
-    t = Treap.build(to[rows], columns, impact(tf, m[columns]))
+    values = impact(tf.astype(np.int64), m[columns]).astype(np.int32)  # below 10^6
+    del tf
+    tops = np.zeros(len(df), np.int32)
+    np.maximum.at(tops, rows, values)
+    t = Treap.build(rows, columns, values)
+    del rows, columns, values
     words = list(numbers)
     return {"ids": [ids[i] for i in order], "terms": b" ".join([words[i] for i in frequent]),
-            "df": df[frequent].astype(np.int32).tobytes(), "height": t.height, "mask": t.mask[:-1].tobytes(),
+            "df": df[frequent].astype(np.int32).tobytes(), "tops": tops.tobytes(), "height": t.height, "mask": t.mask[:-1].tobytes(),
             "most": t.most[:-1].astype(np.int32).tobytes(), "row": t.row.tobytes(), "column": t.column.tobytes()}
 
 
 def index(docs: DataFrame, n_docs: int, length: int, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The index of ``docs`` (doc_id, body): a row for each block."""
-    schema = pa.schema([("ids", pa.list_(pa.int64())), ("terms", pa.binary()), ("df", pa.binary()), ("height", pa.int32()),
+    schema = pa.schema([("ids", pa.list_(pa.int64())), ("terms", pa.binary()), ("df", pa.binary()), ("tops", pa.binary()), ("height", pa.int32()),
                         *((c, pa.binary()) for c in ("mask", "most", "row", "column"))])
 
     def run(batches):
@@ -314,12 +327,13 @@ def searched(blocks: DataFrame, items: list[dict[bytes, int]], k: int) -> DataFr
                 t = Treap(b["height"].as_py(), *(np.frombuffer(b[c].as_py(), kind) for c, kind in (
                     ("mask", np.uint8), ("most", np.int32), ("row", np.int32), ("column", np.int32))))
                 ids = np.asarray(b["ids"].values.fill_null(LAST))
+                tops = np.frombuffer(b["tops"].as_py(), np.int32)
                 place = {w: p for p, w in enumerate(b["terms"].as_py().split(b" ")) if w in wanted}
                 for item, found in zip(items, best):
                     here = [(place[w], x) for w, x in item.items() if w in place]
                     rows, weights = (np.array([h[j] for h in here], np.int64) for j in (0, 1))
                     least = int(found.score[-1]) if len(found.score) == k else 0
-                    t.search(rows, weights, least, k, lambda columns, scores, to=found: to.add(scores, ids[columns]))
+                    t.search(rows, weights, tops[rows].astype(np.int64), least, lambda columns, scores, to=found: to.add(scores, ids[columns]))
             common.release()
         number = np.repeat(np.arange(len(best)), [len(x.id) for x in best])
         ids = np.concatenate([x.id for x in best])

@@ -156,7 +156,8 @@ def test_treap_holds_every_point():
             got.update(zip(columns.tolist(), scores.tolist()))
             return 0
 
-        t.search(np.array([row]), np.array([2]), 0, 100, give)
+        top = values[points[:, 0] == row].max(initial=0)
+        t.search(np.array([row]), np.array([2]), np.array([top]), 0, give)
         assert got == {c: 2 * v for (r, c), v in zip(points.tolist(), values.tolist()) if r == row}
 
 
