@@ -12,7 +12,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from ..session import ensure_checkpoint_dir, written  # noqa: F401  (operators use common.written)
 
@@ -102,6 +102,38 @@ def rows_where(docs: DataFrame, make, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def runs_of(bodies, size: int):
+    """``bodies`` in order, in lists of about ``size`` bytes."""
+    held, n = [], 0
+    for body in bodies:
+        held.append(body)
+        n += len(body)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def nullable(kind: DataType) -> DataType:
+    """``kind`` with nulls allowed everywhere, as Arrow tasks give it back."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType), True, f.metadata) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType), True)
+    if isinstance(kind, MapType):
+        return MapType(nullable(kind.keyType), nullable(kind.valueType), True)
+    return kind
+
+
+def free_name(wanted: str, columns) -> str:
+    """``wanted``, lengthened until it is none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def with_fields(schema: StructType, **types) -> StructType:
     """A copy of ``schema`` with more nullable fields."""
     return StructType([*schema.fields, *(StructField(n, t, True) for n, t in types.items())])

@@ -56,6 +56,9 @@ LOW = -(1 << 62)
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: The library's penalty of an unknown character below the least score (fixed value).
 UNKNOWN_PENALTY = 10.0
+#: Words of fewer characters are encoded many at a time, from texts of so many bytes.
+LONG_WORD = 64
+PASS_BYTES = 2 << 20
 
 
 class Pieces:
@@ -88,6 +91,7 @@ class Pieces:
         self.begins = {q[:k] for q in self.table for k in range(1, len(q))}
         self.known = {p for p in self.table if len(p) == 1}
         self.memo = Memo(self._word)
+        self.trie = Trie({p: i for p, (_, i) in self.table.items()})
 
     def edges(self, text: str, at: int):
         """(length, score, id) of the pieces at a place, shorter ones first; an
@@ -161,6 +165,20 @@ class Pieces:
     def _word(self, word: str) -> bytes:
         return self._best(MARK + word)
 
+    def learn(self, words) -> None:
+        """Give the memo the words that it doesn't hold, encoded in one pass;
+        long ones wait for ``_best``."""
+        memo = self.memo
+        new = [w for w in set(words) if w not in memo and w not in memo.old and len(w) < LONG_WORD]
+        if not new:
+            return
+        ids, counts = self.trie.best([MARK + w for w in new], self.score_of, self.unknown, self._spelled)
+        ids, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        memo.take(zip(new, (ids[a:b] for a, b in zip([0, *ends], ends))), len(new))
+
+    def _spelled(self, character: str) -> list[int]:
+        return self.ids(character, (0, 1, -1))
+
     def plain(self, text: str) -> bytes:
         """The ids of a normalised text, as little-endian 32-bit numbers."""
         if not self.meets:
@@ -178,6 +196,120 @@ class Pieces:
         return self.plain(normalised(body))
 
 
+class Trie:
+    """The pieces as states and transitions in arrays, and the best paths of
+    many words at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        states, keys, to, piece = {"": 0}, [], [], [-1]
+        for p, i in sorted(pieces.items()):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in states:
+                    states[p[:k]] = len(states)
+                    piece.append(-1)
+                    keys.append(states[p[:k - 1]] << 21 | ord(p[k - 1]))
+                    to.append(states[p[:k]])
+            piece[states[p]] = i
+        self.piece = np.array(piece, np.int64)
+        # open addressing; a key is a state and a character, so a hit is exact
+        size = 4 << len(keys).bit_length()
+        self.bits, self.keys, self.to = size.bit_length() - 1, np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        left, value = np.array(keys, np.int64), np.array(to, np.int64)
+        place = self._place(left)
+        while len(left):
+            free = self.keys[place] < 0
+            taken, first = np.unique(place[free], return_index=True)
+            at = np.flatnonzero(free)[first]
+            self.keys[taken], self.to[taken] = left[at], value[at]
+            rest = np.ones(len(left), bool)
+            rest[at] = False
+            left, value, place = left[rest], value[rest], (place[rest] + 1) & size - 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, character: np.ndarray) -> np.ndarray:
+        """The next states; -1 where there is none."""
+        key = state << 21 | character
+        place, out = self._place(key), np.full(len(key), -1, np.int64)
+        open_ = np.arange(len(key))
+        while len(open_):
+            held = self.keys[place]
+            hit = held == key[open_]
+            out[open_[hit]] = self.to[place[hit]]
+            on = ~hit & (held >= 0)
+            open_, place = open_[on], (place[on] + 1) & len(self.keys) - 1
+        return out
+
+    def best(self, words: list[str], score_of: np.ndarray, unknown: int, spelled) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the best path of each word, one after the other, and how
+        many each has.  Of equal paths the one with the longer last piece stays.
+        ``unknown``: the score of a character that is no piece; ``spelled`` gives
+        its ids."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        length = np.array([len(w) for w in words])
+        begin = np.cumsum(length) - length
+        offset = np.arange(len(points)) - np.repeat(begin, length)
+        end = np.repeat(begin + length, length)
+        # edges of the lattice: from a character, so many characters, a piece
+        at, state, found = np.arange(len(points)), np.zeros(len(points), np.int64), []
+        single = self.step(state, points)
+        odd = np.flatnonzero((single < 0) | (self.piece[single] < 0))
+        found.append((odd, np.ones(len(odd), np.int64), np.full(len(odd), -1)))
+        for size in range(1, int(length.max()) + 1):
+            inside = at + size <= end[at]
+            at, state = at[inside], state[inside]
+            state = self.step(state, points[at + size - 1])
+            at, state = at[state >= 0], state[state >= 0]
+            if not len(at):
+                break
+            whole = self.piece[state] >= 0
+            found.append((at[whole], np.full(int(whole.sum()), size), self.piece[state[whole]]))
+        start, size, piece = (np.concatenate(x) for x in zip(*found))
+        # words side by side: of one offset and size, no two edges reach the same place
+        step = offset[start] * (int(size.max()) + 1) + size
+        order = np.argsort(step, kind="stable")
+        start, size, piece, step = start[order], size[order], piece[order], step[order]
+        cuts = np.flatnonzero(np.append(True, step[1:] != step[:-1])).tolist() + [len(step)]
+        place = start + np.repeat(np.arange(len(words)), length)[start]  # a word has a place more than characters
+        n = len(points) + len(words)
+        best, back, by = np.full(n, LOW), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        first = begin + np.arange(len(words))
+        best[first] = 0
+        score = np.where(piece < 0, unknown, score_of[piece])
+        for a, b in zip(cuts, cuts[1:]):
+            here, there = place[a:b], place[a:b] + size[a]
+            total = best[here] + score[a:b]
+            better = total > best[there]
+            there = there[better]
+            best[there], back[there], by[there] = total[better], here[better], piece[a:b][better]
+        word, place, steps = np.arange(len(words)), first + length, []
+        while len(word):
+            steps.append((word, by[place], back[place]))
+            place = back[place]
+            on = place != first[word]
+            word, place = word[on], place[on]
+        counts = np.bincount(np.concatenate([w for w, *_ in steps]), minlength=len(words))
+        ends = np.cumsum(counts)
+        ids, owner, begun = (np.zeros(int(counts.sum()), np.int64) for _ in range(3))
+        for k, (word, piece, place) in enumerate(steps):
+            at = ends[word] - 1 - k
+            ids[at], owner[at], begun[at] = piece, word, place - word
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):
+            character = points[begun[odd]]
+            own = {c: spelled(chr(c)) for c in np.unique(character).tolist()}
+            size = np.ones(len(ids), np.int64)
+            size[odd] = [len(own[c]) for c in character.tolist()]
+            at = (np.cumsum(size) - size)[odd]
+            ids, owner = np.repeat(ids, size), np.repeat(owner, size)
+            for c, spelling in own.items():
+                for k, i in enumerate(spelling):
+                    ids[at[character == c] + k] = i
+            counts = np.bincount(owner, minlength=len(words))
+        return ids, counts
+
+
 _LOADED = common.cache("sentencepiece")
 
 
@@ -302,7 +434,10 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, id_col: s
     def whole(batches):
         p = load(path)
         for b in batches:
-            ids = [p.ids_of(x.as_py()) for x in b.column("body")]
+            ids = []
+            for bodies in common.runs_of((x.as_py() for x in b.column("body")), PASS_BYTES):
+                p.learn(b" ".join(bodies).decode("utf-8", "replace").split(" "))
+                ids += map(p.ids_of, bodies)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return texts.where(~giant).mapInArrow(whole, ENCODED).unionByName(scanned(texts.where(giant), path, chunk_chars))
@@ -333,8 +468,13 @@ def scanned(texts: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     def back(batches):
         p = load(path)
         for b in batches:
-            found = [Chunk(p, t, n).variants(e) for t, n, e in zip(
-                b.column("text").to_pylist(), b.column("size").to_pylist(), b.column("entry").to_pylist())]
+            found = []
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                texts = part.column("text").to_pylist()
+                p.learn(MARK.join(texts).split(MARK))
+                found += [Chunk(p, t, n).variants(e) for t, n, e in zip(
+                    texts, part.column("size").to_pylist(), part.column("entry").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row"), b.column("chunk"), pa.array([f[0] for f in found], pa.list_(pa.int32())),
                  pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.binary()))],
@@ -358,10 +498,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         words = load(path).text_of
+        lengths = np.array([len(w) for w in words])
+        starts, spelled = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words), np.uint8)
+
+        def text(ids: bytes) -> bytes:
+            ids = np.frombuffer(ids, "<u4")
+            size = lengths[ids]
+            ends = np.cumsum(size)
+            if not len(ids):
+                return b""
+            # a byte's place: its piece's start, and how far it is from the piece's first byte
+            return spelled[np.repeat(starts[ids] - ends + size, size) + np.arange(ends[-1])].tobytes()
+
         for b in batches:
             out = []
             for ids in b.column("ids"):
-                body = b"".join(map(words.__getitem__, np.frombuffer(ids.as_py(), "<u4").tolist()))
+                body = text(ids.as_py())
                 out.append(body[1:] if body[:1] == b" " else body)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "body"])
 

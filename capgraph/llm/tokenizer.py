@@ -55,12 +55,20 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+        self._room(1)
         self[key] = value
         return value
 
+    def _room(self, n: int) -> None:
+        if len(self) + n > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def take(self, items, n: int) -> None:
+        """``n`` values that were made elsewhere."""
+        self._room(n)
+        self.update(items)
+
 
 class WordTokenizer:
     def __init__(self, path: str):

@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import cases, frame, text, prepared  # noqa: F401
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from capgraph.llm import op2_sentencepiece as sp
@@ -172,3 +173,28 @@ def test_encoding_on_spark_round_trips(spark):
     rows = sp.decode(sp.encode(frame(spark), path, chunk_chars=500), path).collect()
     got = sorted(((r.doc_id, np.frombuffer(bytes(r.ids), "<u4").tolist(), bytes(r.body).decode()) for r in rows), key=repr)
     assert got == sorted(((i, whole(t), text(t)) for i, t in cases()), key=repr)
+
+
+def test_equal_rows_are_packed_by_several_tasks(spark):
+    rows = [(None, "the same words again")] * 3000
+    out = packing.pack_documents(frame(spark, rows), PATH, sequence=64, open_bins=16, shard_pieces=500)
+    found = out.withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == 3000 and len({r.task for r in found}) >= 4
+    assert max(sum(r.task == t for r in found) for t in {r.task for r in found}) < 1600
+    held: dict[int, list] = {}
+    for r in found:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([o for o, _ in sorted(h)] == list(np.cumsum([0] + [n for _, n in sorted(h)])[:-1]) for h in held.values())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab theiñ▁\n\t漢🙂\x00é.", max_size=70), min_size=1, max_size=40))
+def test_words_learned_together_have_the_best_paths(words):
+    pieces = PIECES
+    pieces.memo.clear()
+    pieces.memo.old = {}
+    words = [w for w in words if " " not in w and sp.MARK not in w]
+    pieces.learn(words)
+    held = dict(pieces.memo)
+    assert set(held) == {w for w in words if len(w) < sp.LONG_WORD}
+    assert all(ids == pieces._best(sp.MARK + w) for w, ids in held.items())
