@@ -106,87 +106,124 @@ def training_sample(labels: DataFrame, sample_per_class: int, label_col: str = "
 
 
 class Model:
-    """Weights by feature place (already times the log-count ratio), and which
-    places count."""
+    """Weights (already times the log-count ratio) of the feature ``places``
+    that count, in ascending order."""
 
-    def __init__(self, weights: np.ndarray, bias: float, kept: np.ndarray):
-        self.weights, self.bias, self.kept = weights, bias, kept
+    def __init__(self, places: np.ndarray, weights: np.ndarray, bias: float, size: int = 1 << BITS):
+        self.places, self.weights, self.bias, self.size = places, weights, bias, size
+        self.slot = np.full(size, -1, np.int32)
+        self.slot[places] = np.arange(len(places), dtype=np.int32)
+
+    @property
+    def kept(self) -> np.ndarray:
+        """Which feature places count, as a mask."""
+        return self.slot >= 0
+
+    def sent(self) -> tuple:
+        """What a task makes the model from."""
+        return self.places, self.weights, self.bias, self.size
 
     def score(self, found: np.ndarray) -> float:
-        found = found[self.kept[found]]
-        z = self.bias + (float(self.weights[found].sum()) / np.sqrt(len(found)) if len(found) else 0.0)
+        slots = self.slot[found]
+        slots = slots[slots >= 0]
+        z = self.bias + (float(self.weights[slots].sum()) / np.sqrt(len(slots)) if len(slots) else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _summed(frame: DataFrame, places: int, per_row) -> np.ndarray:
-    """The sum over ``frame`` (y, found) of what ``per_row(y, offsets, places)``
-    gives for each Arrow batch; each task sends one vector, at most
-    ``FIT_TASKS`` in all, however many files the bounded sample lies in."""
+def _counted(sample: DataFrame) -> DataFrame:
+    """(place, toxic, clean): in how many documents of each label a feature is."""
     def run(batches):
-        total = np.zeros(places)
         for b in batches:
             y = np.asarray(b.column("y"), np.int64)
             found = [np.frombuffer(x.as_py(), np.int32) for x in b.column("found")]
-            y, found = y[[len(f) > 0 for f in found]], [f for f in found if len(f)]
-            if found:
-                total += per_row(y, np.array([len(f) for f in found]), np.concatenate(found))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+            at = np.concatenate(found) if found else np.zeros(0, np.int32)
+            y = np.repeat(y, [len(f) for f in found])
+            places, where = np.unique(at, return_inverse=True)
+            toxic = np.bincount(where, weights=y, minlength=len(places)).astype(np.int64)
+            n = np.bincount(where, minlength=len(places))
+            yield pa.RecordBatch.from_pydict({"place": pa.array(places, pa.int32()), "toxic": pa.array(toxic, pa.int64()),
+                                              "clean": pa.array(n - toxic, pa.int64())})
+
+    return (sample.mapInArrow(run, "place int, toxic bigint, clean bigint")
+            .groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+
 
-    total = np.zeros(places)
-    for r in frame.mapInArrow(run, "total binary").collect():
-        total += np.frombuffer(r.total)
-    return total
+def _chosen(counts: DataFrame, toxic: int, clean: int, least_z: float) -> DataFrame:
+    """(place, ratio) of the features that say something."""
+    t, c = F.col("toxic") + 1.0, F.col("clean") + 1.0
+    ratio = F.log(t / (toxic + 2)) - F.log(c / (clean + 2))
+    error = F.sqrt(1 / t - 1.0 / (toxic + 2) + 1 / c - 1.0 / (clean + 2))
+    return counts.select("place", ratio.alias("ratio"), error.alias("error")).where(F.abs("ratio") >= least_z * F.col("error"))
 
 
-def _only(sample: DataFrame, kept: np.ndarray) -> DataFrame:
-    """``sample`` without the features that are not kept."""
+def _only(sample: DataFrame, slot: np.ndarray) -> DataFrame:
+    """``sample`` with the features that are kept, by their slots."""
     def run(batches):
         for b in batches:
-            found = [np.frombuffer(x.as_py(), np.int32) for x in b.column("found")]
+            found = [slot[np.frombuffer(x.as_py(), np.int32)] for x in b.column("found")]
             yield pa.RecordBatch.from_arrays(
-                [b.column("y"), pa.array([f[kept[f]].tobytes() for f in found], pa.binary())], ["y", "found"])
+                [b.column("y"), pa.array([f[f >= 0].tobytes() for f in found], pa.binary())], ["y", "found"])
 
     return sample.mapInArrow(run, "y int, found binary")
 
 
+def _gradient(sample: DataFrame, scaled: np.ndarray, bias: float, ratio: np.ndarray, share: dict[int, float]) -> np.ndarray:
+    """The loss's gradient by weight and, last, by bias; each task sends one
+    vector of the kept features, at most ``FIT_TASKS`` in all."""
+    size = len(ratio)
+    sent = sample.sparkSession.sparkContext.broadcast((scaled, bias))
+
+    def run(batches):
+        total = np.zeros(size + 1)
+        scaled, bias = sent.value
+        for b in batches:
+            y = np.asarray(b.column("y"), np.int64)
+            found = [np.frombuffer(x.as_py(), np.int32) for x in b.column("found")]
+            y, found = y[[len(f) > 0 for f in found]], [f for f in found if len(f)]
+            if not found:
+                continue
+            lengths, at = np.array([len(f) for f in found]), np.concatenate(found)
+            first = np.cumsum(lengths) - lengths
+            z = np.add.reduceat(scaled[at], first) / np.sqrt(lengths) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * np.where(y == 1, share[1], share[0])
+            total[:-1] += np.bincount(at, weights=np.repeat(g / np.sqrt(lengths), lengths), minlength=size)
+            total[-1] += g.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    out = np.zeros(size + 1)
+    for r in sample.mapInArrow(run, "total binary").collect():
+        out += np.frombuffer(r.total)
+    sent.destroy()
+    out[:-1] *= ratio
+    return out
+
+
 def fit(sample: DataFrame, bits: int = BITS, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE,
         least_z: float = LEAST_Z) -> Model:
-    """``sample``: (y, found)."""
-    spark, size = sample.sparkSession, 1 << bits
+    """``sample``: (y, found).  The driver holds vectors of the features that
+    are kept, at most 2^bits numbers and usually a few thousand."""
+    size = 1 << bits
     sample = sample.coalesce(FIT_TASKS)
     n = dict(sample.groupBy("y").count().collect())
     if not n.get(1) or not n.get(0):
         share = n.get(1, 0) / max(1, sum(n.values()))
-        return Model(np.zeros(size), float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(size, bool))
-
-    counts = _summed(sample, 2 * size, lambda y, lengths, at: np.bincount(
-        at + size * np.repeat(y, lengths), minlength=2 * size).astype(float))
-    toxic, clean = counts[size:] + 1, counts[:size] + 1
-    ratio = np.log(toxic / (n[1] + 2)) - np.log(clean / (n[0] + 2))
-    error = np.sqrt(1 / toxic - 1 / (n[1] + 2) + 1 / clean - 1 / (n[0] + 2))
-    kept = np.abs(ratio) >= least_z * error
-    sample = common.written(_only(sample, kept)).coalesce(FIT_TASKS)
+        return Model(np.zeros(0, np.int32), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6))), size)
+
+    kept = _chosen(_counted(sample), n[1], n[0], least_z).select("place", "ratio").coalesce(1).sortWithinPartitions("place").toArrow()
+    places, ratio = np.asarray(kept.column("place")).astype(np.int32), np.asarray(kept.column("ratio"))
+    slot = np.full(size, -1, np.int32)
+    slot[places] = np.arange(len(places), dtype=np.int32)
+    sample = common.written(_only(sample, slot)).coalesce(FIT_TASKS)
     share = {y: 0.5 / n[y] for y in (0, 1)}
-    w, bias = np.zeros(size), 0.0
-    m = v = np.zeros(size + 1)
+    w, bias = np.zeros(len(places)), 0.0
+    m = v = np.zeros(len(places) + 1)
     for k in range(1, steps + 1):
-        sent = spark.sparkContext.broadcast((w * ratio, bias, ratio))
-
-        def gradient(y, lengths, at, sent=sent):
-            scaled, b, r = sent.value
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            z = np.add.reduceat(scaled[at], first) / np.sqrt(lengths) + b
-            g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * np.where(y == 1, share[1], share[0])
-            out = np.bincount(at, weights=np.repeat(g / np.sqrt(lengths), lengths), minlength=size) * r
-            return np.append(out, g.sum())
-
-        g = _summed(sample, size + 1, gradient)
+        g = _gradient(sample, w * ratio, bias, ratio, share)
         g[:-1] += ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-        sent.destroy()
-    return Model(w * ratio, float(bias), kept)
+    return Model(places, w * ratio, float(bias), size)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, label_col: str = "toxic",
@@ -200,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.kept))
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def run(batches):
         f, m = Features(), Model(*sent.value)
@@ -213,7 +250,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clean_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, that score below ``threshold``."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.kept))
+    sent = docs.sparkSession.sparkContext.broadcast(model.sent())
 
     def make():
         f, m = Features(), Model(*sent.value)

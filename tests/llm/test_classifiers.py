@@ -163,3 +163,61 @@ def test_large_components_stay_exact(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = topk.top_k(df, df, k=3, scale=1).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, lambda q: True, 3, 1)
+
+
+def test_toxicity_fit_is_the_fit_in_one_place(spark):
+    """The Spark fit against one over plain arrays of the same rows."""
+    docs, labels = toxic_docs(spark, 120)
+    model = toxicity.train(docs, labels)
+    wanted = {r.doc_id: r.toxic for r in labels.where("toxic IS NOT NULL").collect()}
+    find = toxicity.Features()
+    rows = [(wanted[r.doc_id], find(r.text.encode())) for r in docs.collect() if r.doc_id in wanted]
+    y = np.array([a for a, _ in rows])
+    x = np.zeros((len(rows), 1 << toxicity.BITS), bool)
+    for i, (_, found) in enumerate(rows):
+        x[i, found] = True
+    toxic, clean = x[y == 1].sum(axis=0) + 1.0, x[y == 0].sum(axis=0) + 1.0
+    n1, n0 = (y == 1).sum() + 2, (y == 0).sum() + 2
+    ratio = np.log(toxic / n1) - np.log(clean / n0)
+    kept = np.flatnonzero(np.abs(ratio) >= toxicity.LEAST_Z * np.sqrt(1 / toxic - 1 / n1 + 1 / clean - 1 / n0))
+    assert model.places.tolist() == kept.tolist() and len(kept) > 5
+    f = x[:, kept] * ratio[kept] / np.sqrt(np.maximum(1, x[:, kept].sum(axis=1)))[:, None]
+    has = x[:, kept].any(axis=1)
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * has
+    w, bias, m, v = np.zeros(len(kept)), 0.0, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    for k in range(1, toxicity.STEPS + 1):
+        g = (1 / (1 + np.exp(-(f @ w + bias))) - y) * share
+        g = np.append(f.T @ g + toxicity.RIDGE * w, g.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = toxicity.RATE * m / (1 - 0.9 ** k) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    assert np.allclose(model.weights, w * ratio[kept], atol=1e-6) and abs(model.bias - bias) < 1e-6
+
+
+def test_language_is_the_least_of_plain_compressions(spark):
+    import zstandard
+    found = {lang: spoken(lang, 1, 2000).encode() for lang in SYLLABLES}
+    rows = [(k, spoken(lang, 300 + k, 40)) for k, lang in enumerate(sorted(SYLLABLES) * 5)]
+    got = {r.doc_id: r.lang_pred for r in language.predict(frame(spark, rows), found).collect()}
+    for k, t in rows:
+        body = language.letters(t).encode()
+        assert len(body) < language.PIECE_BYTES
+        size = {lang: len(zstandard.ZstdCompressor(level=language.LEVEL, write_content_size=False, write_dict_id=False,
+                          dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(body))
+                for lang, d in found.items()}
+        assert size[got[k]] == min(size.values())
+
+
+def test_topk_of_large_components_is_the_sql(spark):
+    import duckdb
+
+    from capgraph.llm import oracle
+    tiny = 2.0 ** -10  # 1 when scaled, so that products with 2^53 fit the SQL's 64 bits
+    rows = [(0, [tiny, -tiny]), (100, [3 * tiny, tiny]), (1, [float(1 << 43), 1.0]), (2, [-float(1 << 43), 2.0]), (3, [float(1 << 30), 3.0]),
+            (4, [float(1 << 60), 1.0]), (5, [float("nan"), 1.0])] + [(10 + k, [k / 7, -k / 3]) for k in range(30)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"),
+                     spark.createDataFrame(rows[:2], "vec_id bigint, embedding array<double>")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r for r in rows if r[0] != 4])  # 2^60 * 1024 is no BIGINT
+    assert sorted(map(tuple, got)) == sorted(con.execute(oracle.TOP_K).fetchall()) and any(r.vec_id == 1 for r in got)
