@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from ..operators.graph.components import connected_components
 from . import common
@@ -255,8 +254,8 @@ def class_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, tolerance: float, block: int,
                    make=by_shingles) -> DataFrame:
-    """For each class of equal sets: cls, first (its least id), copies, links
-    (to rows of other classes) and component.  ``texts``: doc_id, body;
+    """For each class of equal sets: cls, first (its least id), text_hash (of the
+    row that it is read from), copies, links (to rows of other classes) and component.  ``texts``: doc_id, body;
     ``rows``: the same as ``signed`` gives them.  A tolerance of 0 leaves all
     candidates to the exact comparison."""
     # the text that a class is read from: of its least id (null: last) the one with the least hash
@@ -323,7 +322,7 @@ def linked_classes(texts: DataFrame, rows: DataFrame, threshold: float, toleranc
         comps = comps.unionByName(_components(torn).select(F.col("vertex").alias("cls"), "component"))
     links = linked.groupBy("cls").agg(F.sum("links").alias("links"))
     named = (classes.join(links, "cls", "left").join(comps, "cls", "left")
-             .select("cls", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"),
+             .select("cls", "first", "text_hash", "copies", F.coalesce("links", F.lit(0)).alias("links"),
                      F.coalesce("component", "cls").alias("component")))
     return common.written(named)
 
@@ -344,24 +343,29 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, that stand for their group: of each group
     of rows connected by links the one with the least id (a null id last; of
-    rows with that id, the one whose text comes first)."""
+    rows with that id, the one with the least text hash; of equal ones any)."""
     texts = common.id_text(docs, id_col, text_col)
     rows = common.written(signed(texts))
     named = linked_classes(texts, rows, threshold, tolerance, block)
-    order = F.struct(F.col("first").isNull().alias("n"), "first", "cls")
-    heads = (named.groupBy("component").agg(F.min(order).alias("h"))
-             .select(F.col("h.cls").alias("_head_cls"), F.col("h.first").alias("_head_id")))
-
-    def run(batches):
-        for b in batches:
-            names = [class_of(shingles(x.as_py() or b"")) for x in b.column(text_col).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.int64())], [*b.schema.names, "_cls"])
-
-    named_rows = docs.mapInArrow(run, common.with_fields(docs.schema, _cls=LongType()))
-    met = named_rows.join(common.written(heads), (F.col("_cls") == F.col("_head_cls"))
-                          & F.col(id_col).cast("bigint").eqNullSafe(F.col("_head_id")))
-    first = F.row_number().over(Window.partitionBy("_cls").orderBy(text_col))
-    return met.withColumn("_n", first).where("_n = 1").select(*[F.col(c) for c in docs.columns])
+    order = F.struct(F.col("first").isNull().alias("n"), "first", "cls", "text_hash")
+    heads = common.written(named.groupBy("component").agg(F.min(order).alias("h")).select(
+        F.col("h.first").alias("head"), F.col("h.text_hash").alias("own")))
+    id_, own = common.free_name("id", docs.columns), common.free_name("own", docs.columns)
+    body = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    hashed = docs.withColumns({id_: F.col(id_col).cast("bigint"), own: F.xxhash64(body)})
+
+    def of(side: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+        return side.join(chosen, side[id_].eqNullSafe(chosen["head"]) & (side[own] == chosen["own"]), how)
+
+    # rows that share id and text: of each such head one stays
+    same = rows.groupBy(F.col("doc_id").alias("head"), F.col("text_hash").alias("own")).count().where("count > 1").drop("count")
+    kept, same = of(hashed, heads, "left_semi"), common.written(same)
+    if not same.isEmpty():
+        first = F.row_number().over(Window.partitionBy(id_, own).orderBy(F.lit(1)))
+        n = common.free_name("n", hashed.columns)
+        one = of(kept, same, "left_semi").withColumn(n, first).where(F.col(n) == 1).drop(n)
+        kept = of(kept, same, "left_anti").unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

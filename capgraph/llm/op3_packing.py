@@ -3,9 +3,9 @@
 1. Arrow tasks turn each whole text into token ids, add the closing id, and
    cut only documents longer than a sequence into sequence-long pieces.  Only
    the pieces' numbers (not the ids) go on.
-2. Pieces are dealt to shards by a hash of document and piece, so no source or
-   key can make a shard large; the number of shards follows from the number of
-   pieces.  Each shard is sorted by falling length and packed by itself.
+2. Pieces are dealt to shards by a hash of document, piece and row number, so
+   no source, key or equal rows can make a shard large; the number of shards
+   follows from the number of pieces.  Each shard is sorted by falling length and packed by itself.
 3. The packer is a bounded-space online best fit: a fixed number of open bins
    in a bitset keyed by free space.  A piece goes to the open bin that it
    fills best; when a new bin is needed and all are open, the fullest closes.
@@ -116,7 +116,9 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS,
                 [b.column(c) for c in names] + [pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())],
                 names + ["sequence_id", "offset"])
 
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # equal rows would hash alike, so a row's number in the written pieces deals it out
+    number = F.monotonically_increasing_id()
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", number), F.lit(shards)))
     return (dealt.repartition(shards, "shard")
             .sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
             .mapInArrow(fill, f"{PIECES}, sequence_id bigint, offset bigint"))

@@ -18,8 +18,9 @@ from bucket to bucket.  Bounds carry a small slack, and products are exact
 exact.  Queries and candidates meet in blocks of bounded size; a block pair
 whose bounds rule each other out is dropped by the join condition.
 
-Defined cases: vectors that are null or empty, hold a null or non-finite
-component, or one of 2^52 or more, and rows with a null id, take no part;
+Defined cases: vectors that are null or empty, or hold a null or non-finite
+component, and rows with a null id, take no part; nor do those with a component
+whose floor(1024 * x) is no 64-bit integer, as none can be scored;
 vectors of another dimension than the query's are no candidates; rows with the
 query's id are its own; every other row counts, repeated ones as well; scores
 beyond 64 bits stop at the limits; zero vectors are ordinary ones; an empty
@@ -51,7 +52,8 @@ def scaled_vectors(rows: DataFrame, scale: int = SCALE, id_col: str = "vec_id",
     """vec_id, v array<bigint>, dim, norm of the rows that take part."""
     x = F.col(vector_col)
     fine = (x.isNotNull() & (F.size(x) > 0)
-            & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c.cast("double") * scale) < F.lit(float(1 << 52))), F.lit(False))))
+            & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (c.cast("double") * scale >= F.lit(-float(1 << 63)))
+                                               & (c.cast("double") * scale < F.lit(float(1 << 63))), F.lit(False))))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("bigint"))
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)
     return (rows.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("v"))
@@ -139,7 +141,8 @@ def best(bucket: Bucket, queries: Bucket, theta: np.ndarray, k: int):
             order = np.lexsort((bucket.ids[at], -scores))[:k]
             at, scores = at[order], scores[order]
         if len(at) == k:
-            theta[q] = max(theta[q], scores.min())
+            least = float(scores.min())
+            theta[q] = max(theta[q], least if abs(least) < EXACT else np.nextafter(least, -np.inf))
         if len(at):
             yield q, bucket.ids[at], scores
 

@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import common
@@ -68,9 +69,9 @@ class Strip:
     """Concatenated pieces of texts.  A piece owns its first positions; the
     bytes after them are the start of the text's next piece."""
 
-    def __init__(self, pieces, window: int):
+    def __init__(self, pieces, window: int, period: int = PERIOD):
         # pieces: (document index, first position, owned positions, bytes)
-        self.pieces, self.window = pieces, window
+        self.pieces, self.window, self.period = pieces, window, period
         self.bytes = np.frombuffer(b"".join(p[3] for p in pieces), np.uint8)
         self.lengths = np.array([len(p[3]) for p in pieces])
         self.ends = np.cumsum(self.lengths)
@@ -103,7 +104,7 @@ class Strip:
         the same piece, or 0 where there is none within a window."""
         if len(self.bytes) < TRIGGER_BYTES:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero((self._run(TRIGGER_BYTES) >> np.uint64(32)) % np.uint64(PERIOD) == 0)
+        at = np.flatnonzero((self._run(TRIGGER_BYTES) >> np.uint64(32)) % np.uint64(self.period) == 0)
         piece = np.searchsorted(self.ends, at, side="right")
         inside = at + TRIGGER_BYTES <= self.ends[piece]
         at, piece = at[inside], piece[inside]
@@ -139,19 +140,19 @@ class Strip:
         return np.concatenate(starts) if starts else np.zeros(0, np.int64)
 
 
-def strips(bodies: list[bytes], window: int, size: int = STRIP):
+def strips(bodies: list[bytes], window: int, period: int = PERIOD, size: int = STRIP):
     """All texts in strips of about ``size`` bytes."""
     pieces, held = [], 0
     for i, body in enumerate(bodies):
         for at in range(0, max(1, len(body)), size):
             part = body[at:at + size + window + TRIGGER_BYTES]
             if held and held + len(part) > size:
-                yield Strip(pieces, window)
+                yield Strip(pieces, window, period)
                 pieces, held = [], 0
             pieces.append((i, at, min(size, len(body) - at), part))
             held += len(part)
     if held:
-        yield Strip(pieces, window)
+        yield Strip(pieces, window, period)
 
 
 def distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,12 +174,12 @@ def known(sorted_: np.ndarray, bits: np.ndarray, hashes: np.ndarray) -> np.ndarr
 class Reader:
     """What each round works out anew from a shard's texts."""
 
-    def __init__(self, bodies: list[bytes], window: int):
-        self.bodies, self.window = bodies, window
+    def __init__(self, bodies: list[bytes], window: int, period: int = PERIOD):
+        self.bodies, self.window, self.period = bodies, window, period
 
     def phrases(self):
         found = []
-        for strip in strips(self.bodies, self.window):
+        for strip in strips(self.bodies, self.window, self.period):
             _, phrase = strip.parse()
             found.append(phrase[phrase != 0])
         # a piece's overlap repeats the next piece's phrases; a text in several pieces is rare, so
@@ -187,7 +188,7 @@ class Reader:
 
     def windows(self, phrases: np.ndarray, twice: np.ndarray):
         """(strip, window starts, their hashes) of the suffixes left."""
-        for strip in strips(self.bodies, self.window):
+        for strip in strips(self.bodies, self.window, self.period):
             at, phrase = strip.parse()
             alone = (phrase != 0) & ~known(phrases, twice, phrase)
             starts = strip.candidates(at, alone)
@@ -221,10 +222,12 @@ def without_characters(body: bytes, spans) -> bytes:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                   shard_bytes: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, carry: bool = False, period: int = PERIOD,
+                   keep_first: bool = False) -> DataFrame:
     """doc_id, n_bytes, the removed spans and the kept bytes of every row; with
     ``carry`` also a struct ``row`` of the input's other columns, and of a
-    character that a cut goes through nothing is kept."""
+    character that a cut goes through nothing is kept.  ``keep_first``: windows
+    that occur for the first time (lowest id, or in a text the first place) stay."""
     cut = without_characters if carry else without
     texts = common.id_text(docs, id_col, text_col)
     others = [c for c in docs.columns if c != text_col]
@@ -232,19 +235,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                             F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"),
                             F.struct(*others).alias("row"))
+        row_type = common.nullable(texts.schema["row"].dataType)
     schema = common.with_fields(
         texts.select("doc_id").schema, n_bytes=LongType(), spans=ArrayType(SPAN), kept=BinaryType(),
-        **({"row": texts.schema["row"].dataType} if carry else {}))
+        **({"row": row_type} if carry else {}))
     corpus = Shards(texts, shard_bytes)
-    phrase_parts, window_parts = corpus.parts(corpus.bytes // PERIOD), corpus.parts(corpus.bytes // 8)
+    phrase_parts, window_parts = corpus.parts(corpus.bytes // period), corpus.parts(corpus.bytes // 8)
 
     def dictionary(key, shard):
         common.begin()
-        phrases, again = Reader([b for _, b in bodies_of(shard)], window).phrases()
+        phrases, again = Reader([b for _, b in bodies_of(shard)], window, period).phrases()
         return send(key[0].as_py(), phrases, again, phrase_parts)
 
     def suffixes(key, shard, replies):
-        reader = Reader([b for _, b in bodies_of(shard)], window)
+        reader = Reader([b for _, b in bodies_of(shard)], window, period)
         phrases, _ = reader.phrases()
         hashes, again = distinct([h for _, _, h in reader.windows(phrases, answered(replies, phrases, phrase_parts))])
         common.release()
@@ -252,15 +256,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def removed(key, shard, replies):
         rows, order = ordered(shard)
-        reader = Reader([b for _, b in rows], window)
+        reader = Reader([b for _, b in rows], window, period)
         kinds = np.asarray(replies.column("kind"))
         phrases, _ = reader.phrases()
         left = list(reader.windows(phrases, answered(replies.filter(pa.array(kinds == 1)), phrases, phrase_parts)))
         hashes, _ = distinct([h for _, _, h in left])
-        twice = answered(replies.filter(pa.array(kinds == 2)), hashes, window_parts)
+        again = answered(replies.filter(pa.array(kinds == 2)), hashes, window_parts)
         marked: dict[int, list] = {}
+        seen = np.zeros(len(hashes), bool)
         for strip, starts, h in left:
-            starts = starts[known(hashes, twice, h)]
+            node = np.searchsorted(hashes, h)
+            repeat = again[node]
+            if keep_first:
+                first = np.zeros(len(h), bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                repeat = repeat | ~first | seen[node]
+                seen[node] = True
+            starts = starts[repeat]
             cuts = np.searchsorted(starts, strip.ends)
             for (doc, at, _, _), lo, hi, first in zip(strip.pieces, np.append(0, cuts), cuts, strip.ends - strip.lengths):
                 if lo < hi:
@@ -273,30 +285,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                               pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array([cut(b, s) for (_, b), s in zip(rows, spans)], pa.binary())})
         common.release()
-        return out.append_column("row", shard.column("row").take(pa.array(order, pa.int64()))) if carry else out
+        if not carry:
+            return out
+        return out.append_column("row", shard.column("row").take(pa.array(order, pa.int64())).cast(to_arrow_type(row_type)))
 
     one = common.written(answers(corpus.frame.groupBy("shard").applyInArrow(dictionary, SENT), phrase_parts, False))
-    two = common.written(answers(with_answers(corpus, one, suffixes, SENT), window_parts, False))
+    two = common.written(answers(with_answers(corpus, one, suffixes, SENT), window_parts, keep_first))
     both = one.withColumn("kind", F.lit(1)).unionByName(two.withColumn("kind", F.lit(2)))
     return with_answers(corpus, both, removed, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                    length_col: str | None = "n_chars") -> DataFrame:
+                    length_col: str | None = "n_chars", period: int = PERIOD, keep_first: bool = False) -> DataFrame:
     """``docs`` with the repeated strings cut out of their texts (null: empty).
     A character that a cut goes through goes whole; ``length_col``, where
     ``docs`` has it, is counted anew."""
-    found = repeated_spans(docs, window, id_col, text_col, carry=True)
-    out = found.select(F.col("kept").cast("string").alias(text_col), F.col("row").alias("_row"))
+    found = repeated_spans(docs, window, id_col, text_col, carry=True, period=period, keep_first=keep_first)
+    kept = F.col("kept").cast("string")
     columns = []
     for c in docs.columns:
         if c == text_col:
-            columns.append(F.col(c))
+            columns.append(kept.alias(c))
         elif c == length_col:
-            columns.append(F.length(text_col).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.length(kept).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col("_row")[c].alias(c))
-    return out.select(*columns)
+            columns.append(F.col("row")[c].alias(c))
+    return found.select(*columns)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

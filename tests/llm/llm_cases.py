@@ -68,6 +68,22 @@ def repeated_bytes(rows, window: int):
     return out
 
 
+def again_bytes(rows, window: int):
+    """Like ``repeated_bytes``, for strings that occurred before (lower id, then
+    lesser text, then earlier place) only."""
+    order = sorted(range(len(rows)), key=lambda i: (-(1 << 63) if rows[i][0] is None else rows[i][0], text(rows[i][1]).encode()))
+    seen, out = set(), [None] * len(rows)
+    for i in order:
+        b = text(rows[i][1]).encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - window + 1):
+            if b[k:k + window] in seen:
+                gone[k:k + window] = b"\1" * window
+            seen.add(b[k:k + window])
+        out[i] = spans_of(gone) + (bytes(x for x, g in zip(b, gone) if not g),)
+    return out
+
+
 def spans_of(gone):
     spans, at = [], None
     for k, g in enumerate([*gone, 0]):

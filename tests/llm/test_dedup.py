@@ -3,7 +3,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from llm_cases import cases, frame, jaccard, near_groups, prose, repeated_bytes, repeated_words, shingle_set, text, prepared  # noqa: F401
+from llm_cases import again_bytes, cases, frame, jaccard, near_groups, prose, repeated_bytes, repeated_words, shingle_set, text, prepared  # noqa: F401
 
 from capgraph.llm import common, shards
 from capgraph.llm import op1_fingerprints as spots
@@ -227,3 +227,86 @@ def test_pruning_bound_and_exact_counts():
     assert near._common(sets, sets, i[:5], j[:5]).tolist() == want[:5]
     assert near.class_of(near.shingles(b"a b c d e f")) == near.class_of(near.shingles(b"a  b c\nd e f"))
     assert shingle_set("") == set() and len(near.shingles(b"  ")) == 0
+
+
+CLASHING = ("doc_id bigint not null, text string, row int not null, _row string not null, _cls bigint not null, _head_id bigint, "
+            "id int not null, own int not null, head array<int> not null, kept struct<a: int not null> not null, spans int, n int")
+
+
+def clashing(spark, rows):
+    from pyspark.sql.types import StructType
+    held = [(i, t, k, f"r{k}", k, None, k, k, [k], (k,), None, k) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(held, StructType.fromDDL(CLASHING)).repartition(2)
+
+
+def test_stages_keep_clashing_and_non_null_columns(spark):
+    rows = [(i, t) for i, t in families() if i is not None]
+    for f in (near.one_of_each, suffixes.without_repeats):
+        docs = clashing(spark, rows)
+        out = f(docs)
+        assert out.columns == docs.columns
+        want = {(r.doc_id, r.id): r for r in docs.collect()}
+        found = out.collect()
+        assert found and all(r[2:] == want[r.doc_id, r.id][2:] for r in found)
+        assert f(clashing(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("window,period", [(64, 8), (200, 24)])
+def test_strings_that_occurred_before_go(spark, window, period):
+    rows = [(i, t) for i, t in cases() + lopsided()]
+    got = suffixes.repeated_spans(frame(spark, rows), window, shard_bytes=20_000, period=period, keep_first=True).collect()
+    got = sorted(((r.doc_id, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got), key=repr)
+    want = [(i, spans, kept) for (i, _), (spans, kept) in zip(rows, again_bytes(rows, window))]
+    assert got == sorted(want, key=repr)
+
+
+def spot_set(t: str) -> set[int]:
+    """SpotSigs signatures word by word, for texts of ASCII words."""
+    import re
+    ops = []
+    for chunk in t.split():
+        w = re.sub(r"[\W_]+", "", chunk.lower())
+        if w or any(c.isalnum() for c in chunk):
+            kind = 0 if w in spots._PASSED else 1 if w in spots._ANCHORS else 2
+            ops.append((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") & ~3 & (1 << 63) - 1 | kind, kind))
+    mask = (1 << 64) - 1
+
+    def chain(h, words):
+        h = h * 0x9E3779B97F4A7C15 & mask
+        for w in words:
+            h = (h ^ w) * 0x9E3779B97F4A7C15 & mask
+            h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & mask
+            h ^= h >> 29
+        return h
+
+    found, covered = set(), [False] * len(ops)
+    for i, (h, kind) in enumerate(ops):
+        after = [j for j in range(i + 1, len(ops)) if ops[j][1] == 2][:3]
+        if kind == 1 and len(after) == 3:
+            found.add(chain(h, [ops[j][0] for j in after]) >> 32)
+            if after[-1] - i < spots.MOST_COVERED:
+                for j in range(i, after[-1] + 1):
+                    covered[j] = True
+    runs = []
+    for i in range(len(ops) - 3):
+        if not any(covered[i:i + 4]):
+            before = sum(covered[:i])
+            if not runs or runs[-1][0] != before:
+                runs.append((before, []))
+            runs[-1][1].append(chain(ops[i][0], [ops[j][0] for j in range(i + 1, i + 4)]))
+    for _, run in runs:
+        for a in range(max(1, len(run) - spots.REACH + 1)):
+            found.add(min(run[a:a + spots.REACH]) >> 32)
+    if not found and ops:
+        found.add(chain(ops[0][0], [h for h, _ in ops[:3]]) >> 32)
+    return found
+
+
+def test_signatures_word_by_word():
+    find = spots.Signatures()
+    texts = [prose(k, 5 + 13 * k) for k in range(25)] + ["the cat sat on the mat today", "one", "", "the of a", "a b c d", "x, y! z?"]
+    texts += [" ".join(f"v{k * 7919 % 1009}q" for k in range(200)), "the " * 50 + "cat dog"]
+    alone = [find(t.encode()) for t in texts]
+    assert [set(a.tolist()) for a in alone] == [spot_set(t) for t in texts]
+    together = find.of([find.hashed(spots.spaced(t.encode()).split()) for t in texts])
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(alone, together))
