@@ -8,7 +8,8 @@ written as Parquet in the shared folder and read again as the next stage's
 2. language: documents without a language told reliably go;
 3. near_duplicates: of each group of texts linked by a 5-word-shingle likeness
    of 0.8 or more the document with the least id stays;
-4. repeated_text: 400-byte strings that occur elsewhere are cut out;
+4. repeated_text: strings of 200 bytes that occurred before are cut out, so the
+   first of a passage's copies stays;
 5. packing: whole documents into sequences of 4096 tokens.
 
 Each stage learns from, and judges, what the one before it kept.
@@ -19,6 +20,10 @@ from __future__ import annotations
 from capgraph.llm import common, op3_packing, op6_suffix_dedup, op7_language, op9_toxicity, op10_ngram_join, tokenizer
 
 
+#: A passage of 50 words has 250 bytes or more; phrases are cut so that eight lie in a window.
+PASSAGE_BYTES, PASSAGE_PERIOD = 200, 24
+
+
 def toxicity(spark, docs, sf_dir):
     common.prepare(spark)
     return op9_toxicity.clean_rows(docs, op9_toxicity.learned(docs, common.table(spark, sf_dir, "labels")))
@@ -36,7 +41,7 @@ def near_duplicates(spark, docs, sf_dir):
 
 def repeated_text(spark, docs, sf_dir):
     common.prepare(spark)
-    return op6_suffix_dedup.without_repeats(docs)
+    return op6_suffix_dedup.without_repeats(docs, PASSAGE_BYTES, period=PASSAGE_PERIOD, keep_first=True)
 
 
 def packing(spark, docs, sf_dir):
