@@ -1,35 +1,45 @@
-"""Runtime model with Spark ML.
+"""Runtime model.
 
-The pipeline is ``StringIndexer -> Imputer -> VectorAssembler ->
-StandardScaler -> tree regressor``; training, scoring and prediction are
-distributed ``fit`` / ``transform`` calls, never row-at-a-time.
+Features are prepared by a Spark ML pipeline (``StringIndexer -> Imputer ->
+VectorAssembler -> StandardScaler``); the models are the histogram trees of
+``trees``, which have the L1 and L2 terms and the least rows of a split that
+Spark's own tree learners lack.  Training, scoring and prediction are Spark
+jobs, never row at a time.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import trees as TT
 from .metrics import regression_metrics
 
-# Model inputs, target, split, and the two model configurations.
+# Model inputs, target, split, and the cross-deadline model's settings.
 FEATURE_COLUMNS = ("nodes", "edges", "density", "avg_clustering", "num_nodes", "total_cores",
                    "total_memory_gb", "algorithm_type")
 TARGET = "simulated_time"
 TEST_SHARE_PCT = 25
 MIN_TIME = 0.1
 CORES_PER_NODE, MEMORY_PER_NODE_GB = 4, 8
-GBT_PARAMS = dict(maxIter=150, maxDepth=6, stepSize=0.1, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", seed=42)
 CROSS_PARAMS = dict(maxIter=100, maxDepth=4, stepSize=0.1)
 MOST_DEADLINES = 16
-RF_PARAMS = dict(numTrees=150, maxDepth=8, minInstancesPerNode=2, seed=42)
+#: Names of settings that callers may change, as Spark's learners have them.
+SETTINGS = {"maxIter": "trees", "numTrees": "trees", "maxDepth": "depth", "stepSize": "rate", "seed": "seed"}
+
+
+def settings(kind: str, **params) -> TT.Settings:
+    """The settings of a model kind, some of them changed."""
+    if kind not in ("gbt", "rf"):
+        raise ValueError(f"unknown model kind {kind!r}")
+    return replace(TT.BOOSTED if kind == "gbt" else TT.FOREST, **{SETTINGS.get(k, k): v for k, v in params.items()})
 
 
 def select_features(df: DataFrame, deadline_col: str = "deadline_constraint") -> list[str]:
@@ -58,17 +68,14 @@ def split_train_test(df: DataFrame, key: str = "run_id", test_pct: int = TEST_SH
             x.filter(F.col("_bucket") >= 100 - test_pct).drop("_bucket"))
 
 
-def build_pipeline(features: list[str], kind: str = "gbt", **params) -> Pipeline:
-    """M2-M4 + M6/M7: encode the algorithm alphabetically (``predict`` maps
-    unseen names to index 0), mean-impute numeric columns,
-    assemble, standardise, then a tree regressor."""
+def preparation(features: list[str]) -> Pipeline:
+    """M2-M4: encode the algorithm alphabetically (``predict`` maps unseen names
+    to index 0), mean-impute numeric columns, assemble, standardise."""
     numeric = [c for c in features if c != "algorithm_type"]
     stages = []
-    inputs = list(numeric)
     if "algorithm_type" in features:
         stages.append(StringIndexer(inputCol="algorithm_type", outputCol="algorithm_type_encoded",
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
-        inputs.append("algorithm_type_encoded")
     imputed = [f"{c}_imp" for c in numeric]
     stages.append(Imputer(strategy="mean", inputCols=numeric, outputCols=imputed))
     assembled = imputed + (["algorithm_type_encoded"] if "algorithm_type" in features else [])
@@ -76,16 +83,58 @@ def build_pipeline(features: list[str], kind: str = "gbt", **params) -> Pipeline
                                   handleInvalid="keep"))
     stages.append(StandardScaler(inputCol="raw_features", outputCol="features",
                                  withMean=True, withStd=True))
-    if kind == "gbt":
-        reg = GBTRegressor(featuresCol="features", labelCol=TARGET, **{**GBT_PARAMS, **params})
-    elif kind == "rf":
-        reg = RandomForestRegressor(featuresCol="features", labelCol=TARGET, **{**RF_PARAMS, **params})
-    else:
-        raise ValueError(f"unknown model kind {kind!r}")
-    stages.append(reg)
     return Pipeline(stages=stages)
 
 
+@dataclass
+class RuntimeModel:
+    """A fitted preparation and its trees; ``lane`` says which trees, where
+    several models were fitted together."""
+
+    prepared: PipelineModel
+    trees: TT.Model
+    lane: int = 0
+
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """``df`` with the array column x.  Algorithms unseen in training get
+        encoded as 0, as the reference does."""
+        first = self.prepared.stages[0]
+        if hasattr(first, "labels") and "algorithm_type" in df.columns:
+            # The fitted label list is the handful of algorithm names seen in
+            # training; an unseen name takes index 0 (the first label).
+            labels = list(first.labels)
+            df = df.withColumn("algorithm_type", F.when(F.col("algorithm_type").isin(labels), F.col("algorithm_type"))
+                               .otherwise(F.lit(labels[0])))
+        return self.prepared.transform(df).select(*df.columns, vector_to_array("features").alias("x"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return TT.predict(self.encoded(df), self.trees, F.col("x"), lane=self.lane).drop("x")
+
+
+class Learner:
+    """M6/M7 behind M2-M4: ``fit`` gives a ``RuntimeModel``."""
+
+    def __init__(self, features: list[str], kind: str = "gbt", **params):
+        self.features, self.settings = features, settings(kind, **params)
+
+    def fit(self, df: DataFrame, key: str = "run_id") -> RuntimeModel:
+        prepared = preparation(self.features).fit(df)
+        return RuntimeModel(prepared, TT.fit(written(training_rows(prepared, df, key)), len(self.features), self.settings))
+
+
+def training_rows(prepared: PipelineModel, df: DataFrame, key: str, lane: int = 0) -> DataFrame:
+    """key, lane, y, x of the rows that have a target."""
+    own = F.col(key).cast("bigint") if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(key)
+    return (prepared.transform(df.where(F.col(TARGET).isNotNull()))
+            .select(own.alias("key"), F.lit(lane).alias("lane"), F.col(TARGET).cast("double").alias("y"),
+                    vector_to_array("features").alias("x")))
+
+
+def build_pipeline(features: list[str], kind: str = "gbt", **params) -> Learner:
+    """The learner of a model kind (``settings``)."""
+    return Learner(features, kind, **params)
+
+
 def _cast_numeric(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in features if c != "algorithm_type"})
 
@@ -93,7 +142,7 @@ def _cast_numeric(df: DataFrame, features: list[str]) -> DataFrame:
 @dataclass
 class TrainedModel:
     kind: str
-    model: PipelineModel
+    model: RuntimeModel
     features: list[str]
     metrics: DataFrame  # (split, rmse, mae, r2, rows)
 
@@ -104,7 +153,7 @@ def train(df: DataFrame, kind: str = "gbt", key: str = "run_id", **params) -> Tr
     # read by every fitted stage and both scorings
     data = written(_cast_numeric(df, feats))
     tr, te = split_train_test(data, key)
-    model = build_pipeline(feats, kind, **params).fit(tr)
+    model = build_pipeline(feats, kind, **params).fit(tr, key)
     m = regression_metrics(predict(model, tr), TARGET, "prediction").withColumn("split", F.lit("train"))
     m2 = regression_metrics(predict(model, te), TARGET, "prediction").withColumn("split", F.lit("test"))
     return TrainedModel(kind, model, feats, m.unionByName(m2))
@@ -117,27 +166,17 @@ def select_best(models: list[TrainedModel]) -> TrainedModel:
     return max(models, key=r2)
 
 
-def predict(model: PipelineModel, df: DataFrame, floor: float = MIN_TIME) -> DataFrame:
-    """Batch prediction with a floor of 0.1 s.  Algorithms unseen in
-    training get encoded as 0, as the reference does."""
-    first = model.stages[0]
-    if hasattr(first, "labels") and "algorithm_type" in df.columns:
-        # The fitted label list is the handful of algorithm names seen in
-        # training; an unseen name takes index 0 (the first label).
-        labels = list(first.labels)
-        df = df.withColumn("algorithm_type", F.when(F.col("algorithm_type").isin(labels),
-                                                    F.col("algorithm_type"))
-                           .otherwise(F.lit(labels[0])))
+def predict(model: RuntimeModel, df: DataFrame, floor: float = MIN_TIME) -> DataFrame:
+    """Batch prediction with a floor of 0.1 s."""
     out = model.transform(df)
     return out.withColumn("prediction", F.greatest(F.col("prediction"), F.lit(floor)))
 
 
 def feature_importance(tm: TrainedModel) -> DataFrame:
     """Importances of the fitted trees by feature name, descending."""
-    reg = tm.model.stages[-1]
     numeric = [c for c in tm.features if c != "algorithm_type"]
     names = numeric + (["algorithm_type_encoded"] if "algorithm_type" in tm.features else [])
-    imp = reg.featureImportances.toArray().tolist()
+    imp = tm.model.trees.importance(tm.model.lane).tolist()
     spark = tm.metrics.sparkSession
     rows = [(n, float(v)) for n, v in zip(names, imp)]
     return (spark.createDataFrame(rows, "feature string, importance double")
@@ -152,13 +191,26 @@ def what_if_rows(workloads: DataFrame, max_nodes: int = 8) -> DataFrame:
                           "total_memory_gb": F.col("num_nodes") * MEMORY_PER_NODE_GB}))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Persist the whole pipeline (indexer, imputer, scaler, trees)."""
-    model.write().overwrite().save(path)
+def save_model(model: RuntimeModel, path: str) -> None:
+    """Persist the preparation, the node table and what goes with it."""
+    spark = _session()
+    model.prepared.write().overwrite().save(f"{path}/prepared")
+    model.trees.nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    about = {"boosted": model.trees.boosted, "features": model.trees.features, "lane": model.lane,
+             "base": {str(k): v for k, v in model.trees.base.items()}}
+    spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_model(path: str) -> RuntimeModel:
+    spark = _session()
+    about = json.loads(spark.read.schema("about string").json(f"{path}/about").first().about)
+    nodes = spark.read.parquet(f"{path}/nodes")
+    trees = TT.Model.of_nodes(nodes, about["boosted"], about["features"], {int(k): v for k, v in about["base"].items()})
+    return RuntimeModel(PipelineModel.load(f"{path}/prepared"), trees, about["lane"])
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession()
 
 
 def derived_deadline(df: DataFrame, deadlines, key: str = "run_id", name: str = "deadline_constraint") -> DataFrame:
@@ -169,10 +221,10 @@ def derived_deadline(df: DataFrame, deadlines, key: str = "run_id", name: str =
 
 
 def cross_deadline(df: DataFrame, deadline_col: str = "deadline_constraint", kind: str = "gbt",
-                   **params) -> DataFrame:
+                   key: str = "run_id", **params) -> DataFrame:
     """Train on the rows of one deadline, test on another, for every
-    ordered pair (a driver loop over at most ``MOST_DEADLINES`` deadlines,
-    each fit and score distributed).  ``(train_deadline, test_deadline,
+    ordered pair of at most ``MOST_DEADLINES`` deadlines.  The models grow side
+    by side, in the same jobs.  ``(train_deadline, test_deadline,
     train_samples, test_samples, rmse, mae, r2)``."""
     params = {**(CROSS_PARAMS if kind == "gbt" else {}), **params}
     counts = df.groupBy(deadline_col).count().orderBy(deadline_col).limit(MOST_DEADLINES + 1).collect()
@@ -180,11 +232,17 @@ def cross_deadline(df: DataFrame, deadline_col: str = "deadline_constraint", kin
         raise ValueError(f"more than {MOST_DEADLINES} deadlines")
     feats = usable_features(df)
     data = written(_cast_numeric(df, feats))
+    prepared, rows = [], None
+    for lane, (a, _) in enumerate(counts):
+        own = data.filter(F.col(deadline_col).eqNullSafe(F.lit(a)))
+        prepared.append(preparation(feats).fit(own))
+        part = training_rows(prepared[-1], own, key, lane)
+        rows = part if rows is None else rows.unionByName(part)
+    trees = TT.fit(written(rows), len(feats), settings(kind, **params))
     out = None
-    for a, n in counts:
-        model = build_pipeline(feats, kind, **params).fit(data.filter(F.col(deadline_col) == a))
+    for lane, (a, n) in enumerate(counts):
         # one scoring pass for all other deadlines
-        scored = predict(model, data.filter(F.col(deadline_col) != a))
+        scored = predict(RuntimeModel(prepared[lane], trees, lane), data.filter(F.col(deadline_col) != a))
         m = regression_metrics(scored, TARGET, "prediction", [deadline_col]).select(
             F.lit(a).alias("train_deadline"), F.col(deadline_col).alias("test_deadline"),
             F.lit(n).alias("train_samples"), F.col("rows").alias("test_samples"), "rmse", "mae", "r2")

@@ -1,91 +1,105 @@
 """Exact order statistics without sending a whole group to one task.
 
-A group can hold a third of all rows, so neither a per-group window nor
-Spark's exact ``percentile`` (which keeps every distinct value of a group in
-one buffer) is safe at scale.  Rows are first counted by (group, value), which
-collapses ties map-side, in the one shuffle of the rows.  The counted values
-are put in ranges by an approximate-quantile sketch whose number of ranges
-follows from the number of values; running sums over ranges and inside ranges
-give every value its positions.  A range holds distinct values only, so no
-value, however often it occurs, makes a range large.
+A group can hold a third of all rows, all of them different, so neither a
+window by group over rows or values nor Spark's exact ``percentile`` (which
+keeps every distinct value of a group in one buffer) is safe at scale.
+
+*Radix selection* (``at_ranks``): a value becomes a 64-bit integer in the same
+order.  A pass counts the rows of each group by the next ``DIGIT`` bits (map-side,
+so at most 2^16 rows a group and task move), finds the cells that hold the wanted
+ranks by running sums over these counts, and goes on with the rows of these
+cells only.  A cell whose least and greatest value agree is done, so columns of
+few values take one pass and no column takes more than four.
 
 Null groups are groups like any others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
 from ..session import written
 
-VALUES_PER_RANGE = 1_000_000
-#: Bounds are broadcast up to this many values, else joined.
-BROADCAST_VALUES = 100_000
-
-
-def _cumulated(df: DataFrame, keys: list[str], col: str, ranges: int | None = None) -> DataFrame:
-    """``(keys..., col, _c, _end)``: each value of each group (nulls left out),
-    its count, and the position of its last row."""
-    counts = (df.filter(F.col(col).isNotNull()).groupBy(*keys, col)
-              .agg(F.count(F.lit(1)).alias("_c")))
-    counts = written(counts)
-    if ranges is None:
-        largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        ranges = max(1, -(-largest // VALUES_PER_RANGE))
-    by = [F.col(k) for k in keys]
-    if ranges == 1:
-        w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumn("_end", F.sum("_c").over(w))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = counts.groupBy(*keys).agg(
-        F.percentile_approx(F.col(col), cuts, max(10000, 20 * ranges)).alias("_b"),
-        F.first(F.lit(1)).alias("_one"))
-    bounds = written(bounds)  # one answer for all uses below
-    if bounds.count() * ranges <= BROADCAST_VALUES:
-        bounds = F.broadcast(bounds)
-    b = bounds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b")
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    if keys:
-        tagged = counts.join(b, same)
-    else:  # one row of bounds, as constants
-        cut = b.first()["_b"]
-        tagged = counts.withColumn("_b", F.array(*[F.lit(x) for x in cut]))
-    tagged = (tagged.withColumn("_bk", F.size(F.filter("_b", lambda x: x < F.col(col))))
-              .select(*keys, col, "_c", "_bk"))
-    inside = Window.partitionBy(*by, "_bk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each range
-    starts = (tagged.groupBy(*keys, "_bk").agg(F.sum("_c").alias("_n"))
-              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-              .select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)],
-                      F.col("_bk").alias("_sbk"), "_start"))
-    cond = F.col("_bk") == F.col("_sbk")
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_s{i}"))
-    return (tagged.withColumn("_in", F.sum("_c").over(inside)).join(starts, cond)
-            .select(*keys, col, "_c", (F.col("_start") + F.col("_in")).alias("_end")))
+DIGIT = 16
+#: Open cells (one or two a group) are broadcast up to this many, else joined.
+BROADCAST_CELLS = 100_000
+
+
+def _ordered_bits(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, value double) as (key, bits): integers in the values' order."""
+    def run(batches):
+        for b in batches:
+            bits = (np.asarray(b.column("value"), np.float64) + 0.0).view(np.int64)  # one zero
+            bits = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(bits, pa.int64())], ["key", "bits"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["key"], StructField("bits", LongType())]))
+
+
+def _values(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``value``, the double that ``bits`` stands for."""
+    def run(batches):
+        for b in batches:
+            bits = np.asarray(b.column("bits"), np.int64)
+            bits = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits.view(np.float64), pa.float64())], [*b.schema.names, "value"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("value", DoubleType())]))
+
+
+def at_ranks(df: DataFrame, keys: list[str], col: str, ranks: Callable[[Column], list[Column]],
+             digit: int = DIGIT) -> DataFrame:
+    """``(keys..., which, value)``: the values of ``col`` (nulls left out) at the
+    1-based places ``ranks(n)`` of each group's ``n`` sorted values; ``which``
+    numbers the ranks from 0.  ``digit`` divides 64."""
+    # a struct is equal to another with nulls in the same places
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.where(F.col(col).isNotNull()).select(key.alias("key"), F.col(col).alias("value"))
+    kind = df.schema[col].dataType
+    floating = isinstance(kind, (DoubleType, FloatType))
+    rows = written(_ordered_bits(rows.withColumn("value", F.col("value").cast("double"))) if floating
+                   else rows.select("key", F.col("value").cast("bigint").alias("bits")))
+    n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("which"), r.cast("bigint").alias("rank")) for i, r in enumerate(ranks(F.col("n")))])
+    open_ = written(n.select("key", F.lit(0).cast("bigint").alias("cell"), F.explode(wanted).alias("w"))
+                    .select("key", "cell", "w.which", "w.rank"))
+    done = None
+    for shift in range(64 - digit, -1, -digit):
+        own = F.shiftright("bits", shift)
+        if shift == 64 - digit:
+            inside = rows.select("key", F.lit(0).cast("bigint").alias("cell"), "bits")
+        else:
+            cells = written(open_.select("key", "cell").distinct())
+            cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+            inside = rows.withColumn("cell", F.shiftright("bits", shift + digit)).join(cells, ["key", "cell"])
+        counts = inside.groupBy("key", "cell", own.alias("next")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("bits").alias("low"), F.max("bits").alias("high"))
+        # at most 2^16 rows a cell
+        upto = Window.partitionBy("key", "cell").orderBy("next").rowsBetween(Window.unboundedPreceding, 0)
+        summed = counts.withColumn("end", F.sum("c").over(upto))
+        hit = written(open_.join(summed, ["key", "cell"]).where((F.col("rank") <= F.col("end")) & (F.col("rank") > F.col("end") - F.col("c")))
+                      .select("key", F.col("next").alias("cell"), "which", (F.col("rank") - F.col("end") + F.col("c")).alias("rank"), "low", "high"))
+        found = hit.where("low = high").select("key", "which", F.col("low").alias("bits"))
+        done = found if done is None else done.unionByName(found)
+        open_ = hit.where("low <> high").select("key", "cell", "which", "rank")
+        if open_.isEmpty():
+            break
+    out = _values(done) if floating else done.withColumn("value", F.col("bits"))
+    return out.select(*[F.col("key")[k].alias(k) for k in keys], "which", F.col("value").cast(kind).alias("value"))
 
 
-def exact_median(df: DataFrame, keys: list[str], col: str, alias: str = "median",
-                 ranges: int | None = None) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], col: str, alias: str = "median", digit: int = DIGIT) -> DataFrame:
     """Exact (interpolated) median of ``col`` per ``keys``, nulls ignored; a
     group without values is absent."""
-    x = _cumulated(df.select(*keys, col), keys, col, ranges)
-    n = F.max("_end").over(Window.partitionBy(*[F.col(k) for k in keys])) if keys else None
-    if keys:
-        x = x.withColumn("_n", n)
-    else:
-        x = written(x)
-        x = x.withColumn("_n", F.lit(x.agg(F.max("_end")).first()[0]))
-    # the row at position p is the first value that ends at or after p
-    p1, p2 = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    lo = F.min(F.when(F.col("_end") >= p1, F.col(col)))
-    hi = F.min(F.when(F.col("_end") >= p2, F.col(col)))
-    out = x.groupBy(*keys).agg((lo + F.lit(0.5) * (hi - lo)).alias(alias))
-    return out
+    x = at_ranks(df, keys, col, lambda n: [F.floor((n + 1) / 2), F.ceil((n + 1) / 2)], digit)
+    lo, hi = (F.min(F.when(F.col("which") == i, F.col("value"))) for i in (0, 1))
+    return x.groupBy(*keys).agg((lo + F.lit(0.5) * (hi - lo)).alias(alias))
 
 
 def positions(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:

@@ -9,7 +9,7 @@ avg_clustering, ...``.
 Every operator is a grouped aggregate (partial aggregation before the
 shuffle), a join against a handful of fixed rows (deadlines, rules: always
 broadcast), or a window over an already-aggregated table.  Medians use the
-range-split exact median in ``ordered.py``.
+radix-selected exact median in ``ordered.py``.
 """
 
 from __future__ import annotations
@@ -374,9 +374,18 @@ def runtime_series(runs: DataFrame, x: str) -> DataFrame:
             .withColumn("series", F.lit(x)))
 
 
-def assemble_runs(observed: DataFrame, features: DataFrame, deadlines=DEADLINES) -> DataFrame:
+#: What kind of work an algorithm is.
+ALGORITHM_CATEGORY = {"PageRank": "iterative", "ConnectedComponents": "traversal", "TriangleCounting": "memory_intensive"}
+
+
+def assemble_runs(observed: DataFrame, features: DataFrame, deadlines=DEADLINES, outcomes: DataFrame | None = None) -> DataFrame:
     """Graph features x configuration x observed runtime -> the runs
-    table with totals, cost, deadline flags and runtime category."""
+    table with totals, cost, deadline flags and runtime category.
+
+    With ``outcomes`` (graph_name, num_iterations, converged: what PageRank took
+    on each graph) also those two, algorithm_category (null for other names) and
+    what only a caller's table can say: actual_time and scaling_reason, null
+    where it doesn't."""
     out = observed.join(features, "graph_name", "left")
     if "total_cores" not in out.columns:
         out = out.withColumns({
@@ -384,4 +393,11 @@ def assemble_runs(observed: DataFrame, features: DataFrame, deadlines=DEADLINES)
             "total_memory_gb": F.col("num_nodes") * F.col("memory_per_node_gb")})
     if "node_cost" not in out.columns:
         out = out.withColumn("node_cost", F.col("num_nodes"))
+    if outcomes is not None:
+        out = out.join(outcomes.select("graph_name", "num_iterations", "converged"), "graph_name", "left")
+        category = F.create_map(*[F.lit(x) for pair in ALGORITHM_CATEGORY.items() for x in pair])
+        out = out.withColumn("algorithm_category", F.try_element_at(category, F.col("algorithm_type")))
+        for name, kind in (("actual_time", "double"), ("scaling_reason", "string")):
+            if name not in out.columns:
+                out = out.withColumn(name, F.lit(None).cast(kind))
     return with_runtime_category(with_deadline_flags(out, deadlines))

@@ -2,23 +2,27 @@
 
 Model-free parts (features, split, scaler statistics, optimiser, validation,
 residuals, model-as-policy) are checked against SQL by plugging in the
-deterministic lookup predictor; the tree models themselves are rows-only.
+deterministic lookup predictor.  Single trees of the learners (M6, M7), their
+predictions and importances are checked against SQL that grows the same trees;
+whole ensembles are rows-only there and held against brute force in the tests.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, StringIndexer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..ml import metrics as MM
 from ..ml import optimizer as OPT
 from ..ml import runtime_model as RM
+from ..ml import trees as TT
 from ..operators import policies as P
 from ..operators import runs as R
 from ..sources import tables as T
 from .policy_queries import _SCORED, scored_policies
-from .registry import query, rounded
+from .registry import query, round_stable, rounded
 from ..session import shared_path, written
 from .run_queries import _runs_features as _assembled
 from .sql_views import RUNS, features_sql
@@ -88,8 +92,7 @@ def q_ml_scaler_stats(spark, sf):
     df = _runs_features(spark, sf)
     feats = RM.select_features(df)
     tr, _ = RM.split_train_test(RM._cast_numeric(df, feats))
-    pipe = RM.build_pipeline(feats, "rf")
-    model = Pipeline(stages=pipe.getStages()[:-1]).fit(tr)
+    model = RM.preparation(feats).fit(tr)
     scaler = model.stages[-1]
     names = NUMERIC + ["algorithm_type_encoded"]
     rows = [(n, float(m), float(s)) for n, m, s in
@@ -99,22 +102,35 @@ def q_ml_scaler_stats(spark, sf):
 
 # ---------------------------------------------------------------- M6-M11 (rows only)
 
+#: Fitted forests of a session, by application and table: four queries read the same one.
+_FORESTS: dict[tuple, tuple] = {}
+
+
+def _forest(spark, sf):
+    """The assembled runs and the forest fitted on them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FORESTS:
+        _FORESTS.clear()
+        runs = _runs_features(spark, sf)
+        _FORESTS[key] = (runs, RM.train(runs, "rf"))
+    return _FORESTS[key]
+
+
 @query("runtime_model_rf")
 def q_runtime_model_rf(spark, sf):
-    tm = RM.train(_runs_features(spark, sf), "rf")
+    _, tm = _forest(spark, sf)
     return rounded(tm.metrics.withColumn("model", F.lit("RandomForest")))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
-    tm = RM.train(_runs_features(spark, sf), "rf")
+    _, tm = _forest(spark, sf)
     return rounded(RM.feature_importance(tm))
 
 
 @query("model_predictions")
 def q_model_predictions(spark, sf):
-    rf = _runs_features(spark, sf)
-    tm = RM.train(rf, "rf")
+    rf, tm = _forest(spark, sf)
     wl = (rf.groupBy("graph_name", "algorithm_type")
           .agg(*[F.first(c).alias(c) for c in ("nodes", "edges", "density", "avg_clustering")]))
     grid = RM._cast_numeric(RM.what_if_rows(wl), tm.features)
@@ -122,6 +138,123 @@ def q_model_predictions(spark, sf):
         "graph_name", "algorithm_type", "num_nodes", "total_cores", "total_memory_gb", "prediction"))
 
 
+# One tree of two levels of each learner over four features of the runs.
+
+_TREE_FEATURES = ("num_nodes", "total_cores", "total_memory_gb", "algorithm_code")
+_ONE_BOOSTED = TT.Settings(True, trees=1, depth=2, rate=0.1, l1=0.5, l2=1.0)
+_ONE_FOREST = TT.Settings(False, trees=1, depth=2, bootstrap=True, min_split=5, min_leaf=2)
+
+
+def _tree_rows(spark, sf):
+    runs = T.runs(spark, sf)
+    names = F.broadcast(runs.select("algorithm_type").distinct().orderBy("algorithm_type").limit(1000)
+                        .withColumn("algorithm_code", F.row_number().over(Window.orderBy("algorithm_type")) - 1))
+    return runs.join(names, "algorithm_type").withColumn("x", F.array(*[F.col(c).cast("double") for c in _TREE_FEATURES]))
+
+
+def _one_tree(spark, sf, s):
+    rows = _tree_rows(spark, sf).select(F.col("run_id").cast("bigint").alias("key"), F.lit(0).alias("lane"),
+                                        F.col("simulated_time").alias("y"), "x")
+    return TT.fit(written(rows), len(_TREE_FEATURES), s)
+
+
+def _mixed_sql(x: str) -> str:
+    """``trees.mixed`` on an unsigned column."""
+    step = x
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        step = f"((xor({step}, {step} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT)"
+    return f"xor({step}, {step} >> 16)"
+
+
+def _tree_sql(s: TT.Settings) -> str:
+    """WITH prefix ending in ``node`` (node, f, cut, value, gain, n) of the first tree."""
+    if s.bootstrap:
+        draw = "[" + ", ".join(str(int(x)) for x in TT.POISSON) + "]"
+        weight = f"CAST(len(list_filter({draw}, lambda t: t <= h2)) AS DOUBLE)"
+    else:
+        weight = "1.0::DOUBLE"
+    base = "(SELECT avg(y) FROM x0)" if s.boosted else "0.0"
+    shrink = lambda g: f"(sign({g}) * greatest(0.0, abs({g}) - {s.l1}))"
+    score = lambda g, h: f"pow({shrink(g)}, 2) / greatest({h} + {s.l2}, 1e-12)"
+    leaf = lambda g, h: f"-{shrink(g)} / greatest({h} + {s.l2}, 1e-12) * {s.rate}"
+    cols = ", ".join(f"CAST({c} AS DOUBLE)" for c in _TREE_FEATURES)
+
+    def level(k: int, rows: str) -> str:
+        return f"""
+c{k} AS (SELECT node, c.f, cut, sum(g) AS g, sum(w) AS h, count(*) AS n, coalesce(sum(g) FILTER (x[c.f + 1] <= cut), 0) AS lg,
+         coalesce(sum(w) FILTER (x[c.f + 1] <= cut), 0) AS lh, count(*) FILTER (x[c.f + 1] <= cut) AS ln
+         FROM {rows}, cuts c GROUP BY node, c.f, cut),
+b{k} AS (SELECT *, round(0.5 * ({score('lg', 'lh')} + {score('(g - lg)', '(h - lh)')} - {score('g', 'h')}), 6) AS gain FROM c{k}
+         WHERE ln >= {s.min_leaf} AND n - ln >= {s.min_leaf} AND n >= {s.min_split}
+         QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) = 1),
+s{k} AS (SELECT * FROM b{k} WHERE gain > 0)"""
+
+    return f"""WITH {RUNS},
+x0 AS (SELECT run_id, simulated_time AS y, [{cols}] AS x, xor(run_id::UBIGINT, run_id::UBIGINT >> 32) & 4294967295::UBIGINT AS h0
+       FROM (SELECT *, dense_rank() OVER (ORDER BY algorithm_type) - 1 AS algorithm_code FROM runs1)),
+x1 AS (SELECT *, {_mixed_sql('h0')} AS h1 FROM x0),
+x2 AS (SELECT *, (h1 + {s.seed}::UBIGINT) & 4294967295::UBIGINT AS h1s FROM x1),
+x3 AS (SELECT *, {_mixed_sql('h1s')} AS h2 FROM x2),
+v AS (SELECT f, x[f + 1] AS v, row_number() OVER (PARTITION BY f ORDER BY x[f + 1]) AS p, count(*) OVER (PARTITION BY f) AS n FROM x0, range(4) t(f)),
+cuts AS (SELECT DISTINCT f, v AS cut FROM v JOIN range(1, {s.bins}) t(k) ON p = CAST(ceil(n * k / {float(s.bins)}) AS BIGINT)),
+r1 AS (SELECT 1 AS node, x, w, -w * (y - {base}) AS g FROM (SELECT *, {weight} AS w FROM x3) WHERE w > 0),{level(1, 'r1')},
+r2 AS (SELECT CASE WHEN x[f + 1] <= cut THEN 2 ELSE 3 END AS node, x, w, r1.g FROM r1, s1),{level(2, 'r2')},
+cut AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+sums AS (SELECT 1 AS node, sum(g) AS g, sum(w) AS h, count(*) AS n FROM r1
+         UNION ALL SELECT 2 * node, lg, lh, ln FROM cut UNION ALL SELECT 2 * node + 1, g - lg, h - lh, n - ln FROM cut),
+node AS (SELECT node, coalesce(f, -1) AS f, cut, {leaf('sums.g', 'sums.h')} AS value, coalesce(gain, 0) AS gain, sums.n, sums.h
+         FROM sums LEFT JOIN cut USING (node))"""
+
+
+_NODES = """
+SELECT CAST(node AS INTEGER) AS node, CAST(f AS INTEGER) AS feature, cut, round(value, 6) AS value, round(gain, 3) AS gain,
+       n AS rows FROM node"""
+
+
+def _nodes(spark, sf, s):
+    found = _one_tree(spark, sf, s).nodes(spark).select("node", "feature", "cut", "value", "gain", "rows")
+    return found.withColumns({"value": round_stable(F.col("value"), 6), "gain": round_stable(F.col("gain"), 3)})
+
+
+@query("boosted_tree", _tree_sql(_ONE_BOOSTED) + _NODES)
+def q_boosted_tree(spark, sf):
+    """M6: the first tree of regularised boosting."""
+    return _nodes(spark, sf, _ONE_BOOSTED)
+
+
+@query("forest_tree", _tree_sql(_ONE_FOREST) + _NODES)
+def q_forest_tree(spark, sf):
+    """M7: the first tree of a forest, on its bootstrap."""
+    return _nodes(spark, sf, _ONE_FOREST)
+
+
+@query("tree_importance", _tree_sql(_ONE_FOREST) + f"""
+SELECT name AS feature, round(coalesce(sum(gain), 0) / (SELECT sum(gain) FROM node), 6) AS importance
+FROM (SELECT unnest({list(_TREE_FEATURES)}) AS name, unnest(range(4)) AS f) LEFT JOIN node USING (f) GROUP BY name""")
+def q_tree_importance(spark, sf):
+    """M10 on the tree of ``forest_tree``."""
+    found = _one_tree(spark, sf, _ONE_FOREST).importance()
+    return rounded(spark.createDataFrame([(n, float(v)) for n, v in zip(_TREE_FEATURES, found)], "feature string, importance double"))
+
+
+@query("tree_predictions", _tree_sql(_ONE_FOREST) + f""",
+grid AS (SELECT algorithm_type, num_nodes, [CAST(num_nodes AS DOUBLE), CAST(num_nodes * {RM.CORES_PER_NODE} AS DOUBLE),
+                CAST(num_nodes * {RM.MEMORY_PER_NODE_GB} AS DOUBLE), CAST(dense_rank() OVER (ORDER BY algorithm_type) - 1 AS DOUBLE)] AS x
+         FROM (SELECT DISTINCT algorithm_type FROM runs1), range(1, 9) t(num_nodes)),
+step AS (SELECT grid.*, CASE WHEN f < 0 THEN 1 WHEN x[f + 1] <= cut THEN 2 ELSE 3 END AS place FROM grid, node WHERE node = 1),
+leaf AS (SELECT algorithm_type, num_nodes, CASE WHEN f < 0 THEN place WHEN x[f + 1] <= cut THEN 2 * place ELSE 2 * place + 1 END AS place
+         FROM step JOIN node ON node = place)
+SELECT algorithm_type, CAST(num_nodes AS INTEGER) AS num_nodes, round(greatest(value, {RM.MIN_TIME}), 6) AS prediction
+FROM leaf JOIN node ON node = place""")
+def q_tree_predictions(spark, sf):
+    """M11 on the tree of ``forest_tree``: every algorithm on 1 to 8 nodes."""
+    model = _one_tree(spark, sf, _ONE_FOREST)
+    codes = _tree_rows(spark, sf).select("algorithm_type", "algorithm_code").distinct()
+    grid = RM.what_if_rows(codes).withColumn("x", F.array(*[F.col(c).cast("double") for c in _TREE_FEATURES]))
+    out = TT.predict(grid.select("algorithm_type", F.col("num_nodes").cast("int").alias("num_nodes"), "x"), model, F.col("x"))
+    return rounded(out.select("algorithm_type", "num_nodes", F.greatest("prediction", F.lit(RM.MIN_TIME)).alias("prediction")))
+
+
 # ---------------------------------------------------------------- M12-M17 (lookup predictor)
 
 def _workloads(spark, sf):
@@ -285,8 +418,8 @@ def q_model_policy_metrics(spark, sf):
 def q_model_selection(spark, sf):
     """M6 + M7 + M9: boosted trees and random forest with the reference's
     settings, train/test metrics of both, and the pick by test R^2."""
-    rf = _runs_features(spark, sf)
-    models = [RM.train(rf, "gbt"), RM.train(rf, "rf")]
+    rf, forest = _forest(spark, sf)
+    models = [RM.train(rf, "gbt"), forest]
     best = RM.select_best(models)
     out = None
     for tm in models:
@@ -320,6 +453,16 @@ def q_cross_deadline(spark, sf):
     return rounded(RM.cross_deadline(RM.derived_deadline(_runs_features(spark, sf), T.DEADLINES)))
 
 
+@query("cross_deadline_summary")
+def q_cross_deadline_summary(spark, sf):
+    """Mean and sample deviation of the pairs' scores, best and worst pair."""
+    pairs = written(RM.cross_deadline(RM.derived_deadline(_runs_features(spark, sf), T.DEADLINES)))
+    out = RM.generalisation_summary(pairs)
+    return rounded(out.select(
+        "mean_r2", "std_r2", "mean_mae", "std_mae",
+        *[F.col(f"{k}_pair")[c].alias(f"{k}_{c}") for k in ("best", "worst") for c in ("train_deadline", "test_deadline")]))
+
+
 @query("model_reload", f"WITH {RUNS} SELECT count(*) AS rows, 0::BIGINT AS differences FROM runs1")
 def q_model_reload(spark, sf):
     """Predictions of a saved and loaded model against the original's."""
@@ -335,8 +478,7 @@ def q_model_reload(spark, sf):
 @query("model_policy_fitted")
 def q_model_policy_fitted(spark, sf):
     """M12 and M17 with a fitted forest as the predictor."""
-    rf = _runs_features(spark, sf)
-    tm = RM.train(rf, "rf")
+    rf, tm = _forest(spark, sf)
     wl = (rf.groupBy(F.col("graph_name").alias("workload"), "algorithm_type")
           .agg(*[F.first(c).cast("double").alias(c) for c in ("nodes", "edges", "density", "avg_clustering")]))
     predict = lambda grid: RM.predict(tm.model, RM._cast_numeric(grid, tm.features))

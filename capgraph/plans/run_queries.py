@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.stats import sql_corr
 from ..operators import runs as R
 from ..operators.graph import features as FT
+from ..operators.graph import pagerank as PR
 from ..sources import tables as T
 from .registry import query, rounded
-from .sql_views import RUNS, features_sql
+from .sql_views import EDGES_RUNS, RUNS, features_sql, pagerank_converged_sql
 
 ALG = R.ALG
 DL = "(VALUES (20.0::DOUBLE), (30.0::DOUBLE), (45.0::DOUBLE), (60.0::DOUBLE)) d(deadline)"
@@ -422,3 +423,19 @@ SELECT run_id, graph_name, algorithm_type, round(simulated_time, 6) AS simulated
 FROM rf""")
 def q_assembled_runs(spark, sf):
     return rounded(_runs_features(spark, sf))
+
+
+@query("assembled_runs_outcomes", pagerank_converged_sql(EDGES_RUNS) + f""", {RUNS}
+SELECT run_id, r.graph_name, algorithm_type, round(simulated_time, 6) AS simulated_time, iterations AS num_iterations, converged,
+       CASE algorithm_type WHEN 'PageRank' THEN 'iterative' WHEN 'ConnectedComponents' THEN 'traversal'
+                           WHEN 'TriangleCounting' THEN 'memory_intensive' END AS algorithm_category,
+       CAST(NULL AS DOUBLE) AS actual_time, CAST(NULL AS VARCHAR) AS scaling_reason
+FROM runs1 r LEFT JOIN (SELECT graph_name, any_value(iterations) AS iterations, any_value(done) AS converged FROM s40 GROUP BY graph_name) p
+     USING (graph_name)""")
+def q_assembled_runs_outcomes(spark, sf):
+    """A28's columns on how each run went: PageRank's rounds on the run's graph."""
+    ranks = PR.pagerank_converged(T.run_graph_edges(spark, sf), max_iter=40)
+    outcomes = ranks.groupBy("graph_name").agg(F.max("iterations").alias("num_iterations"), F.first("converged").alias("converged"))
+    runs = R.assemble_runs(T.runs(spark, sf), T.runs(spark, sf).select("graph_name").distinct(), outcomes=outcomes)
+    return rounded(runs.select("run_id", "graph_name", "algorithm_type", "simulated_time", "num_iterations", "converged",
+                               "algorithm_category", "actual_time", "scaling_reason"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from capgraph.operators import runs as R
-from capgraph.operators.ordered import exact_median, positions
+from capgraph.operators.ordered import at_ranks, exact_median, positions
 
 
 def test_exact_median_skewed_groups(spark):
@@ -13,7 +13,7 @@ def test_exact_median_skewed_groups(spark):
     rows += [("small", float(v)) for v in rng.normal(0, 1, 10)]
     rows += [("one", 4.5)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", ranges=16).collect()}
+    got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", digit=4).collect()}
     for k in ("hot", "small", "one"):
         want = float(np.median([v for kk, v in rows if kk == k]))
         assert got[k] == pytest.approx(want, rel=1e-12)
@@ -47,8 +47,8 @@ def test_safe_corr_constant_is_null(spark):
 def test_median_keeps_null_groups_and_splits_equal_values(spark):
     rows = [(None, 1.0), (None, 3.0), ("a", None), ("b", 2.0)] + [("hot", 7.0)] * 900 + [("hot", float(k)) for k in range(100)]
     df = spark.createDataFrame(rows, "k string, v double")
-    for ranges in (None, 5):
-        got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", ranges=ranges).collect()}
+    for digit in (16, 8):
+        got = {r["k"]: r["median"] for r in exact_median(df, ["k"], "v", digit=digit).collect()}
         assert got == {None: 2.0, "b": 2.0, "hot": 7.0}
     counts = df.groupBy("k", "v").count()
     assert counts.where("k = 'hot'").count() == 100  # 90 % equal rows are one counted value
@@ -92,3 +92,22 @@ def test_plans_without_products_or_fact_shuffles(spark):
     features = ("num_nodes", "total_cores", "total_memory_gb")
     for make in (lambda: R.correlation_matrix(runs, features), lambda: R.runtime_correlation_ranking(runs, features)):
         assert "hashpartitioning(algorithm_type" not in _plan(spark, make)
+
+
+def test_values_at_ranks_of_odd_columns(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [0.0, -0.0, -1.5, 1e-300, -1e300, inf, -inf, nan, 2.0, 2.0, 3.25]
+    df = spark.createDataFrame([("x", i % 2, v) for i, v in enumerate(values)] + [("y", None, -7.0)], "k string, j int, v double")
+    n = len(values)
+    got = at_ranks(df, ["k"], "v", lambda c: [F.lit(i + 1) for i in range(n)], digit=8).where("k = 'x'").collect()
+    assert [r["value"] for r in sorted(got, key=lambda r: r["which"])][:-1] == [-inf, -1e300, -1.5, 0.0, 0.0, 1e-300, 2.0, 2.0, 3.25, inf]
+    assert exact_median(df.where("v = v"), ["k", "j"], "v").count() == 3
+    whole = spark.createDataFrame([(v,) for v in (5, -(1 << 62), 1 << 62, None)], "v bigint")
+    assert [r["value"] for r in at_ranks(whole, [], "v", lambda c: [c, F.lit(1)]).orderBy("which").collect()] == [1 << 62, -(1 << 62)]
+
+
+def test_median_has_no_window_over_values(spark):
+    df = spark.range(0, 2000).select(F.lit("hot").alias("k"), (F.col("id") * 0.37).alias("v"))
+    plan = exact_median(df, ["k"], "v")._jdf.queryExecution().toString()
+    assert "Window" not in plan  # running sums are over counts, written before
+    assert exact_median(df, ["k"], "v").first()["median"] == pytest.approx(0.37 * 999.5)
