@@ -1,25 +1,92 @@
-"""Connected components (G11, G12) by alternating large-star / small-star
-rounds (Kiveris et al., "Connected Components in MapReduce and Beyond",
-SoCC 2014).  Rounds grow with log(n), not with the graph diameter.
-
-Each round is two aggregations keyed by vertex (partial ``min`` map-side) plus
-a join back.  The root of a giant component is a hub of that join in the
-large-star step: its rows are salted (``skew``).  Small-star has no hub, as
-each vertex keeps few smaller neighbours.  The edge set is checkpointed to the
-reliable folder every round and the former round's files are deleted; the loop
-stops when a scalar signature of the edge set (count, hash sum) stops changing
-and raises if it still changes after ``max_rounds``.
+"""Connected components (G11, G12): union-find contraction inside each
+partition, and alternating large-star / small-star rounds between them (Kiveris
+et al., "Connected Components in MapReduce and Beyond", SoCC 2014).
+
+*Contraction.*  A task merges the edges it reads with union-find and sends a
+star for each component that it sees, so never more edges than vertices less
+one, whatever its edges.  It runs on the edges as they come, after each round,
+and last on all that is left once that fits one task (``FINISH_EDGES``).
+
+*Rounds*, for what doesn't, grow with log(n), not with the graph's diameter:
+two aggregations keyed by vertex (partial ``min`` map-side) plus a join back.
+The root of a giant component is a hub of that join in the large-star step: its
+rows are salted (``skew``).  Small-star has no hub, as each vertex keeps few
+smaller neighbours.  The edge set is checkpointed to the reliable folder every
+round and the former round's files are deleted; the loop stops when a scalar
+signature of the edge set (count, hash sum) stops changing and raises if it
+still changes after ``max_rounds``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...session import Rounds, written
-from .edges import G, vertices
+from .edges import G
+from .prepared import Graph, graph
 from .skew import find_hubs, hub_join
 
+#: So many edges or fewer are finished by one task (24 bytes each).
+FINISH_EDGES = 1_000_000
+#: A contracting task merges so many edges at a time.
+MERGE_EDGES = 2_000_000
+
+
+def least_of_component(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` vertices the least one it is joined with by the edges
+    (a, b): roots are hooked to lesser roots and paths halved until no edge
+    joins two roots."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """The edges of ``table`` as a star for each component: (vertex, its least)."""
+    name = table.column(G).combine_chunks().dictionary_encode()
+    code = np.asarray(name.indices.fill_null(len(name.dictionary)), np.int64)
+    ends = np.concatenate([np.asarray(table.column(c), np.int64) for c in ("src", "dst")])
+    ids, at = np.unique(ends, return_inverse=True)
+    own, at = np.unique(np.tile(code, 2) * len(ids) + at, return_inverse=True)  # by graph, then id
+    label = least_of_component(len(own), at[:len(code)], at[len(code):])
+    moved = np.flatnonzero(label != np.arange(len(own)))
+    graph_of, vertex = own[moved] // max(1, len(ids)), ids[own[moved] % max(1, len(ids))]
+    least = ids[own[label[moved]] % max(1, len(ids))]
+    names = pa.concat_arrays([name.dictionary, pa.nulls(1, name.dictionary.type)]).take(pa.array(graph_of))
+    return pa.table({G: names, "src": pa.array(vertex), "dst": pa.array(least)})
+
+
+def contracted(e: DataFrame) -> DataFrame:
+    """``e`` with each task's edges replaced by a spanning forest of stars."""
+    e = e.select(G, F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(pa.table(b))
+                n += b.num_rows
+            if n >= MERGE_EDGES:
+                held = [_stars(pa.concat_tables(held))]
+                n = min(held[0].num_rows, MERGE_EDGES // 2)  # room for as many new ones
+        if held:
+            yield from _stars(pa.concat_tables(held)).to_batches()
+
+    return e.mapInArrow(run, e.schema)
+
 
 def _both_ways(e: DataFrame) -> DataFrame:
     return e.unionByName(e.select(G, F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -51,29 +118,33 @@ def _signature(e: DataFrame):
     return (r["c"], r["h"])
 
 
-def connected_components(edges: DataFrame, verts: DataFrame | None = None,
-                         max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame | Graph, verts: DataFrame | None = None,
+                         max_rounds: int = 100, finish_edges: int = FINISH_EDGES) -> DataFrame:
     """``(graph_name, vertex, component)``, component = smallest vertex
     id in the component; isolated vertices are their own component.  Raises
     ``RuntimeError`` if ``max_rounds`` rounds don't settle the components."""
-    verts = vertices(edges) if verts is None else verts.select(G, "vertex")
-    rounds = Rounds(edges.sparkSession)
-    e = rounds.write(edges.filter(F.col("src") != F.col("dst"))
-                     .select(G, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-                     .distinct())
-    sig = _signature(e)
+    g = graph(edges, verts)
+    rounds = Rounds(g.edges.sparkSession)
+    e = rounds.write(contracted(g.simple))
+    n, sig = e.count(), None
     for _ in range(max_rounds):
-        hubs = find_hubs(_both_ways(e).select(G, F.col("src").alias("vertex")), sig[0])
-        e = rounds.write(_small_star(_large_star(e, hubs)))
+        if n <= finish_edges:
+            break
+        hubs = find_hubs(_both_ways(e).select(G, F.col("src").alias("vertex")), n)
+        e = rounds.write(contracted(_small_star(_large_star(e, hubs))))
         new_sig = _signature(e)
         if new_sig == sig:
             break
-        sig = new_sig
+        n, sig = new_sig[0], new_sig
     else:
-        raise RuntimeError(f"components still change after {max_rounds} rounds")
-    # Converged: every non-root vertex points at its component's minimum.
-    parent = e.groupBy(G, "src").agg(F.min("dst").alias("p"))
-    out = written(verts.join(parent.withColumnRenamed("src", "vertex"), [G, "vertex"], "left")
+        if n > finish_edges:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
+    if n <= finish_edges:
+        e = rounds.write(contracted(e.coalesce(1)))
+    # Settled: every vertex but a component's least points at that one.
+    parent = e.groupBy(G, F.col("src").alias("vertex")).agg(F.min("dst").alias("p"))
+    v, p = g.vertices, parent.select(F.col(G).alias("_g"), F.col("vertex").alias("_v"), "p")
+    out = written(v.join(p, v[G].eqNullSafe(p["_g"]) & (v["vertex"] == p["_v"]), "left")
                   .select(G, "vertex", F.coalesce("p", "vertex").alias("component")))
     rounds.clear()
     return out

@@ -10,8 +10,9 @@ from ...functions.categories import (DENSITY_LIMITS, SIZE_LIMITS, canonical_name
                                      size_category)
 from ...session import written
 from .components import component_summary, connected_components
-from .edges import G, canonical_edges, graph_counts, vertices
+from .edges import G, canonical_edges, graph_counts
 from .pagerank import pagerank_converged, pagerank_fixed
+from .prepared import Graph, graph
 from .triangles import sampled_average_clustering, triangle_count, triangle_estimate
 
 # Per-algorithm dataset picks -- (algorithm, how many).
@@ -75,16 +76,15 @@ def rank_datasets(profiles: DataFrame, algorithms=None, rules=RANKING_RULES,
     return out
 
 
-def graph_features(edges: DataFrame, clustering_threshold: int | None = None,
+def graph_features(edges: DataFrame | Graph, clustering_threshold: int | None = None,
                    clustering_sample: int = 5000) -> DataFrame:
     """One feature row per graph -- nodes, edges, density, is_connected,
     num_components, avg_clustering, sampled.  Clustering is exact unless a
     threshold is given (see ``sampled_average_clustering``)."""
-    # Read three times below: materialise once in the checkpoint folder.
-    canon = written(canonical_edges(edges))
-    counts = graph_counts(canon).select(G, "nodes", "edges", "density")
-    comps = component_summary(connected_components(canon))
-    clus = sampled_average_clustering(canon, clustering_threshold, clustering_sample)
+    g = graph(edges)  # written once for all three
+    counts = graph_counts(g.canon, g.vertices).select(G, "nodes", "edges", "density")
+    comps = component_summary(connected_components(g))
+    clus = sampled_average_clustering(g, clustering_threshold, clustering_sample)
     return (counts.join(comps, G, "left").join(clus, G, "left")
             .select(G, "nodes", "edges", "density", "is_connected", "num_components",
                     "avg_clustering", "sampled"))
@@ -94,7 +94,7 @@ ALGORITHMS = {"pagerank": "PageRank", "connectedcomponents": "ConnectedComponent
               "trianglecounting": "TriangleCounting"}
 
 
-def run_algorithm(edges: DataFrame, name: str, **params) -> tuple[DataFrame, DataFrame]:
+def run_algorithm(edges: DataFrame | Graph, name: str, **params) -> tuple[DataFrame, DataFrame]:
     """Run an algorithm by (case/spelling-insensitive) name.
 
     Returns ``(result, summary)``; ``summary`` has one row per graph with
@@ -106,22 +106,22 @@ def run_algorithm(edges: DataFrame, name: str, **params) -> tuple[DataFrame, Dat
     if key not in ALGORITHMS:
         raise ValueError(f"unknown algorithm: {name!r}")
     algo = ALGORITHMS[key]
-    canon = written(canonical_edges(edges))
-    counts = graph_counts(canon).select(G, "nodes", "edges")
+    g = graph(edges)
+    counts = graph_counts(g.canon, g.vertices).select(G, "nodes", "edges")
     if algo == "PageRank":
         if params.pop("converged", False):
-            result = pagerank_converged(canon, **params)
+            result = pagerank_converged(g, **params)
         else:
-            result = pagerank_fixed(canon, vertices(canon), **params)
+            result = pagerank_fixed(g.canon, g.vertices, **params)
         rc = result.groupBy(G).agg(F.count(F.lit(1)).alias("result_count"))
     elif algo == "ConnectedComponents":
-        result = connected_components(canon, **params)
+        result = connected_components(g, **params)
         rc = component_summary(result).select(G, F.col("num_components").alias("result_count"))
     else:
         if params:
-            result = triangle_estimate(canon, **params)
+            result = triangle_estimate(g, **params)
         else:
-            result = triangle_count(canon)
+            result = triangle_count(g)
         rc = result.select(G, F.col("triangles").alias("result_count"))
     summary = (counts.join(rc, G, "left")
                .select(G, F.lit(algo).alias("algorithm"), "nodes", "edges",

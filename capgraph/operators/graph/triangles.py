@@ -1,122 +1,202 @@
 """Triangle counting and clustering.
 
 Exact counting orients every edge from the lower to the higher
-``(degree, id)`` end.  A vertex then has at most ``sqrt(2m)`` out-neighbours
-(a hub's edges point *into* it), so each vertex's out-neighbour list is a
-group with a proven size bound.  Every oriented edge ``a -> b`` is joined with
-the out-lists of both ends and their intersection holds exactly the third
-vertices of the triangles whose two lowest vertices are ``a, b``: each
-triangle is found once, no vertex pairs are emitted, and the work is
-``O(m^1.5)`` in the worst case.
-
-Each edge first meets the list of ``b``, then that of ``a``: the join on ``b``
-moves bare edges, and only lists of at most ``sqrt(2m)`` ids follow an edge
-into the join on ``a``.  A hub that many edges point into is a hot key of the
-joins on ``b`` and on the degrees; its rows are salted (``skew``).
+``(degree, id)`` end, so a vertex has at most ``sqrt(2m)`` out-neighbours (a hub's
+edges point *into* it).  Vertices are dealt to ``C`` colours by a hash, ``C`` by
+the graph's edges.  There is a task for each triple of colours; it gets the edges
+between its colours, once, as plain pairs, and counts the triangles whose
+colours are just these: each triangle is found in one task.  An edge goes to C
+of the C^3 / 6 triples, so a triple holds 6m / C^2 edges, about ``TRIPLE_EDGES``.
+
+In a task the oriented edges lie in sorted arrays; every two out-neighbours b,
+c of a vertex are looked up as an edge, so the work is ``O(m^1.5)`` in all and no
+list is copied for an edge.
+
+A triple that got more (a hub's colour, say) is split again: into S x S tasks by
+hashes of a and of b, each with the out-lists of its a's and the edges of its
+b's, which is 2 / S of the triple.  Small graphs share tasks.
 
 Sampling (G15, G17) happens only where a threshold is given.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...session import written
-from .edges import G, canonical_edges, degree, first_k_vertices, induced_subgraph, vertices
-from .skew import find_hubs, hub_join
-
-
-def oriented_edges(edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
-    """Simple undirected edges without loops, oriented low -> high by (degree, id)."""
-    canon = canonical_edges(edges).filter(F.col("src") != F.col("dst"))
-    deg = degree(canon)
-    a = deg.select(G, F.col("vertex").alias("src"), F.col("degree").alias("ds"))
-    b = deg.select(G, F.col("vertex").alias("dst"), F.col("degree").alias("dd"))
-    j = hub_join(hub_join(canon, a, hubs, "src", ["dst"]), b, hubs, "dst", ["src"])
-    src_low = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    return j.select(G,
-                    F.when(src_low, F.col("src")).otherwise(F.col("dst")).alias("lo"),
-                    F.when(src_low, F.col("dst")).otherwise(F.col("src")).alias("hi"))
-
-
-def _lists(edges: DataFrame) -> DataFrame:
-    """``(graph_name, a, na, b, nbb)``: oriented edges with the out-lists of
-    both ends; edges whose ``b`` has no list close no triangle and are left out."""
-    canon = written(canonical_edges(edges).filter(F.col("src") != F.col("dst")))
-    hubs = find_hubs(vertices_of_ends(canon), canon.count())
-    o = written(oriented_edges(canon, hubs))
-    out = o.groupBy(G, "lo").agg(F.collect_list("hi").alias("nb"))
-    lb = out.select(G, F.col("lo").alias("b"), F.col("nb").alias("nbb"))
-    e = o.select(G, F.col("lo").alias("a"), F.col("hi").alias("b"))
-    ends = hub_join(e, lb, hubs, "b", ["a"])
-    la = out.select(G, F.col("lo").alias("a"), F.col("nb").alias("na"))
-    return ends.join(la, [G, "a"])
-
-
-def vertices_of_ends(edges: DataFrame) -> DataFrame:
-    """One row ``(graph_name, vertex)`` for each edge end."""
-    return edges.select(G, F.explode(F.array("src", "dst")).alias("vertex"))
-
-
-def triangles(edges: DataFrame) -> DataFrame:
+from .edges import G, first_k_vertices, induced_subgraph
+from .prepared import Graph, graph, oriented_edges, vertices_of_ends  # noqa: F401  (part of this module's surface)
+
+#: Edges of a task, about; and pairs of out-neighbours looked up at a time.
+TRIPLE_EDGES = 250_000
+LOOKUPS = 4_000_000
+
+#: What tells tasks apart: a bucket of small graphs, or a graph's triple of colours and its part.
+TASK = ["bucket", "own", "x", "y", "z", "p", "q"]
+
+
+def _dealt(g: Graph, triple_edges: int) -> DataFrame:
+    """Oriented edges by ``TASK``, with the colours i, j of their ends; side 0:
+    to list out-neighbours of, 1: to look up, 2: both."""
+    sizes = g.oriented.groupBy(G).agg(F.count(F.lit(1)).alias("m"))
+    few = F.col("m") <= triple_edges
+    colours = F.when(few, 1).otherwise(F.ceil(F.sqrt(6.0 * F.col("m") / triple_edges))).cast("int")
+    sizes = written(sizes.withColumn("colours", colours))
+    shared = max(1, -(-(sizes.where(few).agg(F.sum("m")).first()[0] or 0) // triple_edges))
+    edge = [G, "lo", "hi", "i", "j", "side"]
+    joined = g.oriented.join(sizes.select(F.col(G).alias("_g"), "colours"), F.col(G).eqNullSafe(F.col("_g"))).drop("_g")
+    none = [F.lit(0).alias(c) for c in TASK[2:]]
+    # whole graphs, several to a task
+    alone = joined.where("colours = 1").select(
+        F.pmod(F.xxhash64(G), F.lit(shared)).cast("int").alias("bucket"), F.lit(None).cast("string").alias("own"), *none,
+        G, "lo", "hi", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
+    if sizes.where("colours > 1").isEmpty():
+        return alone
+    colour = lambda v: F.pmod(F.xxhash64(v), F.col("colours")).cast("int")
+    coloured = (joined.where("colours > 1").withColumns({"i": colour("lo"), "j": colour("hi")})
+                .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("colours") - 1)))
+                .withColumn("t", F.array_sort(F.array("i", "j", "k"))))
+    triples = coloured.select(F.lit(-1).alias("bucket"), F.col(G).alias("own"), *[F.col("t")[n].alias(c) for n, c in enumerate("xyz")],
+                              G, "lo", "hi", "i", "j")
+    of = ["own", "x", "y", "z"]
+    # triples with more than twice their share are split by s; at most 6 * edges / triple_edges of them
+    full = written(triples.groupBy(*of).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * triple_edges)
+                   .withColumn("s", F.ceil(F.col("n") / triple_edges).cast("int")).drop("n"))
+    if full.isEmpty():
+        return alone.unionByName(triples.select("bucket", *of, F.lit(0).alias("p"), F.lit(0).alias("q"), G, "lo", "hi", "i", "j",
+                                                F.lit(2).alias("side")))
+    s = F.coalesce("s", F.lit(1))
+    part, every = F.pmod(F.xxhash64("lo", F.lit(1)), s).cast("int"), F.sequence(F.lit(0), s - 1)
+    # an edge is listed in the tasks (its part, any) and looked up in (any, its part)
+    to = F.concat(F.transform(every, lambda q: F.struct(part.alias("p"), q.alias("q"), F.lit(0).alias("side"))),
+                  F.transform(every, lambda p: F.struct(p.alias("p"), part.alias("q"), F.lit(1).alias("side"))))
+    split = triples.join(full, of, "left").withColumn("to", F.explode(to))
+    return alone.unionByName(split.select("bucket", *of, "to.p", "to.q", G, "lo", "hi", "i", "j", "to.side").select(*TASK, *edge))
+
+
+def found_triangles(code: np.ndarray, lo: np.ndarray, hi: np.ndarray, side: np.ndarray, lookups: int = LOOKUPS):
+    """Triangles among a task's edges, some at a time: positions of the edges
+    (a, b) and (a, c), with (b, c) an edge to look up.  ``code``: of the graph."""
+    ids, at = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    n = max(1, len(ids))
+    a, b = code * n + at[:len(lo)], code * n + at[len(lo):]
+    space, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(lo)], at[len(lo):]
+    n = max(1, len(space))
+    known = np.unique((a * n + b)[side != 0])
+    lists = np.flatnonzero(side != 1)
+    order = lists[np.lexsort((b[lists], a[lists]))]
+    once = np.ones(len(order), bool)
+    once[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    order = order[once]  # an edge may come to a task by both its sides
+    first = np.searchsorted(a[order], a[order], side="left")
+    size = np.searchsorted(a[order], a[order], side="right") - first  # of the list that an edge is in
+    start = 0
+    ends = np.cumsum(size)
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + lookups, side="right")))
+        one = np.repeat(np.arange(start, stop), size[start:stop])
+        other = np.arange(len(one)) - np.repeat(np.cumsum(size[start:stop]) - size[start:stop], size[start:stop]) + first[one]
+        key = b[order[one]] * n + b[order[other]]
+        place = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
+        hit = known[place] == key if len(known) else np.zeros(len(key), bool)
+        yield order[one[hit]], order[other[hit]]
+        start = stop
+
+
+def _each(g: Graph, result: str, make, triple_edges: int) -> DataFrame:
+    """``make(names, code, a, b, c)`` of each task's triangles: a table of ``result``."""
+    def run(key, table):
+        name = table.column(G).combine_chunks().dictionary_encode()
+        code = np.asarray(name.indices.fill_null(len(name.dictionary)), np.int64)
+        names = pa.concat_arrays([name.dictionary, pa.nulls(1, name.dictionary.type)])
+        lo, hi, i, j, side = (np.asarray(table.column(c), np.int64) for c in ("lo", "hi", "i", "j", "side"))
+        want = [k.as_py() for k in key[2:5]]
+        parts = [[np.zeros(0, np.int64)] * 4]
+        for p, q in found_triangles(code, lo, hi, side):
+            # a triangle of fewer colours is also seen by other triples; this one counts its own
+            own = (np.sort(np.stack([i[p], j[p], j[q]]), axis=0) == np.array(want)[:, None]).all(axis=0)
+            parts.append([code[p[own]], lo[p[own]], hi[p[own]], hi[q[own]]])
+        return make(names, *(np.concatenate(c) for c in zip(*parts)))
+
+    return _dealt(g, triple_edges).groupBy(*TASK).applyInArrow(run, result)
+
+
+def triangles(edges: DataFrame | Graph, triple_edges: int = TRIPLE_EDGES) -> DataFrame:
     """All triangles once each: ``(graph_name, a, b, c)`` (vertex ids, not sorted)."""
-    return (_lists(edges)
-            .select(G, "a", "b", F.explode(F.array_intersect("na", "nbb")).alias("c")))
+    def make(names, code, a, b, c):
+        return pa.table({G: names.take(pa.array(code)), "a": pa.array(a), "b": pa.array(b), "c": pa.array(c)})
+
+    return _each(graph(edges), f"{G} string, a bigint, b bigint, c bigint", make, triple_edges)
+
 
+def triangle_count(edges: DataFrame | Graph, graphs: DataFrame | None = None, triple_edges: int = TRIPLE_EDGES) -> DataFrame:
+    """``(graph_name, triangles)``; 0 for graphs without triangles, of
+    ``graphs`` (any frame with ``graph_name``) or else of the edges."""
+    def make(names, code, a, b, c):
+        which, n = np.unique(code, return_counts=True)
+        return pa.table({G: names.take(pa.array(which)), "n": pa.array(n, pa.int64())})
 
-def triangle_count(edges: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
-    """``(graph_name, triangles)``; graphs without triangles get 0 when
-    ``graphs`` (any frame with ``graph_name``) is given, else they are absent."""
-    t = (_lists(edges).groupBy(G)
-         .agg(F.sum(F.size(F.array_intersect("na", "nbb"))).alias("triangles")))
-    if graphs is None:
-        graphs = edges.select(G).distinct()
-    return (graphs.select(G).distinct().join(t, G, "left")
-            .select(G, F.coalesce("triangles", F.lit(0)).cast("bigint").alias("triangles")))
+    g = graph(edges)
+    t = _each(g, f"{G} string, n bigint", make, triple_edges).groupBy(G).agg(F.sum("n").alias("triangles"))
+    return _zero_filled(g.names if graphs is None else graphs.select(G).distinct(), t, [G])
 
 
-def triangles_per_vertex(edges: DataFrame, verts: DataFrame | None = None) -> DataFrame:
+def triangles_per_vertex(edges: DataFrame | Graph, verts: DataFrame | None = None, triple_edges: int = TRIPLE_EDGES) -> DataFrame:
     """``(graph_name, vertex, triangles)``, 0 for vertices in none."""
-    verts = vertices(edges) if verts is None else verts.select(G, "vertex")
-    t = (triangles(edges).select(G, F.explode(F.array("a", "b", "c")).alias("vertex"))
-         .groupBy(G, "vertex").agg(F.count(F.lit(1)).alias("triangles")))
-    return (verts.join(t, [G, "vertex"], "left")
-            .select(G, "vertex", F.coalesce("triangles", F.lit(0)).cast("bigint").alias("triangles")))
+    def make(names, code, a, b, c):
+        ids, at = np.unique(np.concatenate([a, b, c]), return_inverse=True)
+        which, n = np.unique(np.tile(code, 3) * max(1, len(ids)) + at, return_counts=True)
+        return pa.table({G: names.take(pa.array(which // max(1, len(ids)))), "vertex": pa.array(ids[which % max(1, len(ids))], pa.int64()),
+                         "n": pa.array(n, pa.int64())})
+
+    g = graph(edges, verts)
+    t = _each(g, f"{G} string, vertex bigint, n bigint", make, triple_edges).groupBy(G, "vertex").agg(F.sum("n").alias("triangles"))
+    return _zero_filled(g.vertices, t, [G, "vertex"])
+
+
+def _zero_filled(of: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``of`` with the counts, 0 where there is none; null names are names."""
+    c = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "triangles")
+    same = F.lit(True)
+    for k in keys:
+        same = same & of[k].eqNullSafe(c[f"_{k}"])
+    return of.join(c, same, "left").select(*keys, F.coalesce("triangles", F.lit(0)).cast("bigint").alias("triangles"))
 
 
-def local_clustering(edges: DataFrame, verts: DataFrame | None = None) -> DataFrame:
+def local_clustering(edges: DataFrame | Graph, verts: DataFrame | None = None) -> DataFrame:
     """G16 per vertex: ``2T / (k (k-1))`` with k the degree without loops;
     0 for k < 2."""
-    verts = vertices(edges) if verts is None else verts.select(G, "vertex")
-    canon = canonical_edges(edges)
-    k = degree(canon, loops=False)
-    t = triangles_per_vertex(edges, verts)
-    return (t.join(k, [G, "vertex"], "left")
-            .select(G, "vertex", F.coalesce("degree", F.lit(0)).alias("degree"), "triangles",
-                    F.when(F.coalesce("degree", F.lit(0)) >= 2,
-                           2.0 * F.col("triangles")
-                           / (F.col("degree").cast("double") * (F.col("degree") - 1)))
+    g = graph(edges, verts)
+    k = g.simple_degree.select(F.col(G).alias("_g"), F.col("vertex").alias("_v"), "degree")
+    t = triangles_per_vertex(g)
+    degree_ = F.coalesce("degree", F.lit(0))
+    return (t.join(k, t[G].eqNullSafe(k["_g"]) & (t["vertex"] == k["_v"]), "left")
+            .select(G, "vertex", degree_.alias("degree"), "triangles",
+                    F.when(degree_ >= 2, 2.0 * F.col("triangles") / (degree_.cast("double") * (degree_ - 1)))
                     .otherwise(F.lit(0.0)).alias("clustering")))
 
 
-def average_clustering(edges: DataFrame, verts: DataFrame | None = None) -> DataFrame:
+def average_clustering(edges: DataFrame | Graph, verts: DataFrame | None = None) -> DataFrame:
     """``(graph_name, avg_clustering)`` -- mean over all vertices."""
     return (local_clustering(edges, verts).groupBy(G)
             .agg(F.avg("clustering").alias("avg_clustering")))
 
 
-def triangle_estimate(edges: DataFrame, threshold: int | None = None, sample_size: int = 10000,
+def triangle_estimate(edges: DataFrame | Graph, threshold: int | None = None, sample_size: int = 10000,
                       exponent: float = 1.4, extrapolate: bool = True) -> DataFrame:
     """Exact counts; with a ``threshold``, graphs of more vertices are
     counted on the subgraph of their ``sample_size`` lowest ids, scaled by
     ``(n / k) ** exponent`` (truncated) unless ``extrapolate=False``.
     Returns ``(graph_name, nodes, sampled, triangles)``."""
-    canon = written(canonical_edges(edges))
-    verts = vertices(canon)
+    g = graph(edges)
+    canon, verts = g.canon, g.vertices
     n = verts.groupBy(G).agg(F.count(F.lit(1)).alias("nodes"))
     if threshold is None:
-        return (triangle_count(canon, n).join(n, G)
+        return (triangle_count(g, n).join(n, G)
                 .select(G, "nodes", F.lit(False).alias("sampled"), "triangles"))
     # one triangle pipeline: small graphs keep all their vertices
     sv, k = _sampled_vertices(verts, n, F.col("nodes") > threshold, sample_size)
@@ -136,15 +216,15 @@ def _sampled_vertices(verts: DataFrame, n: DataFrame, big, sample_size: int) ->
     return sv, sv.groupBy(G).agg(F.count(F.lit(1)).alias("k"))
 
 
-def sampled_average_clustering(edges: DataFrame, threshold: int | None = None,
+def sampled_average_clustering(edges: DataFrame | Graph, threshold: int | None = None,
                                sample_size: int = 5000) -> DataFrame:
     """Average clustering; with a ``threshold``, graphs of at least that
     many vertices are measured on the subgraph of their ``sample_size`` lowest
     ids.  ``(graph_name, avg_clustering, sampled)``."""
-    canon = written(canonical_edges(edges))
-    verts = vertices(canon)
+    g = graph(edges)
+    canon, verts = g.canon, g.vertices
     if threshold is None:
-        return average_clustering(canon, verts).withColumn("sampled", F.lit(False))
+        return average_clustering(g).withColumn("sampled", F.lit(False))
     n = verts.groupBy(G).agg(F.count(F.lit(1)).alias("nodes"))
     sv, _ = _sampled_vertices(verts, n, F.col("nodes") >= threshold, sample_size)
     return (average_clustering(induced_subgraph(canon, sv), sv).join(n, G)

@@ -9,6 +9,7 @@ from ..operators.graph import edges as E
 from ..operators.graph import features as FT
 from ..operators.graph import pagerank as PR
 from ..operators.graph import triangles as TR
+from ..operators.graph.prepared import graph
 from ..sources import tables as T
 from .registry import query, rounded
 from .sql_views import (CANON, EDGES, EDGES_BIPARTITE, EDGES_CUSTOMER, EDGES_MULTI, TRIANGLES,
@@ -269,11 +270,10 @@ SELECT graph_name, 'ConnectedComponents', nodes, edges, num_components FROM cnt
 UNION ALL
 SELECT graph_name, 'TriangleCounting', nodes, edges, CAST(n AS BIGINT) FROM cnt JOIN tc USING (graph_name)""")
 def q_algorithm_dispatch(spark, sf):
-    from ..session import written
-    e = written(E.canonical_edges(_multi(spark, sf)))
+    g = graph(_multi(spark, sf))
     out = None
     for name in ("pagerank", "connected_components", "TriangleCounting"):
-        _, summary = FT.run_algorithm(e, name)
+        _, summary = FT.run_algorithm(g, name)
         out = summary if out is None else out.unionByName(summary)
     return out
 

@@ -285,9 +285,11 @@ def test_hub_bound_keeps_the_list_of_hubs_small():
 
 
 def test_components_raise_at_the_round_cap(spark):
-    e = edges_df(spark, [(k, k + 1) for k in range(400)])
+    place = np.random.default_rng(2).permutation(401).tolist()
+    e = edges_df(spark, [(place[k], place[k + 1]) for k in range(400)]).repartition(8)
     with pytest.raises(RuntimeError):
-        CC.connected_components(e, max_rounds=2)
+        CC.connected_components(e, max_rounds=1, finish_edges=0)
+    assert CC.connected_components(e, finish_edges=0).select("component").distinct().count() == 1
     assert CC.connected_components(e).select("component").distinct().count() == 1
 
 
@@ -340,3 +342,81 @@ def test_pagerank_returns_only_asked_vertices(spark):
     assert all(not r["converged"] and r["iterations"] == 1 and r["error"] > 0 for r in out)
     with pytest.raises(RuntimeError):
         PR.pagerank_converged(edges_df(spark, TRI_TAIL), max_iter=1, must_converge=True)
+
+
+def random_graphs(spark):
+    rng = np.random.default_rng(11)
+    pairs = {}
+    for name, n, m in (("a", 60, 500), ("b", 200, 260), ("c", 30, 60), ("one", 2, 1)):
+        pairs[name] = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, size=(m, 2))})
+    pairs["hub"] = [(0, v) for v in range(1, 120)] + [(v, v + 1) for v in range(1, 119)]
+    pairs["loop"] = [(1, 2), (2, 3), (3, 1), (9, 9)]
+    return multi_edges_df(spark, pairs).repartition(6), pairs
+
+
+def brute_triangles(pairs):
+    adj = {}
+    for a, b in pairs:
+        if a != b:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+    return {tuple(sorted((a, b, c))) for a in adj for b in adj[a] for c in adj[a] & adj[b]}
+
+
+@pytest.mark.parametrize("triple_edges", [1_000_000, 100, 7])
+def test_triangles_by_colours_match_brute_force(spark, triple_edges):
+    """Whole graphs in a task, triples of colours, and triples split again."""
+    e, pairs = random_graphs(spark)
+    want = {g: brute_triangles(p) for g, p in pairs.items()}
+    found = {}
+    for r in TR.triangles(e, triple_edges).collect():
+        found.setdefault(r.graph_name, []).append(tuple(sorted((r.a, r.b, r.c))))
+    assert all(sorted(found.get(g, [])) == sorted(want[g]) for g in want)
+    assert {r.graph_name: r.triangles for r in TR.triangle_count(e, triple_edges=triple_edges).collect()} == {g: len(t) for g, t in want.items()}
+    per = {(r.graph_name, r.vertex): r.triangles for r in TR.triangles_per_vertex(e, triple_edges=triple_edges).collect()}
+    assert all(n == sum(v in t for t in want[g]) for (g, v), n in per.items()) and ("loop", 9) in per
+
+
+@pytest.mark.parametrize("finish_edges", [1_000_000, 0])
+def test_components_of_many_graphs_match_union_find(spark, finish_edges):
+    e, pairs = random_graphs(spark)
+    got = {(r.graph_name, r.vertex): r.component for r in CC.connected_components(e, finish_edges=finish_edges).collect()}
+    assert got["loop", 3] == 1 and got["loop", 9] == 9
+    for g, p in pairs.items():
+        parent = {v: v for pair in p for v in pair}
+
+        def root(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for a, b in p:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        assert all(got[g, v] == root(v) for v in parent)
+
+
+def test_contraction_sends_a_forest(spark):
+    e, _ = random_graphs(spark)
+    one = CC.contracted(e.filter("src <> dst").coalesce(1)).collect()
+    assert len(one) == len({(r.graph_name, r.src) for r in one}) and all(r.dst < r.src for r in one)
+
+
+def test_operators_share_a_prepared_graph(spark):
+    """The edge frame's plan runs once for all operators of a prepared graph."""
+    from capgraph.operators.graph.prepared import graph
+    e, _ = random_graphs(spark)
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    n = e.count()
+    g = graph(e.mapInArrow(counted, e.schema))
+    for name in ("PageRank", "ConnectedComponents", "TriangleCounting"):
+        FT.run_algorithm(g, name)[1].collect()
+    TR.average_clustering(g).collect()
+    FT.graph_features(g).collect()
+    assert runs.value == n
