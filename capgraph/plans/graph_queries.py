@@ -296,29 +296,47 @@ def q_edge_list_roundtrip(spark, sf):
                     F.coalesce("rejected_lines", F.lit(0)).cast("bigint").alias("rejected_lines")))
 
 
-#: Priorities whose graphs are written as files of their own.
-_FILED = ("1-URGENT", "2-HIGH", "3-MEDIUM")
-
-
-@query("edge_list_files", f"""WITH {EDGES_MULTI}, {CANON}
-SELECT e.graph_name, e.src, e.dst, (SELECT count(*) FROM v WHERE v.graph_name = e.graph_name AND vertex % 97 = 0)
-       AS rejected_lines FROM e WHERE graph_name IN {_FILED[:2]}""")
-def q_edge_list_files(spark, sf):
-    """One file for each graph, named after it, with comments and
-    malformed lines; the scan takes the first two files by name."""
+def _filed(spark, sf, bad: bool):
+    """The priorities' graphs as part files, ordered by falling dst, then src;
+    ``bad``: with comments and malformed lines among them."""
     from ..session import shared_path
     from ..sources import files as S
-    path, edges = shared_path(spark, "edgefiles"), _multi(spark, sf)
-    for name in _FILED:
-        e = edges.where(F.col(G) == name)
-        bad = E.vertices(e).where("vertex % 97 = 0").select(F.concat(F.lit("x"), "vertex").alias("value"))
-        good = e.select(F.concat(F.col("src").cast("string"), F.lit("\t "), F.col("dst").cast("string"), F.lit(" # edge")).alias("value"))
-        S.write_named_edge_list(good.unionByName(bad).unionByName(bad.select(F.lit("# note").alias("value"))), path, name)
-    found, rejects = S.read_edge_lists(spark, path, max_files=2)
+    path, e = shared_path(spark, "edgefiles"), _multi(spark, sf)
+    line = F.concat(F.col("src").cast("string"), F.lit("\t "), F.col("dst").cast("string"), F.lit(" # edge"))
+    lines = e.select(G, line.alias("value"), (-F.col("dst")).alias("o1"), F.col("src").alias("o2"))
+    if bad:
+        odd = E.vertices(e).where("vertex % 97 = 0")
+        for text in (F.concat(F.lit("x"), "vertex"), F.lit("# note")):
+            lines = lines.unionByName(odd.select(G, text.alias("value"), (-F.col("vertex")).alias("o1"), F.lit(0).cast("bigint").alias("o2")))
+    S.write_named_edge_lists(lines, path, ["o1", "o2"])
+    return path
+
+
+@query("edge_list_files", f"""WITH {EDGES_MULTI}, {CANON},
+bad AS (SELECT graph_name, count(*) AS n FROM v WHERE vertex % 97 = 0 GROUP BY graph_name)
+SELECT graph_name, e.src, e.dst, coalesce(bad.n, 0) AS rejected_lines FROM e LEFT JOIN bad USING (graph_name)""")
+def q_edge_list_files(spark, sf):
+    """Part files of all graphs, named after them, with comments and
+    malformed lines, written in parallel and read back in one scan."""
+    from ..sources import files as S
+    found, rejects = S.read_edge_lists(spark, _filed(spark, sf, True))
     return (found.join(S.reject_counts(rejects), G, "left")
             .select(G, "src", "dst", F.coalesce("rejected_lines", F.lit(0)).cast("bigint").alias("rejected_lines")))
 
 
+@query("first_k_vertices_by_file", f"""WITH {EDGES_MULTI},
+o AS (SELECT *, row_number() OVER (PARTITION BY graph_name ORDER BY dst DESC, src) AS pos FROM e),
+seen AS (SELECT graph_name, vertex, min(place) AS place FROM
+         (SELECT graph_name, src AS vertex, 2 * pos AS place FROM o UNION ALL SELECT graph_name, dst, 2 * pos + 1 FROM o) GROUP BY ALL)
+SELECT graph_name, vertex, CAST(row_number() OVER w AS INTEGER) AS position FROM seen
+WINDOW w AS (PARTITION BY graph_name ORDER BY place) QUALIFY row_number() OVER w <= 200""")
+def q_first_k_vertices_by_file(spark, sf):
+    """The 200 vertices of each graph that its files name first."""
+    from ..sources import files as S
+    edges, _ = S.read_edge_lists(spark, _filed(spark, sf, False), places=True)
+    return S.first_k_vertices_by_file(edges, 200)
+
+
 @query("hash_sample_vertices", f"""WITH {EDGES_MULTI}, {CANON}
 SELECT graph_name, vertex FROM v
 WHERE CAST('0x' || substr(md5(graph_name || '|' || CAST(vertex AS VARCHAR) || '|42'), 1, 15) AS BIGINT)

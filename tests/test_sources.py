@@ -66,3 +66,40 @@ def test_runs_view_shape(spark):
     r = T.runs(spark, SF_SMALL)
     row = r.agg(F.min("num_nodes"), F.max("num_nodes"), F.countDistinct("memory_per_node_gb")).first()
     assert row[0] >= 1 and row[1] <= 8 and row[2] == 3
+
+
+def test_parts_are_one_graph_and_rejects_have_places(spark):
+    d = _tmp()
+    texts = {"toy.part-00000.txt": "1 2\n# é note\nbad line\n3 4\n", "toy.part-00001.txt": "x\n5 6\n\n7\n", "v1.2.txt": "9 8\n?"}
+    for name, t in texts.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write(t)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")  # several blocks a file
+    try:
+        edges, rejects = S.read_edge_lists(spark, d, places=True)
+        assert sorted((r.graph_name, r.src, r.dst) for r in edges.collect()) == [
+            ("toy", 1, 2), ("toy", 3, 4), ("toy", 5, 6), ("v1.2", 9, 8)]
+        for r in rejects.collect():
+            lines = texts[r.file.rsplit("/", 1)[1]].split("\n")
+            assert lines[r.line_number - 1] == r.line
+            assert r.byte_offset == len("\n".join(lines[:r.line_number - 1]).encode()) + (r.line_number > 1)
+        assert {r.graph_name: r.rejected_lines for r in S.reject_counts(rejects).collect()} == {"toy": 3, "v1.2": 1}
+        first = [r.vertex for r in S.first_k_vertices_by_file(edges.where("graph_name = 'toy'"), 5).orderBy("position").collect()]
+        assert first == [1, 2, 3, 4, 5]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    one, _ = S.read_edge_lists(spark, d, max_files=1)
+    assert one.count() == 3
+
+
+def test_named_graphs_are_written_in_parts_and_order(spark):
+    d = _tmp()
+    rows = [(g, f"{k} {k + 1}", k) for g in ("4-NOT SPECIFIED", "plain") for k in range(300)]
+    df = spark.createDataFrame(rows, "graph_name string, value string, k int").repartition(5)
+    S.write_named_edge_lists(df, os.path.join(d, "out"), ["k"])
+    names = sorted(n for n in os.listdir(os.path.join(d, "out")) if not n.startswith((".", "_")))
+    assert len(names) > 3 and all(".part-" in n for n in names if "=" not in n)
+    edges, rejects = S.read_edge_lists(spark, os.path.join(d, "out"), places=True)
+    assert rejects.count() == 0 and edges.where("graph_name = 'plain'").count() == 300
+    first = S.first_k_vertices_by_file(edges, 4).where("graph_name = '4-NOT SPECIFIED'").orderBy("position").collect()
+    assert [r.vertex for r in first] == [0, 1, 2, 3]
