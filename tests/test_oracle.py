@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
-TABLES = ["events", "lineitem", "orders", "documents", "embeddings"]
+TABLES = ["events", "lineitem", "orders", "documents", "embeddings", "benchmark"]
 SQL = entry.oracle_sql()
 
 
