@@ -58,7 +58,7 @@ SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN_PENALTY = 10.0
 #: Words of fewer characters are encoded many at a time, from texts of so many bytes.
 LONG_WORD = 64
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 18
 
 
 class Pieces:
@@ -469,8 +469,8 @@ def scanned(texts: DataFrame, path: str, chunk_chars: int) -> DataFrame:
         p = load(path)
         for b in batches:
             found = []
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
+            for i in range(0, b.num_rows, 16):
+                part = b.slice(i, 16)
                 texts = part.column("text").to_pylist()
                 p.learn(MARK.join(texts).split(MARK))
                 found += [Chunk(p, t, n).variants(e) for t, n, e in zip(
