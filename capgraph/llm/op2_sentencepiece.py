@@ -58,6 +58,8 @@ SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 UNKNOWN_PENALTY = 10.0
 #: Words of fewer characters are encoded many at a time, from texts of so many bytes.
 LONG_WORD = 64
+#: Words remembered, in each of two generations.
+MEMO_WORDS = 100_000
 PASS_BYTES = 1 << 18
 
 
@@ -79,18 +81,12 @@ class Pieces:
         self.unk = sp.unk_id()
         # whether all paths meet where a word starts
         self.meets = not any(MARK in p.lstrip(MARK) for p in self.table)
-        self.text_of = [p.replace(MARK, " ").encode() for p in pieces]
-        for b, i in self.bytes.items():
-            self.text_of[i] = bytes([b])
-        for i in range(n):
-            if sp.is_control(i):
-                self.text_of[i] = b""
         self.score_of = np.zeros(n, np.int64)
         for score, i in self.table.values():
             self.score_of[i] = score
         self.begins = {q[:k] for q in self.table for k in range(1, len(q))}
         self.known = {p for p in self.table if len(p) == 1}
-        self.memo = Memo(self._word)
+        self.memo = Memo(self._word, MEMO_WORDS)
         self.trie = Trie({p: i for p, (_, i) in self.table.items()})
 
     def edges(self, text: str, at: int):
@@ -196,6 +192,14 @@ class Pieces:
         return self.plain(normalised(body))
 
 
+def spellings(path: str) -> list[bytes]:
+    """The bytes that each id of a file stands for."""
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    text = lambda i, p: bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(MARK, " ").encode()
+    return [text(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size())]
+
+
 class Trie:
     """The pieces as states and transitions in arrays, and the best paths of
     many words at once."""
@@ -497,7 +501,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with body, the UTF-8 text that the ids stand for."""
 
     def run(batches):
-        words = load(path).text_of
+        common.begin("sentencepiece")
+        words = spellings(path)
         lengths = np.array([len(w) for w in words])
         starts, spelled = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(words), np.uint8)
 
