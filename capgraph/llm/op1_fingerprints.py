@@ -367,3 +367,9 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edited(common.table(spark, sf_dir, "documents"))
+
+
+def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links of every document: fingerprints compared by
+    length partitions and pruned Jaccard at 0.8."""
+    return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from .op10_ngram_join import op10_ngram_join
 from .op11_merkle import op11_merkle
 from .op12_ranked_search import op12_ranked_search
 from .op13_sharding import op13_sharding
-from .op1_fingerprints import op1_fingerprints
+from .op1_fingerprints import op1_fingerprints, spotsigs_near_duplicates
 from .op2_sentencepiece import op2_sentencepiece
 from .op3_packing import op3_packing
 from .op4_exact_topk import op4_exact_topk
@@ -21,6 +21,7 @@ from .op9_toxicity import op9_toxicity
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_sentencepiece, op3_packing, op4_exact_topk, op5_token_counts, op6_suffix_dedup, op7_language,
     op8_substring_dedup, op9_toxicity, op10_ngram_join, op11_merkle, op12_ranked_search, op13_sharding,
+    spotsigs_near_duplicates,
 )}
 #: The others need a tokenizer, a trained model or bytes that SQL can't cut; the
 #: tests hold them against brute force or held-out rows.
