@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ...session import written
 from .edges import G, canonical_edges, degree, vertices
-from .skew import find_hubs, hub_join
+from .skew import hub_join, hubs_of
 
 
 def vertices_of_ends(edges: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def vertices_of_ends(edges: DataFrame) -> DataFrame:
     return edges.select(G, F.explode(F.array("src", "dst")).alias("vertex"))
 
 
-def oriented_edges(canon: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+def oriented_edges(canon: DataFrame, hubs: DataFrame | None = None, deg: DataFrame | None = None) -> DataFrame:
     """Canonical edges without loops, oriented low -> high by (degree, id)."""
     canon = canon.filter(F.col("src") != F.col("dst"))
-    deg = degree(canon)
+    deg = degree(canon) if deg is None else deg
     a = deg.select(G, F.col("vertex").alias("src"), F.col("degree").alias("ds"))
     b = deg.select(G, F.col("vertex").alias("dst"), F.col("degree").alias("dd"))
     j = hub_join(hub_join(canon, a, hubs, "src", ["dst"]), b, hubs, "dst", ["src"])
@@ -73,12 +73,12 @@ class Graph:
 
     @cached_property
     def hubs(self) -> DataFrame | None:
-        return find_hubs(vertices_of_ends(self.simple), self.n_edges)
+        return hubs_of(self.simple_degree, "degree", self.n_edges)
 
     @cached_property
     def oriented(self) -> DataFrame:
         """(graph_name, lo, hi)."""
-        return written(oriented_edges(self.canon, self.hubs))
+        return written(oriented_edges(self.canon, self.hubs, self.simple_degree))
 
 
 def graph(edges: DataFrame | Graph, verts: DataFrame | None = None) -> Graph:

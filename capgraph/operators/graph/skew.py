@@ -33,14 +33,18 @@ def hub_bound(edges: int) -> int:
 def find_hubs(ends: DataFrame, edges: int) -> DataFrame | None:
     """The hubs ``(graph_name, vertex)`` of ``ends`` (the same columns, one row
     for each edge end), or None; with too few edges for one no job runs."""
+    return hubs_of(ends.groupBy(G, "vertex").agg(F.count(F.lit(1)).alias("n")), "n", edges)
+
+
+def hubs_of(degrees: DataFrame, col: str, edges: int) -> DataFrame | None:
+    """``find_hubs`` from vertices' numbers of edge ends, in ``col``."""
     bound = hub_bound(edges)
     if 2 * edges <= bound:
         return None
-    found = (ends.groupBy(G, "vertex").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") > bound).select(G, "vertex").limit(MOST_HUBS + 1).collect())
+    found = degrees.where(F.col(col) > bound).select(G, "vertex").limit(MOST_HUBS + 1).collect()
     if not found:
         return None
-    return ends.sparkSession.createDataFrame(found, ends.select(G, "vertex").schema)
+    return degrees.sparkSession.createDataFrame(found, degrees.select(G, "vertex").schema)
 
 
 def salted(rows: DataFrame, hubs: DataFrame | None, key: str, spread: list[str]) -> DataFrame:
