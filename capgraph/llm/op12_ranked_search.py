@@ -43,13 +43,15 @@ from . import common
 
 MOST = 20
 BLOCK_DOCS = 8192
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BATCH_BYTES = 4 << 20
+#: Blocks searched first, so that all tasks know a score to reach.
+SEED_BLOCKS = 2
 #: States opened at a time.
 WIDTH = 64
 #: Bytes of a term: ASCII letters and digits and all of other scripts; only A-Z are lower-cased.
 TERM_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
-_ONES = np.array([bin(i).count("1") for i in range(16)], np.int64)
+_ONES = np.array([bin(i).count("1") for i in range(16)], np.int8)
 LAST = (1 << 63) - 1
 
 
@@ -68,12 +70,13 @@ class Treap:
     def __init__(self, height: int, mask: np.ndarray, most: np.ndarray, row: np.ndarray, column: np.ndarray):
         self.height, self.row, self.column = height, row, column
         n = len(mask)
-        self.mask, self.most = np.append(mask, np.uint8(0)), np.append(most, 0).astype(np.int64)  # the last is no cell
+        self.mask, self.most = np.append(mask, np.uint8(0)), np.append(most, most.dtype.type(0))  # the last is no cell
         self.none = n
         children = _ONES[mask]
         inner = mask != 0
         # for a cell of one point: its place among these
-        self.first = np.append(np.where(inner, np.cumsum(children) - children + 1, np.cumsum(~inner) - 1), -1)
+        upto = lambda x: np.cumsum(x, dtype=np.int32)
+        self.first = np.append(np.where(inner, upto(children) - children + np.int32(1), upto(~inner) - np.int32(1)), np.int32(-1))
         self.single = np.append(~inner, False)
 
     @classmethod
@@ -108,7 +111,7 @@ class Treap:
             keep = np.repeat(~alone, size)
             code, rows, columns, values = code[keep], rows[keep], columns[keep], values[keep]
         joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        return cls(height, joined(masks, np.uint8), joined(mosts, np.int64), joined([p[0] for p in points], np.int32),
+        return cls(height, joined(masks, np.uint8), joined(mosts, np.int32), joined([p[0] for p in points], np.int32),
                    joined([p[1] for p in points], np.int32))
 
     def search(self, rows: np.ndarray, weights: np.ndarray, tops: np.ndarray, least: int, give) -> None:
@@ -146,7 +149,7 @@ class Treap:
                 child = np.where(filled == 1, first + _ONES[mask & (1 << quadrant) - 1], self.none)
                 child = self._arrived(child, rows)
                 child = np.where(single & ((own_column >> shift & 1) == side), at, child)
-                bound = (np.minimum(self.most[child], tops) * weights).sum(axis=1)
+                bound = (np.minimum(self.most[child], tops).astype(np.int64) * weights).sum(axis=1)
                 for i in np.flatnonzero(bound >= max(least, 1)).tolist():
                     heapq.heappush(heap, (-int(bound[i]), made, int(level[i]) + 1, 2 * int(column[i]) + side, child[i]))
                     made += 1
@@ -168,7 +171,7 @@ class Treap:
         where = np.where(single, self.column[np.where(single, self.first[cells], 0)], where) if len(self.column) else where
         documents, place = np.unique(where, return_inverse=True)
         total = np.zeros(len(documents), np.int64)
-        np.add.at(total, place, self.most[cells] * weights[term])
+        np.add.at(total, place, self.most[cells].astype(np.int64) * weights[term])
         return documents, total
 
 
@@ -242,7 +245,7 @@ def block_of(ids: list, bodies: list[bytes], n_docs: int, length: int) -> dict:
     words = list(numbers)
     return {"ids": [ids[i] for i in order], "terms": b" ".join([words[i] for i in frequent]),
             "df": df[frequent].astype(np.int32).tobytes(), "tops": tops.tobytes(), "height": t.height, "mask": t.mask[:-1].tobytes(),
-            "most": t.most[:-1].astype(np.int32).tobytes(), "row": t.row.tobytes(), "column": t.column.tobytes()}
+            "most": t.most[:-1].tobytes(), "row": t.row.tobytes(), "column": t.column.tobytes()}
 
 
 def index(docs: DataFrame, n_docs: int, length: int, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -272,18 +275,21 @@ def index(docs: DataFrame, n_docs: int, length: int, block_docs: int = BLOCK_DOC
 # -- search --------------------------------------------------------------------
 
 class Best:
-    """The k best (score, id) of an item so far; null ids go last."""
+    """The k best (score, id) of an item so far; null ids go last.  ``least``: what
+    the k-th best score of all is known to reach."""
 
-    def __init__(self, k: int):
-        self.k, self.score, self.id = k, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def __init__(self, k: int, least: int = 0):
+        self.k, self.least, self.score, self.id = k, least, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> int:
-        """Take in more; the k-th best score, or 0 while there are fewer."""
+        """Take in more; the k-th best score, or ``least`` while that is more."""
         good = scores > 0
         score, id_ = np.append(self.score, scores[good]), np.append(self.id, ids[good])
         order = np.lexsort((id_, -score))[:self.k]
         self.score, self.id = score[order], id_[order]
-        return int(self.score[-1]) if len(order) == self.k else 0
+        if len(order) == self.k:
+            self.least = max(self.least, int(self.score[-1]))
+        return self.least
 
 
 def document_counts(blocks: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
@@ -311,18 +317,37 @@ def weight(n_docs: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
-def searched(blocks: DataFrame, items: list[dict[bytes, int]], k: int) -> DataFrame:
+def first_scores(blocks: DataFrame, items: list[dict[bytes, int]], k: int) -> list[int]:
+    """For each item a score that its k-th best document reaches: that of the
+    first blocks of one of the index's files."""
+    least = [0] * len(items)  # one number an item of the batch
+    files = blocks.inputFiles()
+    if not files:
+        return least
+    some = blocks.sparkSession.read.schema(blocks.schema).parquet(min(files))
+    found = searched(some, items, least, k, SEED_BLOCKS)
+    for r in found.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).where(F.col("n") >= k).collect():
+        least[r.item] = r.s
+    return least
+
+
+def searched(blocks: DataFrame, items: list[dict[bytes, int]], least: list[int], k: int, most: int | None = None) -> DataFrame:
     """(item, doc_id, score): of each task the k best of each of ``items``
-    (term: weight times repeats)."""
-    sent = blocks.sparkSession.sparkContext.broadcast(items)
+    (term: weight times repeats), as far as they reach ``least``; ``most``: of the
+    first so many blocks of a task only."""
+    sent = blocks.sparkSession.sparkContext.broadcast((items, least))
 
     def run(batches):
         common.begin()
-        items = sent.value
+        items, least = sent.value
         wanted = set().union(*items)
-        best = [Best(k) for _ in items]
+        best = [Best(k, x) for x in least]
+        done = 0
         for batch in batches:
             for i in range(batch.num_rows):
+                done += 1
+                if most is not None and done > most:
+                    break
                 b = {c: batch.column(c)[i] for c in batch.schema.names}
                 t = Treap(b["height"].as_py(), *(np.frombuffer(b[c].as_py(), kind) for c, kind in (
                     ("mask", np.uint8), ("most", np.int32), ("row", np.int32), ("column", np.int32))))
@@ -332,8 +357,7 @@ def searched(blocks: DataFrame, items: list[dict[bytes, int]], k: int) -> DataFr
                 for item, found in zip(items, best):
                     here = [(place[w], x) for w, x in item.items() if w in place]
                     rows, weights = (np.array([h[j] for h in here], np.int64) for j in (0, 1))
-                    least = int(found.score[-1]) if len(found.score) == k else 0
-                    t.search(rows, weights, tops[rows].astype(np.int64), least, lambda columns, scores, to=found: to.add(scores, ids[columns]))
+                    t.search(rows, weights, tops[rows].astype(np.int64), found.least, lambda columns, scores, to=found: to.add(scores, ids[columns]))
             common.release()
         number = np.repeat(np.arange(len(best)), [len(x.id) for x in best])
         ids = np.concatenate([x.id for x in best])
@@ -366,9 +390,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = MOST, id_col: str = "doc_
             counted.append(c)
         df = document_counts(blocks, set().union(*counted)) if counted else {}
         weights = [{w: n * weight(n_docs, df[w]) for w, n in c.items() if w in df} for c in counted]
-        found = searched(blocks, [{w: x for w, x in c.items() if x} for c in weights], k) if counted else None
-        if found is None:
+        if not counted:
             continue
+        weights = [{w: x for w, x in c.items() if x} for c in weights]
+        found = searched(blocks, weights, first_scores(blocks, weights, k), k)
         named = blocks.sparkSession.createDataFrame([(i, r.doc_id) for i, r in enumerate(some)], "item bigint, item_id bigint")
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         top = (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
