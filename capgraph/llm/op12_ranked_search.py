@@ -36,6 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -243,9 +244,10 @@ def block_of(ids: list, bodies: list[bytes], n_docs: int, length: int) -> dict:
     t = Treap.build(rows, columns, values)
     del rows, columns, values
     words = list(numbers)
-    return {"ids": [ids[i] for i in order], "terms": b" ".join([words[i] for i in frequent]),
-            "df": df[frequent].astype(np.int32).tobytes(), "tops": tops.tobytes(), "height": t.height, "mask": t.mask[:-1].tobytes(),
-            "most": t.most[:-1].tobytes(), "row": t.row.tobytes(), "column": t.column.tobytes()}
+    squeeze = zstandard.ZstdCompressor(level=1).compress  # rows of a few MB, through the JVM and back
+    return {"ids": [ids[i] for i in order], "terms": squeeze(b" ".join([words[i] for i in frequent])),
+            "df": df[frequent].astype(np.int32).tobytes(), "tops": tops.tobytes(), "height": t.height, "mask": squeeze(t.mask[:-1].tobytes()),
+            "most": squeeze(t.most[:-1].tobytes()), "row": squeeze(t.row.tobytes()), "column": squeeze(t.column.tobytes())}
 
 
 def index(docs: DataFrame, n_docs: int, length: int, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -302,7 +304,7 @@ def document_counts(blocks: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
         for b in batches:
             for words, df in zip(b.column("terms"), b.column("df")):
                 df = np.frombuffer(df.as_py(), np.int32)
-                for i, w in enumerate(words.as_py().split(b" ")):
+                for i, w in enumerate(zstandard.decompress(words.as_py()).split(b" ")):
                     if w in sent.value:
                         total[w] = total.get(w, 0) + int(df[i])
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.binary()), "df": pa.array(list(total.values()), pa.int64())})
@@ -349,11 +351,11 @@ def searched(blocks: DataFrame, items: list[dict[bytes, int]], least: list[int],
                 if most is not None and done > most:
                     break
                 b = {c: batch.column(c)[i] for c in batch.schema.names}
-                t = Treap(b["height"].as_py(), *(np.frombuffer(b[c].as_py(), kind) for c, kind in (
+                t = Treap(b["height"].as_py(), *(np.frombuffer(zstandard.decompress(b[c].as_py()), kind) for c, kind in (
                     ("mask", np.uint8), ("most", np.int32), ("row", np.int32), ("column", np.int32))))
                 ids = np.asarray(b["ids"].values.fill_null(LAST))
                 tops = np.frombuffer(b["tops"].as_py(), np.int32)
-                place = {w: p for p, w in enumerate(b["terms"].as_py().split(b" ")) if w in wanted}
+                place = {w: p for p, w in enumerate(zstandard.decompress(b["terms"].as_py()).split(b" ")) if w in wanted}
                 for item, found in zip(items, best):
                     here = [(place[w], x) for w, x in item.items() if w in place]
                     rows, weights = (np.array([h[j] for h in here], np.int64) for j in (0, 1))
