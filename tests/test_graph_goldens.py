@@ -402,6 +402,15 @@ def test_contraction_sends_a_forest(spark):
     assert len(one) == len({(r.graph_name, r.src) for r in one}) and all(r.dst < r.src for r in one)
 
 
+def test_contraction_merges_batches_that_are_not_null(spark, monkeypatch):
+    """Stars that are held meet batches whose schema says not null."""
+    monkeypatch.setattr(CC, "MERGE_EDGES", 20)
+    e = spark.range(0, 30_000, numPartitions=1).select(F.lit("g").alias("graph_name"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert not e.schema["src"].nullable
+    found = CC.contracted(e).collect()
+    assert len(found) == 30_000 and {r.dst for r in found} == {0}
+
+
 def test_operators_share_a_prepared_graph(spark):
     """The edge frame's plan runs once for all operators of a prepared graph."""
     from capgraph.operators.graph.prepared import graph
