@@ -377,6 +377,29 @@ def test_triangles_by_colours_match_brute_force(spark, triple_edges):
     assert all(n == sum(v in t for t in want[g]) for (g, v), n in per.items()) and ("loop", 9) in per
 
 
+@pytest.mark.parametrize("wedges, triple_edges, hubs", [(0, 1_000_000, False), (0, 7, False), (2, 100, False), (2, 7, True), (1_000_000, 7, True)])
+def test_triangles_by_lists_and_by_colours_match_brute_force(spark, monkeypatch, wedges, triple_edges, hubs):
+    """All graphs by colours, some by lists, all by lists; with and without salts."""
+    if hubs:
+        monkeypatch.setattr("capgraph.operators.graph.skew.HUB_ENDS", 20)
+    e, pairs = random_graphs(spark)
+    want = {g: brute_triangles(p) for g, p in pairs.items()}
+    found = {}
+    for r in TR.triangles(e, triple_edges, wedges).collect():
+        found.setdefault(r.graph_name, []).append(tuple(sorted((r.a, r.b, r.c))))
+    assert all(sorted(found.get(g, [])) == sorted(want[g]) for g in want)
+    per = {(r.graph_name, r.vertex): r.triangles
+           for r in TR.triangles_per_vertex(e, triple_edges=triple_edges, wedges=wedges).collect()}
+    assert all(n == sum(v in t for t in want[g]) for (g, v), n in per.items()) and ("loop", 9) in per
+
+
+def test_triangles_of_a_sparse_graph_move_its_wedges(spark):
+    """An edge isn't copied for every colour, of which a large graph has many."""
+    e, _ = random_graphs(spark)
+    plan = TR.triangle_count(e, triple_edges=7)._jdf.queryExecution().toString()
+    assert "array_intersect" in plan and "FlatMapGroupsInArrow" not in plan
+
+
 @pytest.mark.parametrize("finish_edges", [1_000_000, 0])
 def test_components_of_many_graphs_match_union_find(spark, finish_edges):
     e, pairs = random_graphs(spark)
