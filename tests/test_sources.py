@@ -103,3 +103,18 @@ def test_named_graphs_are_written_in_parts_and_order(spark):
     assert rejects.count() == 0 and edges.where("graph_name = 'plain'").count() == 300
     first = S.first_k_vertices_by_file(edges, 4).where("graph_name = '4-NOT SPECIFIED'").orderBy("position").collect()
     assert [r.vertex for r in first] == [0, 1, 2, 3]
+
+
+def test_shuffles_grow_with_the_table(spark):
+    from capgraph.session import MERGED_BYTES, PARTITION_ROWS, sized_shuffles
+    names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = [spark.conf.get(n) for n in names]
+    try:
+        sized_shuffles(spark, 3 * PARTITION_ROWS)
+        assert [spark.conf.get(n) for n in names] == before
+        sized_shuffles(spark, 100 * PARTITION_ROWS + 1)
+        sized_shuffles(spark, 50 * PARTITION_ROWS)
+        assert [spark.conf.get(n) for n in names] == ["101", str(MERGED_BYTES)]
+    finally:
+        spark.conf.set(names[0], before[0])
+        spark.conf.unset(names[1])
