@@ -183,6 +183,20 @@ def test_near_fingerprints_match_brute_force(spark, threshold):
     assert sum(links) > 40
 
 
+def test_texts_with_only_a_frequent_passage_in_common_do_not_meet(spark, monkeypatch):
+    rows = [(k, prose(1000 + k, 200) + " " + prose(900, 200)) for k in range(40)] + [(40, prose(1000, 200) + " " + prose(900, 200) + " tail")]
+    met, clusters = [], near.clusters
+
+    def counted(signed):
+        found = clusters(signed)
+        met.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "clusters", counted)
+    got = {r.doc_id: r.n_links for r in spots.near_duplicates(frame(spark, rows)).collect()}
+    assert met == [2] and got == {k: int(k in (0, 40)) for k in range(41)}  # not 41, all by the passage
+
+
 def test_classes_of_null_ids_meet_their_own_texts_only(spark, monkeypatch):
     rows = [(None, prose(700 + k // 2, 60) + (" tail" if k % 2 else "")) for k in range(40)]
     met, join = [], near.class_texts
