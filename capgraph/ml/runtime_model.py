@@ -28,7 +28,7 @@ FEATURE_COLUMNS = ("nodes", "edges", "density", "avg_clustering", "num_nodes", "
 TARGET = "simulated_time"
 TEST_SHARE_PCT = 25
 MIN_TIME = 0.1
-CORES_PER_NODE, MEMORY_PER_NODE_GB = 4, 8
+CORES_PER_NODE, MEMORY_PER_NODE_GB, MOST_NODES = 4, 8, 8
 CROSS_PARAMS = dict(maxIter=100, maxDepth=4, stepSize=0.1)
 MOST_DEADLINES = 16
 #: Names of settings that callers may change, as Spark's learners have them.
@@ -186,7 +186,13 @@ def feature_importance(tm: TrainedModel) -> DataFrame:
             .orderBy(F.col("importance").desc(), "feature"))
 
 
-def what_if_rows(workloads: DataFrame, max_nodes: int = 8) -> DataFrame:
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in tasks of about ``TT.CHUNK`` of the ``rows`` that are predicted for it: the few
+    bytes of their workloads would come merged into a few tasks."""
+    return df.repartition(max(1, -(-rows // TT.CHUNK)))
+
+
+def what_if_rows(workloads: DataFrame, max_nodes: int = MOST_NODES) -> DataFrame:
     """Configurations to score: every workload x 1..max_nodes nodes, with
     totals derived from nodes (4 cores, 8 GB each)."""
     return (workloads.withColumn("num_nodes", F.explode(F.sequence(F.lit(1), F.lit(max_nodes))))

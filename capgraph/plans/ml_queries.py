@@ -131,9 +131,9 @@ def q_feature_importance(spark, sf):
 @query("model_predictions")
 def q_model_predictions(spark, sf):
     rf, tm = _forest(spark, sf)
-    wl = (rf.groupBy("graph_name", "algorithm_type")
-          .agg(*[F.first(c).alias(c) for c in ("nodes", "edges", "density", "avg_clustering")]))
-    grid = RM._cast_numeric(RM.what_if_rows(wl), tm.features)
+    wl = written(rf.groupBy("graph_name", "algorithm_type")
+                 .agg(*[F.first(c).alias(c) for c in ("nodes", "edges", "density", "avg_clustering")]))
+    grid = RM._cast_numeric(RM.what_if_rows(RM.dealt(wl, wl.count() * RM.MOST_NODES)), tm.features)
     return rounded(RM.predict(tm.model, grid).select(
         "graph_name", "algorithm_type", "num_nodes", "total_cores", "total_memory_gb", "prediction"))
 
