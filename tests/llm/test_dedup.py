@@ -1,7 +1,9 @@
 """Fingerprints, repeated strings, near duplicates."""
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import again_bytes, cases, frame, jaccard, near_groups, prose, repeated_bytes, repeated_words, shingle_set, text, prepared  # noqa: F401
 
@@ -324,3 +326,35 @@ def test_signatures_word_by_word():
     assert [set(a.tolist()) for a in alone] == [spot_set(t) for t in texts]
     together = find.of([find.hashed(spots.spaced(t.encode()).split()) for t in texts])
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(alone, together))
+
+
+@pytest.mark.parametrize("earlier", [False, True])
+def test_a_part_of_many_hashes_is_compared_in_little_memory(earlier):
+    """Beside what it got and a byte for each hash, a part holds a step's arrays only."""
+    parts, part, each, held = 8, 5, 150_000, 8
+    rng = np.random.default_rng(6)
+    low = np.uint64(part) << np.uint64(61)
+    pool = rng.integers(0, 1 << 61, 4 * each, dtype=np.uint64) + low
+    sent = [np.unique(rng.choice(pool, each, replace=False)) for _ in range(held)]
+    again = [rng.random(len(x)) < 0.01 for x in sent]
+    order = rng.permutation(held)
+    table = pa.table({"part": pa.array([part] * held, pa.int32()), "shard": pa.array(order, pa.int32()),
+                      "hashes": pa.array([sent[i].tobytes() for i in order], pa.binary()),
+                      "again": pa.array([np.packbits(again[i]).tobytes() for i in order], pa.binary())})
+    tracemalloc.start()
+    out = shards.compared(part, table, parts, earlier, size=20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * held * each  # half of the hashes' own size
+    bits = dict(zip(out.column("shard").to_pylist(), out.column("bits").to_pylist()))
+    for i in range(held):
+        others = sent[:i] if earlier else sent[:i] + sent[i + 1:]
+        want = np.isin(sent[i], np.concatenate(others)) if others else np.zeros(len(sent[i]), bool)
+        got = np.unpackbits(np.frombuffer(bits[i], np.uint8), count=len(want)).astype(bool)
+        assert (got == (want if earlier else want | again[i])).all()
+
+
+def test_repeats_run_on_through_a_texts_pieces():
+    assert suffixes.joined([], [(3, 9)]) == [(3, 9)]
+    assert suffixes.joined([(0, 5)], [(5, 9), (12, 14)]) == [(0, 9), (12, 14)]
+    assert suffixes.joined([(0, 5)], [(6, 9)]) == [(0, 5), (6, 9)]
