@@ -46,6 +46,28 @@ class Graph:
 
     def __init__(self, edges: DataFrame, verts: DataFrame | None = None):
         self.edges, self._verts = edges, verts
+        #: What ``triangles.split`` made of it.
+        self.parts: dict = {}
+
+    @classmethod
+    def of_canonical(cls, canon: DataFrame, verts: DataFrame | None = None) -> Graph:
+        """A graph of edges that are canonical already."""
+        out = cls(canon, verts)
+        out.canon = canon
+        return out
+
+    @property
+    def own_vertices(self) -> bool:
+        """Whether the vertices are the edges' ends."""
+        return self._verts is None
+
+    def without(self, names: DataFrame) -> Graph:
+        """All graphs but those in ``names``; parts of graphs that were split are kept."""
+        left = lambda frame: None if frame is None else frame.join(names, G, "left_anti")
+        out = Graph.of_canonical(left(self.canon), left(self._verts))
+        for limit, (counted, rest) in self.parts.items():
+            out.parts[limit] = (left(counted), None if rest is None else out if rest is self else rest.without(names))
+        return out
 
     @cached_property
     def canon(self) -> DataFrame:
@@ -101,5 +123,5 @@ class Graph:
 
 def graph(edges: DataFrame | Graph, verts: DataFrame | None = None) -> Graph:
     if isinstance(edges, Graph):
-        return edges if verts is None else Graph(edges.canon, verts)
+        return edges if verts is None else Graph.of_canonical(edges.canon, verts)
     return Graph(edges, verts)

@@ -452,3 +452,29 @@ def test_operators_share_a_prepared_graph(spark):
     TR.average_clustering(g).collect()
     FT.graph_features(g).collect()
     assert runs.value == n
+
+
+def test_small_graphs_are_counted_whole(spark):
+    """Their edges move once, to a task that has whole graphs: no joins by
+    vertex; larger graphs, loops and graphs without a name as before."""
+    from capgraph.operators.graph.prepared import graph
+    e, pairs = random_graphs(spark)
+    nameless = spark.createDataFrame([(None, a, b) for a, b in ((1, 2), (2, 3), (1, 3))], e.schema)
+    g = graph(e.unionByName(nameless))
+    got = {(r.graph_name, r.vertex): (r.degree, r.triangles) for r in TR.local_clustering(g).collect()}
+    assert not {"oriented", "out_lists", "simple_degree", "vertices"} & set(g.__dict__)
+    want = {}
+    for name, p in pairs.items():
+        found, simple = brute_triangles(p), {tuple(sorted(x)) for x in p if x[0] != x[1]}
+        for v in {v for pair in p for v in pair}:
+            want[name, v] = (sum(v in x for x in simple), sum(v in t for t in found))
+    assert got == want | {(None, v): (2, 0) for v in (1, 2, 3)}
+    counted, rest = TR.split(g, 7)
+    large = {r.graph_name for r in rest.canon.select("graph_name").distinct().collect()}
+    assert large and all(len({tuple(sorted(x)) for x in pairs[name]}) > 7 for name in large)
+    assert large | {r.graph_name for r in counted.collect()} == {*pairs, None}
+    assert not large & {r.graph_name for r in counted.collect()}
+    some = spark.createDataFrame([(name,) for name in list(pairs)[::2]], "graph_name string")
+    left = g.without(some)
+    assert ({r.graph_name: r.triangles for r in TR.triangle_count(left, triple_edges=7).collect()}
+            == {name: len(brute_triangles(p)) for name, p in list(pairs.items())[1::2]} | {None: 0})
