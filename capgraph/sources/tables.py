@@ -20,13 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _order_parts(spark: SparkSession, sf_dir: str, min_quantity: float | None) -> DataFrame:
+    """(okey, parts): each order's distinct parts, ascending.  One shuffle on the
+    order key; a part bought twice in one order is one vertex."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     sized_shuffles(spark, li.count())  # from the files' footers
     if min_quantity is not None:
         li = li.filter(F.col("l_quantity") >= F.lit(min_quantity))
-    # One row per (order, part): a part bought twice in one order is one vertex.
-    return li.select(F.col("l_orderkey").alias("okey"),
-                     F.col("l_partkey").alias("part")).distinct()
+    lines = li.select(F.col("l_orderkey").alias("okey"), F.col("l_partkey").alias("part"))
+    return (lines.where("okey IS NOT NULL AND part IS NOT NULL").repartition("okey")
+            .groupBy("okey").agg(F.sort_array(F.collect_set("part")).alias("parts")))
+
+
+def _pairs(orders: DataFrame) -> DataFrame:
+    """(graph_name, src, dst), distinct, src < dst: every two parts of an order,
+    from (graph_name, parts)."""
+    after = F.slice("parts", F.col("i") + 2, F.greatest(F.size("parts") - F.col("i") - 1, F.lit(0)))
+    return (orders.where(F.size("parts") > 1).select("graph_name", F.posexplode("parts").alias("i", "src"), "parts")
+            .select("graph_name", "src", F.explode(after).alias("dst")).distinct())
 
 
 def copurchase_edges(spark: SparkSession, sf_dir: str, min_quantity: float | None = None,
@@ -36,15 +46,10 @@ def copurchase_edges(spark: SparkSession, sf_dir: str, min_quantity: float | Non
     ``(graph_name, src, dst)`` with ``src < dst``, distinct; all lines, unless
     ``min_quantity`` asks for large ones only.  The pairs of an order are the
     view's definition: their number is the square of the order's lines, which
-    the tables keep small (at most 7), so both sides of the self-join come from
-    one shuffle on the order key.
+    the tables keep small (at most 7), so they are listed from the order's parts.
     """
     op = _order_parts(spark, sf_dir, min_quantity)
-    a, b = op.alias("a"), op.alias("b")
-    pairs = a.join(b, (F.col("a.okey") == F.col("b.okey")) & (F.col("a.part") < F.col("b.part")))
-    return (pairs.select(F.lit(graph_name).alias("graph_name"),
-                         F.col("a.part").alias("src"), F.col("b.part").alias("dst"))
-            .distinct())
+    return _pairs(op.select(F.lit(graph_name).alias("graph_name"), "parts"))
 
 
 def copurchase_edges_multi(spark: SparkSession, sf_dir: str,
@@ -53,12 +58,7 @@ def copurchase_edges_multi(spark: SparkSession, sf_dir: str,
     op = _order_parts(spark, sf_dir, min_quantity)
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("okey"), F.col("o_orderpriority").alias("graph_name"))
-    opg = op.join(orders, "okey")
-    a, b = opg.alias("a"), opg.alias("b")
-    pairs = a.join(b, (F.col("a.okey") == F.col("b.okey")) & (F.col("a.part") < F.col("b.part")))
-    return (pairs.select(F.col("a.graph_name").alias("graph_name"),
-                         F.col("a.part").alias("src"), F.col("b.part").alias("dst"))
-            .distinct())
+    return _pairs(op.join(orders, "okey"))
 
 
 def customer_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +70,7 @@ def customer_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("okey"),
         F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("graph_name"))
-    opg = op.join(orders, "okey")
-    a, b = opg.alias("a"), opg.alias("b")
-    pairs = a.join(b, (F.col("a.okey") == F.col("b.okey")) & (F.col("a.part") < F.col("b.part")))
-    return (pairs.select(F.col("a.graph_name").alias("graph_name"),
-                         F.col("a.part").alias("src"), F.col("b.part").alias("dst"))
-            .distinct())
+    return _pairs(op.join(orders, "okey"))
 
 
 def bipartite_edges(spark: SparkSession, sf_dir: str, graph_name: str = "cust_supp") -> DataFrame:
@@ -132,12 +127,7 @@ def run_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(users, "o_custkey", "left_semi")
               .select(F.col("o_orderkey").alias("okey"),
                       F.concat(F.lit("g"), F.col("o_custkey").cast("string")).alias("graph_name")))
-    opg = op.join(orders, "okey")
-    a, b = opg.alias("a"), opg.alias("b")
-    pairs = a.join(b, (F.col("a.okey") == F.col("b.okey")) & (F.col("a.part") < F.col("b.part")))
-    return (pairs.select(F.col("a.graph_name").alias("graph_name"),
-                         F.col("a.part").alias("src"), F.col("b.part").alias("dst"))
-            .distinct())
+    return _pairs(op.join(orders, "okey"))
 
 
 # The three algorithms the reference sizes workloads for.

@@ -478,3 +478,75 @@ def test_small_graphs_are_counted_whole(spark):
     left = g.without(some)
     assert ({r.graph_name: r.triangles for r in TR.triangle_count(left, triple_edges=7).collect()}
             == {name: len(brute_triangles(p)) for name, p in list(pairs.items())[1::2]} | {None: 0})
+
+
+def union_find(rows):
+    """(name, vertex) -> least of its component, by brute force; an edge with one end is a loop."""
+    parent = {}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for name, a, b in rows:
+        a, b = (b if a is None else a), (a if b is None else b)
+        for v in (a, b):
+            parent.setdefault((name, v), (name, v))
+        if a is not None:
+            a, b = root((name, a)), root((name, b))
+            parent[max(a, b, key=lambda x: x[1])] = min(a, b, key=lambda x: x[1])
+    return {v: root(v)[1] for v in parent}
+
+
+@pytest.mark.parametrize("finish,shard,merge", [(1_000_000, 2_000_000, 50), (60, 25, 2_000_000), (0, 15, 10), (60, 2_000_000, 50)])
+def test_components_of_dealt_edges_match_union_find(spark, monkeypatch, finish, shard, merge):
+    """Whole graphs, graphs dealt by their ends, and rounds after these; with
+    loops, repeats, both directions, ends and names that are null."""
+    monkeypatch.setattr(CC, "SHARD_EDGES", shard)
+    monkeypatch.setattr(CC, "MERGE_EDGES", merge)
+    monkeypatch.setattr(CC, "FINISH_EDGES", 60)
+    rng = np.random.default_rng(11)
+    rows = [(name, int(a), int(b)) for name, n in (("wide", 90), (None, 70), ("small", 30))
+            for a, b in rng.integers(0, n, size=(n, 2)) * 10**15 - 3]
+    rows += rows[::5] + [(n, b, a) for n, a, b in rows[::7]] + [("wide", 5, 5), ("loop", 8, 8), ("small", 9, None), ("small", None, 9),
+                                                               ("wide", None, 4), ("odd", None, None), (None, 7, 7)]
+    rows += [("path", k, k + 1) for k in range(100)]
+    e = spark.createDataFrame(rows, "graph_name string, src bigint, dst bigint").repartition(6)
+    got = [(r.graph_name, r.vertex, r.component) for r in CC.connected_components(e, finish_edges=finish).collect()]
+    assert len(got) == len(set(got)) and {(n, v): c for n, v, c in got} == union_find(rows)
+
+
+def test_components_move_no_row_for_an_edge(spark, monkeypatch):
+    """Edges reach their tasks as arrays, and no distinct of them comes first."""
+    e, _ = random_graphs(spark)
+    plan = CC.dealt(e, F.lit(0), 1)._jdf.queryExecution().toString()
+    assert "edges" in plan and "HashAggregate" not in plan
+    seen = []
+    monkeypatch.setattr(CC, "graph", lambda *a: seen.append(graph_of(*a)) or seen[-1])
+    from capgraph.operators.graph.prepared import graph as graph_of
+    CC.connected_components(e).collect()
+    assert not {"canon", "vertices", "simple"} & set(seen[0].__dict__)
+
+
+def test_views_list_pairs_of_orders(spark, tmp_path):
+    """Repeated lines and orders, null keys and names; all views share one listing."""
+    from capgraph.sources import tables as T
+    lines = [(1, 5, 1.0), (1, 3, 2.0), (1, 5, 3.0), (1, 9, 1.0), (2, 3, 1.0), (2, 5, 1.0), (3, 7, 1.0), (None, 1, 1.0), (None, 2, 1.0),
+             (4, None, 1.0), (4, 2, 1.0), (4, 1, 9.0), (5, 1, 1.0), (5, 2, 1.0)]
+    orders = [(1, 11, "a"), (1, 11, "b"), (1, 12, "a"), (2, 11, None), (3, 11, "a"), (4, None, "b"), (6, 11, "a")]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(11,), (99,), (None,)], "user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+
+    def rows(df):
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got))
+        return set(got)
+
+    one = {(3, 5), (3, 9), (5, 9)}
+    assert rows(T.copurchase_edges(spark, str(tmp_path))) == {("copurchase", *p) for p in one | {(1, 2)}}
+    assert rows(T.copurchase_edges(spark, str(tmp_path), 2.0)) == {("copurchase", 3, 5)}
+    assert rows(T.copurchase_edges_multi(spark, str(tmp_path))) == {(n, *p) for n in "ab" for p in one} | {(None, 3, 5), ("b", 1, 2)}
+    assert rows(T.customer_graph_edges(spark, str(tmp_path))) == {(n, *p) for n in ("g11", "g12") for p in one} | {(None, 1, 2)}
+    assert rows(T.run_graph_edges(spark, str(tmp_path))) == {("g11", *p) for p in one}
