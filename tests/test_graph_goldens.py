@@ -550,3 +550,38 @@ def test_views_list_pairs_of_orders(spark, tmp_path):
     assert rows(T.copurchase_edges_multi(spark, str(tmp_path))) == {(n, *p) for n in "ab" for p in one} | {(None, 3, 5), ("b", 1, 2)}
     assert rows(T.customer_graph_edges(spark, str(tmp_path))) == {(n, *p) for n in ("g11", "g12") for p in one} | {(None, 1, 2)}
     assert rows(T.run_graph_edges(spark, str(tmp_path))) == {("g11", *p) for p in one}
+
+
+@pytest.mark.parametrize("light", [256, 2])
+def test_lists_in_passes_close_the_same_triangles(spark, monkeypatch, light):
+    """Lists that are moved in passes, of edges ordered by id or by the degrees of
+    a few vertices, give all triangles."""
+    from capgraph.operators.graph import prepared
+    monkeypatch.setattr(TR, "PASS_BYTES", 200)
+    monkeypatch.setattr(TR, "PASS_EDGE", 1)
+    monkeypatch.setattr(prepared, "LIGHT", light)
+    e, pairs = random_graphs(spark)
+    taken = []
+    closed = TR._closed
+    monkeypatch.setattr(TR, "_closed", lambda *a: taken.append(a[2:]) or closed(*a))
+    g = prepared.graph(e)
+    got = {r.graph_name: r.triangles for r in TR.triangle_count(g, triple_edges=7, wedges=10**6).collect()}
+    assert got == {name: len(brute_triangles(p)) for name, p in pairs.items()}
+    assert len(taken) > 1 and {t[0] for t in taken} == {len(taken)} and [t[1] for t in taken] == [*range(len(taken))]
+    each = {(r.graph_name, r.vertex): r.triangles for r in TR.triangles_per_vertex(g, triple_edges=7, wedges=10**6).collect()}
+    assert each == {(name, v): sum(v in t for t in brute_triangles(p)) for name, p in pairs.items() for v in {v for pair in p for v in pair}}
+    rest = TR.split(g, 7)[1]
+    assert (rest.heavy is None) == (light == 256)
+    assert "SortMergeJoin" not in rest.oriented._jdf.queryExecution().toString()
+
+
+def test_written_frames_leave_no_shuffle_files(spark):
+    from capgraph.session import written
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, held = spark.conf.get(key, None), tracker.shuffleStatuses().size()
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("x")).count()
+    out = written(df)
+    assert out.count() == 7 and df.count() == 7 and spark.conf.get(key, None) == before
+    written(df)
+    assert tracker.shuffleStatuses().size() <= held + 4  # those of the two counts
