@@ -1,6 +1,7 @@
 """Fingerprints, repeated strings, near duplicates."""
 import hashlib
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +214,40 @@ def test_classes_of_null_ids_meet_their_own_texts_only(spark, monkeypatch):
     assert [r.n_links for r in got] == [1] * 40 and met == [40]  # not 40 x 40
 
 
+def test_blocks_are_compared_in_passes(spark, monkeypatch):
+    """Of a cluster of many blocks no more sets are sent at a time than there are."""
+    rows, taken = families(), []
+    plain = sorted(map(tuple, near.near_links(frame(spark, rows)).collect()), key=repr)
+    monkeypatch.setattr(near, "PASS_SETS", 1)
+    write = near.common.written
+
+    def counted(df):
+        out = write(df)
+        if "whole" in out.columns:
+            taken.append(out)
+        return out
+
+    monkeypatch.setattr(near.common, "written", counted)
+    assert sorted(map(tuple, near.near_links(frame(spark, rows), block=2).collect()), key=repr) == plain
+    assert len(taken) > 2
+
+
+def test_counts_of_signatures_leave_single_ones_out(spark, monkeypatch):
+    """Those of one text are counted, not written; parts and tasks add up."""
+    monkeypatch.setattr(spots, "COUNTED", 60)
+    monkeypatch.setattr(spots, "BUCKET_TEXTS", 3)
+    rows = [(k, prose(k // 3, 50) + " " + prose(500 + k, 30)) for k in range(60)] + [(99, None), (98, "")]
+    find, kept = spots.Signatures(), []
+    want = Counter(s for _, t in rows for s in find((t or "").encode()).tolist())
+    write = spots.common.written
+    monkeypatch.setattr(spots.common, "written", lambda df: kept.append(write(df)) or kept[-1])
+    names, n = spots.frequent(spots.common.id_text(frame(spark, rows).repartition(5)))
+    assert dict(zip(names.tolist(), n.tolist())) == {s: k for s, k in want.items() if k > 1}
+    held = kept[0].collect()
+    assert all(r.n > 1 for r in held if r.signature >= 0) and sum(r.n for r in held if r.signature < 0) == want.total()
+    assert [len(x) for x in spots.frequent(spots.common.id_text(frame(spark, []))) ] == [0, 0]
+
+
 def test_length_partitions_neighbour():
     for threshold in (0.5, 0.8, 0.9):
         for n in range(1, 300):
